@@ -19,8 +19,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), budget=512)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaseframe.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=0.8)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op6_near_duplicates": op6_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from phaseframe.llm import textscan
 from phaseframe.llm.byte_bpe import Grid, Merges, at_code_points, grid, merges
 
-CACHE = 2_000_000
+CACHE = 1_000_000
 
 
 @lru_cache(maxsize=2)
