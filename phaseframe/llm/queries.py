@@ -25,9 +25,16 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=0.8)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaseframe.llm.substring import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"), window=13).drop("kept_text")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
