@@ -245,3 +245,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = scanned.join(named, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """docs without near-duplicates: of each group the document with the smallest id stays, with its own columns.
+
+    Rows with a null id stay; of rows that share an id all stay or go together.
+    """
+    gone = near_duplicates(docs, shingle, similarity, id_col=id_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

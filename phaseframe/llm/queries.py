@@ -43,8 +43,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaseframe.llm.bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_substring_dedup": op7_substring_dedup,

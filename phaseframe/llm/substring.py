@@ -203,3 +203,17 @@ def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     tagged = _tagged(docs, id_col, text_col)
     joined = tagged.join(repeated_places(tagged, window), ["id", "tag"], "left").select("id", "text", "places")
     return _cut(joined, window).withColumn("doc_id", F.expr(f"nullif(id, {LAST})")).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+
+
+def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with repeats taken out of their texts; a document that loses all its words goes. An n_chars column
+    follows the text, other columns stay as they are."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    others = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c != text_col]
+    tagged = _tagged(docs, id_col, text_col, *[F.col(c).alias(n) for n, c in others])
+    places = repeated_places(tagged.select("id", "tag", "text"), window)
+    cut = _cut(tagged.join(places, ["id", "tag"], "left"), window).where("n_removed = 0 or n_removed < n_words")
+    back = dict((c, F.col(n)) for n, c in others) | {text_col: F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        back["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(back["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[back[c].alias(c) for c in docs.columns])
