@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from phaseframe.llm.common import materialize
 
 
+ROWS_A_FILE = 500_000
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number of edges and a sum over their hashes: equal for equal sets of edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,10 +38,11 @@ def components(edges: DataFrame) -> DataFrame:
     round is two aggregations with partial sums and two joins that adaptive execution may split.
     """
     now = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
-    mark = None
+    mark = _mark(now)
     while True:
-        now = materialize(_small_star(_large_star(now)))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # a file for each ROWS_A_FILE edges: few edges shouldn't be spread over as many files as there are partitions
+        now = materialize(_small_star(_large_star(now)).coalesce(1 + mark[0] // ROWS_A_FILE))
+        seen = _mark(now)
         if seen == mark:
             break
         mark = seen

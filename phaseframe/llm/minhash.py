@@ -43,8 +43,10 @@ K = 64
 THRESHOLD = 33
 #: Counters of the table of pair frequencies; it is sent to every task.
 COUNTERS = 1 << 17
-#: Pairs across components that a posting list may give before its members are screened by their own shingles.
-SPLIT_OVER = 2_000
+#: Members beyond which a posting list's pairs are screened by their shingles before they are made.
+LARGE = 64
+#: Parts of the hash range in which shared shingles are counted for that.
+PARTS = 64
 
 _SEEDS = textscan.mix(np.arange(1, 2 * K + 1, dtype=np.uint64))
 _ADD, _TIMES = _SEEDS[:K, None], _SEEDS[K:, None] | np.uint64(1)
@@ -183,8 +185,9 @@ def _stars(shared: DataFrame) -> DataFrame:
     return tied.where("id <> c").select(*_ordered("id", "c")).distinct()
 
 
-def _own_shingles(docs: DataFrame) -> DataFrame:
-    """id, own: how many shingles of each of docs(id, members) are in no other of them."""
+def _screened(sets: DataFrame) -> DataFrame:
+    """id, n, met, parts for sets(id, members): how many shingles a set has, how many of them another set has too,
+    and how many of the latter fall into each of PARTS parts of the hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,32 +197,34 @@ def _own_shingles(docs: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), [len(x) for x in members])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(members))], names=["id", "shingle"])
 
-    alone = docs.mapInArrow(run, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    return alone.groupBy("id").agg(F.count("*").alias("own"))
+    spread = sets.mapInArrow(run, "id long, shingle long")
+    known = spread.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    # shingles of one set alone are subtracted part by part
+    every = spread.groupBy("id", F.pmod("shingle", F.lit(PARTS)).alias("part")).agg(F.count("*").alias("n"))
+    alone = known.where("c = 1").groupBy("id", F.pmod("shingle", F.lit(PARTS)).alias("part")).agg(F.count("*").alias("own"))
+    met = every.join(alone, ["id", "part"], "left").select("id", "n", F.col("part").cast("int"), (F.col("n") - F.coalesce("own", F.lit(0))).cast("int").alias("met"))
+    by_part = F.map_from_entries(F.collect_list(F.struct("part", "met")))
+    table = met.groupBy("id").agg(F.sum("n").alias("n"), F.sum("met").alias("met"), by_part.alias("m"))
+    return table.select("id", "n", "met", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0))).alias("parts"))
 
 
-def _across(shared: DataFrame, labels: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, screened: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list that stand in different components and could be similar enough."""
-    placed = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
-    by = placed.groupBy("key", "component").agg(F.count("*").cast("double").alias("n"))
-    size = by.groupBy("key").agg(((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross")).where("cross > 0")
-    mixed = materialize(placed.join(size, "key"))
-    small = mixed.where(F.col("cross") <= SPLIT_OVER)
+    placed = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "key", "large", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    placed = materialize(placed.join(mixed, "key"))
+    small = placed.where("not large")
     x = small.select("key", "id", F.col("component").alias("c"))
     y = small.select("key", F.col("id").alias("other"), F.col("component").alias("d"))
     pairs = x.join(y, "key").where("c < d").select(*_ordered("id", "other"))
-    large = mixed.where(F.col("cross") > SPLIT_OVER)
-    if not large.isEmpty():
-        ids = large.select("id").distinct()
-        own = _own_shingles(sets.join(ids, "id", "left_semi"))
-        known = materialize(ids.join(sizes.select("id", "n"), "id").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own")))
-        open_ids = known.where(f"100 * own <= {100 - percent} * n")
-        rows = large.select("key", "id", "component").join(open_ids, "id")
-        x = rows.select("key", "id", F.col("component").alias("c"), F.col("n").alias("n_x"), (F.col("n") - F.col("own")).alias("m_x"))
-        y = rows.select("key", F.col("id").alias("other"), F.col("component").alias("d"), F.col("n").alias("n_y"), (F.col("n") - F.col("own")).alias("m_y"))
-        bound = f"100 * least(m_x, m_y) >= {percent} * (n_x + n_y - least(m_x, m_y))"
-        pairs = pairs.union(x.join(y, "key").where("c < d").where(bound).select(*_ordered("id", "other")))
-    return pairs.distinct()
+    # |A and B| <= the shingles that both share with anyone, part by part
+    rows = placed.where("large").join(screened.where(f"100 * met >= {percent} * n"), "id")
+    x = rows.select("key", "id", F.col("component").alias("c"), F.col("n").alias("n_x"), F.col("met").alias("m_x"), F.col("parts").alias("p_x"))
+    y = rows.select("key", F.col("id").alias("other"), F.col("component").alias("d"), F.col("n").alias("n_y"), F.col("met").alias("m_y"), F.col("parts").alias("p_y"))
+    bound = f"100 * least(m_x, m_y) >= {percent} * (n_x + n_y - least(m_x, m_y))"
+    both = "aggregate(zip_with(p_x, p_y, (u, v) -> least(u, v)), 0, (s, u) -> s + u)"
+    finer = f"100 * {both} >= {percent} * (n_x + n_y - {both})"
+    return pairs.union(x.join(y, "key").where(f"c < d and {bound} and {finer}").select(*_ordered("id", "other"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,16 +237,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     reps = known.join(classes.select(F.col("rep").alias("id"), F.col("digest").alias("of")), "id").where("digest = of").select("id", "n", "sig").dropDuplicates(["id"])
     reps = materialize(reps)
     postings = materialize(_postings(reps, _frequencies(reps), threshold))
-    shared_keys = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    shared = materialize(postings.join(shared_keys, "key").select("key", "id"))
-    active = shared.select("id").distinct()
-    sets = materialize(_sets(picked.join(active, "id", "left_semi"), shingle).dropDuplicates(["id"]))
-    stars = materialize(_stars(shared))
-    links = materialize(_confirmed(_alike(stars, reps, threshold, percent), sets, percent))
-    first = materialize(components(links))
-    rest = _across(shared, first, sets, reps, percent).join(stars, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(_alike(rest, reps, threshold, percent), sets, percent))
-    label = first if more.isEmpty() else materialize(components(links.union(more)))
+    lists = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > LARGE).alias("large"))
+    shared = materialize(postings.join(lists, "key").select("key", "id", "large"))
+    stars = materialize(_alike(_stars(shared), reps, threshold, percent))
+    in_large = shared.where("large").select("id").distinct()
+    needed = stars.select(F.explode(F.array("a", "b")).alias("id")).union(in_large).distinct()
+    sets = materialize(_sets(picked.join(needed, "id", "left_semi"), shingle))
+    links = materialize(_confirmed(stars, sets, percent))
+    first = components(links)
+    screened = materialize(_screened(sets.join(in_large, "id", "left_semi")))
+    rest = materialize(_alike(_across(shared, first, screened, percent), reps, threshold, percent).join(stars, ["a", "b"], "left_anti"))
+    more_ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    more = materialize(_confirmed(rest, _sets(picked.join(more_ids, "id", "left_semi"), shingle), percent))
+    label = first if more.isEmpty() else components(links.union(more))
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = scanned.join(named, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
