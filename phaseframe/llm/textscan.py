@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -52,20 +51,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    with np.errstate(over="ignore"):
-        up = np.full(n, _BASE, _U64)
-        down = np.full(n, pow(_BASE, -1, 1 << 64), _U64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_known: list[np.ndarray] = [np.ones(1, _U64), np.ones(1, _U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(size)
-    return up, down
+    """At least n powers of the base and of its inverse, modulo 2**64; one table that grows."""
+    if len(_known[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            table = np.full(n + n // 8, base, _U64)
+            table[0] = 1
+            _known[k] = np.multiply.accumulate(table)
+    return _known[0], _known[1]
 
 
 class Spans:
@@ -74,7 +70,10 @@ class Spans:
     def __init__(self, values: np.ndarray) -> None:
         up, self._down = powers(len(values) + 1)
         self._sums = np.zeros(len(values) + 1, _U64)
-        np.cumsum((values.astype(_U64) + _U64(1)) * up[: len(values)], out=self._sums[1:])
+        terms = values.astype(_U64)
+        terms += _U64(1)
+        terms *= up[: len(values)]
+        np.cumsum(terms, out=self._sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(_U64))
