@@ -123,9 +123,7 @@ def nodes_of(conversations: DataFrame) -> DataFrame:
     """Conversations as reply trees: each turn answers the one before it."""
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = conversations.select("conv_id", "role", "text", F.row_number().over(by).alias("at"))
-    name = lambda at: F.struct(F.col("conv_id").alias("conv_id"), at.alias("at"))
     key = F.struct(F.coalesce(F.col("conv_id"), F.lit(0)).alias("conv_id"), F.col("conv_id").isNull().alias("none"))
-    del name
     return placed.select(
         F.col("conv_id").alias("tree"),
         F.struct(key.alias("conv"), F.col("at").alias("at")).alias("node"),

@@ -37,6 +37,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaseframe.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), modulus=50, k=5)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaseframe.llm.decontam import leaks
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op10_decontamination": op10_decontamination,
 }
 
