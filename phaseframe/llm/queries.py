@@ -43,6 +43,18 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), modulus=50, k=5)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaseframe.llm.lm_score import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaseframe.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaseframe.llm.decontam import leaks
 
@@ -72,9 +84,11 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
+    "op5_lm_score": op5_lm_score,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
 }
 
