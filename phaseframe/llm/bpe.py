@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
 from phaseframe.llm.byte_bpe import byte_alphabet
+from phaseframe.llm.common import bounded_batches
 
 CHUNK_BYTES = 32 << 20
 
@@ -177,7 +178,7 @@ def _encoded(words: DataFrame, path: str) -> DataFrame:
 def encode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids token_ids; one row for each text."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = bounded_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     texts = _split(picked, tokenizer_path, chunk_bytes, False)
     ids = _encoded(_split(picked, tokenizer_path, chunk_bytes, True), tokenizer_path)
 

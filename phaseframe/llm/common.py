@@ -31,6 +31,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at once, where the session does not say: the default would hold 10,000 whole texts.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after small Arrow batches have been set in its session (a setting that is there stays)."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def fold_of(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
+from phaseframe.llm.common import bounded_batches
 
 #: Window hashes (8 bytes each) that may be sent to every task.
 MAX_WINDOWS = 1_000_000
@@ -164,14 +165,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 6, coverage: floa
 
     exact says whether all slot values are the item's own.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("key"), F.col(item_text).alias("text")).where("key is not null")
     known = _window_rows(items, window, list(range(LEAST, window + 1)), None, True).distinct()
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
     hashes = None
     if known.select("hash").distinct().limit(MAX_WINDOWS + 1).count() <= MAX_WINDOWS:
         hashes = np.sort(np.array([r["hash"] for r in known.select("hash").distinct().collect()], np.int64).astype(np.uint64))
-    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).where("key is not null")
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).where("key is not null")
     if not sizes:
         texts = texts.where(F.lit(False))
     met = _window_rows(texts, window, sizes or [window], hashes, False).withColumnRenamed("key", "doc_id").withColumnRenamed("place", "at").withColumnRenamed("slots", "values")
@@ -190,7 +190,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 6, coverage: floa
     union = agreed.select("doc_id", "item_id", "size", "same", F.explode("places").alias("place")).groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("place")).alias("places"), F.max("size").alias("size"), F.max("same").alias("exact"))
     covered = F.expr("size + aggregate(zip_with(slice(places, 2, size(places)), slice(places, 1, size(places) - 1), (y, x) -> least(y - x, size)), 0, (s, x) -> s + x)")
     out = union.withColumn("words", covered).join(_item_sizes(items).groupBy("item_id").agg(F.max("n_words").alias("n_words")), "item_id")
-    del spark
     return out.withColumn("coverage", F.col("words") / F.col("n_words")).where(F.col("coverage") >= coverage).select("doc_id", "item_id", F.size("places").cast("long").alias("n_windows"), "coverage", "exact")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import fold_of
+from phaseframe.llm.common import bounded_batches, fold_of
 
 SEGMENT = 64
 SEGMENTS_A_TEXT = 4
@@ -174,7 +174,7 @@ def _lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

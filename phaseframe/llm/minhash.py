@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import materialize
+from phaseframe.llm.common import bounded_batches, materialize
 from phaseframe.llm.components import components
 
 K = 64
@@ -230,7 +230,7 @@ def _across(shared: DataFrame, labels: DataFrame, screened: DataFrame, percent:
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     percent = round(100 * similarity)
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    picked = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scanned = materialize(_scan(picked, shingle))
     known = scanned.where("digest is not null and id is not null")
     classes = materialize(known.groupBy("digest").agg(F.min("id").alias("rep")))

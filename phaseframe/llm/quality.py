@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import fold_of, free_name
+from phaseframe.llm.common import bounded_batches, fold_of, free_name
 
 BINS = 48
 
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int
     """Fits on at most `sample` labelled documents outside the held-out fold, chosen by a hash of the id."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").where(fold_of("id", folds) != held_out_fold)
     chosen = usable.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
     width = statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int
 
 def with_scores(docs: DataFrame, model: Trees, score: str, text_col: str = "text") -> DataFrame:
     """docs with a score column: the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
     at = columns.index(text_col)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import materialize
+from phaseframe.llm.common import bounded_batches, materialize
 
 LAST = (1 << 63) - 1
 SEED = 4
@@ -178,7 +178,7 @@ def _by_document(places: DataFrame) -> DataFrame:
 
 def _tagged(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
     """id (null last), tag, text and others; white space and case stay as they are."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).bitwiseAND(4095).alias("tag"), F.col(text_col).alias("text"), *others)
+    return bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).bitwiseAND(4095).alias("tag"), F.col(text_col).alias("text"), *others)
 
 
 def repeated_places(docs: DataFrame, window: int) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
+from phaseframe.llm.common import bounded_batches
 from phaseframe.llm.byte_bpe import Grid, Merges, at_code_points, grid, merges
 
 CACHE = 1_000_000
@@ -195,7 +196,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, budget: int = 512, id_col
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
                 )
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = bounded_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     return picked.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
@@ -213,7 +214,7 @@ def prefix_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 rows = [tool.prefixes(x or "").astype(np.int32) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "prefix_tokens"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = bounded_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     return picked.mapInArrow(run, f"doc_id {id_type}, prefix_tokens array<int>")
 
 
