@@ -40,8 +40,8 @@ def error_coverage(piled: DataFrame, *keys: str) -> DataFrame:
 def indexed_quantile(values: DataFrame, column: str, numerator: int, denominator: int, *keys: str) -> DataFrame:
     """The element at floor(n * numerator / denominator), counted from 0, of the sorted values of each group."""
     order = Window.partitionBy(*keys).orderBy(column)
-    ranked = values.select(*keys, column, F.row_number().over(order).alias("rn"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    return ranked.where(F.col("rn") - 1 == F.floor(F.col("n") * numerator / denominator)).select(*keys, column)
+    ranked = values.select(*keys, column, F.row_number().over(order).alias("rn"), F.count("*").over(Window.partitionBy(*keys)).alias("rows_"))
+    return ranked.where(F.col("rn") - 1 == F.floor(F.col("rows_") * numerator / denominator)).select(*keys, column)
 
 
 def remove_monomorphic(obs: DataFrame, epsilon: float) -> DataFrame:

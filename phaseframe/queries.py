@@ -319,7 +319,7 @@ def remove_monomorphic(s, d):
     return P.remove_monomorphic(_l(s, d), 0.9).select("contig", "frag_id", "site", "allele")
 
 
-@query(_EP + "SELECT contig, part, site, round(sum(weight), 6) AS weight FROM pobs WHERE allele = 1 AND frag_id % 2 = 0 GROUP BY ALL")
+@query(_EP + "SELECT contig, part, site, round(sum(weight), 6) AS weight FROM pobs WHERE allele = 1 AND frag_id % 2 = 0 GROUP BY ALL HAVING sum(weight) > 1e-9")
 def pileup_delta(s, d):
     obs = _ep(s, d).where("allele = 1")
     keys = ("contig", "part")
@@ -381,7 +381,7 @@ def coverage_concordance(s, d):
     return rows.select("x", "y", F.round(X.coverage_distance(F.col("x"), F.col("y")), 6).alias("dist"))
 
 
-@query("SELECT n_nationkey, reverse(translate(translate(upper(n_name), 'ACGT', '1234'), '1234', 'TGCA')) AS rc FROM nation")
+@query("SELECT n_nationkey, reverse(translate(upper(n_name), 'ACGT', 'TGCA')) AS rc FROM nation")
 def revcomp(s, d):
     return B.read(s, d, "nation").select("n_nationkey", X.reverse_complement(F.upper("n_name")).alias("rc"))
 
