@@ -193,5 +193,5 @@ def _exact(members: DataFrame, queries: DataFrame, k: int, dtype: str, block: in
                     top = top[np.isfinite(score[top])]
                     yield pd.DataFrame({"query_id": query["query_id"], "vec_id": ids[top], "score": score[top]})
 
-    pairs = members.select("id", "raw", F.explode(F.sequence(F.lit(0), F.lit(queries.count() // block))).cast("long").alias("block")).join(packed, "block")
+    pairs = members.select("id", "raw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(queries.count() // block).cast("long"))).alias("block")).join(packed, "block")
     return _best(pairs.mapInPandas(run, "query_id long, vec_id long, score double"), k)
