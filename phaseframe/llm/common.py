@@ -23,9 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def files_for(df: DataFrame, rows: int, rows_a_file: int = 20_000) -> int:
+    """Files for a table of about so many rows: enough for all cores and for tables of any size, no more."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // rows_a_file)
+
+
+def materialize(df: DataFrame, most_files: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    if most_files is not None:
+        df = df.coalesce(most_files)
     path = f"{shared_dir(spark)}/phaseframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -31,13 +31,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_files: int | None = None) -> DataFrame:
     """node, component (its smallest node) for all nodes of edges(u, v); u < v is not required.
 
     Stars shrink every component to a star around its smallest node in a logarithmic number of rounds; each
     round is two aggregations with partial sums and two joins that adaptive execution may split.
     """
-    now = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    now = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), most_files)
     mark = _mark(now)
     while True:
         # a file for each ROWS_A_FILE edges: few edges shouldn't be spread over as many files as there are partitions

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import bounded_batches, materialize
+from phaseframe.llm.common import bounded_batches, files_for, materialize
 from phaseframe.llm.components import components
 
 K = 64
@@ -46,7 +46,7 @@ COUNTERS = 1 << 17
 #: Members beyond which a posting list's pairs are screened by their shingles before they are made.
 LARGE = 64
 #: Parts of the hash range in which shared shingles are counted for that.
-PARTS = 64
+PARTS = 32
 
 _SEEDS = textscan.mix(np.arange(1, 2 * K + 1, dtype=np.uint64))
 _ADD, _TIMES = _SEEDS[:K, None], _SEEDS[K:, None] | np.uint64(1)
@@ -208,11 +208,11 @@ def _screened(sets: DataFrame) -> DataFrame:
     return table.select("id", "n", "met", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0))).alias("parts"))
 
 
-def _across(shared: DataFrame, labels: DataFrame, screened: DataFrame, percent: int) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, screened: DataFrame, percent: int, files: int) -> DataFrame:
     """All pairs of a list that stand in different components and could be similar enough."""
     placed = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "key", "large", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    placed = materialize(placed.join(mixed, "key"))
+    placed = materialize(placed.join(mixed, "key"), files)
     small = placed.where("not large")
     x = small.select("key", "id", F.col("component").alias("c"))
     y = small.select("key", F.col("id").alias("other"), F.col("component").alias("d"))
@@ -221,9 +221,8 @@ def _across(shared: DataFrame, labels: DataFrame, screened: DataFrame, percent:
     rows = placed.where("large").join(screened.where(f"100 * met >= {percent} * n"), "id")
     x = rows.select("key", "id", F.col("component").alias("c"), F.col("n").alias("n_x"), F.col("met").alias("m_x"), F.col("parts").alias("p_x"))
     y = rows.select("key", F.col("id").alias("other"), F.col("component").alias("d"), F.col("n").alias("n_y"), F.col("met").alias("m_y"), F.col("parts").alias("p_y"))
-    bound = f"100 * least(m_x, m_y) >= {percent} * (n_x + n_y - least(m_x, m_y))"
-    both = "aggregate(zip_with(p_x, p_y, (u, v) -> least(u, v)), 0, (s, u) -> s + u)"
-    finer = f"100 * {both} >= {percent} * (n_x + n_y - {both})"
+    bound = f"{100 + percent} * least(m_x, m_y) >= {percent} * (n_x + n_y)"
+    finer = f"{100 + percent} * aggregate(zip_with(p_x, p_y, (u, v) -> least(u, v)), 0, (s, u) -> s + u) >= {percent} * (n_x + n_y)"
     return pairs.union(x.join(y, "key").where(f"c < d and {bound} and {finer}").select(*_ordered("id", "other"))).distinct()
 
 
@@ -232,24 +231,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     percent = round(100 * similarity)
     picked = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scanned = materialize(_scan(picked, shingle))
+    files = files_for(docs, scanned.count())
     known = scanned.where("digest is not null and id is not null")
-    classes = materialize(known.groupBy("digest").agg(F.min("id").alias("rep")))
+    classes = materialize(known.groupBy("digest").agg(F.min("id").alias("rep")), files)
     reps = known.join(classes.select(F.col("rep").alias("id"), F.col("digest").alias("of")), "id").where("digest = of").select("id", "n", "sig").dropDuplicates(["id"])
-    reps = materialize(reps)
-    postings = materialize(_postings(reps, _frequencies(reps), threshold))
+    reps = materialize(reps, files)
+    postings = materialize(_postings(reps, _frequencies(reps), threshold), files)
     lists = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > LARGE).alias("large"))
-    shared = materialize(postings.join(lists, "key").select("key", "id", "large"))
-    stars = materialize(_alike(_stars(shared), reps, threshold, percent))
+    shared = materialize(postings.join(lists, "key").select("key", "id", "large"), files)
+    stars = materialize(_alike(_stars(shared), reps, threshold, percent), files)
     in_large = shared.where("large").select("id").distinct()
     needed = stars.select(F.explode(F.array("a", "b")).alias("id")).union(in_large).distinct()
-    sets = materialize(_sets(picked.join(needed, "id", "left_semi"), shingle))
-    links = materialize(_confirmed(stars, sets, percent))
-    first = components(links)
-    screened = materialize(_screened(sets.join(in_large, "id", "left_semi")))
-    rest = materialize(_alike(_across(shared, first, screened, percent), reps, threshold, percent).join(stars, ["a", "b"], "left_anti"))
+    sets = materialize(_sets(picked.join(needed, "id", "left_semi"), shingle), files)
+    links = materialize(_confirmed(stars, sets, percent), files)
+    first = components(links, files)
+    screened = materialize(_screened(sets.join(in_large, "id", "left_semi")), files)
+    rest = materialize(_alike(_across(shared, first, screened, percent, files), reps, threshold, percent).join(stars, ["a", "b"], "left_anti"), files)
     more_ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    more = materialize(_confirmed(rest, _sets(picked.join(more_ids, "id", "left_semi"), shingle), percent))
-    label = first if more.isEmpty() else components(links.union(more))
+    more = materialize(_confirmed(rest, _sets(picked.join(more_ids, "id", "left_semi"), shingle), percent), files)
+    label = first if more.isEmpty() else components(links.union(more), files)
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = scanned.join(named, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
