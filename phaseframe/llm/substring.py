@@ -188,7 +188,7 @@ def repeated_places(docs: DataFrame, window: int) -> DataFrame:
     state = F.when(F.col("context").isNull() | (F.col("id") > F.col("least")), 0).when(F.col("one") != F.col("two"), 1)
     rows = materialize(seen.withColumn("state", state).where("state is not null").select("state", "id", "place"))
     open_docs = docs.join(_by_document(rows.where("state = 1")), ["id", "tag"])
-    windows = materialize(_windows(open_docs, window).distinct())
+    windows = materialize(_windows(open_docs, window))
     least = windows.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("hash", "least")
     found = windows.join(least, "hash").where("id > least").select("id", "place")
     return _by_document(rows.where("state = 0").select("id", "place").union(found))
