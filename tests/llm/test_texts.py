@@ -91,11 +91,9 @@ def shingles(t, size):
     return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates(table):
-    from phaseframe.llm.minhash import first_of_groups, near_duplicates
-
-    rows = rows_of(table)
-    sets = [(i, shingles(t, 4)) for i, t in rows]
+def smallest_of_groups(rows, size=4):
+    """Smallest id reachable over pairs with 100 * common >= 80 * all, by all pairs."""
+    sets = [(i, shingles(t, size)) for i, t in rows]
     parent = {i: i for i, _ in sets if i is not None}
 
     def root(x):
@@ -108,21 +106,27 @@ def test_near_duplicates(table):
             if i is not None and j is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
+    return {i: root(i) for i in parent}
+
+
+def test_near_duplicates(table):
+    from phaseframe.llm.minhash import near_duplicates
+
+    rows = rows_of(table)
+    roots = smallest_of_groups(rows)
     found = near_duplicates(table, 4, 0.8).collect()
     assert len(found) == len(rows)
     for r in found:
         if r["doc_id"] is not None:
-            assert r["component_id"] == root(r["doc_id"]) and r["kept"] == (r["doc_id"] == root(r["doc_id"]))
-            assert r["n_shingles"] in {len(s) for i, s in sets if i == r["doc_id"]}
+            assert r["component_id"] == roots[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
+            assert r["n_shingles"] in {len(shingles(t, 4)) for i, t in rows if i == r["doc_id"]}
         else:
-            assert r["kept"]
-    kept = first_of_groups(table, 4, 0.8)
-    assert kept.columns == table.columns and kept.where("doc_id is not null").count() == sum(root(i) == i for i, _ in rows if i is not None)
+            assert r["kept"] and r["component_id"] is None
     assert near_duplicates(table.limit(0)).count() == 0
 
 
 def test_large_group_of_near_copies(spark):
-    from phaseframe.llm.minhash import near_duplicates
+    from phaseframe.llm.minhash import first_of_groups
 
     rng = random.Random(5)
     base = [f"w{k}" for k in range(120)]
@@ -132,8 +136,10 @@ def test_large_group_of_near_copies(spark):
         for _ in range(rng.randint(0, 6)):
             w[rng.randrange(120)] = f"x{i}_{rng.random()}"
         rows.append((i, " ".join(w)))
-    test_near_duplicates(docs(spark, rows))
-    assert near_duplicates(docs(spark, rows), 4).count() == 150
+    left = first_of_groups(docs(spark, rows), 4, 0.8)
+    roots = smallest_of_groups(rows)
+    assert left.columns == docs(spark, rows).columns
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(roots.values()))
 
 
 def removed(rows, window=13):
@@ -175,7 +181,7 @@ def test_decontamination(spark, table):
     unlike = same.replace("for 9", "for 4")
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "", "x"), (4, "two words", "x"), (5, " ".join(words[30:34]), "x")], "item_id long, text string, doc_id string")
     filler = " ".join(words[50:])
-    rows = [(1, f"{filler}. {item} {filler}"), (2, f"{filler}. {same.upper().lower() if False else same}"), (3, f"{filler}. {unlike[:66]}"), (4, filler), (5, None), (6, ""), (7, f"zz {' '.join(words[30:34])} yy"), (None, item), (1, filler)]
+    rows = [(1, f"{filler}. {item} {filler}"), (2, f"{filler}. {same}"), (3, f"{filler}. {unlike[:66]}"), (4, filler), (5, None), (6, ""), (7, f"zz {' '.join(words[30:34])} yy"), (None, item), (1, filler)]
     found = {(r["doc_id"], r["item_id"]): r["exact"] for r in leaks(docs(spark, rows), bench).collect()}
     assert found == {(1, 1): True, (2, 1): False, (7, 5): True}
     left = clean(docs(spark, rows), bench)
@@ -247,4 +253,5 @@ def test_lm_scores(spark):
     by = {r["doc_id"]: r for r in found}
     assert by[0]["mean_log_likelihood"] > by[500]["mean_log_likelihood"] + 0.2
     assert by[501]["n_words"] == 0 and by[502]["log_likelihood"] == 0 and by[501]["mean_log_likelihood"] is None
-    assert len({r["log_likelihood"] for r in found if r["doc_id"] == 0}) == 1 and score(docs(spark, rows).limit(0)).count() == 0
+    twice = [r["log_likelihood"] for r in found if r["doc_id"] == 0]  # single precision, in different batches
+    assert twice[0] == pytest.approx(twice[1], rel=1e-6) and score(docs(spark, rows).limit(0)).count() == 0
