@@ -558,10 +558,10 @@ def part_overlaps(s, d):
     return _r(PT.part_overlaps(PT.part_ranges(_ep(s, d))), "overlap")
 
 
-@query(_with(OBS_E, FRAGS, PART_W, RANGES) + "SELECT f.contig, f.frag_id FROM frags f WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.contig = f.contig AND r.part % 3 = 0 AND f.first_base <= r.r_base AND r.l_base <= f.last_base)")
+@query(_with(OBS_E, FRAGS, PART_W, RANGES) + "SELECT f.contig, f.frag_id FROM frags f WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.contig = f.contig AND r.part % 2 = 0 AND f.first_base <= r.r_base AND r.l_base <= f.last_base)")
 def gap_reads(s, d):
     obs = _ep(s, d)
-    ranges = PT.part_ranges(obs).where("part % 3 = 0").select("contig", "l_base", "r_base")
+    ranges = PT.part_ranges(obs).where("part % 2 = 0").select("contig", "l_base", "r_base")
     return I.overlap_anti(B.frags_of(obs), ranges, ("first_base", "last_base"), ("l_base", "r_base"), ["contig"], ["frag_id"], 4096).select("contig", "frag_id")
 
 
