@@ -2,9 +2,11 @@
 
 Each table turns unit vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard
 transform) and hashes them to the nearest signed axis; further rotations, the last over fewer axes, follow
-until a table has about rows ** 0.6 buckets, so candidates for a query grow far slower than the index. A query looks into the `probes` buckets of each table that its rotated vector is nearest to. All rows
-are indexed; nothing is sampled or capped. Candidates are reranked by the exact cosine of the original
-vectors in double precision.
+until a table has about rows ** 0.6 buckets. A query looks into the `probes` buckets of each table that its
+rotated vector is nearest to. How many those must be depends on the rows: the true neighbours of SAMPLE
+queries are found by comparing them with every row, and probes are raised until the buckets hold RECALL of
+them. All rows are indexed, and every query is answered; only the queries that probes are chosen by are a
+sample. Candidates are reranked by the exact cosine of the original vectors in double precision.
 
 Equal vectors would fill one bucket: rows with one direction form a class, candidates are classes, and a
 class gives its smallest ids (k + 1 of them are enough for an exact top k with ties to smaller ids).
@@ -18,6 +20,7 @@ candidate, once for each different vector; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,11 @@ from pyspark.sql import functions as F
 from phaseframe.llm.common import materialize
 
 TABLES = 14
+#: The least number of probes.
 PROBES = 14
+#: Share of true neighbours that the buckets must hold (0.9 is wanted, the rest is for the sample's error), and queries that it is measured by.
+RECALL = 0.92
+SAMPLE = 200
 #: A bucket holds about the number of rows to this power.
 FILL = 0.4
 _SALTS = 64
@@ -102,6 +109,59 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame
     return fine.where(F.size("vec") == (width["w"] if width else 0)).mapInArrow(run, "id long, raw binary").distinct(), dtype
 
 
+def needed_probes(hashes: Hashes, queries: np.ndarray, neighbours: np.ndarray, owner: np.ndarray, least: int) -> tuple[int, float]:
+    """Probes, `least` or more, whose buckets hold RECALL of the unit vectors `neighbours` of queries[owner], and their recall."""
+    most = int(np.prod([2 * a for a in hashes.axes]))
+    probes = least
+    while len(owner):
+        rank = np.full(len(owner), most)
+        for t in range(len(hashes.signs)):
+            own = hashes.buckets(neighbours, t, 1)[:, 0]
+            step = max(1, 4_000_000 // probes**2)
+            asked = np.concatenate([hashes.buckets(queries[q : q + step], t, probes) for q in range(0, len(queries), step)])
+            for of in np.array_split(np.arange(len(owner)), 1 + len(owner) * probes // 4_000_000):
+                found = asked[owner[of]] == own[of][:, None]
+                rank[of] = np.where(found.any(1), np.minimum(rank[of], found.argmax(1)), rank[of])
+        recall = float((rank < probes).mean())
+        if recall >= RECALL:
+            enough = max(least, int(np.sort(rank)[int(np.ceil(RECALL * len(rank))) - 1]) + 1)
+            return enough, float((rank < enough).mean())
+        if probes >= most:
+            return probes, recall
+        probes = min(2 * probes, most)
+    return probes, 1.0
+
+
+def _measured_probes(members: DataFrame, ask: DataFrame, hashes: Hashes, k: int, least: int, dtype: str) -> int:
+    """needed_probes by the k true neighbours of SAMPLE queries, each compared with every row."""
+    asked = ask.orderBy(F.xxhash64("query_id"), "query_id", "q").limit(SAMPLE).collect()
+    if not asked:
+        return least
+    queries = _units(_matrix([r["q"] for r in asked], dtype))
+    shared = members.sparkSession.sparkContext.broadcast((queries, [r["query_id"] for r in asked]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, names = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            score = own @ _units(_matrix(batch.column("raw").to_pylist(), dtype)).T
+            score[np.array(names)[:, None] == ids[None, :]] = -np.inf
+            top = np.argsort(-score, 1, kind="stable")[:, :k]
+            at, best = np.repeat(np.arange(len(own)), top.shape[1]), top.ravel()
+            fine = np.isfinite(score[at, best])
+            at, best = at[fine], best[fine]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids[best]), pa.array(score[at, best]), batch.column("raw").take(pa.array(best))], names=["query_id", "vec_id", "score", "raw"])
+
+    near = members.select("id", "raw").mapInArrow(run, "query_id long, vec_id long, score double, raw binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("query_id", "raw").collect()
+    if not found:
+        return least
+    return needed_probes(hashes, queries, _units(_matrix([r["raw"] for r in found], dtype)), np.array([r["query_id"] for r in found]), least)[0]
+
+
 def _posted(vectors: DataFrame, hashes: Hashes, probes: int, dtype: str) -> DataFrame:
     """id, place (table and bucket)."""
     shared = vectors.sparkSession.sparkContext.broadcast(hashes)
@@ -111,11 +171,11 @@ def _posted(vectors: DataFrame, hashes: Hashes, probes: int, dtype: str) -> Data
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("raw").to_pylist(), dtype)
-            x = x / np.abs(x).max(1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for t in range(len(tool.signs)):
+            every = _units(_matrix(batch.column("raw").to_pylist(), dtype))
+            all_ids = batch.column("id").to_numpy(zero_copy_only=False)
+            step = max(1, 4_000_000 // probes**2)
+            for t, k in itertools.product(range(len(tool.signs)), range(0, len(every), step)):
+                x, ids = every[k : k + step], all_ids[k : k + step]
                 found = tool.buckets(x, t, probes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.shape[1])), pa.array((found * len(tool.signs) + t).ravel())], names=["id", "place"])
 
@@ -127,6 +187,11 @@ def _matrix(raw: list[bytes], dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1).astype(np.float64)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def cosine(x: str, y: str, dtype: str):
     @F.pandas_udf("double")
     def found(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -145,7 +210,7 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, modulus: int = 50, k: int = 5, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by modulus, itself left out."""
+    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by modulus, itself left out; probes is the least number."""
     usable, dtype = _usable(vectors, id_col, vector_col)
     rows = materialize(usable)
     # classes of equal vectors, by their smallest id, and the k + 1 smallest ids of each
@@ -155,10 +220,11 @@ def search(vectors: DataFrame, modulus: int = 50, k: int = 5, tables: int = TABL
     classes = members.groupBy("class").agg(F.first("raw").alias("raw")).withColumnRenamed("class", "id")
     hashes = Hashes(_width(rows, dtype), classes.count(), tables)
     queries = rows.where(F.col("id") % modulus == 0)
+    ask = queries.select(F.col("id").alias("query_id"), F.col("raw").alias("q"))
+    probes = _measured_probes(members, ask, hashes, k, probes, dtype)
     asked = _posted(queries, hashes, probes, dtype).distinct()
     posted = _posted(classes, hashes, 1, dtype)
     met = asked.withColumnRenamed("id", "query_id").join(posted.withColumnRenamed("id", "class"), "place").select("query_id", "class").distinct()
-    ask = queries.select(F.col("id").alias("query_id"), F.col("raw").alias("q"))
     candidates = met.join(members, "class").where("query_id <> id").select("query_id", F.col("id").alias("vec_id"), "raw")
     scored = candidates.join(ask, "query_id").withColumn("score", cosine("q", "raw", dtype))
     best = materialize(_best(scored.select("query_id", "vec_id", "score"), k))

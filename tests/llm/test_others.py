@@ -70,6 +70,19 @@ def test_neighbours(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in search(few).collect()} == {(q, k + 1, j) for q, v in exact([x for x in vectors if x[0] in (0, 1, 50)], 50, 5).items() for k, (j, _) in enumerate(v)}
 
 
+def test_neighbours_with_too_few_probes(spark):
+    from phaseframe.llm.ann import search
+
+    x = np.random.default_rng(2).normal(size=(3000, 64)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    score = unit[::50] @ unit.T
+    score[np.arange(60), np.arange(0, 3000, 50)] = -2
+    true = {(50 * q, int(j)) for q, row in enumerate(score) for j in np.argsort(-row)[:5]}
+    found = {(r["query_id"], r["vec_id"]) for r in search(frame, tables=3, probes=2).collect()}
+    assert len(found) == 300 and len(found & true) >= 0.9 * 300
+
+
 def test_components(spark):
     from phaseframe.llm.components import components
 
