@@ -5,9 +5,10 @@ the sum of these conditional log-probabilities.
 
 1. Words are counted over all documents; the most frequent make the vocabulary, all others fall into
    classes by length and capital letter. Counts give the output biases.
-2. Each round, every task trains a copy of the network on its own documents, one window in `stride` of every
-   text, and gives its weights as rows; their mean, weighted by windows, is the next network. So what is
-   learnt from covers all documents, and what is shuffled grows with them; the driver gets one network.
+2. Each round, every task trains a copy of the network on its own documents and gives its weights as rows;
+   their mean, weighted by windows, is the next network. Every word is a target in every round. With a
+   `stride` above 1 a round takes one word in so many, other ones each round, and one or more of each text.
+   What is shuffled grows with the documents; the driver gets one network.
 3. All documents are scored in one narrow pass. The output layer has two levels (group, word in the group).
 
 Defined results: null or wordless texts have 0 words and score 0, mean null; words beyond a text's ends are
@@ -91,7 +92,8 @@ class Network:
         """One step of Adagrad on a batch."""
         h = self.hidden(context)
         group, place = words // PER_GROUP, words % PER_GROUP
-        grads = [np.zeros_like(w) for w in self.weights]
+        grads = [np.zeros_like(w) for w in self.weights[1:]]
+        grads.insert(0, np.zeros(0))  # by rows, below
         p = _softmax(h @ self.weights[2] + self.weights[3])
         p[np.arange(len(words)), group] -= 1
         grads[2], grads[3] = h.T @ p, p.sum(0)
@@ -105,8 +107,13 @@ class Network:
         back *= 1 - h * h
         grads[1] = back.sum(0)
         for j in range(2 * SIDE):
-            np.add.at(grads[0][j], context[:, j], back)
-        for w, g, s in zip(self.weights, grads, squares, strict=True):
+            # only rows of words that occur here: the others have no gradient, and a step leaves them as they are
+            order = np.argsort(context[:, j], kind="stable")
+            rows, starts = np.unique(context[order, j], return_index=True)
+            g = np.add.reduceat(back[order], starts, axis=0) / np.float32(len(words))
+            squares[0][j][rows] += g * g
+            self.weights[0][j][rows] -= rate * g / (np.sqrt(squares[0][j][rows]) + 1e-6)
+        for w, g, s in zip(self.weights[1:], grads[1:], squares[1:], strict=True):
             g /= len(words)
             s += g * g
             w -= rate * g / (np.sqrt(s) + 1e-6)
@@ -144,7 +151,7 @@ def _counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _round(texts: DataFrame, words: Words, network: Network, stride: int, rate: float) -> Network:
+def _round(texts: DataFrame, words: Words, network: Network, number: int, stride: int, rate: float) -> Network:
     shared = texts.sparkSession.sparkContext.broadcast((words, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +165,9 @@ def _round(texts: DataFrame, words: Words, network: Network, stride: int, rate:
                 numbers = known.of(found)
                 text = np.repeat(np.arange(len(found.bounds) - 1), found.counts)
                 place = np.arange(len(numbers)) - found.bounds[:-1][text]
-                # every text gives windows; which ones, its length decides
-                at = np.flatnonzero((place + found.counts[text]) % stride == 0)
+                # a stride moves on by a word each round; every text gives one window or more
+                n = found.counts[text]
+                at = np.flatnonzero(((place + n + number) % stride == 0) | (place == number % n))
                 for k in range(0, len(at), BATCH):
                     pick = at[k : k + BATCH]
                     own.learn(_contexts(numbers, found.bounds, pick, text[pick]), numbers[pick], squares, rate)
@@ -177,7 +185,7 @@ def _round(texts: DataFrame, words: Words, network: Network, stride: int, rate:
     return Network([p.reshape(s).astype(np.float32) for p, s in zip(parts, _sizes(), strict=True)])
 
 
-def train(texts: DataFrame, rounds: int = 2, stride: int = 16, rate: float = 0.1) -> tuple[Words, Network]:
+def train(texts: DataFrame, rounds: int = 2, stride: int = 1, rate: float = 0.1) -> tuple[Words, Network]:
     counts = _counts(texts)
     top = counts.orderBy(F.desc("n"), "hash").limit(VOCABULARY - CLASSES).toPandas()
     words = Words(top["hash"].to_numpy(np.int64).astype(np.uint64))
@@ -185,12 +193,12 @@ def train(texts: DataFrame, rounds: int = 2, stride: int = 16, rate: float = 0.1
     known[: len(top)] = top["n"].to_numpy()
     known[VOCABULARY - CLASSES :] = max(1.0, float(known[: len(top)].min(initial=1.0)))
     network = Network.fresh(known)
-    for _ in range(rounds):
-        network = _round(texts, words, network, stride, rate)
+    for number in range(rounds):
+        network = _round(texts, words, network, number, stride, rate)
     return words, network
 
 
-def score(docs: DataFrame, rounds: int = 2, stride: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, rounds: int = 2, stride: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_likelihood, mean_log_likelihood for each document."""
     texts = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(train(texts, rounds, stride))

@@ -255,3 +255,15 @@ def test_lm_scores(spark):
     assert by[501]["n_words"] == 0 and by[502]["log_likelihood"] == 0 and by[501]["mean_log_likelihood"] is None
     twice = [r["log_likelihood"] for r in found if r["doc_id"] == 0]  # single precision, in different batches
     assert twice[0] == pytest.approx(twice[1], rel=1e-6) and score(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_lm_learns_from_short_texts(spark):
+    from phaseframe.llm.lm_score import score
+
+    rng = random.Random(6)
+    pairs = [("red", "fox"), ("old", "cat"), ("big", "dog"), ("shy", "owl")]
+    rows = [(i, " ".join(w for _ in range(rng.randint(1, 4)) for w in pairs[i % 4])) for i in range(4000)]
+    rows += [(i, pairs[i % 4][0]) for i in range(4000, 4100)]
+    rows += [(9000, "red fox"), (9001, "red dog")]
+    by = {r["doc_id"]: r["mean_log_likelihood"] for r in score(docs(spark, rows)).where("doc_id >= 9000").collect()}
+    assert by[9000] > by[9001] + 0.2
