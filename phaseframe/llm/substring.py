@@ -73,17 +73,17 @@ class Seeds:
             self.text = self.low = self.high = np.zeros(0, np.int64)
 
 
-#: Places are packed: first window, number of windows beyond it, and 12 bits of the text's hash, which tell
-#: rows with one id apart.
-_TAG = "id long, place long"
+#: The tag is the text's 64-bit hash, which tells rows with one id (or none) apart. Places are packed: first
+#: window and number of windows beyond it.
+_TAG = "id long, tag long, place long"
 
 
-def _pack(low: np.ndarray, more: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    return (low.astype(np.int64) << 20) | (more.astype(np.int64) << 12) | tag
+def _pack(low: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return (low.astype(np.int64) << 8) | more.astype(np.int64)
 
 
 def _seed_rows(docs: DataFrame, window: int) -> DataFrame:
-    """gram, context, id, place of every anchor; context is null for those that a smaller id of the batch settles."""
+    """gram, context, id, tag, place of every anchor; context is null for those that a smaller id of the batch settles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,15 +100,15 @@ def _seed_rows(docs: DataFrame, window: int) -> DataFrame:
                 # settled rows need no company: a key of their own spreads them
                 key = np.where(settled, textscan.mix(seeds.gram + ids.astype(np.uint64)), seeds.gram).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(seeds.context.astype(np.int64), mask=settled), pa.array(ids), pa.array(_pack(low, seeds.high - seeds.low, tags))],
-                    names=["gram", "context", "id", "place"],
+                    [pa.array(key), pa.array(seeds.context.astype(np.int64), mask=settled), pa.array(ids), pa.array(tags), pa.array(_pack(low, seeds.high - seeds.low))],
+                    names=["gram", "context", "id", "tag", "place"],
                 )
 
     return docs.mapInArrow(run, f"gram long, context long, {_TAG}")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """hash, id, place of each window that docs.places name."""
+    """hash, id, tag, place of each window that docs.places name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,23 +118,23 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 lists = part.column("places")
                 sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
                 places = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-                more = (places >> 12) & 0xFF
+                more = places & 0xFF
                 owner = np.repeat(np.repeat(np.arange(part.num_rows), sizes), more + 1)
                 ahead = np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                start = np.repeat(places >> 20, more + 1) + ahead
+                start = np.repeat(places >> 8, more + 1) + ahead
                 ids, tags = (part.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("id", "tag"))
                 hashes = grams[np.minimum(words.bounds[:-1][owner] + start, max(len(grams) - 1, 0))].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids), pa.array(_pack(start, np.zeros(len(start)), tags))], names=["hash", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids), pa.array(tags), pa.array(_pack(start, np.zeros(len(start))))], names=["hash", "id", "tag", "place"])
 
     return docs.mapInArrow(run, f"hash long, {_TAG}")
 
 
 def _covered(words: int, places: np.ndarray, window: int) -> np.ndarray:
     """Which of a text's words windows at packed places cover: maximal repeats, as a mask."""
-    low = np.minimum(places >> 20, words)
+    low = np.minimum(places >> 8, words)
     change = np.zeros(words + 1, np.int64)
     np.add.at(change, low, 1)
-    np.add.at(change, np.minimum(low + ((places >> 12) & 0xFF) + window, words), -1)
+    np.add.at(change, np.minimum(low + (places & 0xFF) + window, words), -1)
     return np.cumsum(change)[:words] > 0
 
 
@@ -173,12 +173,12 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
 
 def _by_document(places: DataFrame) -> DataFrame:
     """Packed places of a document as one list; it is no longer than the document."""
-    return places.groupBy("id", (F.col("place").bitwiseAND(4095)).alias("tag")).agg(F.collect_list("place").alias("places"))
+    return places.groupBy("id", "tag").agg(F.collect_list("place").alias("places"))
 
 
 def _tagged(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
     """id (null last), tag, text and others; white space and case stay as they are."""
-    return bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).bitwiseAND(4095).alias("tag"), F.col(text_col).alias("text"), *others)
+    return bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"), *others)
 
 
 def repeated_places(docs: DataFrame, window: int) -> DataFrame:
@@ -186,12 +186,12 @@ def repeated_places(docs: DataFrame, window: int) -> DataFrame:
     by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context")
     seen = _seed_rows(docs, window).withColumns({"least": F.min("id").over(by_context), "one": F.min("context").over(by_gram), "two": F.max("context").over(by_gram)})
     state = F.when(F.col("context").isNull() | (F.col("id") > F.col("least")), 0).when(F.col("one") != F.col("two"), 1)
-    rows = materialize(seen.withColumn("state", state).where("state is not null").select("state", "id", "place"))
+    rows = materialize(seen.withColumn("state", state).where("state is not null").select("state", "id", "tag", "place"))
     open_docs = docs.join(_by_document(rows.where("state = 1")), ["id", "tag"])
     windows = materialize(_windows(open_docs, window))
     least = windows.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("hash", "least")
-    found = windows.join(least, "hash").where("id > least").select("id", "place")
-    return _by_document(rows.where("state = 0").select("id", "place").union(found))
+    found = windows.join(least, "hash").where("id > least").select("id", "tag", "place")
+    return _by_document(rows.where("state = 0").select("id", "tag", "place").union(found))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
