@@ -2,10 +2,13 @@
 
 Texts become sequences of template words: lower-cased words without punctuation, with numbers, units after
 numbers, and names (capitalised inside a sentence) replaced by typed placeholders, whose values are kept as
-slots. Windows of `window` template words are hash-joined between documents and benchmark items. Windows of
-one alignment must agree on a one-to-one mapping between the item's slot values and the document's, so a
-question asked with other numbers is caught, and chance meetings of placeholders are not. A document leaks an
-item if the windows of its consistent alignments cover at least `coverage` of the item's words.
+slots. Windows of `window` template words are hash-joined between documents and benchmark items; windows with
+fewer than two plain words (of numbers and names almost alone) are joined by their own words instead. Windows
+of one alignment must agree on what each of the item's slot values has become in the document, so a question
+asked with other numbers is caught, and chance meetings of placeholders are not: where they disagree, the
+largest part of them that agrees counts and the others do not. Two of the item's values may have become one in
+windows of which half or more are plain words, not in others. A document leaks an item if the windows that
+count cover at least `coverage` of the item's words.
 
 The benchmark's window hashes go to every task only while there are at most MAX_WINDOWS of them; beyond
 that all windows of documents take part in the join.
@@ -18,9 +21,13 @@ result; only the named columns take part.
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +52,7 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:\n")] = True
-_NUMBER, _UNIT, _NAME = (textscan.mix(np.array([k], np.uint64))[0] for k in (11, 12, 13))
+_NUMBER, _UNIT, _NAME, _WORDS = (textscan.mix(np.array([k], np.uint64))[0] for k in (11, 12, 13, 14))
 _TYPES = "?#%@"
 
 
@@ -65,6 +72,7 @@ class Templates:
         n = len(data)
         if not n:
             self.hashes, self.kinds = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+            self.literal = self.hashes
             self.starts = self.ends = np.zeros(0, np.int64)
             self.bounds = np.zeros(len(offsets), np.int64)
             self.low = data
@@ -86,7 +94,7 @@ class Templates:
         self.low = np.where(accented, data + 32, textscan.lower_ascii(data)).astype(np.uint8)
         upper = (data >= 65) & (data <= 90)
         capital = upper | ((data == 0xC3) & (ahead >= 0x80) & (ahead <= 0x9E))
-        self.hashes = textscan.span_hashes(self.low, self.starts, self.ends)
+        self.hashes = self.literal = textscan.span_hashes(self.low, self.starts, self.ends)
         opens = np.zeros(len(self.starts), bool)
         opens[self.bounds[:-1][self.bounds[:-1] < len(opens)]] = True
         stops = np.append(0, np.cumsum(_STOP[data]))
@@ -105,13 +113,22 @@ class Templates:
         out[self.bounds[:-1][self.bounds[:-1] < len(out)]] = True
         return out
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, first word and text of each window with at least two plain words."""
+    def windows(self, size: int, item: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first word and text of each window, and whether the hash is of the words themselves.
+
+        It is where fewer than two words are plain. A document has such a hash of every window, as the place
+        in its sentence decides whether a word is a name.
+        """
         start, text = textscan.run_starts(self.bounds, size)
         plain = np.append(0, np.cumsum(self.kinds == 0))
         keep = plain[start + size] - plain[start] >= min(2, size)
-        start, text = start[keep], text[keep]
-        return textscan.run_hashes(self.hashes, size)[start] if len(start) else self.hashes[:0], start, text
+        if not len(start):
+            return self.hashes[:0], start, text, keep
+        by_words = ~keep if item else np.ones(len(start), bool)
+        templates = textscan.run_hashes(self.hashes, size)[start[keep]]
+        words = textscan.mix(textscan.run_hashes(self.literal, size)[start[by_words]] ^ _WORDS)
+        literal = np.repeat([False, True], [len(templates), len(words)])
+        return np.append(templates, words), np.append(start[keep], start[by_words]), np.append(text[keep], text[by_words]), literal
 
     def slots(self, start: int, size: int) -> list[str]:
         """Type and value of each placeholder of a window, with its place."""
@@ -133,17 +150,17 @@ def _window_rows(texts: DataFrame, window: int, sizes: list[int], among: np.ndar
                 keys = part.column("key").to_numpy(zero_copy_only=False)
                 counts = np.diff(made.bounds)
                 for size in sizes:
-                    hashes, start, text = made.windows(size)
+                    hashes, start, text, literal = made.windows(size, short)
                     if short and size < window:
                         keep = counts[text] == size
-                        hashes, start, text = hashes[keep], start[keep], text[keep]
+                        hashes, start, text, literal = hashes[keep], start[keep], text[keep], literal[keep]
                     if shared is not None and len(shared.value):
                         at = np.minimum(np.searchsorted(shared.value, hashes), len(shared.value) - 1)
                         keep = shared.value[at] == hashes
-                        hashes, start, text = hashes[keep], start[keep], text[keep]
+                        hashes, start, text, literal = hashes[keep], start[keep], text[keep], literal[keep]
                     place = (start - made.bounds[:-1][text]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[text]), pa.array(hashes.astype(np.int64)), pa.array(np.full(len(text), size, np.int32)), pa.array(place), pa.array([made.slots(s, size) for s in start.tolist()], pa.list_(pa.string()))],
+                        [pa.array(keys[text]), pa.array(hashes.astype(np.int64)), pa.array(np.full(len(text), size, np.int32)), pa.array(place), pa.array([[] if own else made.slots(s, size) for s, own in zip(start.tolist(), literal.tolist(), strict=True)], pa.list_(pa.string()))],
                         names=["key", "hash", "size", "place", "slots"],
                     )
 
@@ -160,6 +177,48 @@ def _item_sizes(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item_id long, n_words long")
 
 
+Met = tuple[int, tuple[tuple[str, str], ...]]
+
+#: Choices of values that are all tried; beyond, the slot with the most windows is settled first.
+_MOST_CHOICES = 256
+
+
+def largest_part(windows: list[Met], size: int) -> list[Met]:
+    """The most windows (place, slot and value of each placeholder) in which each slot has one value."""
+    alive = [w for w in windows if len(dict(w[1])) == len(set(w[1]))]
+    values: dict[str, Counter] = {}
+    for _, pairs in alive:
+        for slot, value in set(pairs):
+            values.setdefault(slot, Counter())[value] += 1
+    open_slots = sorted((s for s, c in values.items() if len(c) > 1), key=lambda s: (-sum(values[s].values()), s))
+    order = lambda s: sorted(values[s], key=lambda v: (-values[s][v], v != s, v))
+    if math.prod(len(values[s]) for s in open_slots) <= _MOST_CHOICES:
+        chosen = [dict(zip(open_slots, c, strict=True)) for c in itertools.product(*map(order, open_slots))]
+        alive = max(([w for w in alive if all(c.get(s, v) == v for s, v in w[1])] for c in chosen), key=len)
+    else:
+        for slot in open_slots:
+            left = Counter(v for _, pairs in alive for s, v in set(pairs) if s == slot)
+            best = min(left, key=lambda v: (-left[v], v != slot, v), default=None)
+            alive = [w for w in alive if all(s != slot or v == best for s, v in w[1])]
+    mapped = {p for _, pairs in alive for p in pairs}
+    shared = {v for v, n in Counter(v for _, v in mapped).items() if n > 1}
+    return [w for w in alive if 2 * (size - len(w[1])) >= size or not any(v in shared for _, v in w[1])]
+
+
+def _agreeing(met: str, size: str):
+    """places of the largest part that agrees, and whether all its values are the item's own."""
+
+    @F.pandas_udf("places array<int>, same boolean")
+    def found(met: pd.Series, size: pd.Series) -> pd.DataFrame:
+        out = []
+        for rows, n in zip(met, size, strict=True):
+            part = largest_part([(int(m["place"]), tuple(zip(m["slots"], m["values"], strict=True))) for m in rows], int(n))
+            out.append((sorted({p for p, _ in part}), bool(part) and all(s == v for _, pairs in part for s, v in pairs)))
+        return pd.DataFrame(out, columns=["places", "same"])
+
+    return found(met, size)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 6, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, coverage, exact: one row for each document and item that it leaks.
 
@@ -176,17 +235,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 6, coverage: floa
         texts = texts.where(F.lit(False))
     met = _window_rows(texts, window, sizes or [window], hashes, False).withColumnRenamed("key", "doc_id").withColumnRenamed("place", "at").withColumnRenamed("slots", "values")
     pairs = met.join(known.withColumnRenamed("key", "item_id"), ["hash", "size"]).where("size(slots) = size(values)")
-    slot_pairs = F.arrays_zip(F.col("slots").alias("s"), F.col("values").alias("v"))
     aligned = (
-        pairs.select("doc_id", "item_id", "size", "place", (F.col("at") - F.col("place")).alias("shift"), slot_pairs.alias("pairs"))
+        pairs.select("doc_id", "item_id", "size", (F.col("at") - F.col("place")).alias("shift"), F.struct("place", "slots", "values").alias("met"))
         .groupBy("doc_id", "item_id", "size", "shift")
-        .agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        .agg(F.collect_set("met").alias("met"))
     )
-    one_to_one = "size(array_distinct(transform(pairs, x -> x['0']))) = size(pairs) and size(array_distinct(transform(pairs, x -> x['1']))) = size(pairs)"
-    names = aligned.schema["pairs"].dataType.elementType.fieldNames()
-    for old, new in zip("01", names, strict=True):
-        one_to_one = one_to_one.replace(f"x['{old}']", f"x['{new}']")
-    agreed = aligned.where(one_to_one).withColumn("same", F.expr(f"forall(pairs, x -> x['{names[0]}'] = x['{names[1]}'])"))
+    agreed = aligned.withColumn("part", _agreeing("met", "size")).select("doc_id", "item_id", "size", "part.places", "part.same")
     union = agreed.select("doc_id", "item_id", "size", "same", F.explode("places").alias("place")).groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("place")).alias("places"), F.max("size").alias("size"), F.max("same").alias("exact"))
     covered = F.expr("size + aggregate(zip_with(slice(places, 2, size(places)), slice(places, 1, size(places) - 1), (y, x) -> least(y - x, size)), 0, (s, x) -> s + x)")
     out = union.withColumn("words", covered).join(_item_sizes(items).groupBy("item_id").agg(F.max("n_words").alias("n_words")), "item_id")
