@@ -2,20 +2,25 @@
 
 Each table turns unit vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard
 transform) and hashes them to the nearest signed axis; further rotations, the last over fewer axes, follow
-until a table has about rows ** 0.6 buckets. A query looks into the `probes` buckets of each table that its
-rotated vector is nearest to. How many those must be depends on the rows: the true neighbours of SAMPLE
+until a table has about rows ** (1 - FILL) buckets. A query looks into the `probes` buckets of each table that
+its rotated vector is nearest to. How many those must be depends on the rows: the true neighbours of SAMPLE
 queries are found by comparing them with every row, and probes are raised until the buckets hold RECALL of
 them. All rows are indexed, and every query is answered; only the queries that probes are chosen by are a
-sample. Candidates are reranked by the exact cosine of the original vectors in double precision.
+sample.
 
-Equal vectors would fill one bucket: rows with one direction form a class, candidates are classes, and a
-class gives its smallest ids (k + 1 of them are enough for an exact top k with ties to smaller ids).
+Queries travel to the buckets, not candidates to the queries: each row is sent once a table, each query once
+a probe, and both meet sorted by bucket. There they are compared block by block in double precision, and only
+the best k of a bucket go on, with the exact cosine of the original vectors. What is shuffled is therefore
+linear in the rows. Buckets with very many rows or queries are cut into a grid of groups of bounded size.
+
+Equal vectors would fill one bucket: rows with one direction form a class, of which the k + 1 smallest ids
+take part (enough for an exact top k with ties to smaller ids).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part as
 query or candidate; vectors of another length than the most common one take no part; with fewer candidates
-than k, all that are found come out; queries that meet fewer than k candidates in their buckets look through
-every class instead, in blocks; rows with a null id take no part; of rows with one id each counts as a
-candidate, once for each different vector; an empty table gives an empty result.
+than k, all come out; for queries that meet fewer than k candidates probes are raised, up to all buckets; rows
+with a null id take no part; of rows with one id each counts as a query and as a candidate, and a pair of ids
+has its best score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,21 +29,22 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import materialize
+from phaseframe.llm.common import materialize, release
 
-TABLES = 14
+TABLES = 8
 #: The least number of probes.
-PROBES = 14
+PROBES = 8
 #: Share of true neighbours that the buckets must hold (0.9 is wanted, the rest is for the sample's error), and queries that it is measured by.
-RECALL = 0.92
-SAMPLE = 200
+RECALL = 0.93
+SAMPLE = 400
 #: A bucket holds about the number of rows to this power.
-FILL = 0.4
+FILL = 0.35
+#: Rows and queries of a bucket that meet in one group; larger buckets are cut.
+MOST_ROWS, MOST_QUERIES = 8192, 1024
 _SALTS = 64
 
 
@@ -117,7 +123,7 @@ def needed_probes(hashes: Hashes, queries: np.ndarray, neighbours: np.ndarray, o
         rank = np.full(len(owner), most)
         for t in range(len(hashes.signs)):
             own = hashes.buckets(neighbours, t, 1)[:, 0]
-            step = max(1, 4_000_000 // probes**2)
+            step = _step(hashes, probes)
             asked = np.concatenate([hashes.buckets(queries[q : q + step], t, probes) for q in range(0, len(queries), step)])
             for of in np.array_split(np.arange(len(owner)), 1 + len(owner) * probes // 4_000_000):
                 found = asked[owner[of]] == own[of][:, None]
@@ -162,24 +168,26 @@ def _measured_probes(members: DataFrame, ask: DataFrame, hashes: Hashes, k: int,
     return needed_probes(hashes, queries, _units(_matrix([r["raw"] for r in found], dtype)), np.array([r["query_id"] for r in found]), least)[0]
 
 
+def _step(hashes: Hashes, probes: int) -> int:
+    """Rows whose probes are ranked together."""
+    return max(1, 1_000_000 // (probes * 2 * min(probes, max(hashes.axes))))
+
+
 def _posted(vectors: DataFrame, hashes: Hashes, probes: int, dtype: str) -> DataFrame:
-    """id, place (table and bucket)."""
+    """place (table and bucket), id, raw of vectors(id, raw)."""
     shared = vectors.sparkSession.sparkContext.broadcast(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = shared.value
+        step = min(4096, _step(tool, probes))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            every = _units(_matrix(batch.column("raw").to_pylist(), dtype))
-            all_ids = batch.column("id").to_numpy(zero_copy_only=False)
-            step = max(1, 4_000_000 // probes**2)
-            for t, k in itertools.product(range(len(tool.signs)), range(0, len(every), step)):
-                x, ids = every[k : k + step], all_ids[k : k + step]
-                found = tool.buckets(x, t, probes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.shape[1])), pa.array((found * len(tool.signs) + t).ravel())], names=["id", "place"])
+            for k, t in itertools.product(range(0, batch.num_rows, step), range(len(tool.signs))):
+                part = batch.slice(k, step)
+                found = tool.buckets(_units(_matrix(part.column("raw").to_pylist(), dtype)), t, probes)
+                owner = pa.array(np.repeat(np.arange(part.num_rows), found.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array((found * len(tool.signs) + t).ravel()), part.column("id").take(owner), part.column("raw").take(owner)], names=["place", "id", "raw"])
 
-    return vectors.select("id", "raw").mapInArrow(run, "id long, place long")
+    return vectors.select("id", "raw").mapInArrow(run, "place long, id long, raw binary")
 
 
 def _matrix(raw: list[bytes], dtype: str) -> np.ndarray:
@@ -192,20 +200,61 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cosine(x: str, y: str, dtype: str):
-    @F.pandas_udf("double")
-    def found(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=float)
-        a, b = _matrix(x.to_list(), dtype), _matrix(y.to_list(), dtype)
-        return pd.Series((a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))))
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the rows of a with those of b."""
+    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+
 
-    return found(x, y)
+def best_pairs(ask_ids: np.ndarray, ask: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and cosine of the k nearest rows of each query, and of all that lie as near as the last of them."""
+    near = _units(ask) @ _units(rows).T
+    near[ask_ids[:, None] == ids[None, :]] = -np.inf
+    last = np.partition(near, -k, 1)[:, -k] if near.shape[1] > k else near.min(1)
+    q, r = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
+    return ask_ids[q], ids[r], cosines(ask[q], rows[r])
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    order = [F.desc("score"), F.asc("vec_id")]
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+def _compared(posts: DataFrame, k: int, dtype: str) -> DataFrame:
+    """query_id, vec_id, score from posts(place, a, b, kind, id, raw) that stand group by group, queries (kind 0) first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ask_ids, ask = None, np.zeros(0, np.int64), np.zeros((0, 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, a, b, kind, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "a", "b", "kind", "id"))
+            x = _matrix(batch.column("raw").to_pylist(), dtype)
+            first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            out = []
+            for start, stop in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+                split = start + int(np.searchsorted(kind[start:stop], 1))
+                if key == (place[start], a[start], b[start]):
+                    ask_ids, ask = np.append(ask_ids, ids[start:split]), np.concatenate([ask, x[start:split]])
+                else:
+                    key, ask_ids, ask = (place[start], a[start], b[start]), ids[start:split], x[start:split]
+                for k0 in range(split, stop if len(ask_ids) else split, 1024):
+                    out.append(best_pairs(ask_ids, ask, ids[k0 : min(k0 + 1024, stop)], x[k0 : min(k0 + 1024, stop)], k))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    return posts.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _met(members: DataFrame, ask: DataFrame, hashes: Hashes, probes: int, k: int, dtype: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates of the buckets that each query of ask(id, raw) looks into."""
+    rows, queries = _posted(members, hashes, 1, dtype), _posted(ask, hashes, probes, dtype)
+    counts = [x.groupBy("place").agg(F.count("*").alias(n)).where(F.col(n) > most) for x, n, most in ((rows, "n_rows", MOST_ROWS), (queries, "n_queries", MOST_QUERIES))]
+    parts = lambda n, most: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / most)).cast("int")
+    large = materialize(counts[0].join(counts[1], "place", "full").select("place", parts("n_rows", MOST_ROWS).alias("of_a"), parts("n_queries", MOST_QUERIES).alias("of_b")))
+    one = F.lit(1)
+    of_a, of_b = F.coalesce("of_a", one), F.coalesce("of_b", one)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    posted = rows.join(large, "place", "left").select("place", own(of_a).alias("a"), every(of_b).alias("b"), F.lit(1).alias("kind"), "id", "raw")
+    posted = posted.union(queries.join(large, "place", "left").select("place", every(of_a).alias("a"), own(of_b).alias("b"), F.lit(0).alias("kind"), "id", "raw"))
+    found = _compared(posted.repartition("place", "a", "b").sortWithinPartitions("place", "a", "b", "kind"), k, dtype)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -213,51 +262,26 @@ def search(vectors: DataFrame, modulus: int = 50, k: int = 5, tables: int = TABL
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by modulus, itself left out; probes is the least number."""
     usable, dtype = _usable(vectors, id_col, vector_col)
     rows = materialize(usable)
-    # classes of equal vectors, by their smallest id, and the k + 1 smallest ids of each
+    # of each class of equal vectors the k + 1 smallest ids
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS))).withColumn("r", F.row_number().over(Window.partitionBy("raw", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
-    few = salted.withColumn("r", F.row_number().over(Window.partitionBy("raw").orderBy("id"))).where(F.col("r") <= k + 1)
-    members = materialize(few.withColumn("class", F.min("id").over(Window.partitionBy("raw"))).withColumn("class", F.xxhash64("class", "raw")).select("class", "id", "raw"))
-    classes = members.groupBy("class").agg(F.first("raw").alias("raw")).withColumnRenamed("class", "id")
-    hashes = Hashes(_width(rows, dtype), classes.count(), tables)
-    queries = rows.where(F.col("id") % modulus == 0)
-    ask = queries.select(F.col("id").alias("query_id"), F.col("raw").alias("q"))
-    probes = _measured_probes(members, ask, hashes, k, probes, dtype)
-    asked = _posted(queries, hashes, probes, dtype).distinct()
-    posted = _posted(classes, hashes, 1, dtype)
-    met = asked.withColumnRenamed("id", "query_id").join(posted.withColumnRenamed("id", "class"), "place").select("query_id", "class").distinct()
-    candidates = met.join(members, "class").where("query_id <> id").select("query_id", F.col("id").alias("vec_id"), "raw")
-    scored = candidates.join(ask, "query_id").withColumn("score", cosine("q", "raw", dtype))
-    best = materialize(_best(scored.select("query_id", "vec_id", "score"), k))
-    short = ask.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k).select("query_id"), "query_id", "left_anti")
-    if short.isEmpty():
-        return best
-    whole = _exact(members, short.join(ask, "query_id"), k, dtype)
-    return best.join(short, "query_id", "left_anti").union(whole)
+    members = materialize(salted.withColumn("r", F.row_number().over(Window.partitionBy("raw").orderBy("id"))).where(F.col("r") <= k + 1).select("id", "raw"))
+    ask = materialize(rows.where(F.col("id") % modulus == 0).select("id", "raw"))
+    hashes = Hashes(_width(rows, dtype), members.count(), tables)
+    release(rows)
+    probes = _measured_probes(members, ask.select(F.col("id").alias("query_id"), F.col("raw").alias("q")), hashes, k, probes, dtype)
+    best = materialize(_met(members, ask, hashes, probes, k, dtype))
+    most = int(np.prod([2 * a for a in hashes.axes]))
+    while probes < most:
+        short = ask.select("id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k).select(F.col("query_id").alias("id")), "id", "left_anti")
+        short = materialize(short)
+        if short.isEmpty():
+            break
+        probes = min(8 * probes, most)
+        again = _met(members, ask.join(short, "id", "left_semi"), hashes, probes, k, dtype)
+        best = materialize(best.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").select(*best.columns).union(again))
+    return best
 
 
 def _width(rows: DataFrame, dtype: str) -> int:
     first = rows.select(F.octet_length("raw").alias("w")).first()
     return first["w"] // np.dtype(dtype).itemsize if first else 1
-
-
-def _exact(members: DataFrame, queries: DataFrame, k: int, dtype: str, block: int = 256) -> DataFrame:
-    """The same for few queries against every vector: blocks of queries, the best k of each input batch go on."""
-    blocked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) % F.lit(1 + queries.count() // block))
-    packed = blocked.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, own in batch.groupby("block", sort=False):
-                ids = own["id"].to_numpy()
-                y = _matrix(own["raw"].to_list(), dtype)
-                y_norm = np.sqrt((y * y).sum(1))
-                for query in own["queries"].iloc[0]:
-                    q = _matrix([query["q"]], dtype)[0]
-                    score = (y * q).sum(1) / (np.sqrt((q * q).sum()) * y_norm)
-                    score[ids == query["query_id"]] = -np.inf
-                    top = np.lexsort((ids, -score))[:k]
-                    top = top[np.isfinite(score[top])]
-                    yield pd.DataFrame({"query_id": query["query_id"], "vec_id": ids[top], "score": score[top]})
-
-    pairs = members.select("id", "raw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(queries.count() // block).cast("long"))).alias("block")).join(packed, "block")
-    return _best(pairs.mapInPandas(run, "query_id long, vec_id long, score double"), k)

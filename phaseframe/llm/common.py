@@ -15,12 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where it is unset, a session on one machine
+    (as in tests) gets one of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="phaseframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="phaseframe-"))
+    return context.getCheckpointDir()
 
 
 def files_for(df: DataFrame, rows: int, rows_a_file: int = 20_000) -> int:
@@ -28,25 +33,51 @@ def files_for(df: DataFrame, rows: int, rows_a_file: int = 20_000) -> int:
     return max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // rows_a_file)
 
 
+_written: dict[DataFrame, str] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def materialize(df: DataFrame, most_files: int | None = None) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes df as Parquet into the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    The table goes with release(), or when the application ends.
+    """
     spark = df.sparkSession
     if most_files is not None:
         df = df.coalesce(most_files)
     path = f"{shared_dir(spark)}/phaseframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing will read any more."""
+    for df in tables:
+        path = _written.pop(df, None)
+        if path is not None:
+            files, place = _file_system(df.sparkSession, path)
+            files.delete(place, True)
 
 
-#: Rows that go to Python at once, where the session does not say: the default would hold 10,000 whole texts.
-BATCH_ROWS = 1_000
+#: Rows and bytes that go to Python at once, where the session does not say: the default would hold 10,000 whole texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, "8m"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, after small Arrow batches have been set in its session (a setting that is there stays)."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if conf.get(name, "10000") == "10000":
-        conf.set(name, str(BATCH_ROWS))
+    """df, after small Arrow batches have been set in its session (settings that are there stay)."""
+    conf = df.sparkSession.conf
+    for name, usual, ours in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if conf.get(name, usual) == usual:
+            conf.set(name, ours)
     return df
 
 
