@@ -1,13 +1,15 @@
 """Quality classifier (operator 4): histogram gradient-boosted trees over document statistics.
 
 The model is fitted on the driver from statistics of a bounded, documented sample of labelled documents
-(`sample` rows, chosen by a hash of the id); everything else is one narrow pass over all documents. Trees
-are flattened into arrays of fixed depth, so a batch walks all of them with a few numpy gathers.
+(`sample` ids, chosen by a hash of the id, one row of each); everything else is one narrow pass over the text
+column of all documents. Trees are flattened into arrays of fixed depth, so a batch walks all of them with a
+few numpy gathers.
 
 Defined results: a text that is null or empty has the statistics of an empty text and a score like any
 other; documents without a label, or with a null id, are scored but never learnt from; of several labels of
-one id the mean counts (0.5 and more: 1); with no labels, or labels of one kind, every score is the smoothed
-share of label 1; the table may be empty. lang, source and ids are never inputs.
+one id the mean counts (0.5 and more: 1), of several documents of one id the one with the smallest statistics
+is learnt; with no labels, or labels of one kind, every score is the smoothed share of label 1; a null id is
+not held out; the table may be empty. lang, source and ids are never inputs.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import bounded_batches, fold_of, free_name
+from phaseframe.llm.common import bounded_batches, fold_of
 
 BINS = 48
 
@@ -153,36 +155,32 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {id_type}, y int, x array<double>").toPandas().sort_values("id", kind="stable")
+    # one row of each id, so that no more than `sample` come to the driver
+    single = rows.mapInArrow(run, f"id {id_type}, y int, x array<double>").groupBy("id").agg(F.min(F.struct("x", "y")).alias("least")).select("id", "least.*")
+    found = single.toPandas().sort_values("id", kind="stable")
     x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, width))
     return fit(x, found["y"].to_numpy(np.float64))
 
 
-def with_scores(docs: DataFrame, model: Trees, score: str, text_col: str = "text") -> DataFrame:
-    """docs with a score column: the probability of label 1."""
-    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    at = columns.index(text_col)
+def score_of(model: Trees, spark: SparkSession, text_col: str = "text") -> Column:
+    """The probability of label 1; nothing but the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            named = batch.rename_columns([str(i) for i in range(batch.num_columns)])
-            for part in textscan.slices(named, str(at)):
-                values = shared.value.scores(statistics(*textscan.utf8(part.column(at))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], names=[*columns, score])
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        parts = textscan.slices(pa.RecordBatch.from_arrays([text], names=["text"]))
+        found = [shared.value.scores(statistics(*textscan.utf8(part.column(0)))) for part in parts]
+        return pa.array(np.concatenate([np.zeros(0), *found]))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{score}` double")
+    return score(F.col(text_col))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    model = train(docs, labels)
-    scored = with_scores(docs.select("doc_id", "text"), model, "score")
-    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = bounded_batches(docs).select("doc_id", score_of(train(docs, labels), docs.sparkSession).alias("score"))
+    return scored.select("doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
-    score = free_name(docs.columns, "score")
-    return with_scores(docs, train(docs, labels), score).where(F.col(score) >= threshold).drop(score)
+    return bounded_batches(docs).where(score_of(train(docs, labels, text_col=text_col), docs.sparkSession, text_col) >= threshold)
