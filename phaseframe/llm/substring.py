@@ -10,13 +10,14 @@ document with a smaller id.
    one hash. Where they agree with those of a smaller id, all windows of the anchor are repeats. Within a
    batch of documents this is settled before anything is sent, so a passage that very many documents share
    costs one row for each batch, not for each document.
-3. Anchors that stand in different surroundings are extended window by window: each surrounding, by its
-   smallest id, gives the hashes of its windows, and each window learns the smallest id that it starts in.
-   What is covered by windows with a smaller id merges into maximal repeats.
+3. Anchors that stand in different surroundings are extended both ways window by window: each surrounding,
+   by its smallest id, gives the hashes of its windows from the first to the last, and each window learns the
+   smallest id that it starts in. What is covered by windows with a smaller id merges into maximal repeats.
+   (Extending pair by pair would be quadratic in the documents that share an anchor.)
 
 Defined results: null or wordless texts have no words and lose none; a text shorter than a window loses
 nothing; rows with a null id come last in the order of ids and only repeat others; rows that share an id do
-not remove from each other; an empty table gives an empty result; columns other than the two named play no
+not remove from each other; a window of under 4 or over 256 words is an error; an empty table gives an empty result; columns other than the two named play no
 part in the comparison.
 """
 
@@ -28,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import bounded_batches, materialize
+from phaseframe.llm.common import bounded_batches, materialize, release
 
 LAST = (1 << 63) - 1
 SEED = 4
@@ -138,37 +139,28 @@ def _covered(words: int, places: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(change)[:words] > 0
 
 
-def _cut(docs: DataFrame, window: int) -> DataFrame:
-    """Takes the words at each row's places out."""
+def _cut(text: str, places: str, window: int) -> Column:
+    """n_words, n_removed, kept_sha256, kept_text of a text without the words at its places."""
+    kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in textscan.slices(batch):
-                data, offsets = textscan.utf8(part.column("text"))
-                words = textscan.Words(data, offsets)
-                removed, shas, texts = [], [], []
-                for k, (places, text) in enumerate(zip(part.column("places").to_pylist(), part.column("text").to_pylist(), strict=True)):
-                    kept = b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split())
-                    gone = 0
-                    if places:
-                        a, n = int(words.bounds[k]), int(words.bounds[k + 1] - words.bounds[k])
-                        mask = _covered(n, np.array(places, np.int64), window)
-                        gone = int(mask.sum())
-                        at = a + np.flatnonzero(~mask)
-                        kept = b" ".join([data[s:e].tobytes() for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
-                        text = kept.decode()
-                    removed.append(gone)
-                    shas.append(hashlib.sha256(kept).hexdigest())
-                    texts.append(text)
-                kept_columns = [part.column(c) for c in part.schema.names if c not in ("text", "places")]
-                kept_names = [c for c in part.schema.names if c not in ("text", "places")]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept_columns, pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
-                    names=[*kept_names, "n_words", "n_removed", "kept_sha256", "kept_text"],
-                )
+    @F.arrow_udf("n_words long, n_removed long, kept_sha256 string, kept_text string")
+    def cut(text: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for part in textscan.slices(pa.RecordBatch.from_arrays([text, places], names=["text", "places"])):
+            data, offsets = textscan.utf8(part.column("text"))
+            words = textscan.Words(data, offsets)
+            for k, (own, whole) in enumerate(zip(part.column("places").to_pylist(), part.column("text").to_pylist(), strict=True)):
+                a, n = int(words.bounds[k]), int(words.bounds[k + 1] - words.bounds[k])
+                if own:
+                    mask = _covered(n, np.array(own, np.int64), window)
+                    at = a + np.flatnonzero(~mask)
+                    kept = b" ".join([data[s:e].tobytes() for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
+                    out.append((n, int(mask.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                else:
+                    out.append((n, 0, hashlib.sha256(b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split())).hexdigest(), whole))
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)] if out else [pa.array([], f.type) for f in kind], fields=list(kind))
 
-    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("text", "places"))
-    return docs.mapInArrow(run, f"{others}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return cut(F.col(text), F.col(places))
 
 
 def _by_document(places: DataFrame) -> DataFrame:
@@ -183,15 +175,25 @@ def _tagged(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFr
 
 def repeated_places(docs: DataFrame, window: int) -> DataFrame:
     """id, tag, places for the documents of docs(id, tag, text) that repeat a smaller id somewhere."""
-    by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context")
-    seen = _seed_rows(docs, window).withColumns({"least": F.min("id").over(by_context), "one": F.min("context").over(by_gram), "two": F.max("context").over(by_gram)})
-    state = F.when(F.col("context").isNull() | (F.col("id") > F.col("least")), 0).when(F.col("one") != F.col("two"), 1)
-    rows = materialize(seen.withColumn("state", state).where("state is not null").select("state", "id", "tag", "place"))
+    if not SEED <= window <= 256:
+        raise ValueError(f"a window has {SEED} to 256 words")
+    seeds = _seed_rows(docs, window)
+    # by partial sums and joins, not windows: a gram may stand in a third of all documents
+    often = seeds.where("context is not null").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.lit(True).alias("often"))
+    shared = materialize(seeds.join(often, "gram", "left").where("context is null or often").drop("often"))
+    open_ = shared.where("context is not null")
+    contexts = open_.groupBy("gram", "context").agg(F.min("id").alias("least"))
+    several = contexts.groupBy("gram").agg(F.min("context").alias("one"), F.max("context").alias("two")).select("gram", (F.col("one") != F.col("two")).alias("several"))
+    state = F.when(F.col("id") > F.col("least"), 0).when(F.col("several"), 1)
+    rows = materialize(open_.join(contexts, ["gram", "context"]).join(several, "gram").withColumn("state", state).where("state is not null").select("state", "id", "tag", "place"))
     open_docs = docs.join(_by_document(rows.where("state = 1")), ["id", "tag"])
     windows = materialize(_windows(open_docs, window))
     least = windows.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("hash", "least")
     found = windows.join(least, "hash").where("id > least").select("id", "tag", "place")
-    return _by_document(rows.where("state = 0").select("id", "tag", "place").union(found))
+    settled = shared.where("context is null").select("id", "tag", "place")
+    places = materialize(_by_document(settled.union(rows.where("state = 0").select("id", "tag", "place")).union(found)))
+    release(shared, rows, windows)
+    return places
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,8 +203,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     as it was where nothing is removed.
     """
     tagged = _tagged(docs, id_col, text_col)
-    joined = tagged.join(repeated_places(tagged, window), ["id", "tag"], "left").select("id", "text", "places")
-    return _cut(joined, window).withColumn("doc_id", F.expr(f"nullif(id, {LAST})")).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+    joined = tagged.join(repeated_places(tagged, window), ["id", "tag"], "left")
+    return joined.select(F.expr(f"nullif(id, {LAST})").alias("doc_id"), _cut("text", "places", window).alias("cut")).select("doc_id", "cut.*")
 
 
 def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,8 +214,8 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     others = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c != text_col]
     tagged = _tagged(docs, id_col, text_col, *[F.col(c).alias(n) for n, c in others])
     places = repeated_places(tagged.select("id", "tag", "text"), window)
-    cut = _cut(tagged.join(places, ["id", "tag"], "left"), window).where("n_removed = 0 or n_removed < n_words")
-    back = dict((c, F.col(n)) for n, c in others) | {text_col: F.col("kept_text")}
+    cut = tagged.join(places, ["id", "tag"], "left").withColumn("cut", _cut("text", "places", window)).where("cut.n_removed = 0 or cut.n_removed < cut.n_words")
+    back = dict((c, F.col(n)) for n, c in others) | {text_col: F.col("cut.kept_text")}
     if "n_chars" in docs.columns:
-        back["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(back["n_chars"]).cast(docs.schema["n_chars"].dataType)
+        back["n_chars"] = F.when(F.col("cut.n_removed") > 0, F.length("cut.kept_text")).otherwise(back["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return cut.select(*[back[c].alias(c) for c in docs.columns])
