@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import materialize
+from phaseframe.llm.common import materialize, release
 
 
 ROWS_A_FILE = 500_000
@@ -41,7 +41,8 @@ def components(edges: DataFrame, most_files: int | None = None) -> DataFrame:
     mark = _mark(now)
     while True:
         # a file for each ROWS_A_FILE edges: few edges shouldn't be spread over as many files as there are partitions
-        now = materialize(_small_star(_large_star(now)).coalesce(1 + mark[0] // ROWS_A_FILE))
+        last, now = now, materialize(_small_star(_large_star(now)).coalesce(1 + mark[0] // ROWS_A_FILE))
+        release(last)
         seen = _mark(now)
         if seen == mark:
             break

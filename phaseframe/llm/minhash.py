@@ -1,14 +1,14 @@
 """MinHash near-duplicates (operator 6): signature-coordinate inverted join with exact confirmation.
 
 1. Each text gets its set of distinct word shingles (64-bit hashes), a digest of that set, and a signature:
-   the smallest value of the set under each of K hash functions. Texts with equal sets form a class; only its
-   smallest id goes on.
+   the smallest value of the set under each of K hash functions. Texts with equal sets form a class, a node of
+   what follows; classes that one id has are tied to each other.
 2. Inverted join: representatives are posted under (coordinate, value) pairs. Two signatures with T or more
    equal coordinates share one among their first K - T + 1 pairs in any common order, so only those are
    posted, rarest first; how frequent a pair is comes from a counter table of fixed size over all
    representatives. (Rare first keeps passages that very many texts share out of the postings.)
-3. Counting collisions: for pairs of one posting list, the rest of both signatures is merged; a pair with
-   fewer than T equal coordinates, or with sizes too different, is skipped.
+3. Counting collisions: for pairs that meet in a posting list, the two signatures are merged coordinate by
+   coordinate; a pair with sizes too different is skipped, one with fewer than T collisions dropped.
 4. Survivors are confirmed on the full sets: 100 * |A and B| >= 100 * similarity * |A or B|.
 
 No posting list is expanded into all its pairs: first each list is tied to a few of its members (stars) and
@@ -20,8 +20,8 @@ At similarity 0.8 with K = 64 and T = 33 a linked pair is missed with probabilit
 
 Defined results: a text that is null or has no words has an empty set and is linked with nothing; one with
 fewer words than a shingle has its whole word sequence as its only shingle; rows with a null id stand alone
-(component null); rows that share an id are one document; equal sets are linked; an empty table gives an
-empty result; columns of the input other than the two named play no part.
+(component null, kept); rows that share an id are one document, linked by any of its texts; equal sets are
+linked; an empty table gives an empty result; columns of the input other than the two named play no part.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import bounded_batches, files_for, materialize
+from phaseframe.llm.common import bounded_batches, files_for, materialize, release
 from phaseframe.llm.components import components
 
 K = 64
@@ -84,7 +84,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                     [
                         part.column("id"),
                         pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
+                        pa.array([_digest(x) for x in sets], pa.binary()),
                         pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary()),
                     ],
                     names=["id", "n", "digest", "sig"],
@@ -93,14 +93,21 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, digest binary, sig binary")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """id, members for texts(id, digest, text): the shingles of a node's text. (Of an id's texts one has the digest.)"""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textscan.slices(batch):
                 sets = shingle_sets(*textscan.utf8(part.column("text")), size)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "members"])
+                mine = np.array([_digest(x) == d for x, d in zip(sets, part.column("digest").to_pylist(), strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([part.column("id").filter(pa.array(mine)), pa.array([x.tobytes() for x, own in zip(sets, mine, strict=True) if own], pa.binary())], names=["id", "members"])
+
+    return texts.mapInArrow(run, "id long, members binary")
 
-    return docs.mapInArrow(run, "id long, members binary")
+
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
 def _elements(sigs: list[bytes]) -> np.ndarray:
@@ -226,6 +233,20 @@ def _across(shared: DataFrame, labels: DataFrame, screened: DataFrame, percent:
     return pairs.union(x.join(y, "key").where(f"c < d and {bound} and {finer}").select(*_ordered("id", "other"))).distinct()
 
 
+def _nodes(known: DataFrame) -> DataFrame:
+    """digest, first (its smallest id), node: a number of each class of equal sets, its first id unless that heads several."""
+    classes = known.groupBy("digest").agg(F.min("id").alias("first"))
+    several = classes.groupBy("first").agg(F.count("*").alias("c")).where("c > 1").select("first")
+    return classes.join(several.withColumn("several", F.lit(True)), "first", "left").select("digest", "first", F.when(F.col("several"), F.xxhash64("first", "digest")).otherwise(F.col("first")).alias("node"))
+
+
+def _same_id(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v: nodes of one id, tied to one of them."""
+    several = known.groupBy("id").agg(F.min("digest").alias("one"), F.max("digest").alias("two")).where("one <> two").select("id", "one")
+    rows = known.select("id", "digest").join(several, "id").distinct().join(nodes.select("digest", F.col("node").alias("v")), "digest")
+    return rows.join(nodes.select(F.col("digest").alias("one"), F.col("node").alias("u")), "one").where("u <> v").select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     percent = round(100 * similarity)
@@ -233,25 +254,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     scanned = materialize(_scan(picked, shingle))
     files = files_for(docs, scanned.count())
     known = scanned.where("digest is not null and id is not null")
-    classes = materialize(known.groupBy("digest").agg(F.min("id").alias("rep")), files)
-    reps = known.join(classes.select(F.col("rep").alias("id"), F.col("digest").alias("of")), "id").where("digest = of").select("id", "n", "sig").dropDuplicates(["id"])
-    reps = materialize(reps, files)
+    nodes = materialize(_nodes(known), files)
+    single = known.join(nodes.select(F.col("first").alias("id"), "digest", "node"), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    reps = materialize(single.select(F.col("node").alias("id"), "n", "sig"), files)
+    ties = materialize(_same_id(known, nodes), files)
+    repeated = not known.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """id, members of these nodes."""
+        where = nodes.select(F.col("node").alias("id"), F.col("first").alias("doc"), "digest").join(wanted, "id", "left_semi")
+        texts = picked.withColumnRenamed("id", "doc").join(where, "doc").groupBy("doc", "digest", "id", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"))
+        found = _sets(texts.select("id", "digest", "text"), shingle)
+        return found.groupBy("id").agg(F.first("members").alias("members")) if repeated else found
+
     postings = materialize(_postings(reps, _frequencies(reps), threshold), files)
     lists = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > LARGE).alias("large"))
     shared = materialize(postings.join(lists, "key").select("key", "id", "large"), files)
+    release(postings)
     stars = materialize(_alike(_stars(shared), reps, threshold, percent), files)
     in_large = shared.where("large").select("id").distinct()
     needed = stars.select(F.explode(F.array("a", "b")).alias("id")).union(in_large).distinct()
-    sets = materialize(_sets(picked.join(needed, "id", "left_semi"), shingle), files)
-    links = materialize(_confirmed(stars, sets, percent), files)
+    sets = materialize(sets_of(needed), files)
+    links = materialize(_confirmed(stars, sets, percent).union(ties), files)
     first = components(links, files)
     screened = materialize(_screened(sets.join(in_large, "id", "left_semi")), files)
+    release(sets)
     rest = materialize(_alike(_across(shared, first, screened, percent, files), reps, threshold, percent).join(stars, ["a", "b"], "left_anti"), files)
+    release(shared, screened, stars, reps)
     more_ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    more = materialize(_confirmed(rest, _sets(picked.join(more_ids, "id", "left_semi"), shingle), percent), files)
+    more = materialize(_confirmed(rest, sets_of(more_ids), percent), files)
     label = first if more.isEmpty() else components(links.union(more), files)
-    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = scanned.join(named, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    linked = nodes.join(label, "node").select("digest", "first", "component")
+    smallest = linked.groupBy("component").agg(F.min("first").alias("smallest"))
+    named = nodes.select("digest", "first").join(linked.join(smallest, "component").select("digest", "smallest"), "digest", "left")
+    named = materialize(named.select("digest", F.coalesce("smallest", "first").alias("smallest")), files)
+    release(links, rest, more, ties, nodes)
+    out = scanned.join(named, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("smallest", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

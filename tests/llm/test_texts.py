@@ -267,3 +267,26 @@ def test_lm_learns_from_short_texts(spark):
     rows += [(9000, "red fox"), (9001, "red dog")]
     by = {r["doc_id"]: r["mean_log_likelihood"] for r in score(docs(spark, rows)).where("doc_id >= 9000").collect()}
     assert by[9000] > by[9001] + 0.2
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    from phaseframe.llm.minhash import near_duplicates
+
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (5, a + " z"), (6, b + " z"), (7, c), (9, c + " z"), (9, None), (9, c + " z"), (None, a), (None, c), (3, c), (3, "other words than those")]
+    found = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in near_duplicates(docs(spark, rows), 4, 0.8).where("n_shingles > 0 or doc_id is null").collect())
+    roots = smallest_of_groups(rows)
+    assert found == sorted((str(i), roots.get(i), i is None or roots[i] == i) for i, t in rows if t)
+
+
+def test_windows_of_other_sizes(spark):
+    from phaseframe.llm.substring import dedup_substrings
+
+    rows = corpus(3, 20)[:24]
+    for window in (4, 200):
+        found = dedup_substrings(docs(spark, rows), window).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == removed(rows, window)
+    for window in (3, 257):
+        with pytest.raises(ValueError):
+            dedup_substrings(docs(spark, rows), window)
