@@ -10,8 +10,8 @@ largest part of them that agrees counts and the others do not. Two of the item's
 windows of which half or more are plain words, not in others. A document leaks an item if the windows that
 count cover at least `coverage` of the item's words.
 
-The benchmark's window hashes go to every task only while there are at most MAX_WINDOWS of them; beyond
-that all windows of documents take part in the join.
+Windows of documents are first held against a table of FILTER_BITS bits, of fixed size whatever the benchmark
+has, in which the hashes of its windows are set; those that pass take part in the join.
 
 Defined results: null or wordless texts leak nothing and are leaked by nothing; an item with fewer words
 than a window is one window of its own length, and one with under three words is not searched for; rows
@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import bounded_batches
+from phaseframe.llm.common import bounded_batches, materialize
 
-#: Window hashes (8 bytes each) that may be sent to every task.
-MAX_WINDOWS = 1_000_000
+#: Bits of the table of window hashes that every task gets (4 MB).
+FILTER_BITS = 1 << 25
 LEAST = 3
 
 #: Units that may follow a number.
@@ -139,8 +139,23 @@ class Templates:
 _FIELDS = "key long, hash long, size int, place int, slots array<string>"
 
 
+def _filter(known: DataFrame) -> np.ndarray:
+    """The table of bits, as 64-bit words, of known(hash)."""
+    bit = F.pmod("hash", F.lit(FILTER_BITS))
+    words = known.select(F.floor(bit / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, int(pmod(hash, {FILTER_BITS}) % 64))").alias("bits"))
+    found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return table.view(np.uint64)
+
+
+def _passing(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes % np.uint64(FILTER_BITS)
+    return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _window_rows(texts: DataFrame, window: int, sizes: list[int], among: np.ndarray | None, short: bool) -> DataFrame:
-    """Windows of texts(key, text); among: only those hashes; short: texts under a window are one window."""
+    """Windows of texts(key, text); among: only those that pass this table; short: texts under a window are one window."""
     shared = None if among is None else texts.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +169,8 @@ def _window_rows(texts: DataFrame, window: int, sizes: list[int], among: np.ndar
                     if short and size < window:
                         keep = counts[text] == size
                         hashes, start, text, literal = hashes[keep], start[keep], text[keep], literal[keep]
-                    if shared is not None and len(shared.value):
-                        at = np.minimum(np.searchsorted(shared.value, hashes), len(shared.value) - 1)
-                        keep = shared.value[at] == hashes
+                    if shared is not None:
+                        keep = _passing(shared.value, hashes)
                         hashes, start, text, literal = hashes[keep], start[keep], text[keep], literal[keep]
                     place = (start - made.bounds[:-1][text]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
@@ -225,15 +239,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 6, coverage: floa
     exact says whether all slot values are the item's own.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("key"), F.col(item_text).alias("text")).where("key is not null")
-    known = _window_rows(items, window, list(range(LEAST, window + 1)), None, True).distinct()
+    known = materialize(_window_rows(items, window, list(range(LEAST, window + 1)), None, True).distinct())
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
-    hashes = None
-    if known.select("hash").distinct().limit(MAX_WINDOWS + 1).count() <= MAX_WINDOWS:
-        hashes = np.sort(np.array([r["hash"] for r in known.select("hash").distinct().collect()], np.int64).astype(np.uint64))
     texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).where("key is not null")
     if not sizes:
         texts = texts.where(F.lit(False))
-    met = _window_rows(texts, window, sizes or [window], hashes, False).withColumnRenamed("key", "doc_id").withColumnRenamed("place", "at").withColumnRenamed("slots", "values")
+    met = _window_rows(texts, window, sizes or [window], _filter(known), False).withColumnRenamed("key", "doc_id").withColumnRenamed("place", "at").withColumnRenamed("slots", "values")
     pairs = met.join(known.withColumnRenamed("key", "item_id"), ["hash", "size"]).where("size(slots) = size(values)")
     aligned = (
         pairs.select("doc_id", "item_id", "size", (F.col("at") - F.col("place")).alias("shift"), F.struct("place", "slots", "values").alias("met"))
