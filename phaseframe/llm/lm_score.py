@@ -3,17 +3,21 @@
 The network predicts every word of a text from the `SIDE` words before and after it; a document's score is
 the sum of these conditional log-probabilities.
 
-1. Words are counted over all documents; the most frequent make the vocabulary, all others fall into
-   classes by length and capital letter. Counts give the output biases.
-2. Each round, every task trains a copy of the network on its own documents and gives its weights as rows;
-   their mean, weighted by windows, is the next network. Every word is a target in every round. With a
-   `stride` above 1 a round takes one word in so many, other ones each round, and one or more of each text.
-   What is shuffled grows with the documents; the driver gets one network.
-3. All documents are scored in one narrow pass. The output layer has two levels (group, word in the group).
+1. Words are counted over all documents. The most frequent have a number each; how many grows with the square
+   root of the number of different words. All others fall into classes by length and capital letter, and
+   P(word) = P(class) * P(word | class), the latter being the word's share of its class's count. Counts give
+   the output biases.
+2. Each round, every task trains a copy of the network on its own documents; the copies' mean, weighted by
+   windows, is the next network. Every word of every text is a target: with a `stride` (as many as there are
+   rounds) a round takes one word in so many, the next round the next ones, so that the rounds together take
+   each once. Weights meet in blocks, not one by one; the driver gets one network.
+3. All documents are scored in one pass. The output layer has two levels (group, word in the group). Shares of
+   rare words come from the table of counts: a chunk of texts has a dictionary of its rare words, dictionaries
+   meet the counts by word, and shares go back by place. A word is there once a chunk, so no key is hot.
 
 Defined results: null or wordless texts have 0 words and score 0, mean null; words beyond a text's ends are
-an edge word; equal rows get scores that agree to single precision; an empty table gives an empty result; only the two named columns
-take part. Scores depend in their last digits on how the input is split into tasks.
+an edge word; equal rows get scores that agree to single precision; an empty table gives an empty result; only
+the two named columns take part. Scores depend in their last digits on how the input is split into tasks.
 """
 
 from __future__ import annotations
@@ -22,99 +26,129 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import bounded_batches
+from phaseframe.llm.common import bounded_batches, materialize
 
-GROUPS, PER_GROUP = 32, 32
-VOCABULARY = GROUPS * PER_GROUP
 CLASSES = 64
-SIDE, WIDTH = 2, 24
-BATCH = 1024
-EDGE = VOCABULARY
+SIDE, WIDTH = 2, 16
+BATCH = 2048
+#: Groups of the smallest vocabulary; a vocabulary is groups * groups words.
+LEAST_GROUPS = 32
+#: Weights that are averaged as one row.
+BLOCK = 4096
+#: Bytes of texts that share a dictionary of rare words.
+CHUNK_BYTES = 16 << 20
+
+
+def groups_for(different: int) -> int:
+    """Groups of a vocabulary for so many different words."""
+    return max(LEAST_GROUPS, round(different**0.25))
 
 
 class Words:
-    """Numbers of words: frequent ones by rank, others by class."""
+    """Numbers of words: frequent ones by rank, then one for each class of others, then the edge."""
 
-    def __init__(self, hashes: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, groups: int) -> None:
         order = np.argsort(hashes)
-        self.keys, self.numbers = hashes[order], order
+        self.keys, self.numbers, self.groups = hashes[order], order, groups
+        self.size = groups * groups
+        self.first_class = self.size - CLASSES
 
-    def of(self, words: textscan.Words) -> np.ndarray:
-        hashes = words.hashes()
-        size = np.minimum(words.ends - words.starts, CLASSES // 2) - 1
-        first = words.data[words.starts] if len(hashes) else np.zeros(0, np.uint8)
-        other = VOCABULARY - CLASSES + 2 * size + ((first >= 65) & (first <= 90))
+    def of(self, words: textscan.Words, hashes: np.ndarray) -> np.ndarray:
+        other = self.first_class + classes(words)
         if not len(self.keys):
             return other
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, self.numbers[at], other)
 
 
-def _sizes() -> list[tuple[int, ...]]:
-    return [(2 * SIDE, VOCABULARY + 1, WIDTH), (WIDTH,), (WIDTH, GROUPS), (GROUPS,), (GROUPS, WIDTH, PER_GROUP), (GROUPS, PER_GROUP)]
+def classes(words: textscan.Words) -> np.ndarray:
+    """Class of each word: length, and whether it begins with a capital letter."""
+    first = words.data[words.starts] if len(words.starts) else np.zeros(0, np.uint8)
+    return 2 * (np.minimum(words.ends - words.starts, CLASSES // 2) - 1) + ((first >= 65) & (first <= 90))
 
 
 class Network:
+    """Weights: embeddings (a row for each place and word), their bias, groups' and words' output layers."""
+
     def __init__(self, weights: list[np.ndarray]) -> None:
         self.weights = weights
+        self.groups = len(weights[3])
+        self.edge = self.groups * self.groups
+
+    @staticmethod
+    def shapes(groups: int) -> list[tuple[int, ...]]:
+        return [(2 * SIDE * (groups * groups + 1), WIDTH), (WIDTH,), (WIDTH, groups), (groups,), (groups, WIDTH, groups), (groups, groups)]
 
     @classmethod
-    def fresh(cls, counts: np.ndarray) -> Network:
+    def fresh(cls, counts: np.ndarray, groups: int) -> Network:
         rng = np.random.default_rng(3)
-        weights = [rng.normal(0, 0.1, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in _sizes()]
-        share = np.log((counts + 1.0) / (counts + 1.0).sum()).reshape(GROUPS, PER_GROUP)
+        weights = [rng.normal(0, 0.1, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in cls.shapes(groups)]
+        share = np.log((counts + 1.0) / (counts + 1.0).sum()).reshape(groups, groups)
         weights[3] = np.log(np.exp(share).sum(1)).astype(np.float32)
-        weights[5] = share.astype(np.float32)
+        weights[5] = (share - weights[3][:, None]).astype(np.float32)
         return cls(weights)
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.weights[1] + self.weights[0][0][context[:, 0]]
+    def rows(self, context: np.ndarray) -> np.ndarray:
+        """Rows of the embeddings for words around a place."""
+        return context + np.arange(2 * SIDE) * (self.edge + 1)
+
+    def hidden(self, rows: np.ndarray) -> np.ndarray:
+        total = self.weights[1] + self.weights[0][rows[:, 0]]
         for j in range(1, 2 * SIDE):
-            total += self.weights[0][j][context[:, j]]
+            total += self.weights[0][rows[:, j]]
         return np.tanh(total)
 
+    def _by_group(self, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(group, kind="stable")
+        names, starts = np.unique(group[order], return_index=True)
+        for g, own in zip(names.tolist(), np.split(order, starts[1:]), strict=True):
+            yield g, own
+
     def log_probabilities(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
-        group, place = words // PER_GROUP, words % PER_GROUP
+        h = self.hidden(self.rows(context))
+        group, place = words // self.groups, words % self.groups
         z = h @ self.weights[2] + self.weights[3]
         out = z[np.arange(len(words)), group] - _log_sum(z)
-        for g in np.unique(group).tolist():
-            own = np.flatnonzero(group == g)
+        for g, own in self._by_group(group):
             z = h[own] @ self.weights[4][g] + self.weights[5][g]
             out[own] += z[np.arange(len(own)), place[own]] - _log_sum(z)
         return out
 
-    def learn(self, context: np.ndarray, words: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
-        """One step of Adagrad on a batch."""
-        h = self.hidden(context)
-        group, place = words // PER_GROUP, words % PER_GROUP
+    def gradients(self, context: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Embedding rows of a batch, and the gradients of the mean loss: of those rows, then of all other weights."""
+        rows = self.rows(context)
+        h = self.hidden(rows)
+        group, place = words // self.groups, words % self.groups
         grads = [np.zeros_like(w) for w in self.weights[1:]]
-        grads.insert(0, np.zeros(0))  # by rows, below
         p = _softmax(h @ self.weights[2] + self.weights[3])
         p[np.arange(len(words)), group] -= 1
-        grads[2], grads[3] = h.T @ p, p.sum(0)
+        grads[1], grads[2] = h.T @ p, p.sum(0)
         back = p @ self.weights[2].T
-        for g in np.unique(group).tolist():
-            own = np.flatnonzero(group == g)
+        for g, own in self._by_group(group):
             q = _softmax(h[own] @ self.weights[4][g] + self.weights[5][g])
             q[np.arange(len(own)), place[own]] -= 1
-            grads[4][g], grads[5][g] = h[own].T @ q, q.sum(0)
+            grads[3][g], grads[4][g] = h[own].T @ q, q.sum(0)
             back[own] += q @ self.weights[4][g].T
         back *= 1 - h * h
-        grads[1] = back.sum(0)
-        for j in range(2 * SIDE):
-            # only rows of words that occur here: the others have no gradient, and a step leaves them as they are
-            order = np.argsort(context[:, j], kind="stable")
-            rows, starts = np.unique(context[order, j], return_index=True)
-            g = np.add.reduceat(back[order], starts, axis=0) / np.float32(len(words))
-            squares[0][j][rows] += g * g
-            self.weights[0][j][rows] -= rate * g / (np.sqrt(squares[0][j][rows]) + 1e-6)
+        grads[0] = back.sum(0)
+        order = np.argsort(rows.ravel(), kind="stable")
+        used, starts = np.unique(rows.ravel()[order], return_index=True)
+        inner = np.add.reduceat(back[order // (2 * SIDE)], starts, axis=0)
+        n = np.float32(len(words))
+        return used, [inner / n, *(g / n for g in grads)]
+
+    def learn(self, context: np.ndarray, words: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
+        """One step of Adagrad on a batch; embeddings of words that don't occur in it stay as they are."""
+        used, grads = self.gradients(context, words)
+        squares[0][used] += grads[0] * grads[0]
+        self.weights[0][used] -= rate * grads[0] / (np.sqrt(squares[0][used]) + 1e-6)
         for w, g, s in zip(self.weights[1:], grads[1:], squares[1:], strict=True):
-            g /= len(words)
             s += g * g
             w -= rate * g / (np.sqrt(s) + 1e-6)
 
@@ -129,9 +163,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def _contexts(numbers: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Words around each place; EDGE beyond the ends of its text."""
-    out = np.full((len(at), 2 * SIDE), EDGE, np.int64)
+def _contexts(numbers: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray, edge: int) -> np.ndarray:
+    """Words around each place; the edge word beyond the ends of its text."""
+    out = np.full((len(at), 2 * SIDE), edge, np.int64)
     for j, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         to = at + step
         inside = (to >= bounds[:-1][text]) & (to < bounds[1:][text])
@@ -140,15 +174,16 @@ def _contexts(numbers: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.
 
 
 def _counts(texts: DataFrame) -> DataFrame:
-    """hash, n: how often each word occurs in all texts."""
+    """hash, class, n: how often each word occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textscan.slices(batch):
-                hashes, n = np.unique(textscan.Words(*textscan.utf8(part.column("text"))).hashes(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(n)], names=["hash", "n"])
+            for part in textscan.slices(batch, most=1 << 20):
+                words = textscan.Words(*textscan.utf8(part.column("text")))
+                hashes, at, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(classes(words)[at].astype(np.int8)), pa.array(n)], names=["hash", "class", "n"])
 
-    return texts.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "hash long, class byte, n long").groupBy("hash").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
 
 
 def _round(texts: DataFrame, words: Words, network: Network, number: int, stride: int, rate: float) -> Network:
@@ -158,67 +193,144 @@ def _round(texts: DataFrame, words: Words, network: Network, number: int, stride
         known, given = shared.value
         own = Network([w.copy() for w in given.weights])
         squares = [np.full_like(w, 1e-4) for w in own.weights]
-        seen = 0
+        seen, waiting = 0, []
+
+        def learn(least: int) -> None:
+            """Learns from what is waiting, in batches; under `least` windows wait for more."""
+            nonlocal waiting
+            context, target = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else (np.zeros((0, 4)), np.zeros(0))
+            k = 0
+            while len(target) - k >= least and k < len(target):
+                own.learn(context[k : k + BATCH], target[k : k + BATCH], squares, rate)
+                k += BATCH
+            waiting = [(context[k:], target[k:])] if k < len(target) else []
+
         for batch in batches:
             for part in textscan.slices(batch):
                 found = textscan.Words(*textscan.utf8(part.column("text")))
-                numbers = known.of(found)
+                numbers = known.of(found, found.hashes())
                 text = np.repeat(np.arange(len(found.bounds) - 1), found.counts)
-                place = np.arange(len(numbers)) - found.bounds[:-1][text]
-                # a stride moves on by a word each round; every text gives one window or more
-                n = found.counts[text]
-                at = np.flatnonzero(((place + n + number) % stride == 0) | (place == number % n))
-                for k in range(0, len(at), BATCH):
-                    pick = at[k : k + BATCH]
-                    own.learn(_contexts(numbers, found.bounds, pick, text[pick]), numbers[pick], squares, rate)
+                at = np.flatnonzero((np.arange(len(numbers)) - found.bounds[:-1][text] + number) % stride == 0)
+                waiting.append((_contexts(numbers, found.bounds, at, text[at], own.edge), numbers[at]))
                 seen += len(at)
+                learn(BATCH)
+        learn(1)
         if seen:
-            flat = np.concatenate([w.ravel() for w in own.weights]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], names=["at", "total", "n"])
+            flat = np.concatenate([w.ravel() for w in own.weights]).astype(np.float32)
+            blocks = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(blocks, pa.binary()), pa.array(np.full(len(blocks), seen, np.int64))], names=["at", "weights", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "at int, total double, n long").groupBy("at").agg((F.sum("total") / F.sum("n")).alias("w")).toPandas()
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for at, weights, n in zip(*(batch.column(c).to_pylist() for c in ("at", "weights", "n")), strict=True):
+                total = sums.setdefault(at, [0.0, 0])
+                total[0] = total[0] + np.frombuffer(weights, np.float32).astype(np.float64) * n
+                total[1] += n
+        rows = [(at, (total / n).astype(np.float32).tobytes()) for at, (total, n) in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["at", "weights"])
+
+    copies = texts.select("text").mapInArrow(run, "at int, weights binary, n long")
+    rows = copies.repartition("at").mapInArrow(mean, "at int, weights binary").toPandas().sort_values("at")
     if not len(rows):
         return network
-    flat = np.zeros(len(rows))
-    flat[rows["at"].to_numpy()] = rows["w"].to_numpy()
-    parts = np.split(flat, np.cumsum([int(np.prod(s)) for s in _sizes()])[:-1])
-    return Network([p.reshape(s).astype(np.float32) for p, s in zip(parts, _sizes(), strict=True)])
+    flat, shapes = np.frombuffer(b"".join(map(bytes, rows["weights"])), np.float32), Network.shapes(network.groups)
+    parts = np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
+    return Network([p.reshape(s).copy() for p, s in zip(parts, shapes, strict=True)])
 
 
-def train(texts: DataFrame, rounds: int = 2, stride: int = 1, rate: float = 0.1) -> tuple[Words, Network]:
-    counts = _counts(texts)
-    top = counts.orderBy(F.desc("n"), "hash").limit(VOCABULARY - CLASSES).toPandas()
-    words = Words(top["hash"].to_numpy(np.int64).astype(np.uint64))
-    known = np.zeros(VOCABULARY)
+def train(texts: DataFrame, counts: DataFrame, rounds: int = 2, stride: int = 2, rate: float = 0.1) -> tuple[Words, Network, np.ndarray]:
+    """The vocabulary, the network, and how often words of each class occur."""
+    groups = groups_for(counts.count())
+    top = counts.orderBy(F.desc("n"), "hash").limit(groups * groups - CLASSES).toPandas()
+    words = Words(top["hash"].to_numpy(np.int64).astype(np.uint64), groups)
+    known = np.zeros(words.size)
     known[: len(top)] = top["n"].to_numpy()
-    known[VOCABULARY - CLASSES :] = max(1.0, float(known[: len(top)].min(initial=1.0)))
-    network = Network.fresh(known)
+    for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        known[words.first_class + r["class"]] = r["n"]
+    np.subtract.at(known, words.first_class + top["class"].to_numpy(np.int64), top["n"].to_numpy())
+    network = Network.fresh(known, groups)
     for number in range(rounds):
         network = _round(texts, words, network, number, stride, rate)
-    return words, network
+    return words, network, known[words.first_class :]
 
 
-def score(docs: DataFrame, rounds: int = 2, stride: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_likelihood, mean_log_likelihood for each document."""
-    texts = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(texts, rounds, stride))
-    id_type = docs.schema[id_col].dataType.simpleString()
+_SCORED = "chunk long, ids binary, n binary, sums binary, rare binary, places binary, place int, hash long, class byte"
+
+
+def _scored(texts: DataFrame, words: Words, network: Network) -> DataFrame:
+    """Rows of texts (ids, n, sums, rare, places: of several texts each) and of chunks' rare words (place, hash, class)."""
+    shared = texts.sparkSession.sparkContext.broadcast((words, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, network = shared.value
+        known, net = shared.value
+        number = TaskContext.get().partitionId() << 24
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             for part in textscan.slices(batch):
-                found = textscan.Words(*textscan.utf8(part.column("text")))
-                numbers = words.of(found)
-                text = np.repeat(np.arange(len(found.bounds) - 1), found.counts)
+                data, offsets = textscan.utf8(part.column("text"))
+                found = textscan.Words(data, offsets)
+                hashes = found.hashes()
+                numbers = known.of(found, hashes)
+                text = np.repeat(np.arange(len(found.counts)), found.counts)
                 values = np.zeros(len(numbers))
-                for k in range(0, len(numbers), 8 * BATCH):
-                    at = np.arange(k, min(k + 8 * BATCH, len(numbers)))
-                    values[at] = network.log_probabilities(_contexts(numbers, found.bounds, at, text[at]), numbers[at])
-                sums, n = np.bincount(text, values, len(found.counts)), found.counts
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(n, 1), mask=n == 0)],
-                    names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"],
-                )
-
-    return texts.mapInArrow(run, f"doc_id {id_type}, n_words long, log_likelihood double, mean_log_likelihood double")
+                for k in range(0, len(numbers), 4 * BATCH):
+                    at = np.arange(k, min(k + 4 * BATCH, len(numbers)))
+                    values[at] = net.log_probabilities(_contexts(numbers, found.bounds, at, text[at], net.edge), numbers[at])
+                rare = np.flatnonzero(numbers >= known.first_class)
+                held.append((part.column("id"), found.counts, np.bincount(text, values, len(found.counts)), np.bincount(text[rare], minlength=len(found.counts)), hashes[rare], numbers[rare] - known.first_class))
+                size += len(data)
+                if size >= CHUNK_BYTES:
+                    yield from _chunk(held, number)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield from _chunk(held, number)
+
+    return texts.mapInArrow(run, _SCORED)
+
+
+def _chunk(held: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in _SCORED.split(", ")]
+    kinds = dict(zip(names, [pa.int64(), *[pa.binary()] * 5, pa.int32(), pa.int64(), pa.int8()], strict=True))
+    hashes, at, places = np.unique(np.concatenate([h[4] for h in held]), return_index=True, return_inverse=True)
+    kind = np.concatenate([h[5] for h in held])[at]
+
+    def rows(rows_: int, /, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(rows_, kinds[c]) for c in names], names=names)
+
+    for k in range(0, len(hashes), 50_000):
+        n = min(50_000, len(hashes) - k)
+        yield rows(n, chunk=[number] * n, place=np.arange(k, k + n, dtype=np.int32), hash=hashes[k : k + n].astype(np.int64), **{"class": kind[k : k + n].astype(np.int8)})
+    start = 0
+    for ids, n, sums, rare, own, _ in held:
+        raw = pa.RecordBatch.from_arrays([ids], names=["id"]).serialize().to_pybytes()
+        yield rows(1, chunk=[number], ids=[raw], n=[n.astype("<i8").tobytes()], sums=[sums.astype("<f8").tobytes()], rare=[rare.astype("<i8").tobytes()], places=[places[start : start + len(own)].astype("<i4").tobytes()])
+        start += len(own)
+
+
+def score(docs: DataFrame, rounds: int = 2, stride: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, log_likelihood, mean_log_likelihood for each document."""
+    texts = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = materialize(_counts(texts))
+    words, network, totals = train(texts, counts, rounds, stride)
+    scored = materialize(_scored(texts, words, network))
+    of_class = F.element_at(F.array(*[F.lit(float(max(t, 1.0))) for t in totals]), F.col("class") + 1)
+    shares = scored.where("hash is not null").select(F.col("chunk").alias("of"), "place", "hash", "class").join(counts.select("hash", "n"), "hash").withColumn("share", F.log(F.col("n") / of_class)).select("of", "place", "share")
+    id_type, id_arrow = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        share = np.zeros(right.num_rows)
+        share[right.column("place").to_numpy()] = right.column("share").to_numpy()
+        ids, ns, sums = [], [], []
+        for raw, n, own, rare, places in zip(*(left.column(c).to_pylist() for c in ("ids", "n", "sums", "rare", "places")), strict=True):
+            rare = np.frombuffer(rare, "<i8")
+            owner = np.repeat(np.arange(len(rare)), rare)
+            ids.append(pa.ipc.read_record_batch(pa.py_buffer(raw), pa.schema([("id", id_arrow)])).column(0))
+            ns.append(np.frombuffer(n, "<i8"))
+            sums.append(np.frombuffer(own, "<f8") + np.bincount(owner, share[np.frombuffer(places, "<i4")], len(rare)))
+        n, total = np.concatenate([np.zeros(0, np.int64), *ns]), np.concatenate([np.zeros(0), *sums])
+        return pa.table({"doc_id": pa.chunked_array(ids, id_arrow), "n_words": n, "log_likelihood": total, "mean_log_likelihood": pa.array(total / np.maximum(n, 1), mask=n == 0)})
+
+    left = scored.where("hash is null").select("chunk", "ids", "n", "sums", "rare", "places")
+    return left.groupBy("chunk").cogroup(shares.groupBy("of")).applyInArrow(add, f"doc_id {id_type}, n_words long, log_likelihood double, mean_log_likelihood double")

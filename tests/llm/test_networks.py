@@ -86,3 +86,70 @@ def test_trees_node_by_node():
             margin += leaf[node - len(feature)]
         assert score == pytest.approx(1 / (1 + math.exp(-margin)))
     assert ((model.scores(x) > 0.5) == (y > 0.5)).mean() > 0.95
+
+
+def window_network(seed=7, groups=32):
+    rng = np.random.default_rng(seed)
+    return M.Network([rng.normal(0, 0.3, s) for s in M.Network.shapes(groups)])
+
+
+def test_window_log_probabilities_by_plain_softmax():
+    net, rng = window_network(), np.random.default_rng(8)
+    words, context = rng.integers(0, net.edge, 40), rng.integers(0, net.edge + 1, (40, 2 * M.SIDE))
+    found = net.log_probabilities(context, words)
+    for w, c, value in zip(words, context, found, strict=True):
+        h = np.tanh(net.weights[1] + sum(net.weights[0][j * (net.edge + 1) + x] for j, x in enumerate(c)))
+        group = h @ net.weights[2] + net.weights[3]
+        inner = [h @ net.weights[4][g] + net.weights[5][g] for g in range(net.groups)]
+        every = np.concatenate([group[g] - np.log(np.exp(group).sum()) + z - np.log(np.exp(z).sum()) for g, z in enumerate(inner)])
+        assert np.exp(every).sum() == pytest.approx(1) and value == pytest.approx(every[w])
+
+
+def test_window_gradients_by_differences():
+    net, rng = window_network(9), np.random.default_rng(10)
+    words, context = rng.integers(0, net.edge, 30), rng.integers(0, net.edge + 1, (30, 2 * M.SIDE))
+    used, grads = net.gradients(context, words)
+    whole = [np.zeros_like(net.weights[0]), *grads[1:]]
+    whole[0][used] = grads[0]
+    for weight, grad in zip(net.weights, whole, strict=True):
+        for at in [np.unravel_index(k, grad.shape) for k in np.argsort(-np.abs(grad), axis=None)[:3]]:
+            kept = weight[at]
+            values = []
+            for step in (1e-5, -1e-5):
+                weight[at] = kept + step
+                values.append(-net.log_probabilities(context, words).mean())
+            weight[at] = kept
+            assert grad[at] == pytest.approx((values[0] - values[1]) / 2e-5, rel=1e-3)
+
+
+def test_scores_of_a_table_one_word_at_a_time(spark, monkeypatch):
+    """The score of each text is the sum of the network's log-probabilities and of shares of rare words in their classes."""
+    from collections import Counter
+
+    from phaseframe.llm import textscan
+
+    seen = []
+    train = M.train
+    monkeypatch.setattr(M, "train", lambda *a, **k: seen.append(train(*a, **k)) or seen[-1])
+    rng = random.Random(11)
+    often = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choice(often) if rng.random() < 0.7 else f"{rng.choice('aB')}{rng.randrange(3000)}" for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in M.score(frame).collect()}
+    words, net, totals = seen[0]
+    counts = Counter(w for t in texts for w in (t or "").split())
+
+    def number(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        one = textscan.Words(raw, np.array([0, len(raw)]))
+        return int(words.of(one, one.hashes())[0])
+
+    numbers = {w: number(w) for w in counts}
+    rare = {w: n - words.first_class for w, n in numbers.items() if n >= words.first_class}
+    assert len(rare) > 100 and sum(totals) == sum(counts[w] for w in rare)
+    for i, t in enumerate(texts):
+        own = (t or "").split()
+        around = [[numbers[own[k + s]] if 0 <= k + s < len(own) else net.edge for s in (-2, -1, 1, 2)] for k in range(len(own))]
+        total = sum(net.log_probabilities(np.array([c]), np.array([numbers[w]]))[0] for c, w in zip(around, own, strict=True))
+        total += sum(math.log(counts[w] / totals[rare[w]]) for w in own if w in rare)
+        assert found[i]["log_likelihood"] == pytest.approx(total, rel=1e-4, abs=1e-4) and found[i]["n_words"] == len(own)
