@@ -5,18 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phaseframe.operators.filters import FIRST, PAIRED, SECOND, SUPPLEMENTARY
 
-def combine_pieces(pieces: DataFrame) -> DataFrame:
-    """contig, name, site, allele of pieces(contig, name, piece, site, allele, order): of several observations of a
-    site the one with the largest order wins."""
-    return pieces.groupBy("contig", "name", "site").agg(F.max_by("allele", "order").alias("allele"))
 
+def usable_pieces(pieces: DataFrame, most: int = 40_000) -> DataFrame:
+    """The pieces that make up each read, with turn (later turns overwrite earlier ones) and mate.
 
-def usable_supplements(pieces: DataFrame, most: int = 40_000) -> DataFrame:
-    """Of pieces(contig, name, supplementary, first_site, last_site, first_base, last_base) those that are used: all
-    where no gap between neighbours exceeds most, else the primary ones; without a primary, none."""
-    order = Window.partitionBy("contig", "name").orderBy("first_site", "last_site")
-    gap = F.lead("first_base").over(order) - F.col("last_base")
-    whole = Window.partitionBy("contig", "name")
-    marked = pieces.withColumn("gap", gap).withColumn("wide", F.max(F.coalesce(F.col("gap") > most, F.lit(False))).over(whole)).withColumn("has", F.max(~F.col("supplementary")).over(whole))
-    return marked.where("has and (not wide or not supplementary)").drop("gap", "wide", "has")
+    pieces: contig, name, piece, flags, pos, cigar, first_site, last_site (null without observations), first_base,
+    last_base. By read name: two paired pieces are mates, the first in pair takes turn 0 and the other turn 1 and mate 1
+    (a pair without such flags is dropped). One piece that is not supplementary stands alone. Otherwise all pieces
+    join the primary one (the last by position, if several), unless two neighbouring pieces lie more than `most` bases
+    apart, where the primary stays alone; without a primary the read is dropped.
+    """
+    name = Window.partitionBy("contig", "name")
+    has = lambda bit: F.col("flags").bitwiseAND(bit) > 0
+    order = ["pos", "cigar", "piece"]
+    sites = name.orderBy(F.asc_nulls_last("first_site"), "last_site")
+    marked = (
+        pieces.withColumn("n", F.count("*").over(name))
+        .withColumn("n_paired", F.count_if(has(PAIRED)).over(name))
+        .withColumn("gap", F.lead("first_base").over(sites) - F.col("last_base"))
+        .withColumn("wide", F.max(F.coalesce(F.col("first_site").isNotNull() & F.lead("first_site").over(sites).isNotNull() & (F.col("gap") > most), F.lit(False))).over(name))
+        .withColumn("main", ~has(SUPPLEMENTARY))
+        .withColumn("main_place", F.row_number().over(Window.partitionBy("contig", "name", "main").orderBy(*[F.desc(c) for c in order])))
+        .withColumn("has_main", F.max("main").over(name))
+        .withColumn("place", F.row_number().over(name.orderBy("flags", "first_site", F.desc("last_site"), "piece")))
+        .withColumn("lead_flags", F.min_by("flags", "place").over(name))
+    )
+    mates = (F.col("n") == 2) & (F.col("n_paired") == 2)
+    known = F.col("lead_flags").bitwiseAND(FIRST | SECOND) > 0
+    leads = F.col("lead_flags").bitwiseAND(FIRST) > 0
+    base = F.when(leads, F.col("place") == 1).otherwise(F.col("place") == 2)
+    primary = F.col("main") & (F.col("main_place") == 1)
+    keep = F.when(mates, known).when(F.col("n") == 1, F.col("main")).otherwise(F.col("has_main") & (primary | ~F.col("wide")))
+    by_place = F.row_number().over(name.orderBy(*order)).cast("int")
+    turn = F.when(mates, F.when(base, 0).otherwise(1)).when(primary, 0).otherwise(by_place)
+    out = marked.withColumn("turn", turn).withColumn("mate", F.when(mates & ~base, 1).otherwise(0)).where(keep)
+    return out.select(*pieces.columns, "turn", "mate")
+
+
+def combine_pieces(obs: DataFrame, usable: DataFrame) -> DataFrame:
+    """contig, name, site, allele, qual, mate, seq_pos: of several observations of a site that of the latest turn wins.
+
+    obs: contig, name, piece, site, allele, qual, seq_pos; usable: as usable_pieces gives it.
+    """
+    rows = obs.join(usable.select("contig", "name", "piece", "turn", "mate"), ["contig", "name", "piece"])
+    last = rows.groupBy("contig", "name", "site").agg(F.max_by(F.struct("allele", "qual", "mate", "seq_pos"), "turn").alias("o"))
+    return last.select("contig", "name", "site", "o.*")
+
+
+def combined_ranges(usable: DataFrame, strict: bool = False) -> DataFrame:
+    """contig, name, is_paired, first_site, last_site, first_base, last_base of the combined reads.
+
+    last_base is the largest of the pieces; with strict, the smallest.
+    """
+    last = (F.min if strict else F.max)("last_base").alias("last_base")
+    return usable.groupBy("contig", "name").agg((F.max(F.col("flags").bitwiseAND(PAIRED)) > 0).alias("is_paired"), F.min("first_site").alias("first_site"), F.max("last_site").alias("last_site"), F.min("first_base").alias("first_base"), last)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.operators.pileup import consensus, pileup
+from phaseframe.operators.pileup import consensus
 
 
-def haplotype_distance(obs: DataFrame, scope: list[str], group: str) -> DataFrame:
+def haplotype_distance(piled: DataFrame, scope: list[str], group: str) -> DataFrame:
     """same and diff of the consensus alleles of each two groups of a scope, over common sites."""
-    best = consensus(pileup(obs, *scope, group), *scope, group).select(*scope, group, "site", "allele")
+    best = consensus(piled, *scope, group).select(*scope, group, "site", "allele")
     other = best.select(*scope, F.col(group).alias("other"), "site", F.col("allele").alias("b"))
     return best.join(other, [*scope, "site"]).where(F.col(group) < F.col("other")).groupBy(*scope, group, "other").agg(F.count_if(F.col("allele") == F.col("b")).alias("same"), F.count_if(F.col("allele") != F.col("b")).alias("diff"))
 
@@ -25,13 +25,15 @@ def _against(obs: DataFrame, piled: DataFrame, scope: list[str], group: str, how
 
 
 def read_haplotype_distance(obs: DataFrame, piled: DataFrame, scope: list[str], group: str) -> DataFrame:
-    """same and diff of each read against each group's pileup, over covered sites; ties of alleles count for neither."""
+    """same and diff (whole numbers, rounded) of each read against each group's pileup, over covered sites; alleles that
+    tie with the heaviest count for neither."""
     rows = _against(obs, piled, scope, group, "inner").withColumn("own", F.coalesce(F.col("w")[F.col("allele")], F.lit(0.0)))
     ties = F.size(F.filter(F.map_values("w"), lambda x: F.round(x, 9) == F.round("top", 9)))
     best = F.round("own", 9) == F.round("top", 9)
     same = F.sum(F.when(best & (ties == 1), F.col("weight")).otherwise(0.0))
     diff = F.sum(F.when(~best, F.col("weight")).otherwise(0.0))
-    return rows.groupBy(*scope, "frag_id", group).agg(same.alias("same"), diff.alias("diff"))
+    whole = lambda x: F.round(F.round(x, 6)).cast("long")
+    return rows.groupBy(*scope, "frag_id", group).agg(whole(same).alias("same"), whole(diff).alias("diff"))
 
 
 def read_haplotype_distance_eps(obs: DataFrame, piled: DataFrame, scope: list[str], group: str, epsilon: float) -> DataFrame:
@@ -53,11 +55,21 @@ def read_read_distance(obs: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def hybrid_correct(long_reads: DataFrame, short_reads: DataFrame) -> DataFrame:
-    """Observations of long reads with alleles of the short read that agrees best (most same minus diff, then id)."""
+    """Observations of long reads, corrected by short ones: contig, frag_id, site, allele.
+
+    For each site of a long read, the short read over it that agrees best with the whole long read (10 * same over
+    diff + 1, in whole numbers; the smallest id on ties) is chosen. Where all chosen reads that cover a site have one
+    allele there, the long read gets it; elsewhere it keeps its own.
+    """
     a = long_reads.select("contig", "frag_id", "site", "allele", "weight")
     b = short_reads.select("contig", F.col("frag_id").alias("short_id"), "site", F.col("allele").alias("s"), F.col("weight").alias("v"))
     value = F.round(F.col("weight") * F.col("v")).cast("long")
-    votes = a.join(b, ["contig", "site"]).groupBy("contig", "frag_id", "short_id").agg(F.sum(F.when(F.col("allele") == F.col("s"), value).otherwise(-value)).alias("score"))
-    best = votes.groupBy("contig", "frag_id").agg(F.max_by("short_id", F.struct("score", -F.col("short_id"))).alias("short_id"), F.max("score").alias("score")).where("score > 0")
-    chosen = best.join(b, ["contig", "short_id"]).select("contig", "frag_id", "site", "s")
-    return a.join(chosen, ["contig", "frag_id", "site"], "left").select("contig", "frag_id", "site", F.coalesce("s", "allele").alias("allele"))
+    met = a.join(b, ["contig", "site"])
+    same, diff = (F.sum(F.when(t, value).otherwise(0)) for t in (F.col("allele") == F.col("s"), F.col("allele") != F.col("s")))
+    score = met.groupBy("contig", "frag_id", "short_id").agg(F.floor(same * 10 / (diff + 1)).alias("score"))
+    over = met.select("contig", "frag_id", "site", "short_id").join(score, ["contig", "frag_id", "short_id"])
+    best = over.groupBy("contig", "frag_id", "site").agg(F.max_by("short_id", F.struct("score", -F.col("short_id"))).alias("short_id"))
+    chosen = best.select("contig", "frag_id", "short_id").distinct().join(b, ["contig", "short_id"])
+    voted = chosen.groupBy("contig", "frag_id", "site").agg(F.min("s").alias("one"), F.max("s").alias("two"))
+    agreed = voted.where("one = two").select("contig", "frag_id", "site", F.col("one").alias("s"))
+    return a.join(agreed, ["contig", "frag_id", "site"], "left").select("contig", "frag_id", "site", F.coalesce("s", "allele").alias("allele"))

@@ -14,14 +14,27 @@ def swap_alleles(reference: DataFrame, alleles: DataFrame) -> DataFrame:
     return letters.groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "letter"))), lambda x: x["letter"]), "").alias("seq"))
 
 
-def trim_offsets(obs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The nearest covered site at or after a range's left end and at or before its right end, for each read."""
-    rows = obs.join(ranges, ["contig", "part"])
-    return rows.groupBy("contig", "part", "frag_id").agg(F.min(F.when(F.col("site") >= F.col("lo"), F.col("site"))).alias("left_site"), F.max(F.when(F.col("site") <= F.col("hi"), F.col("site"))).alias("right_site"))
-
-
-def trimmed(reads: DataFrame, margin: int = 25) -> DataFrame:
-    """Reads cut to left .. right (from 1), a margin more on both sides as far as the read goes."""
-    low = F.greatest(F.lit(1), F.col("left") - margin).cast("int")
-    high = F.least(F.length("seq"), F.col("right") + margin).cast("int")
-    return reads.withColumn("seq", F.substring(F.col("seq"), low, high - low + 1))
+def trim_offsets(obs: DataFrame, ranges: DataFrame, lengths: DataFrame, margin: int = 25, extend: bool = True) -> DataFrame:
+    """contig, part, frag_id, left, right (from 0, inclusive): what of each read lies in its part.
+
+    obs: contig, part, frag_id, site, seq_pos; ranges: contig, part, l_site, r_site; lengths: contig, frag_id, length.
+    The left end is at the first covered site at or after l_site, the right one at the last at or before r_site, both
+    moved out by `margin` as far as the read goes. With extend, a read that starts (ends) inside the range is whole on
+    that side. Reads beyond the range, and those whose left end comes after the right one, are left out.
+    """
+    rows = obs.join(ranges.select("contig", "part", "l_site", "r_site"), ["contig", "part"])
+    ends = rows.groupBy("contig", "part", "frag_id").agg(
+        F.min("site").alias("first"), F.max("site").alias("last"), F.first("l_site").alias("l_site"), F.first("r_site").alias("r_site"),
+        F.min_by("seq_pos", F.when(F.col("site") >= F.col("l_site"), F.col("site"))).alias("a"), F.max_by("seq_pos", F.when(F.col("site") <= F.col("r_site"), F.col("site"))).alias("z"),
+    )
+    whole = ends.where("first <= r_site and last >= l_site").join(lengths, ["contig", "frag_id"])
+    low, high = F.greatest(F.lit(0), F.col("a") - margin), F.least(F.col("length") - 1, F.col("z") + margin)
+    left = F.when(F.lit(extend) & (F.col("first") > F.col("l_site")), 0).otherwise(low)
+    right = F.when(F.lit(extend) & (F.col("last") < F.col("r_site")), F.col("length") - 1).otherwise(high)
+    return whole.select("contig", "part", "frag_id", left.cast("long").alias("left"), right.cast("long").alias("right")).where("left <= right")
+
+
+def trimmed(reads: DataFrame) -> DataFrame:
+    """reads(seq, left, right and others) with seq, and qual where there is one, cut to left .. right (from 0)."""
+    cut = lambda c: F.substring(F.col(c), (F.col("left") + 1).cast("int"), (F.col("right") - F.col("left") + 1).cast("int"))
+    return reads.withColumns({c: cut(c) for c in ("seq", "qual") if c in reads.columns})

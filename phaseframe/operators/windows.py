@@ -69,3 +69,15 @@ def coverage_breaks(obs: DataFrame, reach: int, *keys: str) -> DataFrame:
     sites = obs.select(*keys, "site").distinct()
     before, after = F.count("*").over(order.rangeBetween(-reach + 1, -1)), F.count("*").over(order.rangeBetween(1, reach))
     return sites.withColumn("before", before).withColumn("after", after).where("before > 0 and after = 0").select(*keys, "site")
+
+
+def merge_segments(segments: DataFrame, *keys: str) -> DataFrame:
+    """keys, l_site, r_site: ranges after neighbouring segments of uneven depth have been joined.
+
+    segments: keys, l_site (of the whole), r_site (of the whole), cut (the site after which the segment ends, null for
+    the last one), n_reads. A cut goes where one side holds more than 95 % of both sides' reads, or at or before l_site.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("cut"))
+    share = F.col("n_reads") / (F.col("n_reads") + F.lead("n_reads").over(order))
+    left = segments.withColumn("share", share).where(F.col("cut").isNull() | ((F.col("cut") > F.col("l_site")) & (F.col("share") <= 0.95) & (F.col("share") >= 0.05)))
+    return left.select(*keys, F.coalesce(F.lag("cut").over(order), F.col("l_site")).alias("l_site"), F.coalesce("cut", "r_site").alias("r_site"))

@@ -5,10 +5,11 @@ Ties are decided by explicit orders (fragment order, smallest cluster), so resul
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import defaultdict
 
+import numpy as np
+
 Read = list[tuple[int, int, float]]  # (site, allele, weight), by site
 Piles = dict[int, dict[int, float]]
 
@@ -82,13 +83,16 @@ def beam_search(reads: list[Read], ploidy: int, epsilon: float, width: int = 10)
                 if chance - total <= math.log(0.01):
                     continue
                 children[(*path, c)] = (score + d, piles, c)
-        keep = heapq.nsmallest(width * (ploidy if k < 25 else 1), children.items(), key=lambda x: (x[1][0], x[0]))
-        states = []
-        for path, (score, piles, c) in keep:
+        states, most = [], width * (ploidy if k < 25 else 1)
+        for path, (score, piles, c) in sorted(children.items(), key=lambda x: (x[1][0], x[0])):
             own = [{s: at for s, at in p.items() if s >= start} for p in piles]
             own[c] = {s: dict(at) for s, at in own[c].items()}
             _add(own[c], read)
-            states.append((score, path, own))
+            # of states that differ in nothing that is still to come, the better one stays
+            if not any(own == same for _, _, same in states):
+                states.append((score, path, own))
+                if len(states) == most:
+                    break
     return list(min(states, key=lambda x: (x[0], x[1]))[1]) if reads else []
 
 
@@ -205,31 +209,40 @@ def balance(weights: dict[Edge, float]) -> dict[Edge, float]:
 
 
 def peel_paths(nodes: list[tuple[int, int]], flows: dict[Edge, float], least: float = 2.0, drop: float = 0.33) -> list[list[tuple[int, int]]]:
-    """Disjoint paths, widest first; a path ends where the flow falls under `drop` of what came in."""
+    """Disjoint paths, widest first; a path ends where the flow falls under `drop` of what came in.
+
+    At such a fall the edge is cut for good if its start has one way in, and its end begins a path of its own if it has
+    one way in.
+    """
     left, edges = set(nodes), {e: f for e, f in flows.items() if f >= least}
     out = []
     while left:
-        live = {e: f for e, f in edges.items() if (e[0], e[1]) in left and (e[0] + 1, e[2]) in left}
-        incoming, outgoing = defaultdict(list), defaultdict(list)
-        for (c, a, b), f in sorted(live.items()):
-            incoming[c + 1, b].append(((c, a), f))
+        edges = {e: f for e, f in edges.items() if (e[0], e[1]) in left and (e[0] + 1, e[2]) in left}
+        incoming, outgoing = defaultdict(int), defaultdict(list)
+        for (c, a, b), f in sorted(edges.items()):
+            incoming[c + 1, b] += 1
             outgoing[c, a].append(((c + 1, b), f))
-        score = {n: (math.inf if not incoming[n] else 0.0) for n in left}
-        via: dict = {}
+        starts = {n for n in left if not incoming[n]}
+        score = {n: (math.inf if n in starts else 0.0) for n in left}
         sinks = sorted(n for n in left if not outgoing[n])
+        via: dict = {}
+        cut: list[Edge] = []
         for n in sorted(left):
             for target, f in outgoing[n]:
                 width = min(score[n], f)
                 if width <= score[target]:
                     continue
-                if not math.isinf(score[n]) and f < drop * score[n]:
-                    if len(incoming[target]) == 1:
+                if n not in starts and f < drop * score[n]:
+                    if incoming[n] == 1:
+                        cut.append((n[0], n[1], target[1]))
+                    if incoming[target] == 1:
                         score[target] = math.inf
-                        via.pop(target, None)
-                    continue
-                score[target], via[target] = width, n
-        end = max(sinks, key=lambda n: (score[n], [-x for x in n]))
-        path = [end]
+                        starts.add(target)
+                else:
+                    score[target], via[target] = width, n
+        for e in cut:
+            del edges[e]
+        path = [max(sinks, key=lambda n: (score[n], [-x for x in n]))]
         while path[-1] in via:
             path.append(via[path[-1]])
         out.append(path[::-1])
@@ -251,42 +264,56 @@ def assign(reads: list[tuple[int, Read]], options: dict[int, list[int]], epsilon
     return chosen
 
 
-def bin_parts(parts: list[tuple[int, int, int, float]], gap: int, cutoff: float = 3.0) -> dict[int, int]:
-    """Merges parts (id, left, right, coverage) that don't overlap, lie within gap, and have concordant coverage.
+Bin = list[tuple[int, int, float, int]]  # left, right, coverage, part
 
-    Nearest first, among the 100 parts on either side.
-    """
-    bins = {p: [(left, right, cov)] for p, left, right, cov in parts}
-
-    def apart(a: list, b: list) -> float:
-        if any(x[0] < y[1] and y[0] < x[1] for x in a for y in b):
-            return math.inf
-        if min(max(x[0], y[0]) - min(x[1], y[1]) for x in a for y in b) >= gap:
-            return math.inf
-        mean = lambda z: sum(x[2] * (x[1] - x[0] + 1) for x in z) / sum(x[1] - x[0] + 1 for x in z)
-        x, y = mean(a), mean(b)
-        one = lambda k, rate: math.exp(-rate + k * math.log(max(rate, 1e-9)) - math.lgamma(k + 1))
-        return -math.log(max((one(math.floor(y), x) + one(math.floor(x), y)) / 2, 1e-300))
 
+def bin_distance(a: Bin, b: Bin, length: int) -> float:
+    """How unlikely the mean coverages of two bins are under each other; infinite if parts of them overlap, or none come
+    within two block lengths."""
+    overlap = lambda x, y: x[0] < y[1] and y[0] < x[1] or x[0] >= y[0] and x[1] <= y[1] or y[0] >= x[0] and y[1] <= x[1]
+    near = lambda x, y: abs(x[1] - y[0]) < 2 * length or abs(y[1] - x[0]) < 2 * length
+    if any(overlap(x, y) for x in a for y in b) or not any(near(x, y) for x in a for y in b):
+        return math.inf
+    u, v = (sum(x[2] for x in z) / len(z) for z in (a, b))
+    one = lambda k, rate: math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) if rate > 0 else float(k == 0)
+    both = (one(math.floor(v), u) + one(math.floor(u), v)) / 2
+    return -math.log(both) if both > 0 else math.inf
+
+
+def bin_parts(parts: list[tuple[int, int, int, float | None]], length: int, cutoff: float = -math.log(0.01), reach: int = 100) -> dict[int, int]:
+    """A bin for each part (id, left, right, coverage): parts with concordant coverage that follow one another.
+
+    Bins are in the order of their first part; one may move only while exactly one other, among `reach` on either side,
+    is nearer than the cutoff, and the nearest of such pairs is joined first. Parts without coverage stay alone.
+    """
+    bins: list[Bin] = [[(left, right, cov, p)] for p, left, right, cov in sorted(parts, key=lambda x: (x[1], x[0])) if cov is not None]
     while True:
-        order = sorted(bins, key=lambda p: (min(x[0] for x in bins[p]), p))
-        near = [(apart(bins[a], bins[b]), a, b) for i, a in enumerate(order) for b in order[i + 1 : i + 101]]
-        best = min(near, default=(math.inf, 0, 0))
-        if best[0] > cutoff:
-            return {p: k for k, p in enumerate(order)} if len(order) == len(parts) else _labels(bins, parts)
-        bins[best[1]] += bins.pop(best[2])
-
-
-def _labels(bins: dict, parts: list) -> dict[int, int]:
-    where = {(left, right, cov): k for k, members in enumerate(bins.values()) for left, right, cov in members}
-    return {p: where[left, right, cov] for p, left, right, cov in parts}
-
-
-def realign_score(read: str, target: str, match: int = 2, mismatch: int = -4, gap: int = -6) -> int:
-    """Global alignment score."""
-    row = [j * gap for j in range(len(target) + 1)]
-    for i, a in enumerate(read, 1):
-        last, row[0] = row[0], i * gap
-        for j, b in enumerate(target, 1):
-            last, row[j] = row[j], max(last + (match if a == b else mismatch), row[j] + gap, row[j - 1] + gap)
-    return row[-1]
+        moves = []
+        for i, own in enumerate(bins):
+            options = [(d, i, j) for j in range(max(0, i - reach), min(len(bins), i + reach)) if j != i and (d := bin_distance(own, bins[j], length)) < cutoff]
+            moves += options if len(options) == 1 else []
+        if not moves:
+            break
+        _, i, j = min(moves, key=lambda m: (m[0], m[1], m[2]))
+        bins[min(i, j)] += bins.pop(max(i, j))
+    alone = sorted(p for p, _, _, cov in parts if cov is None)
+    return {x[3]: k for k, own in enumerate(bins) for x in own} | {p: len(bins) + k for k, p in enumerate(alone)}
+
+
+def realign_scores(reads: np.ndarray, targets: np.ndarray, match: int = 1, mismatch: int = -1, opening: int = -2, further: int = -1) -> np.ndarray:
+    """Global alignment scores with affine gaps of each read (a row of characters) against the target in the same row."""
+    rows, n, m = len(reads), reads.shape[1], targets.shape[1]
+    low = -(1 << 20)
+    best = np.zeros((rows, m + 1), np.int32)
+    best[:, 1:] = opening + further * np.arange(m)
+    down = np.full((rows, m + 1), low, np.int32)  # gaps in the target
+    for i in range(n):
+        last = best.copy()
+        down = np.maximum(last + opening, down + further)
+        best[:, 0] = opening + further * i
+        across = np.full(rows, low, np.int32)
+        same = np.where(targets == reads[:, i : i + 1], match, mismatch)
+        for j in range(1, m + 1):
+            across = np.maximum(best[:, j - 1] + opening, across + further)
+            best[:, j] = np.maximum(np.maximum(last[:, j - 1] + same[:, j - 1], down[:, j]), across)
+    return best[:, m]

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phaseframe.operators.intervals import overlap_join
-from phaseframe.operators.parts import block_edges
+from phaseframe.operators.parts import block_edges, numbered
 from phaseframe.operators.windows import block_windows, fragment_order, split_gaps
 from phaseframe.plans import kernels
+from phaseframe.plans.storage import kept
 from phaseframe.sources.bindings import frags_of, sites_of
 
 
+def packed(obs: DataFrame) -> DataFrame:
+    """obs with a row for each read: sites, alleles and weights as arrays in the order of sites."""
+    own = F.array_sort(F.collect_list(F.struct("site", "allele", "weight"))).alias("o")
+    keys = [c for c in obs.columns if c not in ("site", "allele", "weight")]
+    return obs.groupBy(*keys).agg(own).select(*keys, F.col("o.site").alias("sites"), F.col("o.allele").alias("alleles"), F.col("o.weight").alias("weights"))
+
+
 def _reads(group: pd.DataFrame) -> list[tuple[int, kernels.Read]]:
-    """(fragment, observations) in fragment order."""
-    out = []
-    for (_, frag), own in group.sort_values(["rank", "site"]).groupby(["rank", "frag_id"], sort=True):
-        out.append((frag, list(zip(own["site"].tolist(), own["allele"].tolist(), own["weight"].tolist(), strict=True))))
-    return out
+    """(fragment, observations) of packed reads in fragment order."""
+    rows = group.sort_values("rank")
+    return [(f, list(zip(s.tolist(), a.tolist(), w.tolist(), strict=True))) for f, s, a, w in zip(rows["frag_id"], rows["sites"], rows["alleles"], rows["weights"], strict=True)]
 
 
 def reads_in_blocks(frags: DataFrame, blocks: DataFrame, width: int = 64) -> DataFrame:
@@ -26,20 +33,20 @@ def reads_in_blocks(frags: DataFrame, blocks: DataFrame, width: int = 64) -> Dat
 
 
 def phase_blocks(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2) -> DataFrame:
-    """contig, block_id, cluster, frag_id: each block's reads in as many clusters as their errors call for."""
+    """contig, block_id, cluster, frag_id, l_site, r_site: each block's reads in as many clusters as their errors call for."""
     blocks = block_windows(sites_of(obs), length)
     ranked = fragment_order(frags_of(obs))
     placed = reads_in_blocks(ranked, blocks).select("contig", "block_id", "l_site", "r_site", "frag_id", "rank")
-    rows = placed.join(obs.select("contig", "frag_id", "site", "allele", "weight"), ["contig", "frag_id"]).where("site between l_site and r_site")
+    rows = packed(placed.join(obs.select("contig", "frag_id", "site", "allele", "weight"), ["contig", "frag_id"]).where("site between l_site and r_site"))
     kind = obs.schema["contig"].dataType.simpleString()
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         reads = _reads(group)
         clusters = kernels.phase_block([r for _, r in reads], epsilon, most, beam, sensitivity)
         names = {c: k for k, c in enumerate(sorted(set(clusters)))}
-        return pd.DataFrame({"contig": group["contig"].iloc[0], "block_id": int(group["block_id"].iloc[0]), "cluster": [names[c] for c in clusters], "frag_id": [f for f, _ in reads]})
+        return pd.DataFrame({"contig": group["contig"].iloc[0], "block_id": int(group["block_id"].iloc[0]), "cluster": [names[c] for c in clusters], "frag_id": [f for f, _ in reads], "l_site": int(group["l_site"].iloc[0]), "r_site": int(group["r_site"].iloc[0])})
 
-    return rows.groupBy("contig", "block_id").applyInPandas(solve, f"contig {kind}, block_id int, cluster int, frag_id long")
+    return rows.groupBy("contig", "block_id").applyInPandas(solve, f"contig {kind}, block_id int, cluster int, frag_id long, l_site int, r_site int")
 
 
 def flow_edges(edges: DataFrame) -> DataFrame:
@@ -54,11 +61,6 @@ def flow_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("contig").applyInPandas(solve, f"contig {kind}, col int, row_from int, row_to int, weight long, flow double")
 
 
-def numbered(membership: DataFrame) -> DataFrame:
-    """membership with col: blocks of a contig that have clusters, counted from 0."""
-    return membership.withColumn("col", F.dense_rank().over(Window.partitionBy("contig").orderBy("block_id")) - 1)
-
-
 def disjoint_paths(membership: DataFrame, flows: DataFrame) -> DataFrame:
     """contig, path, col, cluster."""
     kind = membership.schema["contig"].dataType.simpleString()
@@ -79,44 +81,56 @@ def path_members(membership: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def assign_reads(obs: DataFrame, members: DataFrame, epsilon: float) -> DataFrame:
-    """contig, frag_id, part: exactly one part for each read."""
+    """contig, frag_id, part: exactly one part for each read.
+
+    A read is placed by the reads before it that it shares sites with, so stretches of a contig that no read spans
+    (islands) are solved apart.
+    """
     kind = obs.schema["contig"].dataType.simpleString()
-    ranked = fragment_order(frags_of(obs)).select("contig", "frag_id", "rank")
+    islands = split_gaps(fragment_order(frags_of(obs)), "contig").select("contig", "frag_id", "rank", "piece")
     options = members.groupBy("contig", "frag_id").agg(F.sort_array(F.collect_set("part")).alias("parts"))
-    rows = obs.select("contig", "frag_id", "site", "allele", "weight").join(ranked, ["contig", "frag_id"]).join(options, ["contig", "frag_id"])
+    rows = packed(obs.select("contig", "frag_id", "site", "allele", "weight")).join(islands, ["contig", "frag_id"]).join(options, ["contig", "frag_id"])
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         choice = dict(zip(group["frag_id"], group["parts"], strict=True))
         found = kernels.assign(_reads(group), {k: list(v) for k, v in choice.items()}, epsilon)
         return pd.DataFrame({"contig": group["contig"].iloc[0], "frag_id": list(found), "part": list(found.values())})
 
-    return rows.groupBy("contig").applyInPandas(solve, f"contig {kind}, frag_id long, part int")
+    return rows.groupBy("contig", "piece").applyInPandas(solve, f"contig {kind}, frag_id long, part int")
+
 
+def path_flow(paths: DataFrame, flows: DataFrame) -> DataFrame:
+    """contig, path, flow: mean flow of all edges out of a path's nodes, null if there are none."""
+    out = flows.select("contig", "col", F.col("row_from").alias("cluster"), "flow")
+    return paths.join(out, ["contig", "col", "cluster"], "left").groupBy("contig", "path").agg(F.avg("flow").alias("flow"))
 
-def phase(obs: DataFrame, length: int, epsilon: float) -> DataFrame:
-    """obs with the final part of each read; parts are split at coverage gaps and numbered by range."""
-    membership = phase_blocks(obs, length, epsilon)
-    flows = flow_edges(block_edges(membership, obs))
-    members = path_members(membership, disjoint_paths(membership, flows))
-    chosen = assign_reads(obs, members, epsilon)
+
+def final_parts(obs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """contig, frag_id, part: parts split at coverage gaps and numbered by range."""
     pieces = split_gaps(frags_of(obs).join(chosen, ["contig", "frag_id"]), "contig", "part")
     order = pieces.groupBy("contig", "part", "piece").agg(F.min("first_site").alias("l"), F.max("last_site").alias("r"))
     names = order.withColumn("index", F.row_number().over(Window.partitionBy("contig").orderBy("l", "r", "part", "piece")) - 1)
-    final = pieces.join(names, ["contig", "part", "piece"]).select("contig", "frag_id", F.col("index").alias("part"))
-    return obs.join(final, ["contig", "frag_id"])
+    return pieces.join(names, ["contig", "part", "piece"]).select("contig", "frag_id", F.col("index").alias("part"))
 
 
-def bin_parts(obs: DataFrame, gap: int) -> DataFrame:
-    """contig, part, bin: parts that follow one another with concordant coverage share a bin."""
-    from phaseframe.operators.parts import part_ranges
-    from phaseframe.operators.pileup import error_coverage, pileup
+def phase(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2) -> DataFrame:
+    """obs with the final part of each read. What each step gives is kept, so that each is computed once."""
+    obs = kept(obs)
+    membership = kept(phase_blocks(obs, length, epsilon, most, beam, sensitivity))
+    flows = kept(flow_edges(block_edges(membership, obs)))
+    paths = kept(disjoint_paths(membership, flows))
+    chosen = kept(assign_reads(obs, path_members(membership, paths), epsilon))
+    return obs.join(kept(final_parts(obs, chosen)), ["contig", "frag_id"])
 
-    rows = part_ranges(obs).join(error_coverage(pileup(obs, "contig", "part"), "contig", "part"), ["contig", "part"]).select("contig", "part", "l_base", "r_base", "cov")
-    kind = obs.schema["contig"].dataType.simpleString()
+
+def bin_parts(ranges: DataFrame, coverage: DataFrame, length: int) -> DataFrame:
+    """contig, part, bin for ranges(contig, part, l_base, r_base) and coverage(contig, part, cov), which may be null."""
+    rows = ranges.join(coverage, ["contig", "part"]).select("contig", "part", "l_base", "r_base", "cov")
+    kind = ranges.schema["contig"].dataType.simpleString()
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        parts = list(group[["part", "l_base", "r_base", "cov"]].sort_values("part").itertuples(index=False, name=None))
-        found = kernels.bin_parts(parts, gap)
+        parts = [(p, a, b, None if pd.isna(c) else float(c)) for p, a, b, c in group[["part", "l_base", "r_base", "cov"]].itertuples(index=False, name=None)]
+        found = kernels.bin_parts(parts, length)
         return pd.DataFrame({"contig": group["contig"].iloc[0], "part": list(found), "bin": list(found.values())})
 
     return rows.groupBy("contig").applyInPandas(solve, f"contig {kind}, part int, bin int")
@@ -133,20 +147,39 @@ def reassign_short(reads: DataFrame, placed: DataFrame, epsilon: float, width: i
     touching = overlap_join(frags, ranges, ("first_site", "last_site"), ("l_site", "r_site"), ["contig"], width)
     ends = touching.where("first_site between l_site and r_site or last_site between l_site and r_site").select("contig", "frag_id", "part")
     score = read_haplotype_distance_eps(reads, pileup(placed, "contig", "part"), ["contig"], "part", epsilon).join(ends, ["contig", "frag_id", "part"])
-    pair = score.withColumn("d", F.floor(F.col("diff") * 10 + 1)).withColumn("s", F.floor(F.col("same") * 10 + 1)).withColumn("ratio", F.col("d") / F.col("s"))
+    pair = score.withColumn("d", F.floor(F.round(F.round("diff", 6) * 10 + 1, 4))).withColumn("s", F.floor(F.round(F.round("same", 6) * 10 + 1, 4))).withColumn("ratio", F.col("d") / F.col("s"))
     best = pair.groupBy("contig", "frag_id").agg(F.min(F.struct("ratio", "d", "s")).alias("b"))
     return pair.join(best, ["contig", "frag_id"]).where("d = b.d and s = b.s").select("contig", "frag_id", "part")
 
 
-def realign(rows: DataFrame) -> DataFrame:
-    """id, allele: the first candidate window with the best global alignment score."""
+def realign(calls: DataFrame, reference: DataFrame, flank: int = 16) -> DataFrame:
+    """calls with the allele whose base, put into the reference around the site, aligns best with the read there.
+
+    calls: contig, pos (from 0), seq_pos (from 0), seq, alleles (array), allele and others; reference: contig, ref. The
+    first of the best alleles counts. Calls nearer than `flank` to an end of the read or the reference stay as they are.
+    """
+    window = lambda text, at: F.substring(F.col(text), (F.col(at) - flank + 1).cast("int"), F.lit(2 * flank))
+    inside = (F.col("pos") >= flank) & (F.col("pos") + flank < F.length("ref")) & (F.col("seq_pos") >= flank) & (F.col("seq_pos") + flank < F.length("seq"))
 
     @F.pandas_udf("int")
-    def best(windows: pd.Series, candidates: pd.Series) -> pd.Series:
-        out = []
-        for window, options in zip(windows, candidates, strict=True):
-            scores = [kernels.realign_score(window, c) for c in options]
-            out.append(scores.index(max(scores)))
+    def best(read: pd.Series, target: pd.Series, alleles: pd.Series, allele: pd.Series) -> pd.Series:
+        out = allele.to_numpy(copy=True)
+        own = np.flatnonzero(read.notna() & target.notna())
+        if not len(own):
+            return pd.Series(out)
+        grid = lambda texts: np.array([list(x.encode()) for x in texts], np.uint8)
+        reads, targets = grid(read.iloc[own]), grid(target.iloc[own])
+        options = [list(a) for a in alleles.iloc[own]]
+        top, score = np.zeros(len(own), np.int32), np.full(len(own), -(1 << 30))
+        for k in range(max(map(len, options))):
+            rows = np.flatnonzero([len(o) > k for o in options])
+            tried = targets[rows].copy()
+            tried[:, flank] = [ord(options[r][k]) for r in rows]
+            found = kernels.realign_scores(reads[rows], tried)
+            better = found > score[rows]
+            top[rows[better]], score[rows[better]] = k, found[better]
+        out[own] = top
         return pd.Series(out)
 
-    return rows.select("id", best("window", "candidates").alias("allele"))
+    near = calls.join(reference, "contig").withColumn("read_window", F.when(inside, F.upper(window("seq", "seq_pos")))).withColumn("ref_window", F.when(inside, F.upper(window("ref", "pos"))))
+    return near.withColumn("allele", best("read_window", "ref_window", "alleles", "allele")).select(*calls.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phaseframe.functions import scalars as X
+from phaseframe.operators import combine as C
 from phaseframe.operators import distances as D
 from phaseframe.operators import filters as FL
 from phaseframe.operators import intervals as I
@@ -13,8 +14,10 @@ from phaseframe.operators import parts as PT
 from phaseframe.operators import pileup as P
 from phaseframe.operators import windows as W
 from phaseframe.plans import phasing
+from phaseframe.plans.storage import kept
 from phaseframe.sources import bindings as B
 from phaseframe.sources import files as S
+from phaseframe.sources import sinks as K
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -241,18 +244,22 @@ def vartigs(s, d):
     return _vartigs(_ep(s, d))
 
 
+def _parts(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges and pileup of parts, each computed once."""
+    return kept(PT.part_ranges(obs)), kept(P.pileup(obs, "contig", "part"))
+
+
 def _vartigs(obs: DataFrame) -> DataFrame:
-    text = P.allele_string(P.consensus(P.pileup(obs, "contig", "part"), "contig", "part"), "contig", "part")
-    ranges = PT.part_ranges(obs).select("contig", "part", (F.col("l_base") + 1).alias("l_base"), (F.col("r_base") + 1).alias("r_base"))
-    stats = P.error_coverage(P.pileup(obs, "contig", "part"), "contig", "part").select("contig", "part", F.round("cov", 3).alias("cov"), F.round("err", 4).alias("err"))
-    score = PT.hapq(obs, BLOCK).withColumn("rel_err", F.round("rel_err", 3))
-    return text.join(ranges, ["contig", "part"]).join(stats, ["contig", "part"]).join(score, ["contig", "part"])
+    return K.vartigs(*_parts(obs), BLOCK)
 
 
-@query(_EP + "SELECT contig, part, site, string_agg(allele || ':' || n, '|' ORDER BY allele) AS counts FROM pile GROUP BY ALL")
+@query(
+    _with(OBS_E, PART_W, PILE, RANGES, "best AS (SELECT * FROM pile QUALIFY row_number() OVER (PARTITION BY contig, part, site ORDER BY n DESC, allele) = 1)", "every AS (SELECT contig, part, unnest(range(l_site, r_site + 1)) AS site FROM ranges)", "places AS (SELECT DISTINCT contig, site, pos FROM obs)")
+    + "SELECT e.contig, e.part, CAST(e.site AS INT) AS site, p.pos, coalesce(b.allele::VARCHAR, '?') AS consensus, coalesce(c.counts, 'NA') AS counts FROM every e JOIN places p ON p.contig = e.contig AND p.site = e.site LEFT JOIN best b ON b.contig = e.contig AND b.part = e.part AND b.site = e.site LEFT JOIN (SELECT contig, part, site, string_agg(allele || ':' || n, '|' ORDER BY allele) AS counts FROM pile GROUP BY ALL) c ON c.contig = e.contig AND c.part = e.part AND c.site = e.site"
+)
 def vartig_info(s, d):
-    one = F.transform(F.array_sort(F.collect_list(F.struct("allele", "n"))), lambda x: F.concat_ws(":", x["allele"].cast("string"), x["n"].cast("string")))
-    return P.pileup(_ep(s, d), "contig", "part").groupBy("contig", "part", "site").agg(F.array_join(one, "|").alias("counts"))
+    obs = _ep(s, d)
+    return K.vartig_info(*_parts(obs), B.sites_of(obs))
 
 
 @query(_with(OBS_E, PART_W, RANGES, FRAGS) + "SELECT f.contig, p.part, f.frag_id, first_site, last_site, l_site, r_site FROM frags f JOIN (SELECT DISTINCT contig, frag_id, part FROM pobs) p ON p.contig = f.contig AND p.frag_id = f.frag_id JOIN ranges r ON r.contig = f.contig AND r.part = p.part")
@@ -286,9 +293,9 @@ def contig_error(s, d):
     return stats.groupBy("contig").agg(F.round(F.sum("errors") / F.sum("support"), 9).alias("total_err"))
 
 
-@query(_EP + "SELECT contig, part, n AS cov FROM (SELECT *, row_number() OVER (PARTITION BY contig, part ORDER BY n) AS rn, count(*) OVER (PARTITION BY contig, part) AS c FROM pile) WHERE rn - 1 = c * 2 // 3")
+@query(_EP + "SELECT contig, part, round(weight, 6) AS cov FROM (SELECT *, row_number() OVER (PARTITION BY contig, part ORDER BY weight) AS rn, count(*) OVER (PARTITION BY contig, part) AS c FROM pile) WHERE rn - 1 = c * 2 // 3")
 def node_coverage(s, d):
-    return P.indexed_quantile(P.pileup(_ep(s, d), "contig", "part"), "n", 2, 3, "contig", "part").withColumnRenamed("n", "cov")
+    return P.indexed_quantile(_r(P.pileup(_ep(s, d), "contig", "part"), "weight"), "weight", 2, 3, "contig", "part").withColumnRenamed("weight", "cov")
 
 
 @query(_with(OBS_E, FRAGS) + "SELECT contig, span FROM (SELECT contig, last_site - first_site AS span, row_number() OVER (PARTITION BY contig ORDER BY last_site - first_site) AS rn, count(*) OVER (PARTITION BY contig) AS c FROM frags) WHERE rn - 1 = c * 2 // 3")
@@ -302,13 +309,16 @@ def max_site(s, d):
 
 
 @query(
-    _with(OBS_L, "cols AS (SELECT contig, site, allele, count(*) AS n FROM obs GROUP BY ALL)", "minor AS (SELECT contig, site, list_sort(list(n), 'DESC') AS ns FROM cols GROUP BY ALL)", "ratio AS (SELECT contig, ns[2] / ns[1] AS r FROM minor WHERE list_sum(ns) >= 5 AND len(ns) > 1)")
-    + "SELECT contig, round(greatest(r, 0.01), 6) AS epsilon FROM (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY r) AS rn, count(*) OVER (PARTITION BY contig) AS c FROM ratio) WHERE rn - 1 = c * 66 // 100"
+    _with(
+        OBS_L, FRAGS, "cols AS (SELECT contig, site, count(*) AS n FROM obs GROUP BY contig, site, allele)", "ratio AS (SELECT contig, (sum(n) - max(n)) / max(n) AS r FROM cols GROUP BY contig, site HAVING sum(n) >= 5)",
+        "eps AS (SELECT contig, r FROM (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY r) AS rn, count(*) OVER (PARTITION BY contig) AS c FROM ratio) WHERE rn - 1 = c * 66 // 100)", "len AS (SELECT contig, l FROM (SELECT contig, last_base - first_base + 1 AS l, row_number() OVER (PARTITION BY contig ORDER BY last_base - first_base) AS rn, count(*) OVER (PARTITION BY contig) AS c FROM frags) WHERE rn - 1 = c * 66 // 100)",
+    )
+    + "SELECT contig, round(greatest(r, 0.01), 6) AS epsilon, CAST(greatest(l, 500) AS BIGINT) AS block_length FROM eps JOIN len USING (contig)"
 )
 def estimate_params(s, d):
-    column = P.pileup(_l(s, d), "contig").groupBy("contig", "site").agg(F.sort_array(F.collect_list("n"), asc=False).alias("ns"), F.sum("n").alias("depth"))
-    ratio = column.where("depth >= 5 and size(ns) > 1").select("contig", (F.col("ns")[1] / F.col("ns")[0]).alias("r"))
-    return P.indexed_quantile(ratio, "r", 66, 100, "contig").select("contig", F.round(F.greatest("r", F.lit(0.01)), 6).alias("epsilon"))
+    obs = _l(s, d)
+    lengths = B.frags_of(obs).select("contig", (F.col("last_base") - F.col("first_base") + 1).alias("length"))
+    return _r(P.estimate_parameters(P.pileup(obs, "contig"), lengths), "epsilon")
 
 
 @query(
@@ -319,12 +329,10 @@ def remove_monomorphic(s, d):
     return P.remove_monomorphic(_l(s, d), 0.9).select("contig", "frag_id", "site", "allele")
 
 
-@query(_EP + "SELECT contig, part, site, round(sum(weight), 6) AS weight FROM pobs WHERE allele = 1 AND frag_id % 2 = 0 GROUP BY ALL HAVING sum(weight) > 1e-9")
+@query(_EP + "SELECT contig, part, site, allele, round(sum(weight), 6) AS weight FROM pobs WHERE frag_id % 2 = 0 GROUP BY ALL HAVING sum(weight) > 1e-9")
 def pileup_delta(s, d):
-    obs = _ep(s, d).where("allele = 1")
-    keys = ("contig", "part")
-    out = P.pileup_delta(P.pileup(obs.where("frag_id % 4 <> 0"), *keys), obs.where("frag_id % 4 = 0"), obs.where("frag_id % 2 = 1"), *keys)
-    return _r(out.select("contig", "part", "site", "weight"), "weight")
+    obs, keys = _ep(s, d), ("contig", "part")
+    return _r(P.pileup_delta(P.pileup(obs.where("frag_id % 4 <> 0"), *keys), obs.where("frag_id % 4 = 0"), obs.where("frag_id % 2 = 1"), *keys), "weight")
 
 
 @query(
@@ -335,6 +343,14 @@ def allele_cooccurrence(s, d):
     return _r(P.cooccurrence(_e(s, d), 1), "expected")
 
 
+@query(
+    _E + ", c AS (SELECT a.contig, a.site, a.allele AS a, b.allele AS b, count(*) AS o FROM obs a JOIN obs b ON a.contig = b.contig AND a.frag_id = b.frag_id AND b.site = a.site + 1 GROUP BY ALL), l AS (SELECT contig, site, a, sum(o) AS n_a FROM c GROUP BY ALL), r AS (SELECT contig, site, b, sum(o) AS n_b FROM c GROUP BY ALL), t AS (SELECT contig, site, sum(o) AS n FROM c GROUP BY ALL), "
+    "e AS (SELECT l.contig, l.site, n_a * n_b / n AS e, coalesce(o, 0) AS o FROM l JOIN r USING (contig, site) JOIN t USING (contig, site) LEFT JOIN c USING (contig, site, a, b)) SELECT contig, site, round(sum(abs(o - e)), 6) AS deviation, round(sum((o - e) * (o - e) / e), 6) AS chi_square FROM e GROUP BY ALL"
+)
+def error_correlation(s, d):
+    return _r(P.error_correlation(_e(s, d), 1).drop("p_value"), "deviation", "chi_square")
+
+
 @query(_EP + "SELECT contig, part, round(sum(top), 6) AS same, round(sum(total - top), 6) AS diff FROM (SELECT contig, part, site, max(weight) AS top, sum(weight) AS total FROM pile GROUP BY ALL) GROUP BY ALL")
 def partition_stats(s, d):
     return _r(P.mec_stats(P.pileup(_ep(s, d), "contig", "part"), 0.0, "contig", "part"), "bases", "errors").withColumnsRenamed({"bases": "same", "errors": "diff"})
@@ -491,23 +507,23 @@ def lift_ranges(s, d):
 
 @query(_blocks_sql(PART_R) + "SELECT DISTINCT b.contig, CAST(dense_rank() OVER (PARTITION BY b.contig ORDER BY block_id) - 1 AS INT) AS col, part AS cluster FROM blocks b JOIN pobs o ON o.contig = b.contig AND o.site BETWEEN l_site AND r_site")
 def node_ids(s, d):
-    return phasing.numbered(_membership(s, d)).select("contig", "col", "cluster").distinct()
+    return PT.numbered(_membership(s, d)).select("contig", "col", "cluster").distinct()
 
 
 def _membership(s, d) -> DataFrame:
     obs = B.parts_by_remainder(_e(s, d))
     placed = phasing.reads_in_blocks(B.frags_of(obs), W.block_windows(B.sites_of(obs), 2880)).select("contig", "block_id", "l_site", "r_site", "frag_id")
-    return placed.join(obs.select("contig", "frag_id", "site", "part"), ["contig", "frag_id"]).where("site between l_site and r_site").select("contig", "block_id", F.col("part").alias("cluster"), "frag_id").distinct()
+    return placed.join(obs.select("contig", "frag_id", "site", "part"), ["contig", "frag_id"]).where("site between l_site and r_site").select("contig", "block_id", F.col("part").alias("cluster"), "frag_id", "l_site", "r_site").distinct()
 
 
 # joins
 
 
-@query(_L + "SELECT contig, frag_id, site, pos, allele FROM obs WHERE site % 2 = 0")
+@query(_L + "SELECT o.contig, frag_id, o.site, o.pos, allele FROM obs o JOIN supplier ON s_suppkey + 1 = o.site WHERE s_acctbal > 0")
 def join_sites(s, d):
-    obs = _l(s, d)
-    sites = B.sites_of(obs).where("site % 2 = 0")
-    return obs.select("contig", "frag_id", "pos", "allele").join(F.broadcast(sites) if sites.limit(1_000_001).count() <= 1_000_000 else sites, ["contig", "pos"]).select("contig", "frag_id", "site", "pos", "allele")
+    """Observations at known sites: those of suppliers with money, on both contigs."""
+    known = B.read(s, d, "supplier").where("s_acctbal > 0").select((F.col("s_suppkey") + 1).cast("int").alias("site"), (F.col("s_suppkey") * 1000).cast("long").alias("pos"), F.explode(F.array(F.lit("F"), F.lit("O"))).alias("contig"))
+    return _l(s, d).select("contig", "frag_id", "pos", "allele").join(known, ["contig", "pos"]).select("contig", "frag_id", "site", "pos", "allele")
 
 
 @query("WITH o AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'A' GROUP BY ALL) SELECT o_orderkey, n > 0 AS has_sites FROM o")
@@ -525,26 +541,52 @@ def reads_without_sites(s, d):
     return without.select(F.col("o_orderkey").alias("name"), (F.length("o_orderpriority") + F.length("o_orderpriority")).cast("long").alias("length"))
 
 
-@query(_E + "SELECT contig, frag_id, site, allele, CAST(count(*) OVER (PARTITION BY contig, frag_id) AS BIGINT) AS n FROM obs")
-def combine_reads(s, d):
-    """Pieces of a read (here a week's events by user) merged: the last observation of a site wins."""
-    from phaseframe.operators.combine import combine_pieces
+#: Pieces of reads made from events: a user's week is a read, its days (for every fifth user: its halves) are pieces.
+_PIECES_SQL = """raw AS (SELECT *, (hour + 72) // 24 % 7 AS day, frag_id // 10000 AS user FROM ev), pe AS (SELECT *, CAST(CASE WHEN user % 5 = 0 THEN day // 4 ELSE day END AS INT) AS piece FROM raw),
+ po AS (SELECT pe.contig, frag_id, piece, o.site, o.pos, (SELECT count(DISTINCT event_type) FROM ev x WHERE x.event_type < pe.event_type) AS allele, event_id FROM pe JOIN (SELECT DISTINCT contig, site, pos, pos // 60 AS h FROM obs) o ON o.contig = pe.contig AND o.h = pe.hour - (SELECT min(hour) FROM ev m WHERE m.contig = pe.contig)),
+ p1 AS (SELECT contig, frag_id, piece, min(site) AS fs, max(site) AS ls, min(pos) AS fb, max(pos) AS lb FROM po GROUP BY ALL),
+ p2 AS (SELECT *, CASE WHEN (frag_id // 10000) % 5 = 0 THEN CASE WHEN frag_id % 7 = 0 THEN 1 WHEN (frag_id + piece) % 2 = 0 THEN 65 ELSE 129 END WHEN (frag_id + piece) % 3 = 0 THEN 0 ELSE 2048 END AS flags FROM p1),
+ p3 AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (flags & 1 > 0) OVER w AS np, lead(fb) OVER (PARTITION BY contig, frag_id ORDER BY fs, ls) - lb AS gap, flags & 2048 = 0 AS main, row_number() OVER (PARTITION BY contig, frag_id, flags & 2048 ORDER BY fb DESC, piece DESC) AS mp, row_number() OVER (PARTITION BY contig, frag_id ORDER BY flags, fs, ls DESC, piece) AS pl, row_number() OVER (PARTITION BY contig, frag_id ORDER BY fb, piece) AS bp FROM p2 WINDOW w AS (PARTITION BY contig, frag_id)),
+ p4 AS (SELECT *, coalesce(bool_or(gap > 2000) OVER w, false) AS wide, bool_or(main) OVER w AS has, first_value(flags) OVER (PARTITION BY contig, frag_id ORDER BY pl) AS lf FROM p3 WINDOW w AS (PARTITION BY contig, frag_id)),
+ p5 AS (SELECT *, n = 2 AND np = 2 AS mates, (lf & 64 > 0 AND pl = 1) OR (lf & 64 = 0 AND pl = 2) AS base, main AND mp = 1 AS prim FROM p4),
+ p6 AS (SELECT *, CASE WHEN mates THEN CASE WHEN base THEN 0 ELSE 1 END WHEN prim THEN 0 ELSE bp END AS turn FROM p5 WHERE CASE WHEN mates THEN lf & 192 > 0 WHEN n = 1 THEN main ELSE has AND (prim OR NOT wide) END)"""
 
+
+def _pieces(s, d) -> tuple[DataFrame, DataFrame]:
+    """Pieces of reads, and their observations."""
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000.0)
-    obs = _e(s, d)
-    raw = B.read(s, d, "events").select(F.pmod("user_id", F.lit(4)).cast("int").alias("contig"), (F.col("user_id") * 10000 + F.floor((hour + 72) / 168.0)).alias("name"), (F.col("event_id") % 2).cast("int").alias("piece"), hour.alias("hour"), "event_id", "event_type")
+    raw = B.read(s, d, "events").select(F.pmod("user_id", F.lit(4)).cast("int").alias("contig"), "user_id", (F.col("user_id") * 10000 + F.floor((hour + 72) / 168.0)).alias("name"), hour.alias("hour"), "event_id", "event_type")
     kinds = raw.select("event_type").distinct().agg(F.sort_array(F.collect_set("event_type")).alias("kinds"))
-    hours = raw.select("contig", "hour").distinct().withColumn("site", F.dense_rank().over(Window.partitionBy("contig").orderBy("hour")))
-    pieces = raw.join(hours, ["contig", "hour"]).join(F.broadcast(kinds)).select("contig", "name", "piece", "site", (F.array_position("kinds", F.col("event_type")) - 1).cast("int").alias("allele"), F.col("event_id").alias("order"))
-    del obs
-    merged = combine_pieces(pieces)
-    return merged.withColumn("n", F.count("*").over(Window.partitionBy("contig", "name"))).select("contig", F.col("name").alias("frag_id"), "site", "allele", "n")
+    hours = raw.select("contig", "hour").distinct().withColumn("site", F.dense_rank().over(Window.partitionBy("contig").orderBy("hour"))).withColumn("start", F.min("hour").over(Window.partitionBy("contig")))
+    day = F.floor((F.col("hour") + 72) / 24) % 7
+    piece = F.when(F.col("user_id") % 5 == 0, F.floor(day / 4)).otherwise(day).cast("int")
+    obs = raw.withColumn("piece", piece).join(hours, ["contig", "hour"]).crossJoin(kinds).select("contig", "name", "piece", "site", ((F.col("hour") - F.col("start")) * 60).alias("pos"), (F.array_position("kinds", F.col("event_type")) - 1).cast("int").alias("allele"), F.lit(30).alias("qual"), F.col("event_id").alias("seq_pos"))
+    last = obs.groupBy("contig", "name", "piece", "site").agg(F.max_by(F.struct("pos", "allele", "qual", "seq_pos"), "seq_pos").alias("o")).select("contig", "name", "piece", "site", "o.*")
+    k = F.col("name") + F.col("piece")
+    paired = F.when(F.col("name") % 7 == 0, 1).when(k % 2 == 0, 65).otherwise(129)
+    flags = F.when(F.floor(F.col("name") / 10000) % 5 == 0, paired).when(k % 3 == 0, 0).otherwise(2048)
+    pieces = last.groupBy("contig", "name", "piece").agg(F.min("site").alias("first_site"), F.max("site").alias("last_site"), F.min("pos").alias("first_base"), F.max("pos").alias("last_base"))
+    return pieces.withColumn("flags", flags).withColumn("pos", F.col("first_base")).withColumn("cigar", F.lit("*")), last
+
+
+@query(_with(OBS_E, _PIECES_SQL) + "SELECT contig, frag_id AS name, site, CAST(arg_max(allele, turn * 1000000000 + event_id) AS INT) AS allele, CAST(arg_max(CASE WHEN mates AND turn = 1 THEN 1 ELSE 0 END, turn * 1000000000 + event_id) AS INT) AS mate FROM po JOIN p6 USING (contig, frag_id, piece) GROUP BY contig, frag_id, site")
+def combine_reads(s, d):
+    """Mates and supplementary pieces of a read merged; in one piece the last event of an hour is its observation."""
+    pieces, obs = _pieces(s, d)
+    return C.combine_pieces(obs, C.usable_pieces(pieces, 2000)).select("contig", "name", "site", "allele", "mate")
+
 
+@query(_with(OBS_E, _PIECES_SQL) + "SELECT contig, frag_id AS name, bool_or(flags & 1 > 0) AS is_paired, CAST(min(fs) AS INT) AS first_site, CAST(max(ls) AS INT) AS last_site, min(fb) AS first_base, max(lb) AS last_base FROM p6 GROUP BY contig, frag_id")
+def combined_ranges(s, d):
+    return C.combined_ranges(C.usable_pieces(_pieces(s, d)[0], 2000))
 
-_EDGES = """mem AS (SELECT DISTINCT b.contig, block_id, part AS cluster, frag_id FROM blocks b JOIN pobs o ON o.contig = b.contig AND o.site BETWEEN l_site AND r_site),
+
+_EDGES = """mem AS (SELECT DISTINCT b.contig, block_id, part AS cluster, frag_id, l_site, r_site FROM blocks b JOIN pobs o ON o.contig = b.contig AND o.site BETWEEN l_site AND r_site),
  cols AS (SELECT contig, block_id, CAST(row_number() OVER (PARTITION BY contig ORDER BY block_id) - 1 AS INT) AS col FROM (SELECT DISTINCT contig, block_id FROM mem)), m AS (SELECT * FROM mem JOIN cols USING (contig, block_id)),
- pil AS (SELECT m.contig, col, cluster, site, allele, sum(weight) AS w FROM m JOIN obs o ON o.contig = m.contig AND o.frag_id = m.frag_id GROUP BY ALL), tops AS (SELECT contig, col, cluster, site, max(w) AS top FROM pil GROUP BY ALL),
- prev AS (SELECT DISTINCT contig, col + 1 AS col, frag_id FROM m), d AS (SELECT t.contig, t.col, p.frag_id, t.cluster, round(sum(CASE WHEN round(coalesce(x.w, 0), 9) = round(t.top, 9) THEN 0 ELSE o.weight END), 6) AS d FROM prev p JOIN obs o ON o.contig = p.contig AND o.frag_id = p.frag_id JOIN tops t ON t.contig = p.contig AND t.col = p.col AND t.site = o.site LEFT JOIN pil x ON x.contig = t.contig AND x.col = t.col AND x.cluster = t.cluster AND x.site = t.site AND x.allele = o.allele GROUP BY ALL),
+ pil AS (SELECT m.contig, col, cluster, site, allele, sum(weight) AS w FROM m JOIN obs o ON o.contig = m.contig AND o.frag_id = m.frag_id AND site BETWEEN l_site AND r_site GROUP BY ALL), tops AS (SELECT contig, col, cluster, site, max(w) AS top FROM pil GROUP BY ALL),
+ prev AS (SELECT DISTINCT contig, col + 1 AS col, frag_id FROM m), every AS (SELECT p.contig, p.col, p.frag_id, c.cluster FROM prev p JOIN (SELECT DISTINCT contig, col, cluster FROM m) c ON c.contig = p.contig AND c.col = p.col),
+ d0 AS (SELECT t.contig, t.col, p.frag_id, t.cluster, round(round(sum(CASE WHEN round(coalesce(x.w, 0), 9) = round(t.top, 9) THEN 0 ELSE o.weight END), 6)) AS d FROM prev p JOIN obs o ON o.contig = p.contig AND o.frag_id = p.frag_id JOIN tops t ON t.contig = p.contig AND t.col = p.col AND t.site = o.site LEFT JOIN pil x ON x.contig = t.contig AND x.col = t.col AND x.cluster = t.cluster AND x.site = t.site AND x.allele = o.allele GROUP BY ALL),
+ d AS (SELECT contig, col, frag_id, cluster, coalesce(d, 0) AS d FROM every LEFT JOIN d0 USING (contig, col, frag_id, cluster)),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY contig, col, frag_id ORDER BY d) AS r, min(d) OVER (PARTITION BY contig, col, frag_id) AS least FROM d), tied AS (SELECT contig, col - 1 AS col, frag_id FROM ranked WHERE r = 2 AND d = least)"""
 
 
@@ -553,6 +595,15 @@ def block_edges(s, d):
     return PT.block_edges(_membership(s, d), _e(s, d))
 
 
+@query(
+    _blocks_sql(PART_R, _EDGES)
+    + ", nd AS (SELECT contig, col, cluster, min(block_id) AS block_id, min(l_site) AS l_site, max(r_site) AS r_site, count(*) AS n_reads FROM m GROUP BY ALL), cv AS (SELECT contig, col, cluster, w FROM (SELECT *, row_number() OVER (PARTITION BY contig, col, cluster ORDER BY w) AS rn, count(*) OVER (PARTITION BY contig, col, cluster) AS c FROM pil) WHERE rn - 1 = c * 2 // 3) "
+    "SELECT nd.*, CAST(row_number() OVER (PARTITION BY nd.contig ORDER BY nd.col, nd.cluster) - 1 AS INT) AS node_id, round(w, 6) AS cov FROM nd LEFT JOIN cv USING (contig, col, cluster)"
+)
+def hap_nodes(s, d):
+    return PT.hap_nodes(_membership(s, d), _e(s, d))
+
+
 @query(_with(OBS_E, PART_W, RANGES, OVER) + "SELECT contig, part, other, round(overlap, 6) AS overlap FROM overs WHERE overlap > 0.05")
 def part_overlaps(s, d):
     return _r(PT.part_overlaps(PT.part_ranges(_ep(s, d))), "overlap")
@@ -567,17 +618,16 @@ def gap_reads(s, d):
 
 @query(_with(OBS_E, PART_W, PILE, BEST, DIST) + "SELECT contig, part, other, same, diff FROM dist WHERE part < other")
 def haplotype_distance(s, d):
-    return D.haplotype_distance(_ep(s, d), ["contig"], "part")
+    return D.haplotype_distance(P.pileup(_ep(s, d), "contig", "part"), ["contig"], "part")
 
 
 _TOPS = "t AS (SELECT contig, part, site, max(weight) AS top FROM pile GROUP BY ALL), ties AS (SELECT p.contig, p.part, p.site, t.top, count(*) AS k FROM pile p JOIN t ON p.contig = t.contig AND p.part = t.part AND p.site = t.site AND round(p.weight, 9) = round(t.top, 9) GROUP BY ALL)"
 
 
-@query(_with(OBS_L, PART_R, PILE, _TOPS) + "SELECT o.contig, o.frag_id, t.part, round(sum(CASE WHEN round(coalesce(p.weight, 0), 9) = round(t.top, 9) AND k = 1 THEN o.weight ELSE 0 END), 5) AS same, round(sum(CASE WHEN round(coalesce(p.weight, 0), 9) = round(t.top, 9) THEN 0 ELSE o.weight END), 5) AS diff FROM obs o JOIN ties t ON o.contig = t.contig AND o.site = t.site LEFT JOIN pile p ON p.contig = t.contig AND p.part = t.part AND p.site = t.site AND p.allele = o.allele GROUP BY ALL")
+@query(_with(OBS_L, PART_R, PILE, _TOPS) + "SELECT o.contig, o.frag_id, t.part, CAST(round(round(sum(CASE WHEN round(coalesce(p.weight, 0), 9) = round(t.top, 9) AND k = 1 THEN o.weight ELSE 0 END), 6)) AS BIGINT) AS same, CAST(round(round(sum(CASE WHEN round(coalesce(p.weight, 0), 9) = round(t.top, 9) THEN 0 ELSE o.weight END), 6)) AS BIGINT) AS diff FROM obs o JOIN ties t ON o.contig = t.contig AND o.site = t.site LEFT JOIN pile p ON p.contig = t.contig AND p.part = t.part AND p.site = t.site AND p.allele = o.allele GROUP BY ALL")
 def read_hap_distance(s, d):
     obs = _lp(s, d)
-    out = D.read_haplotype_distance(obs.drop("part"), P.pileup(obs, "contig", "part"), ["contig"], "part")
-    return out.withColumns({c: F.round(c, 5) for c in ("same", "diff")})
+    return D.read_haplotype_distance(obs.drop("part"), P.pileup(obs, "contig", "part"), ["contig"], "part")
 
 
 @query(_with(OBS_E, "pobs AS (SELECT *, CAST(frag_id % 3 AS INT) AS part FROM obs)", PILE, _TOPS, "g AS (SELECT DISTINCT contig, part FROM pile)") + "SELECT o.contig, o.frag_id, g.part, round(sum(CASE WHEN t.top IS NOT NULL AND round(coalesce(p.weight, 0), 9) = round(t.top, 9) THEN o.weight ELSE 0 END), 5) AS same, round(sum(CASE WHEN t.top IS NULL THEN 0.04 WHEN round(coalesce(p.weight, 0), 9) = round(t.top, 9) THEN 0 ELSE o.weight END), 5) AS diff FROM obs o JOIN g ON o.contig = g.contig LEFT JOIN ties t ON o.contig = t.contig AND g.part = t.part AND o.site = t.site LEFT JOIN pile p ON p.contig = t.contig AND p.part = t.part AND p.site = t.site AND p.allele = o.allele GROUP BY ALL")
@@ -605,18 +655,50 @@ def site_read_index(s, d):
     return _e(s, d).groupBy("contig", "site").agg(F.array_join(F.transform(F.array_sort(F.collect_set("frag_id")), lambda x: x.cast("string")), ",").alias("reads"))
 
 
-@query(_E + ", lo AS (SELECT * FROM obs WHERE frag_id % 2 = 0), sh AS (SELECT * FROM obs WHERE frag_id % 2 = 1), v AS (SELECT l.contig, l.frag_id, s.frag_id AS short_id, CAST(sum(CASE WHEN l.allele = s.allele THEN round(l.weight * s.weight) ELSE -round(l.weight * s.weight) END) AS BIGINT) AS score FROM lo l JOIN sh s ON l.contig = s.contig AND l.site = s.site GROUP BY ALL), b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY contig, frag_id ORDER BY score DESC, short_id) = 1) SELECT lo.contig, lo.frag_id, lo.site, coalesce(s.allele, lo.allele) AS allele FROM lo LEFT JOIN b ON b.contig = lo.contig AND b.frag_id = lo.frag_id AND b.score > 0 LEFT JOIN sh s ON s.contig = b.contig AND s.frag_id = b.short_id AND s.site = lo.site")
+@query(
+    _E + ", lo AS (SELECT * FROM obs WHERE frag_id // 40000 % 2 = 0), sh AS (SELECT * FROM obs WHERE frag_id // 40000 % 2 = 1), v AS (SELECT l.contig, l.frag_id, s.frag_id AS short_id, sum(CASE WHEN l.allele = s.allele THEN round(l.weight * s.weight) ELSE 0 END) AS same, sum(CASE WHEN l.allele <> s.allele THEN round(l.weight * s.weight) ELSE 0 END) AS diff FROM lo l JOIN sh s ON l.contig = s.contig AND l.site = s.site GROUP BY ALL), "
+    "o AS (SELECT lo.contig, lo.frag_id, lo.site, s.frag_id AS short_id, floor(same * 10 / (diff + 1)) AS score FROM lo JOIN sh s ON lo.contig = s.contig AND lo.site = s.site JOIN v ON v.contig = lo.contig AND v.frag_id = lo.frag_id AND v.short_id = s.frag_id), b AS (SELECT DISTINCT contig, frag_id, short_id FROM (SELECT *, row_number() OVER (PARTITION BY contig, frag_id, site ORDER BY score DESC, short_id) AS r FROM o) WHERE r = 1), "
+    "f AS (SELECT b.contig, b.frag_id, s.site, min(allele) AS allele FROM b JOIN sh s ON s.contig = b.contig AND s.frag_id = b.short_id GROUP BY ALL HAVING min(allele) = max(allele)) SELECT contig, frag_id, site, coalesce(f.allele, lo.allele) AS allele FROM lo LEFT JOIN f USING (contig, frag_id, site)"
+)
 def hybrid_correct(s, d):
+    """Users of four in eight as long reads, the others as short ones: both are on all contigs."""
     obs = _e(s, d)
-    return D.hybrid_correct(obs.where("frag_id % 2 = 0"), obs.where("frag_id % 2 = 1"))
+    side = F.floor(F.col("frag_id") / 40000) % 2
+    return D.hybrid_correct(obs.where(side == 0), obs.where(side == 1))
+
 
+_MERGES = """cand AS (SELECT o.contig, o.part, o.other, greatest(a.r_site, b.r_site) - least(a.l_site, b.l_site) AS span FROM overs o JOIN dist d USING (contig, part, other) JOIN ranges a ON a.contig = o.contig AND a.part = o.part JOIN ranges b ON b.contig = o.contig AND b.part = o.other WHERE overlap > 0.95 AND diff / (same + diff) < 0.75),
+ pairs AS (SELECT contig, part, other FROM cand QUALIFY row_number() OVER (PARTITION BY contig, part ORDER BY span DESC, other) = 1)"""
 
-@query(_with(OBS_E, PART_W, RANGES, OVER, PILE, BEST, DIST) + "SELECT o.contig, o.part, o.other FROM overs o JOIN dist d USING (contig, part, other) WHERE overlap > 0.5 AND diff / (same + diff) < 0.75")
+
+@query(_with(OBS_E, PART_W, RANGES, OVER, PILE, BEST, DIST, _MERGES) + "SELECT * FROM pairs")
 def merge_candidates(s, d):
+    return PT.merge_pairs(*_parts(_ep(s, d)), 0.75)
+
+
+@query(
+    _with(OBS_E, PART_W, RANGES, OVER, PILE, BEST, DIST, _MERGES, "both_ AS (SELECT contig, part, other FROM pairs UNION SELECT contig, other, part FROM pairs)").replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", reach AS (SELECT contig, part, part AS other FROM ranges UNION SELECT r.contig, r.part, b.other FROM reach r JOIN both_ b ON b.contig = r.contig AND b.part = r.other) SELECT contig, part, min(other) AS merged FROM reach GROUP BY ALL"
+)
+def merge_parts(s, d):
+    ranges, piled = _parts(_ep(s, d))
+    return PT.merged_parts(ranges, PT.merge_pairs(ranges, piled, 0.75))
+
+
+_SEGMENTS = "w AS (SELECT DISTINCT contig, part, site FROM pobs), k AS (SELECT *, count(*) OVER (PARTITION BY contig, part ORDER BY site RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b, count(*) OVER (PARTITION BY contig, part ORDER BY site RANGE BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS a FROM w), br AS (SELECT contig, part, site FROM k WHERE b > 0 AND a = 0), whole AS (SELECT contig, part, min(site) AS l_site, max(site) AS r_site FROM pobs GROUP BY ALL), seg AS (SELECT contig, part, coalesce(lag(site) OVER (PARTITION BY contig, part ORDER BY site), 0) + 1 AS lo, site AS hi FROM br), f AS (SELECT contig, part, frag_id, min(site) AS a, max(site) AS z FROM pobs GROUP BY ALL), cnt AS (SELECT seg.contig, seg.part, hi, count(*) AS n FROM f JOIN seg ON f.contig = seg.contig AND f.part = seg.part AND a <= hi AND z >= lo GROUP BY ALL)"
+
+
+@query(
+    _with(OBS_E, PART_W, _SEGMENTS, "sg AS (SELECT cnt.contig, cnt.part, l_site, r_site, CASE WHEN hi < r_site THEN hi END AS cut, n FROM cnt JOIN whole USING (contig, part))", "sh AS (SELECT *, n / (n + lead(n) OVER (PARTITION BY contig, part ORDER BY cut NULLS LAST)) AS share FROM sg)", "lf AS (SELECT * FROM sh WHERE cut IS NULL OR (cut > l_site AND share BETWEEN 0.05 AND 0.95))")
+    + "SELECT contig, part, CAST(coalesce(lag(cut) OVER (PARTITION BY contig, part ORDER BY cut NULLS LAST), l_site) AS INT) AS l_site, CAST(coalesce(cut, r_site) AS INT) AS r_site FROM lf"
+)
+def merge_segments(s, d):
+    """Segments between coverage breaks, joined where their depths are uneven."""
     obs = _ep(s, d)
-    dist = D.haplotype_distance(obs, ["contig"], "part")
-    both = dist.union(dist.select("contig", F.col("other"), F.col("part"), "same", "diff"))
-    return PT.part_overlaps(PT.part_ranges(obs), 0.5).join(both, ["contig", "part", "other"]).where("diff / (same + diff) < 0.75").select("contig", "part", "other")
+    whole = obs.groupBy("contig", "part").agg(F.min("site").alias("l_site"), F.max("site").alias("r_site"))
+    counts = split_by_breaks(s, d).groupBy("contig", "part", "seg_end").agg(F.count("*").alias("n_reads")).join(whole, ["contig", "part"])
+    segments = counts.select("contig", "part", "l_site", "r_site", F.when(F.col("seg_end") < F.col("r_site"), F.col("seg_end")).alias("cut"), "n_reads")
+    return W.merge_segments(segments, "contig", "part")
 
 
 # set operations
@@ -647,12 +729,12 @@ def except_reads(s, d):
 
 @query(_ALL + "SELECT contig, part, hapq, round(rel_err, 5) AS rel_err FROM hq")
 def hapq(s, d):
-    return PT.hapq(_ep(s, d), BLOCK).withColumn("rel_err", F.round("rel_err", 5))
+    return PT.hapq(*_parts(_ep(s, d)), BLOCK).withColumn("rel_err", F.round("rel_err", 5))
 
 
 @query(_ALL + "SELECT contig, part, round(rel_err, 5) AS rel_err FROM hq WHERE rel_err > 1")
 def relative_error(s, d):
-    return PT.hapq(_ep(s, d), BLOCK).where("rel_err > 1").select("contig", "part", F.round("rel_err", 5).alias("rel_err"))
+    return PT.hapq(*_parts(_ep(s, d)), BLOCK).where("rel_err > 1").select("contig", "part", F.round("rel_err", 5).alias("rel_err"))
 
 
 @query(
@@ -663,16 +745,55 @@ def relative_error(s, d):
 )
 def contig_ploidy(s, d):
     obs = _ep(s, d)
-    lengths = obs.select("contig").distinct().withColumn("length", F.lit(50000))
-    out = PT.contig_ploidy(obs, BLOCK, lengths)
+    contigs = obs.groupBy("contig").agg(F.count_distinct("site").alias("n_sites"), F.lit(50000).alias("length"))
+    ranges, piled = _parts(obs)
+    out = PT.contig_ploidy(ranges, piled, PT.hapq(ranges, piled, BLOCK), contigs)
     return out.withColumns({c: F.round(c, 5) for c, t in out.dtypes if t == "double"})
 
 
-@query(_with(OBS_E, PART_W, PILE, BEST, _STRING) + "SELECT contig, part, round((length(alleles) - length(replace(replace(alleles, '1', ''), '2', ''))) / nullif(length(alleles) - length(replace(replace(replace(alleles, '0', ''), '1', ''), '2', '')), 0), 6) AS ratio FROM strings")
+_VARTIGS = _with(OBS_E, PART_W, PILE, BEST, _STRING, RANGES, STATS, OVER, DIST, HAPQ, "vt AS (SELECT contig, part, s.l_site, s.r_site, l_base + 1 AS l_base, r_base + 1 AS r_base, round(cov, 3) AS cov, round(err, 4) AS err, hapq, round(rel_err, 3) AS rel_err, alleles FROM strings s JOIN ranges USING (contig, part) JOIN stats USING (contig, part) JOIN hq USING (contig, part))")
+_HEAD = "'>HAP' || part || '.out' || chr(9) || 'CONTIG:' || contig || chr(9) || 'SNPRANGE:' || l_site || '-' || r_site || chr(9) || 'BASERANGE:' || l_base || '-' || r_base || chr(9) || 'COV:' || printf('%.3f', cov) || chr(9) || 'ERR:' || printf('%.4f', err) || chr(9) || 'HAPQ:' || hapq || chr(9) || 'REL_ERR:' || coalesce(printf('%.3f', rel_err), 'nan')"
+
+
+@query(_VARTIGS + "SELECT contig, part, l_base, r_base, cov, CAST(CASE WHEN hapq >= 1 THEN 4 ELSE 0 END AS INT) AS width, round((length(alleles) - length(replace(replace(alleles, '1', ''), '2', ''))) / nullif(length(alleles) - length(replace(replace(replace(alleles, '0', ''), '1', ''), '2', '')), 0), 6) AS ratio FROM vt WHERE r_base - l_base >= 1000 AND cov >= 1.2 AND length(alleles) > length(replace(replace(replace(alleles, '0', ''), '1', ''), '2', ''))")
 def vartig_alt_ratio(s, d):
-    text = P.allele_string(P.consensus(P.pileup(_ep(s, d), "contig", "part"), "contig", "part"), "contig", "part")
-    alt, known = F.length(F.regexp_replace("alleles", "[^12]", "")), F.length(F.regexp_replace("alleles", "[^012]", ""))
-    return text.select("contig", "part", F.round(F.try_divide(alt, known), 6).alias("ratio"))
+    """Segments for a plot; the test tables have less depth than the usual 1.5."""
+    return K.alt_ratio(_vartigs(_ep(s, d)), least_cov=1.2)
+
+
+@query(_VARTIGS + f"SELECT contig, part, CAST(unnest([0, 1]) AS INT) AS k, unnest([{_HEAD}, alleles]) AS value FROM vt")
+def vartig_lines(s, d):
+    return K.vartig_lines(_vartigs(_ep(s, d))).select("contig", "rn.part", "rn.k", "value")
+
+
+@query(_VARTIGS + f", fr AS (SELECT DISTINCT contig, part, frag_id, min(site) OVER w AS a, max(site) OVER w AS z FROM pobs WINDOW w AS (PARTITION BY contig, frag_id)) SELECT contig, part, CAST(0 AS BIGINT) AS frag_id, {_HEAD} AS value FROM vt UNION ALL SELECT contig, part, frag_id, 'r' || frag_id || chr(9) || a || chr(9) || z FROM fr")
+def haploset_lines(s, d):
+    obs = _ep(s, d)
+    reads = B.frags_of(obs).join(obs.select("contig", "frag_id", "part").distinct(), ["contig", "frag_id"]).withColumn("name", F.concat(F.lit("r"), "frag_id"))
+    return K.haploset_lines(_vartigs(obs), reads).select("contig", "rn.part", "rn.frag_id", "value")
+
+
+@query(_with("t AS (SELECT CAST(s_suppkey % 7 AS INT) AS part, s_suppkey AS frag_id FROM supplier)") + "SELECT frag_id, string_agg(v, chr(10) ORDER BY k) AS record FROM (SELECT frag_id, unnest([1, 2, 3, 4]) AS k, unnest(['@r' || frag_id, CASE WHEN frag_id % 5 = 0 THEN 'N' ELSE repeat('AC', CAST(part AS INT) + 1) END, '+', CASE WHEN frag_id % 5 = 0 THEN '!' ELSE repeat('II', CAST(part AS INT) + 1) END]) AS v FROM t) GROUP BY frag_id")
+def fastq_records(s, d):
+    k, n = F.col("s_suppkey"), (F.col("s_suppkey") % 7 + 1).cast("int")
+    bases = lambda x: F.when(k % 5 == 0, F.lit("")).otherwise(F.repeat(F.lit(x), n))
+    reads = B.read(s, d, "supplier").select(F.lit("c").alias("contig"), (n - 1).alias("part"), k.alias("frag_id"), F.concat(F.lit("r"), k).alias("name"), bases("AC").alias("seq"), bases("II").alias("qual"))
+    records = K.fastq_lines(reads).groupBy("rn.frag_id").agg(F.array_sort(F.collect_list(F.struct("rn.k", "value"))).alias("r"))
+    return records.select("frag_id", F.array_join(F.transform("r", lambda x: x["value"]), "\n").alias("record"))
+
+
+@query(_with(_VCF_SQL) + "SELECT '##contig=<ID=' || contig || '>' AS value, true AS early FROM (SELECT DISTINCT contig FROM v) UNION ALL SELECT '##fileformat=VCFv4.2', true UNION ALL SELECT '#CHROM' || chr(9) || 'POS', true")
+def contig_headers(s, d):
+    """The lines that come before the third line of a VCF after its contigs have been named there."""
+    rows = S.with_contig_headers(_vcf(s, d))
+    third = _vcf(s, d).select("line_no").orderBy("line_no").limit(3).agg(F.max("line_no").alias("third"))
+    return rows.crossJoin(third).where("rn < third").select("value", F.lit(True).alias("early"))
+
+
+@query("SELECT 'c' || p_partkey || 'x' || p_size AS name, CAST(row_number() OVER (ORDER BY p_partkey, p_size) AS INT) AS place FROM part WHERE p_size <= 5")
+def natural_order(s, d):
+    names = B.read(s, d, "part").where("p_size <= 5").select(F.concat(F.lit("c"), "p_partkey", F.lit("x"), "p_size").alias("name"))
+    return names.select("name", F.row_number().over(Window.orderBy(S.natural_order("name"))).alias("place"))
 
 
 @query(_with(OBS_E, PART_W, PILE, BEST) + "SELECT contig, site, max(allele) FILTER (part // 10000 = 0) AS c0, max(allele) FILTER (part // 10000 = 1) AS c1, max(allele) FILTER (part // 10000 = 2) AS c2 FROM best GROUP BY ALL")
@@ -692,37 +813,51 @@ def swap_alleles(s, d):
     return swap(reference, best.join(ordinal, ["contig", "site"]).select("contig", "at", "base"))
 
 
-@query(_with(OBS_E, PART_W, RANGES, "w AS (SELECT contig, part, l_site + 2 AS lo, r_site - 2 AS hi FROM ranges)") + "SELECT p.contig, p.part, frag_id, CAST(min(site) FILTER (site >= lo) AS INT) AS left_site, CAST(max(site) FILTER (site <= hi) AS INT) AS right_site FROM pobs p JOIN w ON p.contig = w.contig AND p.part = w.part GROUP BY ALL")
-def trim_offsets(s, d):
+_TRIMS = """len AS (SELECT contig, frag_id, max(pos) - min(pos) + 41 AS length, min(pos) AS start FROM obs GROUP BY ALL), w AS (SELECT contig, part, l_site + 2 AS l_site, r_site - 2 AS r_site FROM ranges), so AS (SELECT p.contig, p.part, p.frag_id, p.site, p.pos - start + 20 AS q, length, l_site, r_site FROM pobs p JOIN len USING (contig, frag_id) JOIN w ON w.contig = p.contig AND w.part = p.part),
+ e AS (SELECT contig, part, frag_id, min(site) AS f, max(site) AS z, any_value(l_site) AS l, any_value(r_site) AS r, any_value(length) AS length, arg_min(q, site) FILTER (site >= l_site) AS a, arg_max(q, site) FILTER (site <= r_site) AS b FROM so GROUP BY ALL),
+ tr AS (SELECT contig, part, frag_id, CAST(CASE WHEN f > l THEN 0 ELSE greatest(0, a - 25) END AS BIGINT) AS "left", CAST(CASE WHEN z < r THEN length - 1 ELSE least(length - 1, b + 25) END AS BIGINT) AS "right" FROM e WHERE f <= r AND z >= l)"""
+
+
+def _trimmed(s, d) -> DataFrame:
     from phaseframe.operators.sequences import trim_offsets as trim
 
     obs = _ep(s, d)
-    ranges = PT.part_ranges(obs).select("contig", "part", (F.col("l_site") + 2).alias("lo"), (F.col("r_site") - 2).alias("hi"))
-    return trim(obs, ranges)
+    lengths = B.frags_of(obs).select("contig", "frag_id", (F.col("last_base") - F.col("first_base") + 41).alias("length"), F.col("first_base").alias("start"))
+    placed = obs.join(lengths.drop("length"), ["contig", "frag_id"]).withColumn("seq_pos", F.col("pos") - F.col("start") + 20)
+    ranges = PT.part_ranges(obs).select("contig", "part", (F.col("l_site") + 2).alias("l_site"), (F.col("r_site") - 2).alias("r_site"))
+    return trim(placed, ranges, lengths.drop("start"))
 
 
-@query("SELECT p_partkey, substr(p_name, greatest(1, p_size % 7 + 1 - 2), least(length(p_name), p_size % 7 + 5 + 2) - greatest(1, p_size % 7 + 1 - 2) + 1) AS seq FROM part")
+@query(_with(OBS_E, PART_W, RANGES, _TRIMS) + 'SELECT * FROM tr WHERE "left" <= "right"')
+def trim_offsets(s, d):
+    """Reads are taken to have their sites 20 bases and more from their ends, as far apart as on the contig."""
+    return _trimmed(s, d)
+
+
+@query(_with(OBS_E, PART_W, RANGES, _TRIMS) + """SELECT contig, part, frag_id, substr(repeat('ACGT', 3000), CAST("left" + 1 AS INT), CAST("right" - "left" + 1 AS INT)) AS seq FROM tr WHERE "left" <= "right\"""")
 def trimmed_reads(s, d):
     from phaseframe.operators.sequences import trimmed
 
-    p = B.read(s, d, "part")
-    k = F.col("p_size") % 7
-    return trimmed(p.select("p_partkey", F.col("p_name").alias("seq"), (k + 1).alias("left"), (k + 5).alias("right")), 2).select("p_partkey", "seq")
+    return trimmed(_trimmed(s, d).withColumn("seq", F.repeat(F.lit("ACGT"), F.lit(3000)))).select("contig", "part", "frag_id", "seq")
 
 
 # kernels: no SQL; tests hold them against brute force
 
 
-@query()
-def phase_blocks(s, d):
-    return phasing.phase_blocks(_small(s, d), 2880, 0.04)
-
-
 def _small(s, d) -> DataFrame:
     """Two alleles of events, which phasing expects."""
     return _e(s, d).withColumn("allele", (F.col("allele") % 2).cast("int"))
 
 
+def _flows(s, d) -> DataFrame:
+    return kept(phasing.flow_edges(PT.block_edges(_membership(s, d), _e(s, d))))
+
+
+@query()
+def phase_blocks(s, d):
+    return phasing.phase_blocks(_small(s, d), 2880, 0.04)
+
+
 @query()
 def block_ploidy(s, d):
     return phase_blocks(s, d).groupBy("contig", "block_id").agg((F.max("cluster") + 1).alias("ploidy"))
@@ -730,41 +865,55 @@ def block_ploidy(s, d):
 
 @query()
 def flow_edges(s, d):
-    return phasing.flow_edges(PT.block_edges(_membership(s, d), _e(s, d)))
+    return _flows(s, d)
 
 
 @query()
 def disjoint_paths(s, d):
-    return phasing.disjoint_paths(_membership(s, d), flow_edges(s, d))
+    return phasing.disjoint_paths(_membership(s, d), _flows(s, d))
 
 
 @query()
 def path_flow(s, d):
-    """Mean flow out of all nodes of each path, null if none."""
-    out = flow_edges(s, d).select("contig", "col", F.col("row_from").alias("cluster"), "flow")
-    return disjoint_paths(s, d).join(out, ["contig", "col", "cluster"], "left").groupBy("contig", "path").agg(F.avg("flow").alias("flow"))
+    flows = _flows(s, d)
+    return phasing.path_flow(phasing.disjoint_paths(_membership(s, d), flows), flows)
 
 
 @query()
 def assign_reads(s, d):
-    return phasing.assign_reads(_e(s, d), phasing.path_members(_membership(s, d), disjoint_paths(s, d)), 0.04)
+    membership = kept(_membership(s, d))
+    paths = phasing.disjoint_paths(membership, _flows(s, d))
+    return phasing.assign_reads(_e(s, d), phasing.path_members(membership, paths), 0.04)
 
 
 @query()
 def bin_parts(s, d):
-    return phasing.bin_parts(_ep(s, d), 5760)
+    ranges, piled = _parts(_ep(s, d))
+    return phasing.bin_parts(ranges, P.error_coverage(piled, "contig", "part"), 2880)
 
 
-@query()
+@query(
+    _with(OBS_E, "sh AS (SELECT * FROM obs WHERE frag_id // 40000 % 5 = 0)", "pobs AS (SELECT *, CAST((frag_id // 10000) % 3 * 10000 + frag_id % 10000 AS INT) AS part FROM obs WHERE frag_id // 40000 % 5 <> 0)", PILE, RANGES)
+    + """, f AS (SELECT contig, frag_id, min(site) AS a, max(site) AS z FROM sh GROUP BY ALL), ends AS (SELECT f.contig, f.frag_id, part FROM f JOIN ranges r ON r.contig = f.contig AND (a BETWEEN l_site AND r_site OR z BETWEEN l_site AND r_site)), t AS (SELECT contig, part, site, max(weight) AS top FROM pile GROUP BY ALL),
+ sc AS (SELECT e.contig, e.frag_id, e.part, round(sum(CASE WHEN t.top IS NOT NULL AND round(coalesce(p.weight, 0), 9) = round(t.top, 9) THEN o.weight ELSE 0 END), 6) AS same, round(sum(CASE WHEN t.top IS NULL THEN 0.04 WHEN round(coalesce(p.weight, 0), 9) = round(t.top, 9) THEN 0 ELSE o.weight END), 6) AS diff FROM ends e JOIN sh o ON o.contig = e.contig AND o.frag_id = e.frag_id LEFT JOIN t ON t.contig = e.contig AND t.part = e.part AND t.site = o.site LEFT JOIN pile p ON p.contig = e.contig AND p.part = e.part AND p.site = o.site AND p.allele = o.allele GROUP BY ALL),
+ q AS (SELECT *, floor(round(diff * 10 + 1, 4)) AS d, floor(round(same * 10 + 1, 4)) AS s FROM sc), best AS (SELECT contig, frag_id, d, s FROM q QUALIFY row_number() OVER (PARTITION BY contig, frag_id ORDER BY d / s, d, s) = 1) SELECT DISTINCT q.contig, q.frag_id, q.part FROM q JOIN best USING (contig, frag_id, d, s)"""
+)
 def reassign_short(s, d):
+    """A fifth of the users as short reads; the others' parts are by week."""
     obs = _ep(s, d)
-    return phasing.reassign_short(obs.where("frag_id % 5 = 0").drop("part"), obs.where("frag_id % 5 <> 0"), 0.04)
+    short = F.floor(F.col("frag_id") / 40000) % 5 == 0
+    return phasing.reassign_short(obs.where(short).drop("part"), obs.where(~short), 0.04)
 
 
 @query()
 def realign_alleles(s, d):
-    p = B.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("window"), F.array(F.reverse("p_name"), F.col("p_name")).alias("candidates"))
-    return phasing.realign(p)
+    """Reads from parts: 48 bases by key, an edit by key, the site at place 20 of both."""
+    k = F.col("p_partkey")
+    letters = lambda n, f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+    bases = F.array_join(letters(48, lambda i: F.substring(F.lit("ACGT"), (F.pmod((i + 3) * (i + k) * (k + 7), F.lit(4)) + 1).cast("int"), F.lit(1))), "")
+    rows = B.read(s, d, "part").select(k.alias("id"), F.concat(F.lit("c"), k).alias("contig"), bases.alias("ref"))
+    calls = rows.select("id", "contig", F.lit(20).cast("long").alias("pos"), F.lit(20).cast("long").alias("seq_pos"), F.expr("CASE id % 3 WHEN 0 THEN concat(substr(ref, 1, 12), substr(ref, 14)) WHEN 1 THEN concat(substr(ref, 1, 30), 'A', substr(ref, 31)) ELSE ref END").alias("seq"), F.array(F.lit("A"), F.lit("C"), F.lit("G"), F.lit("T")).alias("alleles"), F.lit(0).alias("allele"))
+    return phasing.realign(calls, rows.select("contig", "ref")).select("id", "allele")
 
 
 @query()

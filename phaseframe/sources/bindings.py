@@ -44,7 +44,7 @@ def obs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.groupBy("contig", "frag_id", "hour").agg(F.max_by(F.struct("event_type", "qual"), "event_id").alias("e"))
     types = rows.select(F.col("e.event_type").alias("event_type")).distinct().agg(F.sort_array(F.collect_set("event_type")).alias("types"))
     hours = rows.select("contig", "hour").distinct().withColumn("site", F.dense_rank().over(Window.partitionBy("contig").orderBy("hour"))).withColumn("start", F.min("hour").over(Window.partitionBy("contig")))
-    joined = rows.join(F.broadcast(hours), ["contig", "hour"]).join(F.broadcast(types))
+    joined = rows.join(hours, ["contig", "hour"]).crossJoin(types)
     return joined.select(
         "contig", "frag_id", "site", ((F.col("hour") - F.col("start")) * 60).cast("long").alias("pos"), (F.array_position("types", F.col("e.event_type")) - 1).cast("int").alias("allele"), F.col("e.qual").alias("qual")
     ).withColumn("weight", phred_weight(F.col("qual")))

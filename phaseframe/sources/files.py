@@ -6,7 +6,7 @@ DataFrame. File order is a column `line_no`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,11 +30,25 @@ def contigs_of_vcf(rows: DataFrame) -> DataFrame:
     return rows.where("value not like '#%' and value <> ''").select(F.split("value", "\t")[0].alias("contig")).distinct()
 
 
+#: Lines of a stretch within which headers are carried down in one group.
+STRETCH = 1 << 16
+
+
+def carried(rows: DataFrame, header: Column, name: str) -> DataFrame:
+    """rows with the last header (not null) at or above each line: first within stretches of lines, then from the
+    stretches before, of which only the last headers are looked at together."""
+    split = rows.withColumn("stretch", F.floor(F.col("line_no") / STRETCH)).withColumn("h", header)
+    inside = Window.partitionBy("stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = split.groupBy("stretch").agg(F.max_by("h", F.when(F.col("h").isNotNull(), F.col("line_no"))).alias("end"))
+    before = last.withColumn("above", F.last("end", ignorenulls=True).over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))).drop("end")
+    return split.withColumn("h", F.last("h", ignorenulls=True).over(inside)).join(before, "stretch").withColumn(name, F.coalesce("h", "above")).drop("h", "above", "stretch")
+
+
 def with_contig_headers(rows: DataFrame) -> DataFrame:
-    """A VCF's lines with a ##contig line for each contig before the third line."""
-    order = rows.withColumn("rn", F.row_number().over(Window.orderBy("line_no")).cast("double"))
-    headers = contigs_of_vcf(rows).select(F.format_string("##contig=<ID=%s>", "contig").alias("value"), F.lit(2.5).alias("rn"))
-    return order.select("value", "rn").union(headers).orderBy("rn", "value").select("value")
+    """A VCF's lines in order (rn), with a ##contig line for each contig before the third line."""
+    third = rows.select("line_no").orderBy("line_no").limit(3).agg(F.max("line_no").alias("third"))
+    headers = contigs_of_vcf(rows).crossJoin(third).select(F.format_string("##contig=<ID=%s>", "contig").alias("value"), (F.col("third") - 0.5).alias("rn"))
+    return rows.select("value", F.col("line_no").cast("double").alias("rn")).union(headers).orderBy("rn", "value")
 
 
 def sam_contigs(rows: DataFrame) -> DataFrame:
@@ -53,8 +67,7 @@ def parse_sam(rows: DataFrame) -> DataFrame:
 
 def parse_fasta(rows: DataFrame) -> DataFrame:
     """contig, seq, length; headers are carried down to the lines that follow."""
-    order = Window.orderBy("line_no")
-    marked = rows.withColumn("contig", F.last(F.when(F.col("value").startswith(">"), F.regexp_extract("value", "^>(\\S+)", 1)), ignorenulls=True).over(order))
+    marked = carried(rows, F.when(F.col("value").startswith(">"), F.regexp_extract("value", "^>(\\S+)", 1)), "contig")
     body = marked.where("value not like '>%'").groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "").alias("seq"))
     return body.withColumn("length", F.length("seq").cast("long"))
 
@@ -71,10 +84,9 @@ def parse_fragments(rows: DataFrame) -> DataFrame:
 
 def parse_haplosets(rows: DataFrame) -> DataFrame:
     """part, cov, l_base, r_base, hapq, read: header lines carried down to the read lines below them."""
-    order = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    carried = rows.withColumn("header", F.last(F.when(F.col("value").startswith(">"), F.col("value")), ignorenulls=True).over(order)).where("value not like '>%' and value <> ''")
+    below = carried(rows, F.when(F.col("value").startswith(">"), F.col("value")), "header").where("value not like '>%' and value <> ''")
     number = lambda pattern, kind: F.regexp_extract("header", pattern, 1).cast(kind)
-    return carried.select(number("HAP([0-9]+)", "int").alias("part"), number("COV:([0-9.]+)", "double").alias("cov"), number("BASERANGE:([0-9]+)-", "long").alias("l_base"), number("BASERANGE:[0-9]+-([0-9]+)", "long").alias("r_base"), number("HAPQ:([0-9]+)", "int").alias("hapq"), F.split("value", "\t")[0].alias("read"))
+    return below.select(number("HAP([0-9]+)", "int").alias("part"), number("COV:([0-9.]+)", "double").alias("cov"), number("BASERANGE:([0-9]+)-", "long").alias("l_base"), number("BASERANGE:[0-9]+-([0-9]+)", "long").alias("r_base"), number("HAPQ:([0-9]+)", "int").alias("hapq"), F.split("value", "\t")[0].alias("read"))
 
 
 def aligned_bases(alignments: DataFrame) -> DataFrame:
@@ -98,3 +110,9 @@ def allele_calls(alignments: DataFrame, sites: DataFrame) -> DataFrame:
     met = aligned_bases(alignments).join(sites.withColumnRenamed("pos", "ref_pos"), ["contig", "ref_pos"])
     allele = F.array_position("alleles", F.col("base")) - 1
     return met.withColumn("allele", allele.cast("int")).where("allele >= 0").select("contig", "qname", "flags", "site", "allele", F.col("base_qual").alias("qual"), "read_pos")
+
+
+def natural_order(name: str) -> Column:
+    """A key by which names sort with their numbers as numbers: digits padded, by a dozen at least."""
+    parts = F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 12, "0")).otherwise(x)), "")
