@@ -1 +1 @@
-
+"""Running pileups over streams of observations."""

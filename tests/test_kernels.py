@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from phaseframe.operators.windows import split_ranges
 from phaseframe.plans import kernels as K
 
@@ -82,5 +84,57 @@ def test_windows_cover_all_sites():
     assert split_ranges([], 10, 0.0) == [] and split_ranges([5], 10, 0.0) == [(0, 0)]
 
 
+def affine(read, target):
+    """The best global alignment over all ways, by recursion on the last column."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def best(i, j, gap):  # gap: 0 none open, 1 in the target, 2 in the read
+        if i == 0 and j == 0:
+            return 0 if gap == 0 else -(10**6)
+        out = -(10**6)
+        if gap == 0 and i and j:
+            out = max(best(i - 1, j - 1, g) for g in range(3)) + (1 if read[i - 1] == target[j - 1] else -1)
+        if gap == 1 and i:
+            out = max(best(i - 1, j, g) - (1 if g == 1 else 2) for g in range(3))
+        if gap == 2 and j:
+            out = max(best(i, j - 1, g) - (1 if g == 2 else 2) for g in range(3))
+        return out
+
+    return max(best(len(read), len(target), g) for g in range(3))
+
+
 def test_realignment_scores():
-    assert K.realign_score("ACGT", "ACGT") == 8 and K.realign_score("ACGT", "ACG") == 0 and K.realign_score("", "AC") == -12
+    rng = random.Random(9)
+    pairs = [("".join(rng.choice("ACGT") for _ in range(9)), "".join(rng.choice("ACGT") for _ in range(9))) for _ in range(40)]
+    pairs += [(a, a[2:] + "AC") for a, _ in pairs] + [(a, a) for a, _ in pairs[:3]]
+    grid = lambda k: np.array([list(p[k].encode()) for p in pairs], np.uint8)
+    assert K.realign_scores(grid(0), grid(1)).tolist() == [affine(a, b) for a, b in pairs]
+
+
+def test_edges_to_weak_strains_are_cut():
+    nodes = [(0, 0), (1, 0), (2, 0), (2, 1), (3, 0)]
+    flows = {(0, 0, 0): 100, (1, 0, 0): 90, (1, 0, 1): 10, (2, 1, 0): 10}
+    assert K.peel_paths(nodes, flows) == [[(0, 0), (1, 0), (2, 0)], [(2, 1), (3, 0)]]
+    # two ways in: the weak edge is not cut, and its end doesn't start a path of its own
+    nodes, flows = [(0, 0), (0, 1), (1, 0), (2, 0)], {(0, 0, 0): 50, (0, 1, 0): 40, (1, 0, 0): 5}
+    paths = K.peel_paths(nodes, flows)
+    assert sorted(n for p in paths for n in p) == nodes and [(2, 0)] in paths
+
+
+def test_bins():
+    along = [(0, 0, 100, 10.0), (1, 110, 200, 10.4), (2, 210, 300, 9.8), (3, 0, 300, 30.0), (4, 5000, 5100, 10.0), (5, 120, 220, None)]
+    found = K.bin_parts(along, 50)
+    assert found[0] == found[1] == found[2] and len({found[k] for k in (0, 3, 4, 5)}) == 4
+    # a part with two candidates doesn't move first; ends meet from the outside
+    assert K.bin_distance([(0, 10, 5.0, 0)], [(5, 20, 5.0, 1)], 50) == K.bin_distance([(0, 10, 5.0, 0)], [(500, 520, 5.0, 1)], 50) == float("inf")
+    assert K.bin_distance([(0, 10, 5.0, 0)], [(10, 20, 5.0, 1)], 50) < 2
+
+
+def test_equal_states_keep_the_better_one():
+    rng = random.Random(12)
+    for _ in range(5):
+        reads = [[(s, rng.randint(0, 1), 1.0) for s in range(k, k + 3)] for k in range(1, 9)]
+        ours = K.beam_search(reads, 2, 0.04, 40)
+        cost = lambda c: sum(K.agreement(r, K.piles_of(reads[:k], list(c[:k]), 2)[c[k]], 0.04)[1] for k, r in enumerate(reads))
+        assert cost(ours) <= min(cost(c) for c in itertools.product(range(2), repeat=8)) + 1.5
