@@ -32,9 +32,9 @@ def reads_in_blocks(frags: DataFrame, blocks: DataFrame, width: int = 64) -> Dat
     return overlap_join(frags, blocks, ("first_site", "last_site"), ("l_site", "r_site"), ["contig"], width)
 
 
-def phase_blocks(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2) -> DataFrame:
+def phase_blocks(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True) -> DataFrame:
     """contig, block_id, cluster, frag_id, l_site, r_site: each block's reads in as many clusters as their errors call for."""
-    blocks = block_windows(sites_of(obs), length)
+    blocks = block_windows(sites_of(obs), length, density)
     ranked = fragment_order(frags_of(obs))
     placed = reads_in_blocks(ranked, blocks).select("contig", "block_id", "l_site", "r_site", "frag_id", "rank")
     rows = packed(placed.join(obs.select("contig", "frag_id", "site", "allele", "weight"), ["contig", "frag_id"]).where("site between l_site and r_site"))
@@ -42,7 +42,7 @@ def phase_blocks(obs: DataFrame, length: int, epsilon: float, most: int = 5, bea
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         reads = _reads(group)
-        clusters = kernels.phase_block([r for _, r in reads], epsilon, most, beam, sensitivity)
+        clusters = kernels.phase_block([r for _, r in reads], epsilon, most, beam, sensitivity, heuristic)
         names = {c: k for k, c in enumerate(sorted(set(clusters)))}
         return pd.DataFrame({"contig": group["contig"].iloc[0], "block_id": int(group["block_id"].iloc[0]), "cluster": [names[c] for c in clusters], "frag_id": [f for f, _ in reads], "l_site": int(group["l_site"].iloc[0]), "r_site": int(group["r_site"].iloc[0])})
 
@@ -113,10 +113,10 @@ def final_parts(obs: DataFrame, chosen: DataFrame) -> DataFrame:
     return pieces.join(names, ["contig", "part", "piece"]).select("contig", "frag_id", F.col("index").alias("part"))
 
 
-def phase(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2) -> DataFrame:
+def phase(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True) -> DataFrame:
     """obs with the final part of each read. What each step gives is kept, so that each is computed once."""
     obs = kept(obs)
-    membership = kept(phase_blocks(obs, length, epsilon, most, beam, sensitivity))
+    membership = kept(phase_blocks(obs, length, epsilon, most, beam, sensitivity, density, heuristic))
     flows = kept(flow_edges(block_edges(membership, obs)))
     paths = kept(disjoint_paths(membership, flows))
     chosen = kept(assign_reads(obs, path_members(membership, paths), epsilon))

@@ -89,8 +89,14 @@ def parse_haplosets(rows: DataFrame) -> DataFrame:
     return below.select(number("HAP([0-9]+)", "int").alias("part"), number("COV:([0-9.]+)", "double").alias("cov"), number("BASERANGE:([0-9]+)-", "long").alias("l_base"), number("BASERANGE:[0-9]+-([0-9]+)", "long").alias("r_base"), number("HAPQ:([0-9]+)", "int").alias("hapq"), F.split("value", "\t")[0].alias("read"))
 
 
-def aligned_bases(alignments: DataFrame) -> DataFrame:
-    """One row for each aligned base: ref_pos, read_pos (leading hard clips count), base, base_qual.
+def reference_length(cigar: str) -> Column:
+    """Bases of the reference that an alignment covers."""
+    lengths, kinds = (F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(k)) for k in (1, 2))
+    return F.aggregate(F.zip_with(lengths, kinds, lambda n, k: F.when(k.isin(*"MDN=X"), n.cast("long")).otherwise(0)), F.lit(0).cast("long"), lambda s, n: s + n)
+
+
+def aligned_bases(alignments: DataFrame, *others: str) -> DataFrame:
+    """One row for each aligned base: ref_pos, read_pos (leading hard clips count), base, base_qual, and other columns.
 
     CIGAR arithmetic stays in the JVM: lengths and kinds are arrays, starts are running sums.
     """
@@ -100,16 +106,16 @@ def aligned_bases(alignments: DataFrame) -> DataFrame:
     placed = ops.withColumn("ref_at", before(taken("MDN=X"))).withColumn("read_at", before(taken("MIS=X")))
     piece = placed.select("*", F.explode(F.arrays_zip("len", "op", "ref_at", "read_at")).alias("p")).where(F.col("p.op").isin("M", "=", "X"))
     hard = F.when(F.col("op")[0] == "H", F.col("len")[0]).otherwise(0)
-    base = piece.select("contig", "qname", "flags", "pos", "seq", "qual", "p", hard.alias("hard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.len") - 1)).alias("i"))
+    base = piece.select("contig", "qname", "flags", "pos", "seq", "qual", *[c for c in others if c != "seq"], "p", hard.alias("hard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.len") - 1)).alias("i"))
     at = (F.col("p.read_at") + F.col("i")).cast("int")
-    return base.select("contig", "qname", "flags", (F.col("pos") + F.col("p.ref_at") + F.col("i")).alias("ref_pos"), (at + F.col("hard")).cast("int").alias("read_pos"), F.upper(F.substring("seq", at + 1, F.lit(1))).alias("base"), F.col("qual")[at].alias("base_qual"))
+    return base.select("contig", "qname", "flags", (F.col("pos") + F.col("p.ref_at") + F.col("i")).alias("ref_pos"), (at + F.col("hard")).cast("int").alias("read_pos"), F.upper(F.substring("seq", at + 1, F.lit(1))).alias("base"), F.col("qual")[at].alias("base_qual"), *others)
 
 
-def allele_calls(alignments: DataFrame, sites: DataFrame) -> DataFrame:
-    """Observations: aligned bases that match an allele of a site. Site order decides between equal names."""
-    met = aligned_bases(alignments).join(sites.withColumnRenamed("pos", "ref_pos"), ["contig", "ref_pos"])
+def allele_calls(alignments: DataFrame, sites: DataFrame, *others: str) -> DataFrame:
+    """Observations: aligned bases that match an allele of a site, with other columns of the alignments."""
+    met = aligned_bases(alignments, *others).join(sites.withColumnRenamed("pos", "ref_pos"), ["contig", "ref_pos"])
     allele = F.array_position("alleles", F.col("base")) - 1
-    return met.withColumn("allele", allele.cast("int")).where("allele >= 0").select("contig", "qname", "flags", "site", "allele", F.col("base_qual").alias("qual"), "read_pos")
+    return met.withColumn("allele", allele.cast("int")).where("allele >= 0").select("contig", "qname", "flags", "site", "allele", F.col("base_qual").alias("qual"), "read_pos", *others)
 
 
 def natural_order(name: str) -> Column:
