@@ -19,9 +19,8 @@ encoded whole; only the two named columns take part.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from phaseframe.llm import textscan
 from phaseframe.llm.byte_bpe import byte_alphabet
 from phaseframe.llm.common import bounded_batches
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 
 
 class Splitter:
@@ -43,10 +42,7 @@ class Splitter:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.pieces = {v: k for k, v in spec["model"]["vocab"].items()} | {v: k for k, v in self.special.items()}
+        self.special = {token.content: k for k, token in self.library.get_added_tokens_decoder().items()}
         self._printable = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
 
     def slow_words(self, text: str) -> list[str]:
@@ -61,6 +57,11 @@ class Splitter:
             text = text[k + len(special) :]
         return out
 
+    @cached_property
+    def pieces(self) -> dict[int, str]:
+        """Pieces by id, those of special strings among them."""
+        return {v: k for k, v in self.library.get_vocab().items()}
+
     def encode(self, word: str) -> list[int]:
         if word[0] == " ":
             return [self.special[word[1:]]]
@@ -150,7 +151,7 @@ def _split(docs: DataFrame, path: str, chunk_bytes: int, dictionary: bool) -> Da
         if dictionary:
             yield from _dictionary(chunk, number)
 
-    return docs.mapInArrow(run, _WORDS if dictionary else _TEXTS)
+    return docs.mapInArrow(textscan.thrifty(run), _WORDS if dictionary else _TEXTS)
 
 
 def _dictionary(chunk: Chunk, number: int) -> Iterator[pa.RecordBatch]:
@@ -172,7 +173,7 @@ def _encoded(words: DataFrame, path: str) -> DataFrame:
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("place"), pa.array(out, pa.binary())], names=["chunk", "place", "ids"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, place int, ids binary")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(textscan.thrifty(run), "chunk long, place int, ids binary")
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,6 +214,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False, chunk_b
         columns = {"doc_id": pa.chunked_array(doc_ids, id_arrow), "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["ids"], pa.string()), "decoded_sha256": pa.array(out["decoded"], pa.string())}
         if keep_ids:
             columns["token_ids"] = pa.array(out["token_ids"], pa.list_(pa.int32()))
+        textscan.give_back()
         return pa.table(columns)
 
     from pyspark.sql.pandas.types import to_arrow_type

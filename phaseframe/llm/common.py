@@ -68,7 +68,7 @@ def release(*tables: DataFrame) -> None:
 
 
 #: Rows and bytes that go to Python at once, where the session does not say: the default would hold 10,000 whole texts.
-BATCH_ROWS, BATCH_BYTES = 1_000, "8m"
+BATCH_ROWS, BATCH_BYTES = 1_000, "4m"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

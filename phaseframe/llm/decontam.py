@@ -178,7 +178,7 @@ def _window_rows(texts: DataFrame, window: int, sizes: list[int], among: np.ndar
                         names=["key", "hash", "size", "place", "slots"],
                     )
 
-    return texts.mapInArrow(run, _FIELDS)
+    return texts.mapInArrow(textscan.thrifty(run), _FIELDS)
 
 
 def _item_sizes(items: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _item_sizes(items: DataFrame) -> DataFrame:
                 counts = np.diff(Templates(*textscan.utf8(part.column("text"))).bounds)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(counts, pa.int64())], names=["item_id", "n_words"])
 
-    return items.mapInArrow(run, "item_id long, n_words long")
+    return items.mapInArrow(textscan.thrifty(run), "item_id long, n_words long")
 
 
 Met = tuple[int, tuple[tuple[str, str], ...]]

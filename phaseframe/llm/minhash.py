@@ -90,7 +90,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                     names=["id", "n", "digest", "sig"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, sig binary")
+    return docs.mapInArrow(textscan.thrifty(run), "id long, n long, digest binary, sig binary")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
                 mine = np.array([_digest(x) == d for x, d in zip(sets, part.column("digest").to_pylist(), strict=True)], bool)
                 yield pa.RecordBatch.from_arrays([part.column("id").filter(pa.array(mine)), pa.array([x.tobytes() for x, own in zip(sets, mine, strict=True) if own], pa.binary())], names=["id", "members"])
 
-    return texts.mapInArrow(run, "id long, members binary")
+    return texts.mapInArrow(textscan.thrifty(run), "id long, members binary")
 
 
 def _digest(shingles: np.ndarray) -> bytes | None:
@@ -147,7 +147,7 @@ def _postings(reps: DataFrame, frequencies: np.ndarray, threshold: int) -> DataF
                 ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), most)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], names=["id", "key"])
 
-    return reps.select("id", "sig").mapInArrow(run, "id long, key long")
+    return reps.select("id", "sig").mapInArrow(textscan.thrifty(run), "id long, key long")
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, threshold: int, percent: int) -> DataFrame:
@@ -204,7 +204,7 @@ def _screened(sets: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), [len(x) for x in members])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(members))], names=["id", "shingle"])
 
-    spread = sets.mapInArrow(run, "id long, shingle long")
+    spread = sets.mapInArrow(textscan.thrifty(run), "id long, shingle long")
     known = spread.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id"))
     # shingles of one set alone are subtracted part by part
     every = spread.groupBy("id", F.pmod("shingle", F.lit(PARTS)).alias("part")).agg(F.count("*").alias("n"))

@@ -105,7 +105,7 @@ def _seed_rows(docs: DataFrame, window: int) -> DataFrame:
                     names=["gram", "context", "id", "tag", "place"],
                 )
 
-    return docs.mapInArrow(run, f"gram long, context long, {_TAG}")
+    return docs.mapInArrow(textscan.thrifty(run), f"gram long, context long, {_TAG}")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 hashes = grams[np.minimum(words.bounds[:-1][owner] + start, max(len(grams) - 1, 0))].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids), pa.array(tags), pa.array(_pack(start, np.zeros(len(start))))], names=["hash", "id", "tag", "place"])
 
-    return docs.mapInArrow(run, f"hash long, {_TAG}")
+    return docs.mapInArrow(textscan.thrifty(run), f"hash long, {_TAG}")
 
 
 def _covered(words: int, places: np.ndarray, window: int) -> np.ndarray:
