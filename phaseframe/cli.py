@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaseframe.functions.scalars import phred_weight
-from phaseframe.operators import combine, filters, intervals, parts, pileup, windows
+from phaseframe.operators import combine, filters, parts, pileup, windows
 from phaseframe.operators.sequences import trim_offsets, trimmed
 from phaseframe.plans import phasing
 from phaseframe.plans.storage import kept
@@ -101,8 +101,7 @@ def run(spark: SparkSession, alignment_path: str, vcf_path: str, fasta_path: str
         rows = rows.withColumn("left", F.when(F.col("is_paired"), 0).otherwise(F.col("left"))).withColumn("right", F.when(F.col("is_paired"), F.length("seq") - 1).otherwise(F.col("right")))
         fastq = sinks.fastq_lines(trimmed(rows)).withColumn("part", F.col("rn.part"))
         write(fastq, "reads", gzip=options.gzip_reads)
-        pad = F.when(F.col("is_paired"), length).otherwise(0)
-        gaps = intervals.overlap_anti(reads.withColumn("first_base", F.col("first_base") - pad).withColumn("last_base", F.col("last_base") + pad), ranges.select("contig", "l_base", "r_base"), ("first_base", "last_base"), ("l_base", "r_base"), ["contig"], ["name"], max(4096, length))
+        gaps = parts.gap_reads(reads.select("contig", "name", "is_paired", "first_base", "last_base"), ranges, length, max(4096, length)).join(whole.drop("is_paired"), ["contig", "name"])
         loose = gaps.select("contig", F.lit(-1).alias("part"), F.xxhash64("contig", "name").alias("frag_id"), "name", "seq", "qual")
         write(sinks.fastq_lines(loose), "reads_in_gaps", gzip=options.gzip_reads)
     return vartigs

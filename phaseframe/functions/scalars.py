@@ -26,8 +26,9 @@ def overlap_percent(x1: Column, x2: Column, y1: Column, y2: Column) -> Column:
 
 
 def poisson(k: Column, rate: Column) -> Column:
-    """Poisson probability for k up to 20."""
-    return F.exp(-rate) * F.pow(rate, k) / F.factorial(k.cast("int"))
+    """Poisson probability of a whole number k, by logarithms."""
+    factorial = F.when(k < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(2).cast("long"), F.greatest(k, F.lit(2)).cast("long")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double"))))
+    return F.exp(-rate + k * F.log(rate) - factorial)
 
 
 def coverage_distance(x: Column, y: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phaseframe.functions.scalars import hapq_score, overlap_percent
 from phaseframe.operators.distances import haplotype_distance, read_haplotype_distance
-from phaseframe.operators.intervals import overlap_join
+from phaseframe.operators.intervals import overlap_anti, overlap_join
 from phaseframe.operators.pileup import error_coverage, indexed_quantile, pileup
 from phaseframe.plans.storage import kept
 
@@ -23,6 +23,17 @@ def part_order(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("index", F.row_number().over(Window.partitionBy("contig").orderBy("l_site", "r_site", "part")) - 1)
 
 
+def gap_reads(reads: DataFrame, ranges: DataFrame, block_length: int, width: int = 4096) -> DataFrame:
+    """Reads(contig, name columns, is_paired, first_base, last_base) that meet no part's range of bases.
+
+    Paired reads are not cut to their part, so for them ranges reach a block length further on both sides.
+    """
+    names = [c for c in reads.columns if c not in ("contig", "is_paired", "first_base", "last_base")]
+    pad = F.when(F.col("is_paired"), block_length).otherwise(0)
+    wide = reads.withColumn("from_", F.col("first_base") - pad).withColumn("to_", F.col("last_base") + pad)
+    return overlap_anti(wide, ranges.select("contig", "l_base", "r_base"), ("from_", "to_"), ("l_base", "r_base"), ["contig"], names, width).drop("from_", "to_")
+
+
 def part_overlaps(ranges: DataFrame, cutoff: float = 0.05, width: int = 64) -> DataFrame:
     """Ordered pairs of parts that share more than an end and more than cutoff of the first one's range."""
     a = ranges.select("contig", "part", "l_site", "r_site")

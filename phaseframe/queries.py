@@ -127,6 +127,19 @@ def filter_alignments(s, d):
     return FL.filter_alignments(S.parse_sam(_sam(s, d))).select("contig", "qname", "flags", "mapq")
 
 
+@query(_with(_SAM_SQL) + "SELECT qname, pos FROM a WHERE contig = 'c1'")
+def fetch_contig(s, d):
+    """One contig's records; lines that cannot be read are skipped."""
+    broken = s.createDataFrame([(10**9, "x\t0\tc1\tnowhere\t60\t1M\t*\t0\t0\tA\tI"), (10**9 + 1, "y\t0\tc1")], "line_no long, value string")
+    return S.parse_sam(_sam(s, d).union(broken)).where("contig = 'c1'").select("qname", "pos")
+
+
+@query(_with(_VCF_SQL) + "SELECT * FROM sites WHERE contig IN ('c0', 'c1', 'c2')")
+def sites_of_alignments(s, d):
+    """Sites on the contigs that the alignments' header names."""
+    return S.parse_vcf(_vcf(s, d), S.sam_contigs(_sam(s, d))).withColumn("alleles", F.array_join("alleles", ","))
+
+
 @query(_with(_SAM_SQL, _PAIRS_SQL) + "SELECT contig, ref_pos, count(*) AS depth, count(*) FILTER (base = 'A') AS a FROM bases GROUP BY ALL")
 def pileup_depth(s, d):
     return S.aligned_bases(S.parse_sam(_sam(s, d))).groupBy("contig", "ref_pos").agg(F.count("*").alias("depth"), F.count_if(F.col("base") == "A").alias("a"))
@@ -391,9 +404,9 @@ def ploidy_threshold(s, d):
     return rows.select("k", *[F.round(X.ploidy_threshold(k, 0.04, n), 9).alias(c) for n, c in ((1, "low"), (2, "mid"), (3, "high"))])
 
 
-@query("WITH q AS (SELECT DISTINCT l_quantity / 5 AS x, l_linenumber + 0.5 AS y FROM lineitem) SELECT x, y, round(-ln((exp(-x) * pow(x, floor(y)) / factorial(CAST(floor(y) AS INT)) + exp(-y) * pow(y, floor(x)) / factorial(CAST(floor(x) AS INT))) / 2), 6) AS dist FROM q")
+@query("WITH q AS (SELECT DISTINCT l_quantity AS x, l_linenumber * 3 + 0.5 AS y FROM lineitem) SELECT x, y, round(-ln((exp(-x + floor(y) * ln(x) - lgamma(floor(y) + 1)) + exp(-y + floor(x) * ln(y) - lgamma(floor(x) + 1))) / 2), 6) AS dist FROM q")
 def coverage_concordance(s, d):
-    rows = B.read(s, d, "lineitem").select((F.col("l_quantity") / 5).alias("x"), (F.col("l_linenumber") + F.lit(0.5)).cast("double").alias("y")).distinct()
+    rows = B.read(s, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_linenumber") * 3 + F.lit(0.5)).cast("double").alias("y")).distinct()
     return rows.select("x", "y", F.round(X.coverage_distance(F.col("x"), F.col("y")), 6).alias("dist"))
 
 
@@ -534,11 +547,11 @@ def split_by_sites(s, d):
     return with_.withColumn("has_sites", F.lit(True)).union(without.withColumn("has_sites", F.lit(False)))
 
 
-@query("SELECT o_orderkey AS name, length(o_orderpriority) * 2 AS length FROM orders ANTI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'A') USING (o_orderkey)")
+@query("SELECT o_orderkey AS name, length(o_orderpriority) + length(o_orderstatus) AS length FROM orders ANTI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'A') USING (o_orderkey)")
 def reads_without_sites(s, d):
     seen = B.read(s, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey"))
     _, without = FL.split_by_sites(B.read(s, d, "orders"), seen, "o_orderkey")
-    return without.select(F.col("o_orderkey").alias("name"), (F.length("o_orderpriority") + F.length("o_orderpriority")).cast("long").alias("length"))
+    return without.select(F.col("o_orderkey").alias("name"), (F.length("o_orderpriority") + F.length("o_orderstatus")).cast("long").alias("length"))
 
 
 #: Pieces of reads made from events: a user's week is a read, its days (for every fifth user: its halves) are pieces.
@@ -609,11 +622,13 @@ def part_overlaps(s, d):
     return _r(PT.part_overlaps(PT.part_ranges(_ep(s, d))), "overlap")
 
 
-@query(_with(OBS_E, FRAGS, PART_W, RANGES) + "SELECT f.contig, f.frag_id FROM frags f WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.contig = f.contig AND r.part % 2 = 0 AND f.first_base <= r.r_base AND r.l_base <= f.last_base)")
+@query(_with(OBS_E, FRAGS, PART_W, RANGES, "wide AS (SELECT *, CASE WHEN frag_id // 10000 % 2 = 1 THEN 600 ELSE 0 END AS pad FROM frags)") + "SELECT f.contig, f.frag_id FROM wide f WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.contig = f.contig AND r.part % 2 = 0 AND f.first_base - pad <= r.r_base AND r.l_base <= f.last_base + pad)")
 def gap_reads(s, d):
+    """Reads of every second user are taken to be paired."""
     obs = _ep(s, d)
-    ranges = PT.part_ranges(obs).where("part % 2 = 0").select("contig", "l_base", "r_base")
-    return I.overlap_anti(B.frags_of(obs), ranges, ("first_base", "last_base"), ("l_base", "r_base"), ["contig"], ["frag_id"], 4096).select("contig", "frag_id")
+    ranges = PT.part_ranges(obs).where("part % 2 = 0")
+    reads = B.frags_of(obs).select("contig", "frag_id", (F.floor(F.col("frag_id") / 10000) % 2 == 1).alias("is_paired"), "first_base", "last_base")
+    return PT.gap_reads(reads, ranges, 600).select("contig", "frag_id")
 
 
 @query(_with(OBS_E, PART_W, PILE, BEST, DIST) + "SELECT contig, part, other, same, diff FROM dist WHERE part < other")

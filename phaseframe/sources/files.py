@@ -14,10 +14,14 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
 
 
-def parse_vcf(rows: DataFrame) -> DataFrame:
-    """contig, site (from 1), pos (from 0), alleles: records whose alleles are all single bases; FILTER is ignored."""
+def parse_vcf(rows: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+    """contig, site (from 1), pos (from 0), alleles: records whose alleles are all single bases; FILTER is ignored.
+
+    contigs(contig): only those count, as where they are what the alignments name.
+    """
     cells = F.split("value", "\t")
     found = rows.where("value not like '#%' and value <> ''").select("line_no", cells[0].alias("contig"), (cells[1].cast("long") - 1).alias("pos"), F.concat(F.array(cells[3]), F.split(cells[4], ",")).alias("alleles"))
+    found = found if contigs is None else found.join(contigs.select("contig").distinct(), "contig", "left_semi")
     snps = found.where(F.forall("alleles", lambda a: a.rlike("^[ACGTacgt]$"))).withColumn("alleles", F.transform("alleles", F.upper))
     return snps.select("contig", F.row_number().over(Window.partitionBy("contig").orderBy("line_no")).alias("site"), "pos", "alleles")
 

@@ -112,3 +112,12 @@ def tagged_alignments(lines: DataFrame, tags: DataFrame) -> DataFrame:
     """SAM lines with an HP tag by read name where tags(qname, hp) has one; lines without one stay as they are."""
     named = lines.withColumn("qname", F.when(~F.col("value").startswith("@"), F.substring_index("value", "\t", 1)))
     return named.join(tags, "qname", "left").select("line_no", F.when(F.col("hp").isNotNull(), F.concat("value", F.lit("\tHP:i:"), F.col("hp").cast("string"))).otherwise(F.col("value")).alias("value"))
+
+
+def split_alignments(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    """part, rn, value: SAM lines of the reads in parts(qname, part), the first part where a read has several; headers go
+    to every part. write_lines lays out a folder for each."""
+    first = parts.groupBy("qname").agg(F.min("part").alias("part"))
+    head = lines.where("value like '@%'").select("line_no", "value").crossJoin(first.select("part").distinct())
+    body = lines.where("value not like '@%'").withColumn("qname", F.substring_index("value", "\t", 1)).join(first, "qname")
+    return head.select("part", F.col("line_no").alias("rn"), "value").union(body.select("part", F.col("line_no").alias("rn"), "value"))

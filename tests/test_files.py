@@ -111,6 +111,25 @@ def test_haplotags(spark):
     assert [r["value"] for r in sinks.tagged_alignments(lines, tags).orderBy("line_no").collect()] == ["@SQ\tSN:c", "r1\t0\tc", "r2\t0\tc\tHP:i:4"]
 
 
+def test_alignments_split_by_part(spark, tmp_path):
+    lines = spark.createDataFrame([(0, "@SQ\tSN:c"), (1, "r1\t0\tc"), (2, "r2\t0\tc"), (3, "r3\t0\tc")], "line_no long, value string")
+    parts = spark.createDataFrame([("r1", 5), ("r1", 2), ("r2", 5)], "qname string, part int")
+    sinks.write_lines(sinks.split_alignments(lines, parts), str(tmp_path / "out"))
+    read = lambda k: [r["value"] for r in spark.read.text(str(tmp_path / "out" / f"part={k}")).collect()]
+    assert read(2) == ["@SQ\tSN:c", "r1\t0\tc"] and read(5) == ["@SQ\tSN:c", "r2\t0\tc"]
+
+
+def test_scalars(spark):
+    from pyspark.sql import functions as F
+
+    from phaseframe.functions.scalars import chi_square_cdf3, poisson
+
+    rows = spark.createDataFrame([(2.3660, 0.5), (7.8147, 0.95), (11.3449, 0.99), (0.3518, 0.05)], "x double, p double")
+    assert all(abs(r["found"] - r["p"]) < 1e-4 for r in rows.select("p", chi_square_cdf3(F.col("x")).alias("found")).collect())
+    total = spark.range(200).select(poisson(F.col("id"), F.lit(60.0)).alias("p")).agg(F.sum("p")).first()[0]
+    assert total == pytest.approx(1)
+
+
 def test_headers_carry_over_stretches(spark, monkeypatch):
     monkeypatch.setattr(files, "STRETCH", 3)
     rows = [">a x", "AC", "GT", "AA", "CC", "GG", "TT", ">b", ">c", "A", "C", "G", "T"]
