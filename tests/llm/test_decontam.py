@@ -34,3 +34,33 @@ def test_largest_part():
     assert largest_part([(0, both)], 6) == [(0, both)] and largest_part([(0, both)], 3) == []
     many = [(k, ((f"#{k % 12}", f"#{k // 12}"),)) for k in range(36)]
     assert len(largest_part(many, 6)) == 12
+
+
+def brute_force(rows, items, window=6, coverage=0.5):
+    """(doc, item): windows found and share of the item's words under them, for texts of plain lower-case words."""
+    out = {}
+    for item, text in items:
+        own = text.split()
+        size = min(window, len(own))
+        if size < 3:
+            continue
+        for doc in {d for d, _ in rows if d is not None}:
+            runs = {tuple(w[k : k + size]) for d, t in rows if d == doc for w in [(t or "").split()] for k in range(len(w) - size + 1)}
+            places = [k for k in range(len(own) - size + 1) if tuple(own[k : k + size]) in runs]
+            covered = {x for k in places for x in range(k, k + size)}
+            if places and len(covered) / len(own) >= coverage:
+                out[doc, item] = (len(places), round(len(covered) / len(own), 6))
+    return out
+
+
+def test_plain_words_by_brute_force(spark):
+    import random
+
+    rng = random.Random(31)
+    words = [f"w{chr(97 + k)}" for k in range(5)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, text(rng.randint(1, 16))) for k in range(40)]
+    rows = [(k % 50, text(rng.randint(0, 60))) for k in range(60)] + [(60 + k, f"{text(9)} {items[k][1]} {text(9)}") for k in range(40)] + [(None, items[0][1]), (200, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_windows"], round(r["coverage"], 6)) for r in leaks(docs(spark, rows), bench).collect()}
+    assert found == brute_force(rows, items) and len(found) > 50

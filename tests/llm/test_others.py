@@ -83,6 +83,31 @@ def test_neighbours_with_too_few_probes(spark):
     assert len(found) == 300 and len(found & true) >= 0.9 * 300
 
 
+def test_neighbours_in_crowded_buckets(spark, monkeypatch):
+    """Buckets that are cut into grids of groups give what whole ones give."""
+    from phaseframe.llm import ann
+
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=16)
+    x = np.concatenate([centre + 1e-3 * rng.normal(size=(500, 16)), rng.normal(size=(300, 16))])
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[700].tolist()), (900, x[0].tolist())]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    expected = exact([v for v in vectors if v[0] != 5], 10, 5)
+    for rows, queries in ((8192, 1024), (40, 7)):
+        monkeypatch.setattr(ann, "MOST_ROWS", rows)
+        monkeypatch.setattr(ann, "MOST_QUERIES", queries)
+        found = {}
+        for r in ann.search(frame.where("vec_id <> 5"), modulus=10).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert set(found) == set(expected) and all(len(v) == 5 for v in found.values())
+        crowd = [q for q in expected if q < 500]
+        assert sum(len({j for j, _ in found[q]} & {j for j, _ in expected[q]}) for q in expected) >= 0.9 * 5 * len(expected)
+        if rows == 8192:
+            whole = found
+        else:
+            assert all([j for j, _ in found[q]] == [j for j, _ in whole[q]] for q in crowd)
+
+
 def test_components(spark):
     from phaseframe.llm.components import components
 
