@@ -925,7 +925,7 @@ def realign_alleles(s, d):
     """Reads from parts: 48 bases by key, an edit by key, the site at place 20 of both."""
     k = F.col("p_partkey")
     letters = lambda n, f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
-    bases = F.array_join(letters(48, lambda i: F.substring(F.lit("ACGT"), (F.pmod((i + 3) * (i + k) * (k + 7), F.lit(4)) + 1).cast("int"), F.lit(1))), "")
+    bases = F.array_join(letters(48, lambda i: F.substring(F.lit("ACGT"), (F.pmod(F.hash(i, k), F.lit(4)) + 1).cast("int"), F.lit(1))), "")
     rows = B.read(s, d, "part").select(k.alias("id"), F.concat(F.lit("c"), k).alias("contig"), bases.alias("ref"))
     calls = rows.select("id", "contig", F.lit(20).cast("long").alias("pos"), F.lit(20).cast("long").alias("seq_pos"), F.expr("CASE id % 3 WHEN 0 THEN concat(substr(ref, 1, 12), substr(ref, 14)) WHEN 1 THEN concat(substr(ref, 1, 30), 'A', substr(ref, 31)) ELSE ref END").alias("seq"), F.array(F.lit("A"), F.lit("C"), F.lit("G"), F.lit("T")).alias("alleles"), F.lit(0).alias("allele"))
     return phasing.realign(calls, rows.select("contig", "ref")).select("id", "allele")
