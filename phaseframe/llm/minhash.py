@@ -282,7 +282,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rest = materialize(_alike(_across(shared, first, screened, percent, files), reps, threshold, percent).join(stars, ["a", "b"], "left_anti"), files)
     release(shared, screened, stars, reps)
     more_ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    more = materialize(_confirmed(rest, sets_of(more_ids), percent), files)
+    more_sets = materialize(sets_of(more_ids), files)
+    more = materialize(_confirmed(rest, more_sets, percent), files)
+    release(more_sets)
     label = first if more.isEmpty() else components(links.union(more), files)
     linked = nodes.join(label, "node").select("digest", "first", "component")
     smallest = linked.groupBy("component").agg(F.min("first").alias("smallest"))

@@ -160,7 +160,8 @@ def _cut(text: str, places: str, window: int) -> Column:
                     out.append((n, 0, hashlib.sha256(b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split())).hexdigest(), whole))
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)] if out else [pa.array([], f.type) for f in kind], fields=list(kind))
 
-    return cut(F.col(text), F.col(places))
+    # so declared, it is evaluated once, also where a filter and a column both need it
+    return cut.asNondeterministic()(F.col(text), F.col(places))
 
 
 def _by_document(places: DataFrame) -> DataFrame:
