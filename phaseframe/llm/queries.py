@@ -73,6 +73,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=25, least_words=20, seed=7)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from phaseframe.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from phaseframe.llm.whitening import whiten
 
@@ -103,6 +109,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_toxicity": op12_toxicity,
     "op13_whitening": op13_whitening,
 }
 
