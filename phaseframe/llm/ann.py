@@ -13,14 +13,14 @@ a probe, and both meet sorted by bucket. There they are compared block by block
 the best k of a bucket go on, with the exact cosine of the original vectors. What is shuffled is therefore
 linear in the rows. Buckets with very many rows or queries are cut into a grid of groups of bounded size.
 
-Equal vectors would fill one bucket: rows with one direction form a class, of which the k + 1 smallest ids
+Equal vectors would fill one bucket: rows with the same vector form a class, of which the k + 1 smallest ids
 take part (enough for an exact top k with ties to smaller ids).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part as
 query or candidate; vectors of another length than the most common one take no part; with fewer candidates
 than k, all come out; for queries that meet fewer than k candidates probes are raised, up to all buckets; rows
 with a null id take no part; of rows with one id each counts as a query and as a candidate, and a pair of ids
-has its best score; an empty table gives an empty result.
+has its best score; ids of another than an integer type are an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import materialize, release
+from phaseframe.llm.common import materialize, release, whole_id
 
 TABLES = 8
 #: The least number of probes.
@@ -102,7 +102,7 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame
     """id, raw (the components' bytes) of the rows that take part, and the components' numpy type."""
     narrow = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     kind, dtype = ("float", "<f4") if narrow else ("double", "<f8")
-    picked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vec"))
+    picked = vectors.select(whole_id(vectors, id_col).alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vec"))
     fine = picked.where("id is not null and vec is not null and size(vec) > 0").where("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x <> 0)")
     width = fine.groupBy(F.size("vec").alias("w")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").first()
 
@@ -201,7 +201,9 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of the rows of a with those of b."""
+    """Of the rows of a with those of b. Rows are scaled by powers of two first, which is exact, so that no square leaves the
+    range of a double."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (a, b))
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,9 +88,9 @@ def fold_of(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
-def free_name(taken: list[str], wanted: str) -> str:
-    """A column name that differs, also in case, from all that a caller's table has."""
-    used = {x.lower() for x in taken}
-    while wanted.lower() in used:
-        wanted += "_"
-    return wanted
+def whole_id(df: DataFrame, id_col: str) -> Column:
+    """An id column as long; an error where its type isn't an integer one."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError(f"{id_col} must be of an integer type, not {kind.simpleString()}")
+    return F.col(id_col).cast("long")

@@ -15,14 +15,12 @@ has, in which the hashes of its windows are set; those that pass take part in th
 
 Defined results: null or wordless texts leak nothing and are leaked by nothing; an item with fewer words
 than a window is one window of its own length, and one with under three words is not searched for; rows
-with a null id are no candidates; rows that share an id are judged together; empty tables give an empty
-result; only the named columns take part.
+with a null id are no candidates; rows that share an id are judged together; ids of another than an integer type are
+an error; empty tables give an empty result; only the named columns take part.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import bounded_batches, materialize
+from phaseframe.llm.common import bounded_batches, materialize, whole_id
 
 #: Bits of the table of window hashes that every task gets (4 MB).
 FILTER_BITS = 1 << 25
@@ -193,27 +191,35 @@ def _item_sizes(items: DataFrame) -> DataFrame:
 
 Met = tuple[int, tuple[tuple[str, str], ...]]
 
-#: Choices of values that are all tried; beyond, the slot with the most windows is settled first.
-_MOST_CHOICES = 256
+def _agreeing_most(windows: list[Met], own: list[int]) -> list[int]:
+    """The most of these windows in which each slot has one value. Windows that no open slot ties together are looked at
+    apart; in each group the slot that divides it most gets one value after another."""
+    values: dict[str, Counter] = {}
+    for k in own:
+        for slot, value in set(windows[k][1]):
+            values.setdefault(slot, Counter())[value] += 1
+    lost = {s: sum(c.values()) - max(c.values()) for s, c in values.items() if len(c) > 1}
+    groups: list[tuple[set[str], list[int]]] = []
+    for k in own:
+        slots = {s for s, _ in windows[k][1] if s in lost}
+        tied = [g for g in groups if g[0] & slots]
+        groups = [g for g in groups if not g[0] & slots] + [(slots.union(*(g[0] for g in tied)), [i for g in tied for i in g[1]] + [k])]
+    out: list[int] = []
+    for slots, group in groups:
+        best = group if not slots else []
+        slot = min(slots, key=lambda s: (-lost[s], s), default="")
+        for value in sorted(values.get(slot, ()), key=lambda v: (-values[slot][v], v != slot, v)):
+            left = [k for k in group if all(s != slot or v == value for s, v in windows[k][1])]
+            if len(left) > len(best):  # else no better one is among them
+                found = _agreeing_most(windows, left)
+                best = found if len(found) > len(best) else best
+        out += best
+    return out
 
 
 def largest_part(windows: list[Met], size: int) -> list[Met]:
     """The most windows (place, slot and value of each placeholder) in which each slot has one value."""
-    alive = [w for w in windows if len(dict(w[1])) == len(set(w[1]))]
-    values: dict[str, Counter] = {}
-    for _, pairs in alive:
-        for slot, value in set(pairs):
-            values.setdefault(slot, Counter())[value] += 1
-    open_slots = sorted((s for s, c in values.items() if len(c) > 1), key=lambda s: (-sum(values[s].values()), s))
-    order = lambda s: sorted(values[s], key=lambda v: (-values[s][v], v != s, v))
-    if math.prod(len(values[s]) for s in open_slots) <= _MOST_CHOICES:
-        chosen = [dict(zip(open_slots, c, strict=True)) for c in itertools.product(*map(order, open_slots))]
-        alive = max(([w for w in alive if all(c.get(s, v) == v for s, v in w[1])] for c in chosen), key=len)
-    else:
-        for slot in open_slots:
-            left = Counter(v for _, pairs in alive for s, v in set(pairs) if s == slot)
-            best = min(left, key=lambda v: (-left[v], v != slot, v), default=None)
-            alive = [w for w in alive if all(s != slot or v == best for s, v in w[1])]
+    alive = [windows[k] for k in sorted(_agreeing_most(windows, [k for k, w in enumerate(windows) if len(dict(w[1])) == len(set(w[1]))]))]
     mapped = {p for _, pairs in alive for p in pairs}
     shared = {v for v, n in Counter(v for _, v in mapped).items() if n > 1}
     return [w for w in alive if 2 * (size - len(w[1])) >= size or not any(v in shared for _, v in w[1])]
@@ -238,10 +244,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 6, coverage: floa
 
     exact says whether all slot values are the item's own.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("key"), F.col(item_text).alias("text")).where("key is not null")
+    items = benchmark.select(whole_id(benchmark, item_col).alias("key"), F.col(item_text).alias("text")).where("key is not null")
     known = materialize(_window_rows(items, window, list(range(LEAST, window + 1)), None, True).distinct())
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
-    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).where("key is not null")
+    texts = bounded_batches(docs).select(whole_id(docs, id_col).alias("key"), F.col(text_col).alias("text")).where("key is not null")
     if not sizes:
         texts = texts.where(F.lit(False))
     met = _window_rows(texts, window, sizes or [window], _filter(known), False).withColumnRenamed("key", "doc_id").withColumnRenamed("place", "at").withColumnRenamed("slots", "values")

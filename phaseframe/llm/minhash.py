@@ -9,25 +9,30 @@
    representatives. (Rare first keeps passages that very many texts share out of the postings.)
 3. Counting collisions: for pairs that meet in a posting list, the two signatures are merged coordinate by
    coordinate; a pair with sizes too different is skipped, one with fewer than T collisions dropped.
-4. Survivors are confirmed on the full sets: 100 * |A and B| >= 100 * similarity * |A or B|.
+4. Survivors are confirmed on the full sets, in whole numbers: |A and B| >= similarity * |A or B|, where similarity
+   is the decimal fraction that it is written as.
 
 No posting list is expanded into all its pairs: first each list is tied to a few of its members (stars) and
 the confirmed links are joined into components; then only pairs that stand in different components are
 looked at. In lists where many such pairs are left, shingles that only one member has bound how similar it
 can be to any other; pairs under the bound are skipped, which loses nothing.
 
-At similarity 0.8 with K = 64 and T = 33 a linked pair is missed with probability under 1e-6.
+T follows from the similarity: the most collisions that a pair just similar enough has with probability 1 - MISS
+(33 of K = 64 at 0.8, 14 at 0.5). Similarities so small that T would be 0 are an error.
 
 Defined results: a text that is null or has no words has an empty set and is linked with nothing; one with
 fewer words than a shingle has its whole word sequence as its only shingle; rows with a null id stand alone
 (component null, kept); rows that share an id are one document, linked by any of its texts; equal sets are
-linked; an empty table gives an empty result; columns of the input other than the two named play no part.
+linked; an empty table gives an empty result; columns of the input other than the two named play no part; ids of
+another than an integer type are an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -36,11 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import bounded_batches, files_for, materialize, release
+from phaseframe.llm.common import bounded_batches, files_for, materialize, release, whole_id
 from phaseframe.llm.components import components
 
 K = 64
-THRESHOLD = 33
+#: Probability at most that the signatures of a linked pair have too few collisions.
+MISS = 1e-7
 #: Counters of the table of pair frequencies; it is sent to every task.
 COUNTERS = 1 << 17
 #: Members beyond which a posting list's pairs are screened by their shingles before they are made.
@@ -52,6 +58,19 @@ _SEEDS = textscan.mix(np.arange(1, 2 * K + 1, dtype=np.uint64))
 _ADD, _TIMES = _SEEDS[:K, None], _SEEDS[K:, None] | np.uint64(1)
 
 
+def threshold_for(similarity: float, miss: float = MISS) -> int:
+    """The largest T for which a pair of this similarity has fewer than T of K equal coordinates with probability miss at most."""
+    below, t = 0.0, 0
+    while t < K:
+        below += math.comb(K, t) * similarity**t * (1 - similarity) ** (K - t)
+        if below > miss:
+            break
+        t += 1
+    if t < 1:
+        raise ValueError(f"signatures of {K} values can't find pairs of similarity {similarity}")
+    return t
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a slice."""
     words = textscan.Words(textscan.lower_ascii(data), offsets)
@@ -150,7 +169,7 @@ def _postings(reps: DataFrame, frequencies: np.ndarray, threshold: int) -> DataF
     return reps.select("id", "sig").mapInArrow(textscan.thrifty(run), "id long, key long")
 
 
-def _alike(pairs: DataFrame, sigs: DataFrame, threshold: int, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, sigs: DataFrame, threshold: int, share: Fraction) -> DataFrame:
     """Of pairs(a, b), those with enough equal coordinates and sizes that are close enough."""
 
     @F.pandas_udf("boolean")
@@ -162,18 +181,18 @@ def _alike(pairs: DataFrame, sigs: DataFrame, threshold: int, percent: int) -> D
 
     left = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x"), F.col("n").alias("n_a"))
     right = sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"), F.col("n").alias("n_b"))
-    close = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    close = f"{share.denominator} * least(n_a, n_b) >= {share.numerator} * greatest(n_a, n_b)"
     return pairs.join(left, "a").join(right, "b").where(close).where(enough("x", "y")).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.zeros(len(x), bool)
         for k, (p, q) in enumerate(zip(x, y, strict=True)):
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
-            out[k] = 100 * both >= percent * (len(p) + len(q) - both)
+            out[k] = share.denominator * both >= share.numerator * (len(p) + len(q) - both)
         return pd.Series(out)
 
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
@@ -215,7 +234,7 @@ def _screened(sets: DataFrame) -> DataFrame:
     return table.select("id", "n", "met", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0))).alias("parts"))
 
 
-def _across(shared: DataFrame, labels: DataFrame, screened: DataFrame, percent: int, files: int) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, screened: DataFrame, share: Fraction, files: int) -> DataFrame:
     """All pairs of a list that stand in different components and could be similar enough."""
     placed = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "key", "large", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
@@ -224,12 +243,13 @@ def _across(shared: DataFrame, labels: DataFrame, screened: DataFrame, percent:
     x = small.select("key", "id", F.col("component").alias("c"))
     y = small.select("key", F.col("id").alias("other"), F.col("component").alias("d"))
     pairs = x.join(y, "key").where("c < d").select(*_ordered("id", "other"))
+    n, of = share.numerator, share.denominator
     # |A and B| <= the shingles that both share with anyone, part by part
-    rows = placed.where("large").join(screened.where(f"100 * met >= {percent} * n"), "id")
+    rows = placed.where("large").join(screened.where(f"{of} * met >= {n} * n"), "id")
     x = rows.select("key", "id", F.col("component").alias("c"), F.col("n").alias("n_x"), F.col("met").alias("m_x"), F.col("parts").alias("p_x"))
     y = rows.select("key", F.col("id").alias("other"), F.col("component").alias("d"), F.col("n").alias("n_y"), F.col("met").alias("m_y"), F.col("parts").alias("p_y"))
-    bound = f"{100 + percent} * least(m_x, m_y) >= {percent} * (n_x + n_y)"
-    finer = f"{100 + percent} * aggregate(zip_with(p_x, p_y, (u, v) -> least(u, v)), 0, (s, u) -> s + u) >= {percent} * (n_x + n_y)"
+    bound = f"{of + n} * least(m_x, m_y) >= {n} * (n_x + n_y)"
+    finer = f"{of + n} * aggregate(zip_with(p_x, p_y, (u, v) -> least(u, v)), 0, (s, u) -> s + u) >= {n} * (n_x + n_y)"
     return pairs.union(x.join(y, "key").where(f"c < d and {bound} and {finer}").select(*_ordered("id", "other"))).distinct()
 
 
@@ -247,10 +267,10 @@ def _same_id(known: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.select(F.col("digest").alias("one"), F.col("node").alias("u")), "one").where("u <> v").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of docs."""
-    percent = round(100 * similarity)
-    picked = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    share, threshold = Fraction(str(similarity)), threshold_for(similarity)
+    picked = bounded_batches(docs).select(whole_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     scanned = materialize(_scan(picked, shingle))
     files = files_for(docs, scanned.count())
     known = scanned.where("digest is not null and id is not null")
@@ -271,19 +291,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     lists = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > LARGE).alias("large"))
     shared = materialize(postings.join(lists, "key").select("key", "id", "large"), files)
     release(postings)
-    stars = materialize(_alike(_stars(shared), reps, threshold, percent), files)
+    stars = materialize(_alike(_stars(shared), reps, threshold, share), files)
     in_large = shared.where("large").select("id").distinct()
     needed = stars.select(F.explode(F.array("a", "b")).alias("id")).union(in_large).distinct()
     sets = materialize(sets_of(needed), files)
-    links = materialize(_confirmed(stars, sets, percent).union(ties), files)
+    links = materialize(_confirmed(stars, sets, share).union(ties), files)
     first = components(links, files)
     screened = materialize(_screened(sets.join(in_large, "id", "left_semi")), files)
     release(sets)
-    rest = materialize(_alike(_across(shared, first, screened, percent, files), reps, threshold, percent).join(stars, ["a", "b"], "left_anti"), files)
+    rest = materialize(_alike(_across(shared, first, screened, share, files), reps, threshold, share).join(stars, ["a", "b"], "left_anti"), files)
     release(shared, screened, stars, reps)
     more_ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     more_sets = materialize(sets_of(more_ids), files)
-    more = materialize(_confirmed(rest, more_sets, percent), files)
+    more = materialize(_confirmed(rest, more_sets, share), files)
     release(more_sets)
     label = first if more.isEmpty() else components(links.union(more), files)
     linked = nodes.join(label, "node").select("digest", "first", "component")

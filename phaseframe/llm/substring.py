@@ -16,8 +16,8 @@ document with a smaller id.
    (Extending pair by pair would be quadratic in the documents that share an anchor.)
 
 Defined results: null or wordless texts have no words and lose none; a text shorter than a window loses
-nothing; rows with a null id come last in the order of ids and only repeat others; rows that share an id do
-not remove from each other; a window of under 4 or over 256 words is an error; an empty table gives an empty result; columns other than the two named play no
+nothing; rows with a null id come last in the order of ids (with the largest long, if there is one) and only repeat
+others; rows that share an id do not remove from each other; ids of another than an integer type are an error; a window of under 4 or over 256 words is an error; an empty table gives an empty result; columns other than the two named play no
 part in the comparison.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaseframe.llm import textscan
-from phaseframe.llm.common import bounded_batches, materialize, release
+from phaseframe.llm.common import bounded_batches, materialize, release, whole_id
 
 LAST = (1 << 63) - 1
 SEED = 4
@@ -170,8 +170,8 @@ def _by_document(places: DataFrame) -> DataFrame:
 
 
 def _tagged(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
-    """id (null last), tag, text and others; white space and case stay as they are."""
-    return bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"), *others)
+    """id (null last), no_id, tag, text and others; white space and case stay as they are."""
+    return bounded_batches(docs).select(F.coalesce(whole_id(docs, id_col), F.lit(LAST)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"), *others)
 
 
 def repeated_places(docs: DataFrame, window: int) -> DataFrame:
@@ -205,7 +205,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     """
     tagged = _tagged(docs, id_col, text_col)
     joined = tagged.join(repeated_places(tagged, window), ["id", "tag"], "left")
-    return joined.select(F.expr(f"nullif(id, {LAST})").alias("doc_id"), _cut("text", "places", window).alias("cut")).select("doc_id", "cut.*")
+    return joined.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), _cut("text", "places", window).alias("cut")).select("doc_id", "cut.*")
 
 
 def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,36 @@ def test_largest_part():
     assert len(largest_part(many, 6)) == 12
 
 
+def agreeing(windows):
+    own = {}
+    return all(own.setdefault(s, v) == v for _, pairs in windows for s, v in pairs)
+
+
+def test_largest_part_against_all_subsets():
+    """Whatever the number of values, no part that agrees is larger."""
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    for case in range(250):
+        slots = [f"#{k}" for k in range(rng.randint(2, 7))]
+        windows = [(k, tuple((s, f"#{rng.randint(0, 5)}") for s in rng.sample(slots, rng.randint(0, min(3, len(slots)))))) for k in range(rng.randint(1, 11))]
+        most = next(n for n in range(len(windows), -1, -1) if any(agreeing(c) for c in itertools.combinations(windows, n)))
+        found = [w for w in windows if len(dict(w[1])) == len(set(w[1]))]
+        from phaseframe.llm.decontam import _agreeing_most
+
+        part = [found[k] for k in _agreeing_most(found, list(range(len(found))))]
+        assert agreeing(part) and len(part) == most, case
+
+
+def test_many_values_stay_quick():
+    import random
+
+    rng = random.Random(9)
+    windows = [(k, tuple((f"#{(k // 3 + j) % 30}", f"#{rng.choice([k // 3 + j, 77])}") for j in range(2))) for k in range(120)]
+    assert agreeing(largest_part(windows, 6)) and len(largest_part(windows, 6)) > 40
+
+
 def brute_force(rows, items, window=6, coverage=0.5):
     """(doc, item): windows found and share of the item's words under them, for texts of plain lower-case words."""
     out = {}

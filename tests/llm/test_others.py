@@ -141,18 +141,30 @@ def test_pipeline_on_the_smallest_tables(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "decontamination", "token_ids"]
 
 
-def test_sql_of_chat_formatting(spark):
+def test_queries_with_sql(spark):
     from pathlib import Path
 
     from phaseframe.llm.queries import ORACLES, QUERIES
 
     duckdb = pytest.importorskip("duckdb")
-    path = "/root/testdata/sf0.001/conversations.parquet"
-    if not Path(path).exists():
+    path = Path("/root/testdata/sf0.001")
+    if not path.exists():
         pytest.skip("no test tables")
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{path}'")
+    for t in ("conversations", "documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{path / t}.parquet'")
     for name, sql in ORACLES.items():
-        ours = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+        ours = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas().fillna(-1)
         columns = sorted(ours.columns)
-        assert sorted(map(tuple, ours[columns].itertuples(index=False))) == sorted(map(tuple, con.execute(sql).fetchdf()[columns].itertuples(index=False)))
+        assert sorted(map(tuple, ours[columns].itertuples(index=False))) == sorted(map(tuple, con.execute(sql).fetchdf().fillna(-1)[columns].itertuples(index=False)))
+
+
+def test_cosines_of_extreme_vectors():
+    from phaseframe.llm.ann import cosines
+
+    x = np.random.default_rng(6).normal(size=(50, 8))
+    y = np.random.default_rng(7).normal(size=(50, 8))
+    plain = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+    assert (cosines(x, y) == plain).all()
+    assert (cosines(x * 2.0**900, y * 2.0**-900) == plain).all()
+    assert cosines(x * 1e200, y * 1e-200) == pytest.approx(plain)

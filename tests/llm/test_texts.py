@@ -290,3 +290,43 @@ def test_windows_of_other_sizes(spark):
     for window in (3, 257):
         with pytest.raises(ValueError):
             dedup_substrings(docs(spark, rows), window)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.8, 0.894])
+def test_near_duplicates_at_other_similarities(spark, similarity):
+    """Pairs at, above and under the line, at any similarity; 0.894 is not 0.89."""
+    from fractions import Fraction
+
+    from phaseframe.llm.minhash import near_duplicates, threshold_for
+
+    rng = random.Random(5)
+    rows, pairs, share = [], [], Fraction(str(similarity))
+    for k in range(120):
+        both = rng.randint(20, 120)
+        total = int(both / share) + rng.choice([-2, -1, 0, 0, 1, 2])
+        total = max(total, both)
+        left = rng.randint(0, total - both)
+        word = lambda j, k=k: f"w{k}x{j}"
+        a = [word(j) for j in range(both + left)]
+        b = [word(j) for j in range(both)] + [word(1000 + j) for j in range(total - both - left)]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        pairs.append(share.denominator * both >= share.numerator * total)
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows), 1, similarity).collect()}
+    assert [found[2 * k + 1] == 2 * k for k in range(120)] == pairs and 20 < sum(pairs) < 115
+    assert threshold_for(0.8) == 33
+
+
+def test_ids_of_other_types(spark):
+    """An error that names the column, not a failure somewhere in a task; the largest id is an id like any other."""
+    from phaseframe.llm.decontam import leaks
+    from phaseframe.llm.minhash import near_duplicates
+    from phaseframe.llm.substring import dedup_substrings
+
+    texts = spark.createDataFrame([("a", "x y z")], "doc_id string, text string")
+    items = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    for call in (lambda: near_duplicates(texts), lambda: dedup_substrings(texts), lambda: leaks(texts, items)):
+        with pytest.raises(ValueError, match="doc_id must be of an integer type"):
+            call()
+    last = (1 << 63) - 1
+    found = dedup_substrings(docs(spark, [(last, "a b c"), (None, "d e")])).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in found) == [(False, last), (True, None)]
