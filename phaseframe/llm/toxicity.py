@@ -229,9 +229,12 @@ def fit_field(model: Field, index: np.ndarray, width: int, first: np.ndarray, st
     seen = np.bincount(2 * before[inner] + states[inner], minlength=4)
     began = np.bincount(states[first], minlength=2)
     for step in range(1, steps + 1):
-        toxic = weights[index].sum(0)
+        toxic = np.zeros(len(first))
+        for row in index:
+            toxic += weights[row]
         p, ahead, behind, m = model.marginals(toxic, first)
-        pairs = ahead[:-1, :, None] * m[1:] * behind[1:, None, :]
+        pairs = m[1:] * ahead[:-1, :, None]
+        pairs *= behind[1:, None, :]
         pairs = (pairs / pairs.sum((1, 2), keepdims=True))[inner[1:]].sum(0).ravel()
         start = np.array([(1 - p[first]).sum(), p[first].sum()])
         wrong = states - p
@@ -272,8 +275,9 @@ def fit(texts: list[bytes], y: np.ndarray, sizes: tuple[float, float] = (1.0, 1.
         return model
     data = np.frombuffer(b"".join(texts), np.uint8)
     tokens = Tokens(data, np.append(0, np.cumsum([len(t) for t in texts])))
-    known, index, times = np.unique(tokens.features(), return_inverse=True, return_counts=True)
-    index = index.reshape(len(PREFIXES) + 2, -1).astype(np.int32)
+    features = tokens.features()
+    known, index, times = np.unique(features, return_inverse=True, return_counts=True)
+    index = index.reshape(features.shape).astype(np.int32)
     # pairs of documents and the prefixes or words in them that occur more than once
     number = np.where(y == 1, np.cumsum(y == 1) - 1, np.cumsum(y == 0) - 1)
     held: list[list[np.ndarray]] = [[], []]
@@ -288,15 +292,15 @@ def fit(texts: list[bytes], y: np.ndarray, sizes: tuple[float, float] = (1.0, 1.
     states = (mark[index[:-1]].any(0) & (y[tokens.text] == 1)).astype(np.int64)
     # features that occur once or twice say nothing of other texts
     fine = (times > 2) & (known > 0)
-    names = np.where(fine, np.cumsum(fine), 0)
+    names = np.where(fine, np.cumsum(fine), 0).astype(np.int32)
     weights = fit_field(model, names[index], int(fine.sum()) + 1, tokens.first, states)
     model.store(known[fine], weights[1:])
-    toxic = model.marginals(model.emissions(tokens.features()), tokens.first)[0]
+    toxic = model.marginals(model.emissions(features), tokens.first)[0]
     model.document = fit_document(summary(toxic, tokens), y.astype(float), np.where(y == 1, *sizes[::-1]))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out_fold: int = 2, sample: int = 4_000, sample_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out_fold: int = 2, sample: int = 2_000, sample_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on at most `sample` labelled documents with at most `sample_bytes` of text outside the held-out fold, half of
     either for each label, by a hash of the text; a document that would go beyond is left out."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").where(fold_of("id", folds) != held_out_fold)
@@ -313,10 +317,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out_fold: int
                 chosen.append((r["hash"], r["size"], y))
     picked = docs.sparkSession.createDataFrame(chosen, "hash long, size long, y int")
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash"), F.octet_length(F.col(text_col).cast("string")).cast("long").alias("size"))
+    # at most sample_bytes of text
     found = sorted((r["text"].encode(), r["y"]) for r in texts.join(F.broadcast(picked), ["hash", "size"]).dropDuplicates(["hash", "size"]).select("text", "y").collect())
     y = np.array([label for _, label in found], np.int64)
     sizes = tuple(totals.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1))
-    return fit([text for text, _ in found], y, sizes)
+    model = fit([text for text, _ in found], y, sizes)
+    textscan.give_back()
+    return model
 
 
 def _spans(toxic: np.ndarray, tokens: Tokens, data: np.ndarray) -> pa.Array:
