@@ -2,8 +2,9 @@
 
 Vectors become integers x = floor(256 * c), so that sums over them are exact. Every different x counts once: the
 fit list. Two aggregations over it follow, one of the sums S of all dimensions, and one of the products
-(x_i - S_i / n) * (x_j - S_j / n) of every pair i <= j, an expression each; both have partial sums, so a row for
-each task is all that is shuffled. The driver gets dimensions ** 2 / 2 numbers, whatever the rows, and their
+(x_i - S_i / n) * (x_j - S_j / n) of every pair i <= j: keyed by i, with an expression for each j (one for each pair, all
+in one row, would be too many for generated code). Both have partial sums, so all that is shuffled is a row, or one for
+each i, from each task. The driver gets dimensions ** 2 / 2 numbers, whatever the rows, and their
 eigenvectors go back into the plan as constants. A last aggregation over the fit list measures how far the
 covariance of what came out is from the identity.
 
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.llm.common import files_for, materialize, release
+from phaseframe.llm.common import materialize, release
 
 SCALE = 256
 #: Eigenvalues up to this share of the largest are rounding, not variance.
@@ -65,15 +66,16 @@ class Fit:
         return f"aggregate(zip_with(zip_with(x, {_numbers(means, 'double')}, (a, m) -> a - m), {_numbers(weights, 'double')}, (a, w) -> a * w), 0D, (s, a) -> s + a)"
 
 
-def pair_sums(columns: list[str]) -> list:
-    """Sums of the products of every pair of columns, upper triangle by rows."""
-    return [F.expr(f"sum({a} * {b})") for i, a in enumerate(columns) for b in columns[i:]]
-
-
-def _triangle(flat: list, width: int) -> np.ndarray:
-    out = np.zeros((width, width))
-    out[np.triu_indices(width)] = flat
-    return out + np.triu(out, 1).T
+def pair_sums(rows: DataFrame) -> np.ndarray:
+    """Sums of the products of every pair of columns, in one aggregation over the upper triangle; a symmetric matrix."""
+    columns = rows.columns
+    keyed = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("first_of_pair"))
+    keyed = keyed.select("*", F.element_at(F.array(*columns), F.col("first_of_pair") + 1).alias("value_of_first"))
+    sums = [F.expr(f"sum(if(first_of_pair <= {j}, value_of_first * {c}, 0D)) AS s{j}") for j, c in enumerate(columns)]
+    out = np.zeros((len(columns), len(columns)))
+    for r in keyed.groupBy("first_of_pair").agg(*sums).collect():  # one row for each column
+        out[r["first_of_pair"]] = r[1:]
+    return np.triu(out) + np.triu(out, 1).T
 
 
 def fit(distinct: DataFrame) -> Fit:
@@ -86,8 +88,7 @@ def fit(distinct: DataFrame) -> Fit:
     n, *sums = distinct.agg(F.count("*"), *(F.expr(f"sum(cast(x[{k}] as decimal(20, 0)))") for k in range(width))).first()
     means = [float(int(s) / n) for s in sums]
     centred = distinct.selectExpr(*(f"x[{k}] - {m!r}D AS d{k}" for k, m in enumerate(means)))
-    products = centred.agg(*(e.alias(f"p{k}") for k, e in enumerate(pair_sums(centred.columns)))).first()
-    return Fit(n, np.array([int(s) for s in sums], object), _triangle(list(products), width) / n)
+    return Fit(n, np.array([int(s) for s in sums], object), pair_sums(centred) / n)
 
 
 def identity_error(distinct: DataFrame, model: Fit, components: int) -> float | None:
@@ -100,8 +101,7 @@ def identity_error(distinct: DataFrame, model: Fit, components: int) -> float |
     found = rows.agg(*(F.avg(c).alias(f"m_{c}") for c in names)).first()
     # centred before multiplying, as in fit()
     centred = rows.selectExpr(*(f"{c} - {m!r}D AS {c}" for c, m in zip(names, found, strict=True)))
-    products = centred.agg(*(e.alias(f"p{k}") for k, e in enumerate(pair_sums(names)))).first()
-    return float(np.abs(_triangle(list(products), len(live)) / model.n - np.eye(len(live))).max())
+    return float(np.abs(pair_sums(centred) / model.n - np.eye(len(live))).max())
 
 
 def whiten(vectors: DataFrame, components: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -136,7 +136,5 @@ def test_whitening_without_variance(spark):
 
 def test_pairs_are_an_upper_triangle(spark):
     frame = spark.createDataFrame([(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)], "a double, b double, c double")
-    found = list(frame.agg(*(e.alias(str(k)) for k, e in enumerate(W.pair_sums(frame.columns)))).first())
-    assert found == [17.0, 22.0, 27.0, 29.0, 36.0, 45.0]
-    assert W._triangle(found, 3).tolist() == [[17, 22, 27], [22, 29, 36], [27, 36, 45]]
+    assert W.pair_sums(frame).tolist() == [[17, 22, 27], [22, 29, 36], [27, 36, 45]]
     assert frame.select(F.expr(W._numbers(np.array([0.1, -2]), "double"))).first()[0] == [0.1, -2.0]
