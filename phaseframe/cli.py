@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaseframe.functions.scalars import phred_weight
-from phaseframe.operators import combine, filters, parts, pileup, windows
+from phaseframe.operators import columns, combine, filters, parts, pileup, windows
 from phaseframe.operators.sequences import trim_offsets, trimmed
 from phaseframe.plans import phasing
 from phaseframe.plans.storage import kept
@@ -46,7 +46,8 @@ def alignments(spark: SparkSession, path: str) -> DataFrame:
 
 def observations(records: DataFrame, sites: DataFrame, options: Options, reference: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Observations of combined reads (contig, frag_id, name, site, pos, allele, qual, mate, seq_pos, weight), and reads:
-    contig, name, is_paired, first_base, last_base, seq, qual of each usable read, also of those without a site."""
+    contig, name, is_paired, first_base, last_base, seqs, quals (of both mates) of each usable read, also of those without
+    a site."""
     good = filters.filter_alignments(records, options.mapq, options.supplementary).where("cigar <> '*'").withColumn("piece", F.xxhash64("flags", "pos", "cigar"))
     calls = files.allele_calls(good, sites, "piece", "seq")
     if reference is not None:
@@ -54,14 +55,14 @@ def observations(records: DataFrame, sites: DataFrame, options: Options, referen
         calls = phasing.realign(placed, reference.select("contig", F.col("seq").alias("ref"))).withColumnRenamed("seq_pos", "read_pos").drop("alleles", "pos")
     obs = kept(calls.select("contig", F.col("qname").alias("name"), "piece", "site", "allele", F.col("qual").cast("int").alias("qual"), F.col("read_pos").alias("seq_pos")).dropDuplicates(["contig", "name", "piece", "site"]))
     at = sites.select("contig", "site", "pos")
-    span = obs.join(at, ["contig", "site"]).groupBy("contig", "name", "piece").agg(F.min("site").alias("first_site"), F.max("site").alias("last_site"))
-    ends = good.select("contig", F.col("qname").alias("name"), "piece", "flags", "pos", "cigar", "seq", F.array_join(F.transform("qual", lambda q: F.char(F.least(q + 33, F.lit(126)))), "").alias("quals"), F.col("pos").alias("first_base"), (F.col("pos") + files.reference_length("cigar") - 1).alias("last_base"))
+    span = obs.join(at, ["contig", "site"]).groupBy("contig", "name", "piece").agg(F.min("site").alias("first_site"), F.max("site").alias("last_site"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    ends = good.select("contig", F.col("qname").alias("name"), "piece", "flags", "pos", "cigar", F.col("seq").alias("seqs"), F.array_join(F.transform("qual", lambda q: F.char(F.least(q + 33, F.lit(126)))), "").alias("quals"), F.col("pos").alias("first_base"), (F.col("pos") + files.reference_length("cigar") - 1).alias("last_base"))
     pieces = kept(combine.usable_pieces(ends.join(span, ["contig", "name", "piece"], "left"), options.supplementary_distance))
     merged = combine.combine_pieces(obs, pieces)
     ids = combine.combined_ranges(pieces).withColumn("frag_id", F.xxhash64("contig", "name"))
     named = merged.join(at, ["contig", "site"]).join(ids.select("contig", "name", "frag_id"), ["contig", "name"]).withColumn("weight", phred_weight(F.col("qual")))
-    main = pieces.where("turn = 0").select("contig", "name", "seq", F.col("quals").alias("qual"))
-    return kept(named), kept(ids.join(main, ["contig", "name"]))
+    texts = combine.slots(pieces, "seqs").join(combine.slots(pieces, "quals"), ["contig", "name"])
+    return kept(named), kept(ids.join(texts, ["contig", "name"]))
 
 
 def run(spark: SparkSession, alignment_path: str, vcf_path: str, fasta_path: str | None, out: str, options: Options = Options(), mode: str = "errorifexists") -> DataFrame:
@@ -70,40 +71,47 @@ def run(spark: SparkSession, alignment_path: str, vcf_path: str, fasta_path: str
     wanted = filters.filter_contigs(sites, options.least_sites, list(options.contigs) or None)
     sites = kept(sites.join(wanted.select("contig"), "contig", "left_semi"))
     reference = kept(files.parse_fasta(files.lines(spark, fasta_path))) if fasta_path else None
-    obs, reads = observations(alignments(spark, alignment_path), sites, options, reference)
+    records = alignments(spark, alignment_path)
     epsilon, length = options.epsilon, options.block_length
     if epsilon is None or length is None:
-        every = pileup.pileup(obs.withColumn("contig", F.lit(0)), "contig")
-        found = pileup.estimate_parameters(every, reads.select(F.lit(0).alias("contig"), F.length("seq").alias("length"))).first()
-        epsilon = epsilon if epsilon is not None else (found["epsilon"] if found else 0.01)
-        length = length if length is not None else (found["block_length"] if found else 500)
+        found = columns.estimate_from_alignments(records).first()
+        epsilon = found["epsilon"] if epsilon is None else epsilon
+        length = found["block_length"] if length is None else length
+    obs, reads = observations(records, sites, options, reference)
     if options.ignore_monomorphic:
         obs = kept(pileup.remove_monomorphic(obs, epsilon))
-    short = filters.filter_span(frags_of(obs)).select("contig", "frag_id")
-    phased = kept(phasing.phase(obs.join(short, ["contig", "frag_id"], "left_semi"), length, epsilon, options.ploidy, options.beam, options.sensitivity, options.density, options.stop_heuristic))
-    ranges, piled = kept(parts.part_ranges(phased)), kept(pileup.pileup(phased, "contig", "part"))
+    places = sites.select("contig", "site", "pos")
+    phased = kept(phasing.phase(obs, length, epsilon, options.ploidy, options.beam, options.sensitivity, options.density, options.stop_heuristic, places))
+    ranges, piled = kept(parts.part_ranges(phased, places)), kept(pileup.pileup(phased, "contig", "part"))
     vartigs = kept(sinks.vartigs(ranges, piled, length))
     lengths = reference.select("contig", "length") if reference is not None else sites.groupBy("contig").agg(F.max("pos").alias("length"))
     counts = sites.groupBy("contig").agg(F.count("*").alias("n_sites")).join(lengths, "contig")
     name = phased.select("contig", "part", "frag_id", "name").distinct()
     haplosets = frags_of(phased).join(name, ["contig", "frag_id"])
     write = lambda lines, what, **k: sinks.write_lines(lines, f"{out}/{what}", mode, **k)
-    write(sinks.vartig_lines(vartigs), "vartigs")
-    write(sinks.vartig_info_lines(sinks.vartig_info(ranges, piled, sites.select("contig", "site", "pos")), ranges), "vartig_info")
+    write(sinks.vartig_lines(vartigs), "vartigs", together="part")
+    write(sinks.vartig_info_lines(sinks.vartig_info(ranges, piled, places), ranges), "vartig_info")
     write(sinks.haploset_lines(vartigs, haplosets), "haplosets")
     write(sinks.ploidy_lines(parts.contig_ploidy(ranges, piled, vartigs, counts)), "contig_ploidy")
     without = reads.join(obs.select("contig", "name").distinct(), ["contig", "name"], "left_anti")
-    write(without.select(F.col("name").alias("rn"), F.concat_ws("\t", "name", F.length("seq").cast("string")).alias("value")), "reads_without_sites")
+    length_of = F.length(F.col("seqs")[0]) + F.length(F.col("seqs")[1])
+    title = spark.createDataFrame([("", "READ_NAME\tREAD_LENGTH_IN_BASES")], "rn string, value string")
+    write(title.union(without.select(F.col("name").alias("rn"), F.concat_ws("\t", "name", length_of.cast("string")).alias("value"))), "reads_without_sites")
     if options.output_reads:
-        whole = reads.select("contig", "name", "seq", "qual", "is_paired")
-        cuts = trim_offsets(phased, ranges, reads.withColumn("length", F.length("seq")).select("contig", F.xxhash64("contig", "name").alias("frag_id"), "length"), extend=not options.extra_trimming)
-        rows = cuts.join(name, ["contig", "part", "frag_id"]).join(whole, ["contig", "name"])
-        rows = rows.withColumn("left", F.when(F.col("is_paired"), 0).otherwise(F.col("left"))).withColumn("right", F.when(F.col("is_paired"), F.length("seq") - 1).otherwise(F.col("right")))
-        fastq = sinks.fastq_lines(trimmed(rows)).withColumn("part", F.col("rn.part"))
-        write(fastq, "reads", gzip=options.gzip_reads)
+        whole = reads.select("contig", "name", "seqs", "quals", "is_paired")
+        placed = haplosets.select("contig", "part", "frag_id", "name", "first_site", "last_site").join(whole, ["contig", "name"])
+        single = placed.where("not is_paired and seqs[0] <> ''").withColumn("seq", F.col("seqs")[0]).withColumn("qual", F.col("quals")[0])
+        lengths = single.select("contig", "frag_id", F.length("seq").alias("length"))
+        cuts = trim_offsets(phased, ranges, lengths, extend=not options.extra_trimming)
+        fastq = lambda lines: lines.withColumn("part", F.col("rn.part"))
+        write(fastq(sinks.fastq_lines(trimmed(single.join(cuts, ["contig", "part", "frag_id"])))), "long_reads", gzip=options.gzip_reads)
+        inside = (F.col("first_site") <= F.col("r_site")) & (F.col("last_site") >= F.col("l_site"))
+        paired = placed.where("is_paired").join(ranges.select("contig", "part", "l_site", "r_site"), ["contig", "part"]).where(inside)
+        write(sinks.paired_fastq_lines(paired), "short_reads", gzip=options.gzip_reads)
         gaps = parts.gap_reads(reads.select("contig", "name", "is_paired", "first_base", "last_base"), ranges, length, max(4096, length)).join(whole.drop("is_paired"), ["contig", "name"])
-        loose = gaps.select("contig", F.lit(-1).alias("part"), F.xxhash64("contig", "name").alias("frag_id"), "name", "seq", "qual")
-        write(sinks.fastq_lines(loose), "reads_in_gaps", gzip=options.gzip_reads)
+        loose = gaps.select("contig", F.lit(-1).alias("part"), F.xxhash64("contig", "name").alias("frag_id"), "name", "seqs", "quals", "is_paired")
+        write(sinks.fastq_lines(loose.where("not is_paired").withColumn("seq", F.col("seqs")[0]).withColumn("qual", F.col("quals")[0])), "long_reads_in_gaps", gzip=options.gzip_reads)
+        write(sinks.paired_fastq_lines(loose.where("is_paired")), "short_reads_in_gaps", gzip=options.gzip_reads)
     return vartigs
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of the alignment flags.
-PAIRED, FIRST, SECOND, SECONDARY, SUPPLEMENTARY, REJECTED = 1, 64, 128, 256, 2048, 1796
+FIRST, SECOND, SECONDARY, SUPPLEMENTARY, REJECTED = 64, 128, 256, 2048, 1796
+#: A record is a mate of a pair if it is flagged as the first or the second one.
+MATE = FIRST | SECOND
 
 
 def filter_alignments(rows: DataFrame, mapq: int = 15, use_supplementary: bool = True, supplementary_mapq: int = 60) -> DataFrame:
     """Drops poor, secondary, duplicate and unmapped records; supplementary ones only count unpaired and at high quality."""
     has = lambda bit: F.col("flags").bitwiseAND(bit) > 0
-    bad_extra = has(SUPPLEMENTARY) & (has(PAIRED) | F.lit(not use_supplementary) | (F.col("mapq") < supplementary_mapq))
+    bad_extra = has(SUPPLEMENTARY) & (has(MATE) | F.lit(not use_supplementary) | (F.col("mapq") < supplementary_mapq))
     return rows.where(~bad_extra & (F.col("mapq") >= mapq) & ~has(REJECTED) & ~has(SECONDARY))
 
 

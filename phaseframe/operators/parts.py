@@ -12,13 +12,28 @@ from phaseframe.operators.pileup import error_coverage, indexed_quantile, pileup
 from phaseframe.plans.storage import kept
 
 
-def part_ranges(obs: DataFrame) -> DataFrame:
-    """contig, part, l_site, r_site, l_base, r_base, n_reads."""
+def part_ranges(obs: DataFrame, sites: DataFrame | None = None, width: int = 64) -> DataFrame:
+    """contig, part, l_site, r_site, l_base, r_base, n_reads.
+
+    Where obs has l_site and r_site (the ranges of the paths that parts come from), these are the ranges, and bases are
+    those of the first and the last of sites(contig, site, pos) in them; else they are what the reads cover.
+    """
+    if "l_site" in obs.columns:
+        own = obs.groupBy("contig", "part").agg(F.first("l_site").alias("l_site"), F.first("r_site").alias("r_site"), F.count_distinct("frag_id").alias("n_reads"))
+        known = (sites if sites is not None else obs.select("contig", "site", "pos").distinct()).select("contig", F.col("site").alias("from_"), F.col("site").alias("to_"), "pos")
+        met = overlap_join(own, known, ("l_site", "r_site"), ("from_", "to_"), ["contig"], width)
+        return met.groupBy("contig", "part", "l_site", "r_site", "n_reads").agg(F.min("pos").alias("l_base"), F.max("pos").alias("r_base")).select("contig", "part", "l_site", "r_site", "l_base", "r_base", "n_reads")
     return obs.groupBy("contig", "part").agg(
         F.min("site").alias("l_site"), F.max("site").alias("r_site"), F.min("pos").alias("l_base"), F.max("pos").alias("r_base"), F.count_distinct("frag_id").alias("n_reads")
     )
 
 
+def within(piled: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The pileup of parts at the sites of their ranges; reads may reach further."""
+    own = ranges.select("contig", "part", F.col("l_site").alias("l_"), F.col("r_site").alias("r_"))
+    return piled.join(own, ["contig", "part"]).where("site between l_ and r_").drop("l_", "r_")
+
+
 def part_order(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("index", F.row_number().over(Window.partitionBy("contig").orderBy("l_site", "r_site", "part")) - 1)
 
@@ -48,7 +63,7 @@ def hapq(ranges: DataFrame, piled: DataFrame, block_length: float, cutoff: float
     distance = haplotype_distance(piled, ["contig"], "part").withColumn("dist", F.col("diff") / (F.col("same") + F.col("diff")))
     both = distance.select("contig", "part", "other", "dist").union(distance.select("contig", "other", "part", "dist"))
     worst = part_overlaps(ranges, cutoff, width).join(both, ["contig", "part", "other"], "left").groupBy("contig", "part").agg(F.max(F.col("overlap") * (1 - F.coalesce("dist", F.lit(1.0)))).alias("penalty"))
-    errors = error_coverage(piled, "contig", "part")
+    errors = error_coverage(within(piled, ranges), "contig", "part")
     overall = errors.groupBy("contig").agg((F.sum("errors") / F.sum("support")).alias("mean_err"))
     rows = ranges.join(worst, ["contig", "part"], "left").join(errors, ["contig", "part"]).join(overall, "contig")
     score = hapq_score(F.coalesce("penalty", F.lit(0.0)), F.col("n_reads"), F.col("r_base") - F.col("l_base"), block_length)
@@ -67,7 +82,7 @@ def contig_ploidy(ranges: DataFrame, piled: DataFrame, scores: DataFrame, contig
 
     scores: contig, part, hapq; contigs: contig, length, n_sites.
     """
-    rows = ranges.join(error_coverage(piled, "contig", "part"), ["contig", "part"]).join(scores.select("contig", "part", "hapq"), ["contig", "part"])
+    rows = ranges.join(error_coverage(within(piled, ranges), "contig", "part"), ["contig", "part"]).join(scores.select("contig", "part", "hapq"), ["contig", "part"])
     rows = rows.withColumn("n", F.col("r_site") - F.col("l_site") + 1).withColumn("bases", F.col("r_base") - F.col("l_base"))
     above = lambda q: F.sum(F.when(F.col("hapq") >= q, F.col("n")).otherwise(0))
     total = rows.groupBy("contig").agg(

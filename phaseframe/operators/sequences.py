@@ -22,7 +22,7 @@ def trim_offsets(obs: DataFrame, ranges: DataFrame, lengths: DataFrame, margin:
     moved out by `margin` as far as the read goes. With extend, a read that starts (ends) inside the range is whole on
     that side. Reads beyond the range, and those whose left end comes after the right one, are left out.
     """
-    rows = obs.join(ranges.select("contig", "part", "l_site", "r_site"), ["contig", "part"])
+    rows = obs.drop("l_site", "r_site").join(ranges.select("contig", "part", "l_site", "r_site"), ["contig", "part"])
     ends = rows.groupBy("contig", "part", "frag_id").agg(
         F.min("site").alias("first"), F.max("site").alias("last"), F.first("l_site").alias("l_site"), F.first("r_site").alias("r_site"),
         F.min_by("seq_pos", F.when(F.col("site") >= F.col("l_site"), F.col("site"))).alias("a"), F.max_by("seq_pos", F.when(F.col("site") <= F.col("r_site"), F.col("site"))).alias("z"),

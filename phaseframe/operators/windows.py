@@ -15,8 +15,8 @@ def block_windows(sites: DataFrame, length: int, density: float = 0.0005) -> Dat
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("site")
-        positions = group["pos"].tolist()
-        rows = [(group["contig"].iloc[0], k, a + 1, b + 1) for k, (a, b) in enumerate(split_ranges(positions, length, density))]
+        positions, names = group["pos"].tolist(), group["site"].tolist()
+        rows = [(group["contig"].iloc[0], k, names[a], names[b]) for k, (a, b) in enumerate(split_ranges(positions, length, density))]
         return pd.DataFrame(rows, columns=["contig", "block_id", "l_site", "r_site"])
 
     kind = sites.schema["contig"].dataType.simpleString()
@@ -56,6 +56,24 @@ def split_gaps(frags: DataFrame, *keys: str) -> DataFrame:
     return frags.withColumn("reach", reach).withColumn("break", starts).withColumn("piece", F.sum("break").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("reach", "break")
 
 
+def split_gaps_within(frags: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """frags(l_site, r_site: the range of their part) with piece, and keys, piece, l_site, r_site of the pieces.
+
+    A part breaks where a fragment starts after all before it have ended, if the last site reached lies within the part's
+    range but not at its end; a piece ends at the site reached, the next one begins after it, the first and the last one
+    have the ends of the part. A fragment that starts a piece is in it.
+    """
+    order = Window.partitionBy(*keys).orderBy("first_site", F.desc("last_site"), "frag_id")
+    reach = F.max("last_site").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.when((F.col("first_site") > F.col("reach")) & (F.col("reach") >= F.col("l_site")) & (F.col("reach") < F.col("r_site")), F.col("reach"))
+    marked = frags.withColumn("reach", reach).withColumn("cut", cut)
+    placed = marked.withColumn("piece", F.count("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = placed.groupBy(*keys, "piece").agg(F.max("cut").alias("cut"), F.first("l_site").alias("l"), F.first("r_site").alias("r"))
+    following = F.lead("cut").over(Window.partitionBy(*keys).orderBy("piece"))
+    ranges = pieces.select(*keys, "piece", F.coalesce(F.col("cut") + 1, F.col("l")).cast("int").alias("l_site"), F.coalesce(following, F.col("r")).cast("int").alias("r_site"))
+    return placed.drop("reach", "cut", "l_site", "r_site"), ranges
+
+
 def runs(obs: DataFrame, *keys: str) -> DataFrame:
     """Runs of consecutive sites of a fragment as (start, alleles)."""
     island = obs.withColumn("run", F.col("site") - F.row_number().over(Window.partitionBy(*keys).orderBy("site")))

@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phaseframe.operators.filters import filter_span
 from phaseframe.operators.intervals import overlap_join
 from phaseframe.operators.parts import block_edges, numbered
-from phaseframe.operators.windows import block_windows, fragment_order, split_gaps
+from phaseframe.operators.windows import block_windows, fragment_order, split_gaps, split_gaps_within
 from phaseframe.plans import kernels
 from phaseframe.plans.storage import kept
 from phaseframe.sources.bindings import frags_of, sites_of
@@ -29,15 +30,20 @@ def _reads(group: pd.DataFrame) -> list[tuple[int, kernels.Read]]:
 
 
 def reads_in_blocks(frags: DataFrame, blocks: DataFrame, width: int = 64) -> DataFrame:
-    return overlap_join(frags, blocks, ("first_site", "last_site"), ("l_site", "r_site"), ["contig"], width)
+    """Reads with the blocks that they touch; those that span too many sites (over the origin of a circle) are left out."""
+    return overlap_join(filter_span(frags), blocks, ("first_site", "last_site"), ("l_site", "r_site"), ["contig"], width)
 
 
-def phase_blocks(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True) -> DataFrame:
-    """contig, block_id, cluster, frag_id, l_site, r_site: each block's reads in as many clusters as their errors call for."""
-    blocks = block_windows(sites_of(obs), length, density)
+def phase_blocks(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True, sites: DataFrame | None = None) -> DataFrame:
+    """contig, block_id, cluster, frag_id, l_site, r_site: each block's reads in as many clusters as their errors call for.
+
+    Blocks are windows over sites(contig, site, pos), by default those of obs. A read takes part in a block with all of its
+    sites, also those beyond the block.
+    """
+    blocks = block_windows(sites if sites is not None else sites_of(obs), length, density)
     ranked = fragment_order(frags_of(obs))
     placed = reads_in_blocks(ranked, blocks).select("contig", "block_id", "l_site", "r_site", "frag_id", "rank")
-    rows = packed(placed.join(obs.select("contig", "frag_id", "site", "allele", "weight"), ["contig", "frag_id"]).where("site between l_site and r_site"))
+    rows = placed.join(packed(obs.select("contig", "frag_id", "site", "allele", "weight")), ["contig", "frag_id"])
     kind = obs.schema["contig"].dataType.simpleString()
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -105,22 +111,32 @@ def path_flow(paths: DataFrame, flows: DataFrame) -> DataFrame:
     return paths.join(out, ["contig", "col", "cluster"], "left").groupBy("contig", "path").agg(F.avg("flow").alias("flow"))
 
 
-def final_parts(obs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """contig, frag_id, part: parts split at coverage gaps and numbered by range."""
-    pieces = split_gaps(frags_of(obs).join(chosen, ["contig", "frag_id"]), "contig", "part")
-    order = pieces.groupBy("contig", "part", "piece").agg(F.min("first_site").alias("l"), F.max("last_site").alias("r"))
-    names = order.withColumn("index", F.row_number().over(Window.partitionBy("contig").orderBy("l", "r", "part", "piece")) - 1)
-    return pieces.join(names, ["contig", "part", "piece"]).select("contig", "frag_id", F.col("index").alias("part"))
+def path_ranges(membership: DataFrame, paths: DataFrame) -> DataFrame:
+    """contig, path, l_site, r_site: from the first to the last site of the blocks of a path's nodes."""
+    nodes = numbered(membership).groupBy("contig", "col", "cluster").agg(F.min("l_site").alias("l_site"), F.max("r_site").alias("r_site"))
+    return nodes.join(paths, ["contig", "col", "cluster"]).groupBy("contig", "path").agg(F.min("l_site").alias("l_site"), F.max("r_site").alias("r_site"))
+
 
+def final_parts(obs: DataFrame, chosen: DataFrame, ranges: DataFrame) -> DataFrame:
+    """contig, frag_id, part, l_site, r_site: parts split at gaps within the ranges(contig, path, l_site, r_site) of their
+    paths, and numbered by range."""
+    own = frags_of(obs).join(chosen, ["contig", "frag_id"]).join(ranges.withColumnRenamed("path", "part"), ["contig", "part"])
+    reads, pieces = split_gaps_within(own, "contig", "part")
+    names = pieces.withColumn("index", F.row_number().over(Window.partitionBy("contig").orderBy("l_site", "r_site", "part", "piece")) - 1)
+    return reads.join(names, ["contig", "part", "piece"]).select("contig", "frag_id", F.col("index").alias("part"), "l_site", "r_site")
 
-def phase(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True) -> DataFrame:
-    """obs with the final part of each read. What each step gives is kept, so that each is computed once."""
+
+def phase(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True, sites: DataFrame | None = None) -> DataFrame:
+    """obs with the final part of each read, and the range of sites of that part (l_site, r_site).
+
+    What each step gives is kept, so that each is computed once.
+    """
     obs = kept(obs)
-    membership = kept(phase_blocks(obs, length, epsilon, most, beam, sensitivity, density, heuristic))
+    membership = kept(phase_blocks(obs, length, epsilon, most, beam, sensitivity, density, heuristic, sites))
     flows = kept(flow_edges(block_edges(membership, obs)))
     paths = kept(disjoint_paths(membership, flows))
     chosen = kept(assign_reads(obs, path_members(membership, paths), epsilon))
-    return obs.join(kept(final_parts(obs, chosen)), ["contig", "frag_id"])
+    return obs.join(kept(final_parts(obs, chosen, path_ranges(membership, paths))), ["contig", "frag_id"])
 
 
 def bin_parts(ranges: DataFrame, coverage: DataFrame, length: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phaseframe.functions import scalars as X
+from phaseframe.operators import columns as CO
 from phaseframe.operators import combine as C
 from phaseframe.operators import distances as D
 from phaseframe.operators import filters as FL
@@ -112,6 +113,24 @@ _SAM_SQL = "a AS (SELECT p_partkey AS k, 'c' || (p_partkey % 3) AS contig, 'r' |
 _PAIRS_SQL = "offs AS (SELECT 0 AS m, unnest([0, 1, 2, 4, 5, 6, 7]) AS r, unnest([2, 3, 4, 5, 6, 8, 9]) AS q UNION ALL SELECT 1, unnest(range(10)), unnest(range(10)) UNION ALL SELECT 2, unnest([0, 1, 2, 3, 6, 7, 8, 9, 10, 11]), unnest(range(10))), bases AS (SELECT contig, qname, flags, pos + r AS ref_pos, CAST(q AS INT) AS read_pos, substr('ACGTACGTAC', q + 1, 1) AS base, CAST(q + 32 AS INT) AS base_qual FROM a JOIN offs ON k % 3 = m)"
 
 
+#: Reads made from order lines: a part's lines lie over 20 bases of four contigs, a line's number gives its CIGAR; every
+#: 25th base is a site where orders of odd keys have another base, and one base in 97 is wrong.
+_DEEP_SQL = """deep AS (SELECT l_orderkey AS o, l_linenumber AS ln, 'g' || (l_partkey % 4) AS contig, (l_partkey // 4) * 20 + l_linenumber AS pos, l_linenumber % 3 AS kind, CASE l_linenumber % 3 WHEN 0 THEN 40 WHEN 1 THEN 29 ELSE 47 END AS reach, CASE l_linenumber % 3 WHEN 0 THEN 40 WHEN 1 THEN 30 ELSE 50 END AS length FROM lineitem WHERE l_orderkey % 19 <> 0),
+ cover AS (SELECT DISTINCT contig, pos + unnest(range(reach)) AS p FROM deep), chosen AS (SELECT contig, p FROM (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY p) - 1 AS n FROM cover) WHERE n % 50 = 0),
+ col AS (SELECT c.contig, c.p, length, substr('ACGT', CAST((p * 7 + p // 3 + CASE WHEN p % 25 = 7 AND o % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN (o * 31 + p * 17) % 97 = 0 THEN 2 ELSE 0 END) % 4 + 1 AS BIGINT), 1) AS base FROM chosen c JOIN deep d ON d.contig = c.contig AND c.p BETWEEN pos AND pos + reach - 1 WHERE NOT (kind = 1 AND c.p - pos IN (20, 21)))"""
+
+
+def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """alignments as parse_sam gives them, up to 100 deep; lines of every 19th order are duplicates."""
+    rows = B.read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o", "l_partkey", "l_linenumber AS ln", "l_quantity", "l_linenumber % 3 AS kind", "floor(l_partkey / 4) * 20 + l_linenumber AS pos")
+    letter = "substr('ACGT', cast((({p}) * 7 + floor(({p}) / 3) + if(({p}) % 25 = 7 AND o % 2 = 1, 1, 0) + if((o * 31 + ({p}) * 17) % 97 = 0, 2, 0)) % 4 + 1 AS int), 1)"
+    own = lambda skip: letter.format(p=f"pos + i - {skip}")
+    seq = f"""array_join(CASE kind WHEN 0 THEN transform(sequence(0, 39), i -> {own(0)}) WHEN 1 THEN transform(sequence(0, 29), i -> CASE WHEN i < 3 THEN 'A' WHEN i < 23 THEN {own(3)} ELSE {own(1)} END)
+        ELSE transform(sequence(0, 49), i -> CASE WHEN i < 10 THEN {own(0)} WHEN i < 13 THEN 'A' ELSE {own(3)} END) END, '')"""
+    made = rows.selectExpr("concat('g', l_partkey % 4) AS contig", "concat('r', o, '.', ln, '.', l_partkey, '.', l_quantity) AS qname", "if(o % 19 = 0, 1024, 0) AS flags", "60 AS mapq", "cast(pos AS bigint) AS pos", "element_at(array('40M', '3S20M2D7M', '10M3I37M'), kind + 1) AS cigar", f"{seq} AS seq")
+    return made.withColumn("qual", F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: (i % 40).cast("int")))
+
+
 @query("SELECT 'c' || i AS contig, CAST(1000 * (i + 1) AS BIGINT) AS length, CAST(i AS INT) AS ordinal FROM range(3) t(i)")
 def scan_contigs(s, d):
     return S.sam_contigs(_sam(s, d))
@@ -334,6 +353,23 @@ def estimate_params(s, d):
     return _r(P.estimate_parameters(P.pileup(obs, "contig"), lengths), "epsilon")
 
 
+@query(
+    _with(_DEEP_SQL, "site AS (SELECT contig, p, sum(n) AS depth, max(n) AS top FROM (SELECT contig, p, base, count(*) AS n FROM col GROUP BY ALL) GROUP BY ALL HAVING sum(n) >= 5)", "eps AS (SELECT r FROM (SELECT (depth - top) / top AS r, row_number() OVER (ORDER BY (depth - top) / top) AS rn, count(*) OVER () AS c FROM site) WHERE rn - 1 = c * 66 // 100)", "len AS (SELECT length FROM (SELECT length, row_number() OVER (ORDER BY length) AS rn, count(*) OVER () AS c FROM col) WHERE rn - 1 = c * 66 // 100)")
+    + "SELECT round(greatest(r, 0.001), 6) AS epsilon, CAST(length AS BIGINT) AS block_length FROM eps, len"
+)
+def estimate_from_alignments(s, d):
+    """Every 50th covered base; every 25th base is a site that half of the reads have otherwise, which leaves epsilon near
+    the share of wrong bases."""
+    return _r(CO.estimate_from_alignments(_deep(s, d), every=50, least_rate=0.001, least_length=1), "epsilon")
+
+
+@query(_with(_DEEP_SQL) + "SELECT contig, p AS ref_pos, base, CAST(length AS INT) AS length, count(*) AS n FROM col GROUP BY ALL")
+def sampled_columns(s, d):
+    """The bases at every 50th covered base."""
+    spans = CO.primary_spans(_deep(s, d))
+    return CO.column_bases(spans, CO.sampled_columns(spans, 50)).groupBy("contig", "ref_pos", "base", "length").agg(F.count("*").alias("n"))
+
+
 @query(
     _with(OBS_L, "pl AS (SELECT contig, site, allele, sum(weight) AS weight FROM obs GROUP BY ALL)", "rk AS (SELECT *, row_number() OVER (PARTITION BY contig, site ORDER BY weight DESC, allele) AS r FROM pl)", "dull AS (SELECT contig, site FROM rk GROUP BY ALL HAVING max(weight) FILTER (r = 2) IS NULL OR max(weight) FILTER (r = 1) * 0.9 > max(weight) FILTER (r = 2))")
     + "SELECT contig, frag_id, site, allele FROM obs ANTI JOIN dull USING (contig, site)"
@@ -559,10 +595,10 @@ _PIECES_SQL = """raw AS (SELECT *, (hour + 72) // 24 % 7 AS day, frag_id // 1000
  po AS (SELECT pe.contig, frag_id, piece, o.site, o.pos, (SELECT count(DISTINCT event_type) FROM ev x WHERE x.event_type < pe.event_type) AS allele, event_id FROM pe JOIN (SELECT DISTINCT contig, site, pos, pos // 60 AS h FROM obs) o ON o.contig = pe.contig AND o.h = pe.hour - (SELECT min(hour) FROM ev m WHERE m.contig = pe.contig)),
  p1 AS (SELECT contig, frag_id, piece, min(site) AS fs, max(site) AS ls, min(pos) AS fb, max(pos) AS lb FROM po GROUP BY ALL),
  p2 AS (SELECT *, CASE WHEN (frag_id // 10000) % 5 = 0 THEN CASE WHEN frag_id % 7 = 0 THEN 1 WHEN (frag_id + piece) % 2 = 0 THEN 65 ELSE 129 END WHEN (frag_id + piece) % 3 = 0 THEN 0 ELSE 2048 END AS flags FROM p1),
- p3 AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (flags & 1 > 0) OVER w AS np, lead(fb) OVER (PARTITION BY contig, frag_id ORDER BY fs, ls) - lb AS gap, flags & 2048 = 0 AS main, row_number() OVER (PARTITION BY contig, frag_id, flags & 2048 ORDER BY fb DESC, piece DESC) AS mp, row_number() OVER (PARTITION BY contig, frag_id ORDER BY flags, fs, ls DESC, piece) AS pl, row_number() OVER (PARTITION BY contig, frag_id ORDER BY fb, piece) AS bp FROM p2 WINDOW w AS (PARTITION BY contig, frag_id)),
+ p3 AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (flags & 192 > 0) OVER w AS np, lead(fb) OVER (PARTITION BY contig, frag_id ORDER BY fs, ls) - lb AS gap, flags & 2048 = 0 AS main, row_number() OVER (PARTITION BY contig, frag_id, flags & 2048 ORDER BY fb DESC, piece DESC) AS mp, row_number() OVER (PARTITION BY contig, frag_id ORDER BY flags, fs, ls DESC, piece) AS pl, row_number() OVER (PARTITION BY contig, frag_id ORDER BY fb, piece) AS bp FROM p2 WINDOW w AS (PARTITION BY contig, frag_id)),
  p4 AS (SELECT *, coalesce(bool_or(gap > 2000) OVER w, false) AS wide, bool_or(main) OVER w AS has, first_value(flags) OVER (PARTITION BY contig, frag_id ORDER BY pl) AS lf FROM p3 WINDOW w AS (PARTITION BY contig, frag_id)),
  p5 AS (SELECT *, n = 2 AND np = 2 AS mates, (lf & 64 > 0 AND pl = 1) OR (lf & 64 = 0 AND pl = 2) AS base, main AND mp = 1 AS prim FROM p4),
- p6 AS (SELECT *, CASE WHEN mates THEN CASE WHEN base THEN 0 ELSE 1 END WHEN prim THEN 0 ELSE bp END AS turn FROM p5 WHERE CASE WHEN mates THEN lf & 192 > 0 WHEN n = 1 THEN main ELSE has AND (prim OR NOT wide) END)"""
+ p6 AS (SELECT *, CASE WHEN mates THEN CASE WHEN base THEN 0 ELSE 1 END WHEN prim THEN 0 ELSE bp END AS turn FROM p5 WHERE CASE WHEN mates THEN true WHEN n = 1 THEN main ELSE has AND (prim OR NOT wide) END)"""
 
 
 def _pieces(s, d) -> tuple[DataFrame, DataFrame]:
@@ -578,8 +614,10 @@ def _pieces(s, d) -> tuple[DataFrame, DataFrame]:
     k = F.col("name") + F.col("piece")
     paired = F.when(F.col("name") % 7 == 0, 1).when(k % 2 == 0, 65).otherwise(129)
     flags = F.when(F.floor(F.col("name") / 10000) % 5 == 0, paired).when(k % 3 == 0, 0).otherwise(2048)
-    pieces = last.groupBy("contig", "name", "piece").agg(F.min("site").alias("first_site"), F.max("site").alias("last_site"), F.min("pos").alias("first_base"), F.max("pos").alias("last_base"))
-    return pieces.withColumn("flags", flags).withColumn("pos", F.col("first_base")).withColumn("cigar", F.lit("*")), last
+    pieces = last.groupBy("contig", "name", "piece").agg(F.min("site").alias("first_site"), F.max("site").alias("last_site"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    # alignments reach far beyond their sites, which must not change what counts as a gap
+    pieces = pieces.withColumn("first_base", F.col("first_pos") - 900).withColumn("last_base", F.col("last_pos") + 1300)
+    return pieces.withColumn("flags", flags).withColumn("pos", F.col("first_pos")).withColumn("cigar", F.lit("*")), last
 
 
 @query(_with(OBS_E, _PIECES_SQL) + "SELECT contig, frag_id AS name, site, CAST(arg_max(allele, turn * 1000000000 + event_id) AS INT) AS allele, CAST(arg_max(CASE WHEN mates AND turn = 1 THEN 1 ELSE 0 END, turn * 1000000000 + event_id) AS INT) AS mate FROM po JOIN p6 USING (contig, frag_id, piece) GROUP BY contig, frag_id, site")
@@ -589,11 +627,18 @@ def combine_reads(s, d):
     return C.combine_pieces(obs, C.usable_pieces(pieces, 2000)).select("contig", "name", "site", "allele", "mate")
 
 
-@query(_with(OBS_E, _PIECES_SQL) + "SELECT contig, frag_id AS name, bool_or(flags & 1 > 0) AS is_paired, CAST(min(fs) AS INT) AS first_site, CAST(max(ls) AS INT) AS last_site, min(fb) AS first_base, max(lb) AS last_base FROM p6 GROUP BY contig, frag_id")
+@query(_with(OBS_E, _PIECES_SQL) + "SELECT contig, frag_id AS name, bool_or(flags & 192 > 0) AS is_paired, CAST(min(fs) AS INT) AS first_site, CAST(max(ls) AS INT) AS last_site, min(fb - 900) AS first_base, max(lb + 1300) AS last_base FROM p6 GROUP BY contig, frag_id")
 def combined_ranges(s, d):
     return C.combined_ranges(C.usable_pieces(_pieces(s, d)[0], 2000))
 
 
+@query(_with(OBS_E, _PIECES_SQL) + "SELECT contig, frag_id AS name, coalesce(max('p' || piece) FILTER (turn = 0 AND NOT (mates AND turn = 1)), '') AS first, coalesce(max('p' || piece) FILTER (mates AND turn = 1), '') AS second FROM p6 GROUP BY contig, frag_id")
+def mate_slots(s, d):
+    """The sequences of a read's first and second mate: here the name of their pieces."""
+    pieces = C.usable_pieces(_pieces(s, d)[0], 2000).withColumn("seq", F.concat(F.lit("p"), "piece"))
+    return C.slots(pieces, "seq").select("contig", "name", F.col("seq")[0].alias("first"), F.col("seq")[1].alias("second"))
+
+
 _EDGES = """mem AS (SELECT DISTINCT b.contig, block_id, part AS cluster, frag_id, l_site, r_site FROM blocks b JOIN pobs o ON o.contig = b.contig AND o.site BETWEEN l_site AND r_site),
  cols AS (SELECT contig, block_id, CAST(row_number() OVER (PARTITION BY contig ORDER BY block_id) - 1 AS INT) AS col FROM (SELECT DISTINCT contig, block_id FROM mem)), m AS (SELECT * FROM mem JOIN cols USING (contig, block_id)),
  pil AS (SELECT m.contig, col, cluster, site, allele, sum(weight) AS w FROM m JOIN obs o ON o.contig = m.contig AND o.frag_id = m.frag_id AND site BETWEEN l_site AND r_site GROUP BY ALL), tops AS (SELECT contig, col, cluster, site, max(w) AS top FROM pil GROUP BY ALL),
@@ -793,8 +838,17 @@ def fastq_records(s, d):
     k, n = F.col("s_suppkey"), (F.col("s_suppkey") % 7 + 1).cast("int")
     bases = lambda x: F.when(k % 5 == 0, F.lit("")).otherwise(F.repeat(F.lit(x), n))
     reads = B.read(s, d, "supplier").select(F.lit("c").alias("contig"), (n - 1).alias("part"), k.alias("frag_id"), F.concat(F.lit("r"), k).alias("name"), bases("AC").alias("seq"), bases("II").alias("qual"))
-    records = K.fastq_lines(reads).groupBy("rn.frag_id").agg(F.array_sort(F.collect_list(F.struct("rn.k", "value"))).alias("r"))
-    return records.select("frag_id", F.array_join(F.transform("r", lambda x: x["value"]), "\n").alias("record"))
+    return K.fastq_lines(reads).select("rn.frag_id", F.col("value").alias("record"))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS k, upper(s_name) AS a, reverse(upper(s_name)) AS b FROM supplier), m AS (SELECT k, CASE WHEN k % 5 = 0 THEN '' ELSE a END AS a, CASE WHEN k % 7 = 0 THEN '' ELSE b END AS b FROM t)
+ SELECT k AS frag_id, CAST(mate AS INT) AS mate, '@r' || k || '/' || mate || chr(10) || CASE WHEN s = '' THEN 'N' WHEN mate = 2 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END || chr(10) || '+' || chr(10) || CASE WHEN s = '' THEN '!' ELSE s END AS record FROM (SELECT k, unnest([1, 2]) AS mate, unnest([a, b]) AS s FROM m WHERE a <> '' OR b <> '')""")
+def paired_fastq_records(s, d):
+    """Names of suppliers as mates; the first is absent for every fifth, the second for every seventh."""
+    k = F.col("s_suppkey")
+    mates = F.array(F.when(k % 5 == 0, "").otherwise(F.upper("s_name")), F.when(k % 7 == 0, "").otherwise(F.reverse(F.upper("s_name"))))
+    reads = B.read(s, d, "supplier").select(F.lit("c").alias("contig"), F.lit(0).alias("part"), k.alias("frag_id"), F.concat(F.lit("r"), k).alias("name"), mates.alias("seqs"), mates.alias("quals"))
+    return K.paired_fastq_lines(reads).select("rn.frag_id", "mate", F.col("value").alias("record"))
 
 
 @query(_with(_VCF_SQL) + "SELECT '##contig=<ID=' || contig || '>' AS value, true AS early FROM (SELECT DISTINCT contig FROM v) UNION ALL SELECT '##fileformat=VCFv4.2', true UNION ALL SELECT '#CHROM' || chr(9) || 'POS', true")
@@ -888,6 +942,45 @@ def disjoint_paths(s, d):
     return phasing.disjoint_paths(_membership(s, d), _flows(s, d))
 
 
+#: Paths that need no kernel: of each column's clusters the ones with one number; flows are the edges' weights.
+_BY_CLUSTER = "ed AS (SELECT a.contig, a.col, a.cluster AS row_from, b.cluster AS row_to, count(*) AS weight FROM m a JOIN m b ON a.contig = b.contig AND b.col = a.col + 1 AND a.frag_id = b.frag_id WHERE NOT EXISTS (SELECT 1 FROM tied t WHERE t.contig = a.contig AND t.col = a.col AND t.frag_id = a.frag_id) GROUP BY ALL HAVING count(*) >= 2), nodes AS (SELECT DISTINCT contig, col, cluster, l_site, r_site FROM m)"
+
+
+def _paths_by_cluster(s, d) -> tuple[DataFrame, DataFrame]:
+    membership = _membership(s, d)
+    return membership, PT.numbered(membership).select("contig", F.col("cluster").alias("path"), "col", "cluster").distinct()
+
+
+@query(_blocks_sql(PART_R, _EDGES, _BY_CLUSTER) + "SELECT n.contig, n.cluster AS path, round(avg(e.weight), 6) AS flow FROM nodes n LEFT JOIN ed e ON e.contig = n.contig AND e.col = n.col AND e.row_from = n.cluster GROUP BY ALL")
+def path_flow_by_cluster(s, d):
+    membership, paths = _paths_by_cluster(s, d)
+    flows = PT.block_edges(membership, _e(s, d)).withColumn("flow", F.col("weight").cast("double"))
+    return _r(phasing.path_flow(paths, flows), "flow")
+
+
+@query(_blocks_sql(PART_R, _EDGES, _BY_CLUSTER) + "SELECT contig, cluster AS path, min(l_site) AS l_site, max(r_site) AS r_site FROM nodes WHERE (contig + col) % 3 > 0 GROUP BY ALL")
+def path_ranges(s, d):
+    """Two in three columns of each contig."""
+    membership, paths = _paths_by_cluster(s, d)
+    return phasing.path_ranges(membership, paths.where("(contig + col) % 3 > 0"))
+
+
+_WITHIN = """rg AS (SELECT contig, part, CAST(l_site + part % 5 * 7 AS INT) AS l_site, CAST(greatest(l_site + part % 5 * 7, r_site - part % 4 * 7) AS INT) AS r_site FROM ranges), fr AS (SELECT contig, part, frag_id, min(site) AS a, max(site) AS z FROM pobs GROUP BY ALL),
+ o AS (SELECT fr.*, l_site, r_site, max(z) OVER (PARTITION BY contig, part ORDER BY a, z DESC, frag_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fr JOIN rg USING (contig, part)), c AS (SELECT *, CASE WHEN a > reach AND reach >= l_site AND reach < r_site THEN reach END AS cut FROM o),
+ pc AS (SELECT *, count(cut) OVER (PARTITION BY contig, part ORDER BY a, z DESC, frag_id) AS piece FROM c), pr AS (SELECT contig, part, piece, max(cut) AS cut, any_value(l_site) AS l, any_value(r_site) AS r FROM pc GROUP BY ALL)"""
+
+
+@query(_with(OBS_E, PART_W, RANGES, _WITHIN) + "SELECT pc.contig, pc.part, frag_id, pc.piece, CAST(coalesce(w.cut + 1, w.l) AS INT) AS l_site, CAST(coalesce(w.nxt, w.r) AS INT) AS r_site FROM pc JOIN (SELECT *, lead(cut) OVER (PARTITION BY contig, part ORDER BY piece) AS nxt FROM pr) w ON w.contig = pc.contig AND w.part = pc.part AND w.piece = pc.piece")
+def split_gaps_within(s, d):
+    """Breaks count only inside the ranges of parts, here narrower than what the reads of a part cover."""
+    obs = _ep(s, d)
+    low = F.col("l_site") + F.col("part") % 5 * 7
+    ranges = PT.part_ranges(obs).select("contig", "part", low.cast("int").alias("l_site"), F.greatest(low, F.col("r_site") - F.col("part") % 4 * 7).cast("int").alias("r_site"))
+    frags = B.frags_of(obs).join(obs.select("contig", "frag_id", "part").distinct(), ["contig", "frag_id"]).join(ranges, ["contig", "part"])
+    reads, pieces = W.split_gaps_within(frags, "contig", "part")
+    return reads.join(pieces, ["contig", "part", "piece"]).select("contig", "part", "frag_id", "piece", "l_site", "r_site")
+
+
 @query()
 def path_flow(s, d):
     flows = _flows(s, d)

@@ -19,7 +19,7 @@ def parse_vcf(rows: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
 
     contigs(contig): only those count, as where they are what the alignments name.
     """
-    cells = F.split("value", "\t")
+    cells = [F.get(F.split("value", "\t"), F.lit(k)) for k in range(5)]
     found = rows.where("value not like '#%' and value <> ''").select("line_no", cells[0].alias("contig"), (cells[1].cast("long") - 1).alias("pos"), F.concat(F.array(cells[3]), F.split(cells[4], ",")).alias("alleles"))
     found = found if contigs is None else found.join(contigs.select("contig").distinct(), "contig", "left_semi")
     snps = found.where(F.forall("alleles", lambda a: a.rlike("^[ACGTacgt]$"))).withColumn("alleles", F.transform("alleles", F.upper))
@@ -63,9 +63,10 @@ def sam_contigs(rows: DataFrame) -> DataFrame:
 
 def parse_sam(rows: DataFrame) -> DataFrame:
     """contig, qname, flags, mapq, pos (from 0), cigar, seq, qual (codes less 33); records that do not parse are skipped."""
-    c = F.split("value", "\t")
+    cells = F.split("value", "\t")
+    c = [F.get(cells, F.lit(k)) for k in range(11)]  # null where a line has fewer
     codes = F.transform(F.split(c[10], ""), lambda x: F.ascii(x) - 33)
-    found = rows.where("value not like '@%'").where(F.size(c) >= 11)
+    found = rows.where("value not like '@%'").where(F.size(cells) >= 11)
     return found.select(c[2].alias("contig"), c[0].alias("qname"), c[1].try_cast("int").alias("flags"), c[4].try_cast("int").alias("mapq"), (c[3].try_cast("long") - 1).alias("pos"), c[5].alias("cigar"), c[9].alias("seq"), codes.alias("qual")).where("flags is not null and pos is not null")
 
 
@@ -99,17 +100,25 @@ def reference_length(cigar: str) -> Column:
     return F.aggregate(F.zip_with(lengths, kinds, lambda n, k: F.when(k.isin(*"MDN=X"), n.cast("long")).otherwise(0)), F.lit(0).cast("long"), lambda s, n: s + n)
 
 
-def aligned_bases(alignments: DataFrame, *others: str) -> DataFrame:
-    """One row for each aligned base: ref_pos, read_pos (leading hard clips count), base, base_qual, and other columns.
+def placed_operations(alignments: DataFrame) -> DataFrame:
+    """alignments with ops: len and op of each CIGAR operation, and where it begins in the reference and the read.
 
-    CIGAR arithmetic stays in the JVM: lengths and kinds are arrays, starts are running sums.
+    CIGAR arithmetic stays in the JVM: starts are running sums over arrays.
     """
-    ops = alignments.withColumn("len", F.transform(F.regexp_extract_all("cigar", F.lit("([0-9]+)[MIDNSHP=X]"), F.lit(1)), lambda x: x.cast("long"))).withColumn("op", F.regexp_extract_all("cigar", F.lit("[0-9]+([MIDNSHP=X])"), F.lit(1)))
-    taken = lambda kinds: F.transform(F.arrays_zip("len", "op"), lambda x: F.when(x["op"].isin(*kinds), x["len"]).otherwise(0))
-    before = lambda values: F.transform(F.sequence(F.lit(1), F.size("len")), lambda i: F.aggregate(F.slice(values, F.lit(1), i - 1), F.lit(0).cast("long"), lambda s, x: s + x))
-    placed = ops.withColumn("ref_at", before(taken("MDN=X"))).withColumn("read_at", before(taken("MIS=X")))
-    piece = placed.select("*", F.explode(F.arrays_zip("len", "op", "ref_at", "read_at")).alias("p")).where(F.col("p.op").isin("M", "=", "X"))
-    hard = F.when(F.col("op")[0] == "H", F.col("len")[0]).otherwise(0)
+    lengths = F.transform(F.regexp_extract_all("cigar", F.lit("([0-9]+)[MIDNSHP=X]"), F.lit(1)), lambda x: x.cast("long"))
+    cut = alignments.withColumn("ops", F.arrays_zip(lengths.alias("len"), F.regexp_extract_all("cigar", F.lit("[0-9]+([MIDNSHP=X])"), F.lit(1)).alias("op")))
+    zero = F.struct(F.lit(0).cast("long").alias("len"), F.lit("").alias("op"), F.lit(0).cast("long").alias("ref_at"), F.lit(0).cast("long").alias("read_at"))
+    # each operation begins where the one before it ends; the first element is a stop
+    goes = lambda o, kinds: F.when(o["op"].isin(*kinds), o["len"]).otherwise(0)
+    step = lambda done, o: F.concat(done, F.array(F.struct(o["len"].alias("len"), o["op"].alias("op"), (F.element_at(done, -1)["ref_at"] + goes(F.element_at(done, -1), "MDN=X")).alias("ref_at"), (F.element_at(done, -1)["read_at"] + goes(F.element_at(done, -1), "MIS=X")).alias("read_at"))))
+    return cut.withColumn("ops", F.slice(F.aggregate("ops", F.array(zero), step), F.lit(2), F.greatest(F.size("ops"), F.lit(1))))
+
+
+def aligned_bases(alignments: DataFrame, *others: str) -> DataFrame:
+    """One row for each aligned base: ref_pos, read_pos (leading hard clips count), base, base_qual, and other columns."""
+    placed = placed_operations(alignments)
+    piece = placed.select("*", F.explode("ops").alias("p")).where(F.col("p.op").isin("M", "=", "X"))
+    hard = F.when(F.col("ops")[0]["op"] == "H", F.col("ops")[0]["len"]).otherwise(0)
     base = piece.select("contig", "qname", "flags", "pos", "seq", "qual", *[c for c in others if c != "seq"], "p", hard.alias("hard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.len") - 1)).alias("i"))
     at = (F.col("p.read_at") + F.col("i")).cast("int")
     return base.select("contig", "qname", "flags", (F.col("pos") + F.col("p.ref_at") + F.col("i")).alias("ref_pos"), (at + F.col("hard")).cast("int").alias("read_pos"), F.upper(F.substring("seq", at + 1, F.lit(1))).alias("base"), F.col("qual")[at].alias("base_qual"), *others)

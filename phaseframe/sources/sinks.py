@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseframe.operators.parts import hapq
+from phaseframe.functions.scalars import reverse_complement
+from phaseframe.operators.parts import hapq, within
 from phaseframe.operators.pileup import allele_string, consensus, error_coverage
 
 #: The columns of the contig report.
@@ -22,11 +23,16 @@ PLOIDY_COLUMNS = (
 def vartigs(ranges: DataFrame, piled: DataFrame, block_length: float) -> DataFrame:
     """One consensus string and its scores for each part; base ranges count from 1."""
     keys = ["contig", "part"]
-    text = allele_string(consensus(piled, *keys), *keys)
-    bases = ranges.select(*keys, (F.col("l_base") + 1).alias("l_base"), (F.col("r_base") + 1).alias("r_base"))
-    stats = error_coverage(piled, *keys).select(*keys, F.round("cov", 3).alias("cov"), F.round("err", 4).alias("err"))
+    inside = within(piled, ranges)
+    text = allele_string(consensus(inside, *keys), *keys)
+    bases = ranges.select(*keys, F.col("l_site").alias("l"), F.col("r_site").alias("r"), (F.col("l_base") + 1).alias("l_base"), (F.col("r_base") + 1).alias("r_base"))
+    gap = lambda n: F.repeat(F.lit("?"), n.cast("int"))
+    whole = F.concat(gap(F.col("l_site") - F.col("l")), "alleles", gap(F.col("r") - F.col("r_site")))
+    stats = error_coverage(inside, *keys).select(*keys, F.round("cov", 3).alias("cov"), F.round("err", 4).alias("err"))
     score = hapq(ranges, piled, block_length).withColumn("rel_err", F.round("rel_err", 3))
-    return text.join(bases, keys).join(stats, keys).join(score, keys)
+    # sites of a part's range that none of its reads covers are `?`, also at its ends
+    strings = text.join(bases, keys).select(*keys, F.col("l").alias("l_site"), F.col("r").alias("r_site"), whole.alias("alleles"), "l_base", "r_base")
+    return strings.join(stats, keys).join(score, keys)
 
 
 def vartig_info(ranges: DataFrame, piled: DataFrame, sites: DataFrame) -> DataFrame:
@@ -93,17 +99,42 @@ def ploidy_lines(ploidy: DataFrame) -> DataFrame:
     return rows.union(ploidy.sparkSession.createDataFrame([("", "\t".join(PLOIDY_COLUMNS))], "rn string, value string"))
 
 
+def _record(name: Column, seq: Column, qual: Column) -> Column:
+    """The four lines of a read in one value, so that no file begins within a record; an absent read is one N."""
+    absent = F.coalesce(F.length(seq), F.lit(0)) == 0
+    return F.concat(F.lit("@"), name, F.lit("\n"), F.when(absent, F.lit("N")).otherwise(seq), F.lit("\n+\n"), F.when(absent, F.lit("!")).otherwise(qual))
+
+
+def _read_order(reads: DataFrame) -> list[Column]:
+    """part, and fragment order where the reads have their sites, else their ids."""
+    site = lambda c: F.col(c) if c in reads.columns else F.lit(0)
+    return [F.col("part"), site("first_site").alias("first_site"), (-site("last_site")).alias("back"), F.col("frag_id")]
+
+
 def fastq_lines(reads: DataFrame) -> DataFrame:
-    """contig, rn, value: the records of reads(contig, part, frag_id, name, seq, qual); an absent read is one N."""
-    seq, qual = F.when(F.coalesce(F.length("seq"), F.lit(0)) == 0, F.lit("N")).otherwise(F.col("seq")), F.when(F.coalesce(F.length("seq"), F.lit(0)) == 0, F.lit("!")).otherwise(F.col("qual"))
-    rows = reads.select("contig", "part", "frag_id", _lines(F.concat(F.lit("@"), "name"), seq, F.lit("+"), qual))
-    return _ordered(rows, "part", "frag_id", "k")
+    """contig, rn, value: the records of reads(contig, part, frag_id, name, seq, qual), a record in a value."""
+    return reads.select("contig", F.struct(*_read_order(reads)).alias("rn"), _record(F.col("name"), F.col("seq"), F.col("qual")).alias("value"))
+
 
+def paired_fastq_lines(reads: DataFrame) -> DataFrame:
+    """contig, part, mate (1 or 2), rn, value: two records of each of reads(contig, part, frag_id, name, seqs, quals), with the
+    same rn, so that both mates' files have the same reads in the same places.
 
-def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists", gzip: bool = False) -> None:
-    """Lines in order (rn), one folder for each contig where they have one."""
-    keys = [c for c in ("contig", "part") if c in lines.columns]
-    ordered = lines.repartitionByRange(*keys, "rn").sortWithinPartitions(*keys, "rn")
+    The second mate is reverse complemented; its qualities stay in the order of the alignment. Reads without any sequence
+    are left out.
+    """
+    some = reads.where("seqs[0] <> '' or seqs[1] <> ''")
+    record = lambda k: _record(F.concat("name", F.lit(f"/{k + 1}")), reverse_complement(F.col("seqs")[k]) if k else F.col("seqs")[k], F.col("quals")[k])
+    rows = some.select("contig", "part", F.struct(*_read_order(reads)).alias("rn"), F.posexplode(F.array(record(0), record(1))).alias("mate", "value"))
+    return rows.withColumn("mate", F.col("mate") + 1)
+
+
+def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists", gzip: bool = False, together: str | None = None) -> None:
+    """Lines in order (rn), one folder for each contig, part and mate where they have one. together: a field of rn whose
+    lines stay in one file. Files with the same number in the folders of both mates match line by line."""
+    keys = [c for c in ("contig", "part", "mate") if c in lines.columns]
+    order = F.col("rn")[together] if together else F.col("rn")
+    ordered = lines.repartitionByRange(*[c for c in keys if c != "mate"], order).sortWithinPartitions(*keys, "rn")
     writer = ordered.select(*keys, "value").write.mode(mode).option("compression", "gzip" if gzip else "none")
     (writer.partitionBy(*keys) if keys else writer).text(path)
 

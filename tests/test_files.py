@@ -97,7 +97,7 @@ def test_command_line(spark, inputs, tmp_path):
     assert len([x for x in lines if x.startswith(">HAP")]) * 2 == len(lines)
     ploidy = [r["value"].split("\t") for r in spark.read.text(f"{out}/contig_ploidy").collect()]
     assert sorted(r[0] for r in ploidy) == ["c1", "c2", "contig"] and {len(r) for r in ploidy} == {len(sinks.PLOIDY_COLUMNS)}
-    fastq = [r["value"] for r in spark.read.text(f"{out}/reads/contig=c1").collect()]
+    fastq = [r["value"] for r in spark.read.text(f"{out}/long_reads/contig=c1").collect()]
     assert len(fastq) % 4 == 0 and len(fastq) > 0
     info = [r["value"] for r in spark.read.text(f"{out}/vartig_info/contig=c1").collect()]
     assert any(x.split("\t")[0].split(":")[1] == str(sites[0][1] - 1) for x in info if not x.startswith(">"))
@@ -105,6 +105,127 @@ def test_command_line(spark, inputs, tmp_path):
         cli.main(["vartig", "-b", str(folder / "reads.sam"), "-v", str(folder / "sites.vcf"), "-o", str(folder)]) or cli.main(["vartig", "-b", str(folder / "reads.sam"), "-v", str(folder / "sites.vcf"), "-o", str(folder)])
 
 
+def test_defaults_come_from_genome_columns(spark, inputs, tmp_path):
+    """Without -e and -l: strains differ at every site, which must not pass for errors."""
+    from phaseframe.operators.columns import estimate_from_alignments
+
+    folder, _, _, rows = inputs
+    records = bam.read_bam(spark, str(folder / "reads.bam"))
+    found = estimate_from_alignments(records, every=10).first()
+    assert found["epsilon"] < 0.06 and found["block_length"] in (695, 700)
+    assert tuple(estimate_from_alignments(records.where("contig = 'none'")).first()) == (0.01, 500)
+    out = str(tmp_path / "out")
+    cli.main(["phase", "-b", str(folder / "reads.bam"), "-v", str(folder / "sites.vcf"), "-r", str(folder / "ref.fa"), "-o", out])
+    for contig in ("c1", "c2"):
+        sets = files.parse_haplosets(spark.read.text(f"{out}/haplosets/contig={contig}").selectExpr("value", "monotonically_increasing_id() as line_no")).collect()
+        by_part = {}
+        for r in sets:
+            by_part.setdefault(r["part"], []).append(r["read"])
+        n = sum(map(len, by_part.values()))
+        assert n == sum(c == contig and q != "bad" for c, q, *_ in rows)
+        assert sum(max(sum("s0_" in x for x in own), sum("s1_" in x for x in own)) for own in by_part.values()) > 0.95 * n and len(by_part) > 1
+
+
+def planted_columns(rng, reads, length, wrong):
+    """Reads of one contig of 300 bases, of which every fifth is a site of two strains, as alignments."""
+    rows = []
+    for k in range(reads):
+        start = rng.randrange(300 - length)
+        bases = ["ACGT"[(p + (k % 2 if p % 5 == 0 else 0)) % 4] for p in range(start, start + length)]
+        for p in range(length):
+            if rng.random() < wrong:
+                bases[p] = rng.choice("ACGT".replace(bases[p], ""))
+        rows.append(("c", f"r{k}", 0, 1, start, f"{length}M", "".join(bases)))
+    return rows
+
+
+def test_columns_by_brute_force(spark, monkeypatch):
+    """Covered bases counted over cells, gaps, clips and deletions; 66 % of columns, not of sites."""
+    from phaseframe.operators import columns
+
+    rng = random.Random(7)
+    rows = planted_columns(rng, 200, 60, 0.05)
+    rows += [("c", "d1", 0, 0, 5000, "4H3S10M5D20M2I5M", "A" * 40), ("c", "d2", 1024, 60, 5200, "40M", "A" * 40), ("c", "d3", 256, 60, 5300, "40M", "A" * 40), ("c", "d4", 0, 60, 5400, "*", "A" * 40), ("c", "d5", 0, 60, 5500, "40M", "*"), ("d", "e", 0, 60, 77, "10M1000N10M", "C" * 20)]
+    frame = spark.createDataFrame(rows, "contig string, qname string, flags int, mapq int, pos long, cigar string, seq string")
+    reach = {"c": {}, "d": {}}
+    for contig, name, flags, _, pos, cigar, seq in rows:
+        if flags & 1796 or cigar == "*" or seq == "*":
+            continue
+        at, read = pos, 0
+        for n, op in __import__("re").findall("([0-9]+)([MIDNSH])", cigar):
+            for _ in range(int(n)):
+                if op in "MDN":
+                    reach[contig].setdefault(at, []).append((seq[read] if op == "M" else None, len(seq)))
+                at, read = at + (op in "MDN"), read + (op in "MIS")
+    for cell in (64, 1 << 16):
+        monkeypatch.setattr(columns, "CELL", cell)
+        spans = columns.primary_spans(frame)
+        for every in (1, 7):
+            chosen = {(c, p) for c in reach for p in sorted(reach[c])[::every]}
+            picked = columns.sampled_columns(spans, every)
+            assert sorted((r["contig"], r["ref_pos"]) for r in picked.collect()) == sorted(chosen)
+            met = sorted((r["contig"], r["ref_pos"], r["base"], r["length"]) for r in columns.column_bases(spans, picked).collect())
+            assert met == sorted((c, p, b, n) for c, p in chosen for b, n in reach[c][p] if b)
+    found = columns.estimate_from_alignments(frame, every=1, least_length=1).first()
+    ratios = []
+    for own in reach["c"].values():
+        counts = [sum(b == x for b, _ in own) for x in "ACGT"]
+        if sum(counts) >= 5:
+            ratios.append((sum(counts) - max(counts)) / max(counts))
+    lengths = sorted(n for c in reach.values() for own in c.values() for b, n in own if b)
+    assert found["epsilon"] == pytest.approx(sorted(ratios)[len(ratios) * 66 // 100]) and found["epsilon"] < 0.15 < max(ratios)
+    assert found["block_length"] == lengths[len(lengths) * 66 // 100]
+
+
+def test_pairs_come_out_as_pairs(spark, tmp_path):
+    """Both mates in two files of the same order; the second one reverse complemented, an absent one N; lengths of both."""
+    rng = random.Random(3)
+    reference = "".join(rng.choice("ACGT") for _ in range(4000))
+    at = list(range(60, 3950, 30))
+    other = {p: "ACGT"[("ACGT".index(reference[p]) + 1) % 4] for p in at}
+    strains = [{p for p in at if rng.random() < 0.5} for _ in range(2)]
+    rows, truth = [], {}
+    for k in range(240):
+        start = rng.randrange(3400)
+        text = lambda a, n: "".join(other[p] if p in other and p in strains[k % 2] else reference[p] for p in range(a, a + n))
+        mates = [(99, start, text(start, 150)), (147, start + 250, text(start + 250, 150))]
+        if k % 11 == 0:
+            mates = mates[k % 2 :][:1]  # one mate only
+        for flags, pos, seq in mates:
+            rows.append(("c1", f"p{k}", flags, 60, pos, [(150, "M")], seq, [30] * 150))
+        truth[f"p{k}"] = {1 + (f == 147): s for f, _, s in mates}
+    rows += [("c1", "far", 99, 60, 5000, [(40, "M")], "A" * 40, [30] * 40), ("c1", "far", 147, 60, 5100, [(30, "M")], "C" * 30, [30] * 30)]
+    (tmp_path / "reads.sam").write_text("\n".join(sam_lines(rows)) + "\n")
+    (tmp_path / "sites.vcf").write_text("##fileformat=VCFv4.2\n" + "".join(f"c1\t{p + 1}\t.\t{reference[p]}\t{other[p]}\t9\tdn\n" for p in at))
+    out = str(tmp_path / "out")
+    cli.main(["phase", "-b", str(tmp_path / "reads.sam"), "-v", str(tmp_path / "sites.vcf"), "-o", out, "-e", "0.02", "-l", "600", "--output-reads"])
+    import glob
+
+    back = str.maketrans("ACGT", "TGCA")
+    seen = set()
+    for folder in glob.glob(f"{out}/short_reads/contig=c1/part=*"):
+        mates = []
+        for mate in (1, 2):
+            parts = sorted(glob.glob(f"{folder}/mate={mate}/part-*.txt"))
+            mates.append([line for p in parts for line in open(p).read().splitlines()])
+        assert len(mates[0]) == len(mates[1]) and len(mates[0]) % 4 == 0 and mates[0]
+        for a, b, s, t in zip(mates[0][::4], mates[1][::4], mates[0][1::4], mates[1][1::4], strict=True):
+            name = a[1:-2]
+            assert (a, b) == (f"@{name}/1", f"@{name}/2")
+            own = truth[name]
+            if len(own) == 2:
+                assert (s, t) == (own[1], own[2][::-1].translate(back))
+            else:  # a lone mate takes the first place, whichever it is
+                assert (s, t) == (next(iter(own.values())), "N")
+            seen.add(name)
+    assert seen == set(truth)
+    without = [r["value"] for r in spark.read.text(f"{out}/reads_without_sites").collect()]
+    assert sorted(without) == ["READ_NAME\tREAD_LENGTH_IN_BASES", "far\t70"]
+    import os
+
+    assert not os.path.exists(f"{out}/long_reads/contig=c1")
+
+
 def test_haplotags(spark):
     lines = spark.createDataFrame([(0, "@SQ\tSN:c"), (1, "r1\t0\tc"), (2, "r2\t0\tc")], "line_no long, value string")
     tags = spark.createDataFrame([("r2", 4)], "qname string, hp int")

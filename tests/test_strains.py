@@ -53,3 +53,56 @@ def test_planted_strains(spark, strains):
     assert all(b < 106 or a > 94 for a, b in spans.values())
     text = vartigs(part_ranges(found), pileup(found, "contig", "part"), 3000)
     assert text.count() == len(sizes) and all(len(r["alleles"]) == r["r_site"] - r["l_site"] + 1 for r in text.collect())
+
+
+def test_reads_over_block_borders(spark):
+    """Reads take part in a block with all their sites, parts have the ranges of their paths, and breaks lie within them."""
+    from pyspark.sql import functions as F
+
+    from phaseframe.functions.scalars import phred_weight
+    from phaseframe.operators.parts import part_ranges
+    from phaseframe.plans.phasing import phase
+
+    rows, truth = planted(2, seed=7, reads=300)
+    obs = spark.createDataFrame(rows, "contig string, frag_id long, site int, pos long, allele int, qual int").withColumn("weight", phred_weight(F.col("qual")))
+    sites = spark.createDataFrame([("c", s, 100 * (s - 1)) for s in range(1, SITES + 1)], "contig string, site int, pos long")
+    found = phase(obs, 1500, 0.04, sites=sites)  # blocks shorter than many reads
+    placed = {r["frag_id"]: r["part"] for r in found.select("frag_id", "part").distinct().collect()}
+    assert set(placed) == set(truth)
+    sizes = Counter(placed.values())
+    assert sum(max(Counter(truth[f] for f in placed if placed[f] == p).values()) for p in sizes) / len(truth) > 0.95
+    ranges = {r["part"]: r for r in part_ranges(found, sites).collect()}
+    assert set(ranges) == set(sizes)
+    for r in ranges.values():
+        assert (r["l_base"], r["r_base"]) == (100 * (r["l_site"] - 1), 100 * (r["r_site"] - 1)) and r["n_reads"] == sizes[r["part"]]
+    # nobody's range spans the gap that no read crosses
+    assert all(not (r["l_site"] < 95 and r["r_site"] > 105) for r in ranges.values())
+
+
+def plain_pieces(reads, low, high):
+    """Pieces of a part by walking along its reads: (first site, last site, id) lists and ranges."""
+    reach, pieces, cuts = 0, [[]], []
+    for a, z, k in sorted(reads, key=lambda r: (r[0], -r[1], r[2])):
+        if pieces[-1] and a > reach and low <= reach < high:
+            cuts.append(reach)
+            pieces.append([])
+        pieces[-1].append(k)
+        reach = max(reach, z)
+    starts, ends = [low, *(c + 1 for c in cuts)], [*cuts, high]
+    return {k: (n, starts[n], ends[n]) for n, own in enumerate(pieces) for k in own}
+
+
+def test_breaks_within_ranges(spark):
+    from phaseframe.operators.windows import split_gaps_within
+
+    rng, rows, expected = random.Random(5), [], {}
+    for part in range(40):
+        low = rng.randint(1, 60)
+        high = low + rng.randint(0, 60)
+        reads = [(a, a + rng.randint(0, 6), 1000 * part + k) for k in range(rng.randint(1, 14)) for a in [rng.randint(1, 120)]]
+        rows += [("c", part, k, a, z, low, high) for a, z, k in reads]
+        expected |= {(part, k): v for k, v in plain_pieces(reads, low, high).items()}
+    frags = spark.createDataFrame(rows, "contig string, part int, frag_id long, first_site int, last_site int, l_site int, r_site int")
+    reads, pieces = split_gaps_within(frags, "contig", "part")
+    found = {(r["part"], r["frag_id"]): (r["piece"], r["l_site"], r["r_site"]) for r in reads.join(pieces, ["contig", "part", "piece"]).collect()}
+    assert found == expected and max(v[0] for v in expected.values()) > 2
