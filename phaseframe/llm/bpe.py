@@ -160,16 +160,22 @@ def _dictionary(chunk: Chunk, number: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([number] * len(words), pa.int64()), pa.array(np.arange(k, k + len(words), dtype=np.int32)), pa.array(words)], names=["chunk", "place", "word"])
 
 
+def _packed_type(tool) -> str:
+    """Ids of a word travel in two bytes each where the vocabulary allows."""
+    return "<u2" if max(tool.pieces, default=0) < 1 << 16 else "<u4"
+
+
 def _encoded(words: DataFrame, path: str) -> DataFrame:
     """chunk, place, ids; equal words stand together, and each is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, last, ids = splitter(path), None, b""
+        kind = _packed_type(tool)
         for batch in batches:
             out = []
             for word in batch.column("word").to_pylist():
                 if word != last:
-                    last, ids = word, np.array(tool.encode(word), "<u4").tobytes()
+                    last, ids = word, np.array(tool.encode(word), kind).tobytes()
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("place"), pa.array(out, pa.binary())], names=["chunk", "place", "ids"])
 
@@ -188,8 +194,9 @@ def encode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False, chunk_b
         order = np.argsort(right.column("place").to_numpy())
         per_word = right.column("ids").to_pylist()
         per_word = [per_word[k] for k in order.tolist()]
-        lengths = np.array([len(x) // 4 for x in per_word], np.int64)
-        flat = np.frombuffer(b"".join(per_word), "<u4")
+        kind = np.dtype(_packed_type(splitter(tokenizer_path)))
+        lengths = np.array([len(x) // kind.itemsize for x in per_word], np.int64)
+        flat = np.frombuffer(b"".join(per_word), kind).astype("<u4")
         ends = np.cumsum(lengths)
         decoded = np.array([b" ".join([pieces[i] for i in flat[e - n : e].tolist()]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], object)
         out: dict[str, list] = {"n": [], "ids": [], "decoded": [], "token_ids": []}
