@@ -113,6 +113,22 @@ _SAM_SQL = "a AS (SELECT p_partkey AS k, 'c' || (p_partkey % 3) AS contig, 'r' |
 _PAIRS_SQL = "offs AS (SELECT 0 AS m, unnest([0, 1, 2, 4, 5, 6, 7]) AS r, unnest([2, 3, 4, 5, 6, 8, 9]) AS q UNION ALL SELECT 1, unnest(range(10)), unnest(range(10)) UNION ALL SELECT 2, unnest([0, 1, 2, 3, 6, 7, 8, 9, 10, 11]), unnest(range(10))), bases AS (SELECT contig, qname, flags, pos + r AS ref_pos, CAST(q AS INT) AS read_pos, substr('ACGTACGTAC', q + 1, 1) AS base, CAST(q + 32 AS INT) AS base_qual FROM a JOIN offs ON k % 3 = m)"
 
 
+@query(_with(_SAM_SQL) + "SELECT contig, qname, flags, mapq, pos, cigar, 'ACGTACGTAC' AS seq, CAST(CASE WHEN k % 4 > 0 THEN k % 5 END AS INT) AS hp FROM a WHERE contig = 'c1'")
+def tagged_bam(s, d):
+    """Alignments written as BAM files with tags and indexes, and one contig of them read back by its index."""
+    import uuid
+
+    from phaseframe.plans.storage import shared_folder
+    from phaseframe.sources import bamsource as BS
+
+    rows = S.parse_sam(_sam(s, d))
+    k = F.regexp_extract("qname", "[0-9]+", 0).cast("int")
+    tags = rows.where(k % 4 > 0).select("qname", (k % 5).alias("hp"))
+    path = f"{shared_folder(s)}/bam-{uuid.uuid4().hex}"
+    BS.write_split(BS.haplotagged(rows, tags), [(f"c{i}", 10**9) for i in range(3)], path)
+    return BS.read_split(s, path, contig="c1").drop("qual")
+
+
 #: Reads made from order lines: a part's lines lie over 20 bases of four contigs, a line's number gives its CIGAR; every
 #: 25th base is a site where orders of odd keys have another base, and one base in 97 is wrong.
 _DEEP_SQL = """deep AS (SELECT l_orderkey AS o, l_linenumber AS ln, 'g' || (l_partkey % 4) AS contig, (l_partkey // 4) * 20 + l_linenumber AS pos, l_linenumber % 3 AS kind, CASE l_linenumber % 3 WHEN 0 THEN 40 WHEN 1 THEN 29 ELSE 47 END AS reach, CASE l_linenumber % 3 WHEN 0 THEN 40 WHEN 1 THEN 30 ELSE 50 END AS length FROM lineitem WHERE l_orderkey % 19 <> 0),
