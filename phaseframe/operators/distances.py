@@ -15,19 +15,15 @@ def haplotype_distance(piled: DataFrame, scope: list[str], group: str) -> DataFr
     return best.join(other, [*scope, "site"]).where(F.col(group) < F.col("other")).groupBy(*scope, group, "other").agg(F.count_if(F.col("allele") == F.col("b")).alias("same"), F.count_if(F.col("allele") != F.col("b")).alias("diff"))
 
 
-def _against(obs: DataFrame, piled: DataFrame, scope: list[str], group: str, how: str) -> DataFrame:
-    best = piled.groupBy(*scope, group, "site").agg(F.max("weight").alias("top"), F.map_from_entries(F.collect_list(F.struct("allele", "weight"))).alias("w"))
-    reads = obs.select(*scope, "frag_id", "site", "allele", "weight")
-    if how == "left":
-        reads = reads.join(piled.select(*scope, group).distinct(), scope)
-        return reads.join(best, [*scope, group, "site"], "left")
-    return reads.join(best, [*scope, "site"])
+def _tops(piled: DataFrame, scope: list[str], group: str) -> DataFrame:
+    """scope, group, site, top (the heaviest weight), w (weight of each allele)."""
+    return piled.groupBy(*scope, group, "site").agg(F.max("weight").alias("top"), F.map_from_entries(F.collect_list(F.struct("allele", "weight"))).alias("w"))
 
 
 def read_haplotype_distance(obs: DataFrame, piled: DataFrame, scope: list[str], group: str) -> DataFrame:
     """same and diff (whole numbers, rounded) of each read against each group's pileup, over covered sites; alleles that
     tie with the heaviest count for neither."""
-    rows = _against(obs, piled, scope, group, "inner").withColumn("own", F.coalesce(F.col("w")[F.col("allele")], F.lit(0.0)))
+    rows = obs.select(*scope, "frag_id", "site", "allele", "weight").join(_tops(piled, scope, group), [*scope, "site"]).withColumn("own", F.coalesce(F.col("w")[F.col("allele")], F.lit(0.0)))
     ties = F.size(F.filter(F.map_values("w"), lambda x: F.round(x, 9) == F.round("top", 9)))
     best = F.round("own", 9) == F.round("top", 9)
     same = F.sum(F.when(best & (ties == 1), F.col("weight")).otherwise(0.0))
@@ -36,9 +32,16 @@ def read_haplotype_distance(obs: DataFrame, piled: DataFrame, scope: list[str],
     return rows.groupBy(*scope, "frag_id", group).agg(whole(same).alias("same"), whole(diff).alias("diff"))
 
 
-def read_haplotype_distance_eps(obs: DataFrame, piled: DataFrame, scope: list[str], group: str, epsilon: float) -> DataFrame:
-    """The same where uncovered sites cost epsilon and ties with the heaviest allele count as same."""
-    rows = _against(obs, piled, scope, group, "left").withColumn("own", F.coalesce(F.col("w")[F.col("allele")], F.lit(0.0)))
+def all_pairs(obs: DataFrame, piled: DataFrame, scope: list[str], group: str) -> DataFrame:
+    """scope, frag_id, group: each read with each group of its scope; where only some pairs are of interest, give those."""
+    return obs.select(*scope, "frag_id").distinct().join(piled.select(*scope, group).distinct(), scope)
+
+
+def read_haplotype_distance_eps(obs: DataFrame, piled: DataFrame, pairs: DataFrame, scope: list[str], group: str, epsilon: float) -> DataFrame:
+    """The same for pairs(scope, frag_id, group) alone, where uncovered sites cost epsilon and ties with the heaviest
+    allele count as same. Rows are the sites of the pairs' reads, however many groups a scope has."""
+    reads = obs.select(*scope, "frag_id", "site", "allele", "weight").join(pairs.select(*scope, "frag_id", group), [*scope, "frag_id"])
+    rows = reads.join(_tops(piled, scope, group), [*scope, group, "site"], "left").withColumn("own", F.coalesce(F.col("w")[F.col("allele")], F.lit(0.0)))
     best = F.round("own", 9) == F.round("top", 9)
     same = F.sum(F.when(F.col("top").isNotNull() & best, F.col("weight")).otherwise(0.0))
     diff = F.sum(F.when(F.col("top").isNull(), F.lit(epsilon)).when(~best, F.col("weight")).otherwise(0.0))

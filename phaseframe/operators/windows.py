@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phaseframe.operators.ranks import ranked
+
 
 def block_windows(sites: DataFrame, length: int, density: float = 0.0005) -> DataFrame:
     """contig, block_id, l_site, r_site: overlapping windows of about `length` bases over irregular sites.
@@ -43,9 +45,8 @@ def split_ranges(positions: list[int], length: int, density: float) -> list[tupl
 
 
 def fragment_order(frags: DataFrame) -> DataFrame:
-    """Rank of each fragment in its contig: by first site, longest first, then id."""
-    order = Window.partitionBy("contig").orderBy("first_site", F.desc("last_site"), "frag_id")
-    return frags.withColumn("rank", F.row_number().over(order) - 1)
+    """Rank of each fragment in its contig: by first site, longest first, then id. No task has all of a contig."""
+    return ranked(frags, ["contig"], [F.asc("first_site"), F.desc("last_site"), F.asc("frag_id")])
 
 
 def split_gaps(frags: DataFrame, *keys: str) -> DataFrame:

@@ -208,7 +208,11 @@ def balance(weights: dict[Edge, float]) -> dict[Edge, float]:
         excess[end] += step
 
 
-def peel_paths(nodes: list[tuple[int, int]], flows: dict[Edge, float], least: float = 2.0, drop: float = 0.33) -> list[list[tuple[int, int]]]:
+#: Flows under this count for nothing.
+LEAST_FLOW = 2.0
+
+
+def peel_paths(nodes: list[tuple[int, int]], flows: dict[Edge, float], least: float = LEAST_FLOW, drop: float = 0.33) -> list[list[tuple[int, int]]]:
     """Disjoint paths, widest first; a path ends where the flow falls under `drop` of what came in.
 
     At such a fall the edge is cut for good if its start has one way in, and its end begins a path of its own if it has

@@ -55,30 +55,52 @@ def phase_blocks(obs: DataFrame, length: int, epsilon: float, most: int = 5, bea
     return rows.groupBy("contig", "block_id").applyInPandas(solve, f"contig {kind}, block_id int, cluster int, frag_id long, l_site int, r_site int")
 
 
+def column_islands(crossed: DataFrame, columns: DataFrame) -> DataFrame:
+    """contig, col, island: columns(contig, col) that edges leaving crossed(contig, col) tie together, with the first of them.
+
+    An edge goes from a column to the next one, so between two columns that no edge joins the graph falls apart. There are
+    as many rows as blocks.
+    """
+    tied = crossed.select("contig", (F.col("col") + 1).alias("col"), F.lit(True).alias("tied")).distinct()
+    order = Window.partitionBy("contig").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.when(F.col("tied").isNull(), F.col("col"))
+    return columns.select("contig", "col").distinct().join(tied, ["contig", "col"], "left").select("contig", "col", F.last(begins, ignorenulls=True).over(order).alias("island"))
+
+
 def flow_edges(edges: DataFrame) -> DataFrame:
-    """edges with a balanced flow."""
+    """edges with a balanced flow. Parts of the graph that no edge joins are balanced apart."""
     kind = edges.schema["contig"].dataType.simpleString()
+    both = edges.select("contig", "col").union(edges.select("contig", F.col("col") + 1))
+    placed = edges.join(column_islands(edges, both), ["contig", "col"])
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         keys = list(zip(group["col"], group["row_from"], group["row_to"], strict=True))
         flows = kernels.balance(dict(zip(keys, group["weight"], strict=True)))
         return group.assign(flow=[flows[k] for k in keys])[["contig", "col", "row_from", "row_to", "weight", "flow"]]
 
-    return edges.groupBy("contig").applyInPandas(solve, f"contig {kind}, col int, row_from int, row_to int, weight long, flow double")
+    return placed.groupBy("contig", "island").applyInPandas(solve, f"contig {kind}, col int, row_from int, row_to int, weight long, flow double")
 
 
 def disjoint_paths(membership: DataFrame, flows: DataFrame) -> DataFrame:
-    """contig, path, col, cluster."""
+    """contig, path, col, cluster. Parts of the graph that no flow of LEAST_FLOW or more joins are peeled apart; paths are
+    numbered along the contig by these, and within one by their width."""
     kind = membership.schema["contig"].dataType.simpleString()
     nodes = numbered(membership).select("contig", "col", "cluster").distinct()
+    strong = flows.where(F.col("flow") >= kernels.LEAST_FLOW)
+    islands = kept(column_islands(strong, nodes))
 
     def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         flow = {(c, a, b): f for c, a, b, f in zip(right["col"], right["row_from"], right["row_to"], right["flow"], strict=True)}
         found = kernels.peel_paths(list(zip(left["col"], left["cluster"], strict=True)), flow)
-        rows = [(key[0], k, c, r) for k, path in enumerate(found) for c, r in path]
-        return pd.DataFrame(rows, columns=["contig", "path", "col", "cluster"])
+        rows = [(key[0], key[1], k, c, r) for k, path in enumerate(found) for c, r in path]
+        return pd.DataFrame(rows, columns=["contig", "island", "place", "col", "cluster"])
 
-    return nodes.groupBy("contig").cogroup(flows.groupBy("contig")).applyInPandas(solve, f"contig {kind}, path int, col int, cluster int")
+    left = nodes.join(islands, ["contig", "col"]).groupBy("contig", "island")
+    right = strong.join(islands.withColumnRenamed("island", "isle"), ["contig", "col"]).groupBy("contig", "isle")
+    found = kept(left.cogroup(right).applyInPandas(solve, f"contig {kind}, island int, place int, col int, cluster int"))
+    order = Window.partitionBy("contig").orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
+    before = found.groupBy("contig", "island").agg((F.max("place") + 1).alias("n")).select("contig", "island", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    return found.join(before, ["contig", "island"]).select("contig", (F.col("before") + F.col("place")).cast("int").alias("path"), "col", "cluster")
 
 
 def path_members(membership: DataFrame, paths: DataFrame) -> DataFrame:
@@ -162,7 +184,7 @@ def reassign_short(reads: DataFrame, placed: DataFrame, epsilon: float, width: i
     frags = frags_of(reads)
     touching = overlap_join(frags, ranges, ("first_site", "last_site"), ("l_site", "r_site"), ["contig"], width)
     ends = touching.where("first_site between l_site and r_site or last_site between l_site and r_site").select("contig", "frag_id", "part")
-    score = read_haplotype_distance_eps(reads, pileup(placed, "contig", "part"), ["contig"], "part", epsilon).join(ends, ["contig", "frag_id", "part"])
+    score = read_haplotype_distance_eps(reads, pileup(placed, "contig", "part"), ends, ["contig"], "part", epsilon)
     pair = score.withColumn("d", F.floor(F.round(F.round("diff", 6) * 10 + 1, 4))).withColumn("s", F.floor(F.round(F.round("same", 6) * 10 + 1, 4))).withColumn("ratio", F.col("d") / F.col("s"))
     best = pair.groupBy("contig", "frag_id").agg(F.min(F.struct("ratio", "d", "s")).alias("b"))
     return pair.join(best, ["contig", "frag_id"]).where("d = b.d and s = b.s").select("contig", "frag_id", "part")

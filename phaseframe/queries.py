@@ -13,6 +13,7 @@ from phaseframe.operators import filters as FL
 from phaseframe.operators import intervals as I
 from phaseframe.operators import parts as PT
 from phaseframe.operators import pileup as P
+from phaseframe.operators import ranks as R
 from phaseframe.operators import windows as W
 from phaseframe.plans import phasing
 from phaseframe.plans.storage import kept
@@ -709,7 +710,8 @@ def read_hap_distance(s, d):
 @query(_with(OBS_E, "pobs AS (SELECT *, CAST(frag_id % 3 AS INT) AS part FROM obs)", PILE, _TOPS, "g AS (SELECT DISTINCT contig, part FROM pile)") + "SELECT o.contig, o.frag_id, g.part, round(sum(CASE WHEN t.top IS NOT NULL AND round(coalesce(p.weight, 0), 9) = round(t.top, 9) THEN o.weight ELSE 0 END), 5) AS same, round(sum(CASE WHEN t.top IS NULL THEN 0.04 WHEN round(coalesce(p.weight, 0), 9) = round(t.top, 9) THEN 0 ELSE o.weight END), 5) AS diff FROM obs o JOIN g ON o.contig = g.contig LEFT JOIN ties t ON o.contig = t.contig AND g.part = t.part AND o.site = t.site LEFT JOIN pile p ON p.contig = t.contig AND p.part = t.part AND p.site = t.site AND p.allele = o.allele GROUP BY ALL")
 def read_hap_distance_eps(s, d):
     obs = B.parts_by_remainder(_e(s, d))
-    out = D.read_haplotype_distance_eps(obs.drop("part"), P.pileup(obs, "contig", "part"), ["contig"], "part", 0.04)
+    piled = P.pileup(obs, "contig", "part")
+    out = D.read_haplotype_distance_eps(obs.drop("part"), piled, D.all_pairs(obs, piled, ["contig"], "part"), ["contig"], "part", 0.04)
     return out.withColumns({c: F.round(c, 5) for c in ("same", "diff")})
 
 
@@ -875,10 +877,10 @@ def contig_headers(s, d):
     return rows.crossJoin(third).where("rn < third").select("value", F.lit(True).alias("early"))
 
 
-@query("SELECT 'c' || p_partkey || 'x' || p_size AS name, CAST(row_number() OVER (ORDER BY p_partkey, p_size) AS INT) AS place FROM part WHERE p_size <= 5")
+@query("SELECT 'c' || p_partkey || 'x' || p_size AS name, CAST(row_number() OVER (ORDER BY p_partkey, p_size) AS INT) AS place FROM part")
 def natural_order(s, d):
-    names = B.read(s, d, "part").where("p_size <= 5").select(F.concat(F.lit("c"), "p_partkey", F.lit("x"), "p_size").alias("name"))
-    return names.select("name", F.row_number().over(Window.orderBy(S.natural_order("name"))).alias("place"))
+    names = B.read(s, d, "part").select(F.concat(F.lit("c"), "p_partkey", F.lit("x"), "p_size").alias("name"))
+    return R.ranked(names, [], [S.natural_order("name")]).select("name", (F.col("rank") + 1).alias("place"))
 
 
 @query(_with(OBS_E, PART_W, PILE, BEST) + "SELECT contig, site, max(allele) FILTER (part // 10000 = 0) AS c0, max(allele) FILTER (part // 10000 = 1) AS c1, max(allele) FILTER (part // 10000 = 2) AS c2 FROM best GROUP BY ALL")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phaseframe.operators.ranks import ranked
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
@@ -23,7 +25,7 @@ def parse_vcf(rows: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
     found = rows.where("value not like '#%' and value <> ''").select("line_no", cells[0].alias("contig"), (cells[1].cast("long") - 1).alias("pos"), F.concat(F.array(cells[3]), F.split(cells[4], ",")).alias("alleles"))
     found = found if contigs is None else found.join(contigs.select("contig").distinct(), "contig", "left_semi")
     snps = found.where(F.forall("alleles", lambda a: a.rlike("^[ACGTacgt]$"))).withColumn("alleles", F.transform("alleles", F.upper))
-    return snps.select("contig", F.row_number().over(Window.partitionBy("contig").orderBy("line_no")).alias("site"), "pos", "alleles")
+    return ranked(snps, ["contig"], [F.asc("line_no")]).select("contig", (F.col("rank") + 1).alias("site"), "pos", "alleles")
 
 
 def site_positions(rows: DataFrame) -> DataFrame:

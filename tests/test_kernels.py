@@ -138,3 +138,84 @@ def test_equal_states_keep_the_better_one():
         ours = K.beam_search(reads, 2, 0.04, 40)
         cost = lambda c: sum(K.agreement(r, K.piles_of(reads[:k], list(c[:k]), 2)[c[k]], 0.04)[1] for k, r in enumerate(reads))
         assert cost(ours) <= min(cost(c) for c in itertools.product(range(2), repeat=8)) + 1.5
+
+
+def graph(seed, columns=12):
+    """Nodes (col, cluster) and weighted edges between neighbouring columns, with columns that nothing joins."""
+    rng = random.Random(seed)
+    nodes = [(c, r) for c in range(columns) for r in range(rng.randint(1, 3))]
+    edges = {(c, a, b): rng.randint(1, 9) for c, a in nodes for d, b in nodes if d == c + 1 and rng.random() < 0.5 and c % 4 != 3}
+    return nodes, edges
+
+
+def test_parts_of_the_graph_are_solved_apart(spark):
+    """Flows cost what those of the whole contig cost, paths are the same ones, and there are many groups."""
+    from phaseframe.plans import phasing
+
+    graphs = {f"c{k}": graph(k) for k in range(6)}
+    edges = spark.createDataFrame([(c, *e, w) for c, (_, own) in graphs.items() for e, w in own.items()], "contig string, col int, row_from int, row_to int, weight long")
+    found = {}
+    for r in phasing.flow_edges(edges).collect():
+        found.setdefault(r["contig"], {})[r["col"], r["row_from"], r["row_to"]] = r["flow"]
+    assert {c: set(own) for c, own in found.items()} == {c: set(own) for c, (_, own) in graphs.items() if own}
+    cost = lambda flows, own: sum(abs(flows[e] - w) for e, w in own.items())
+    for c, (_, own) in graphs.items():
+        if own:
+            assert cost(found[c], own) == cost(K.balance(own), own)
+    members = spark.createDataFrame([(c, 10 * col, r, 100 * col + r, col, col + 1) for c, (nodes, _) in graphs.items() for col, r in nodes], "contig string, block_id int, cluster int, frag_id long, l_site int, r_site int")
+    flows = spark.createDataFrame([(c, *e, f) for c, own in found.items() for e, f in own.items()], "contig string, col int, row_from int, row_to int, flow double")
+    paths = {}
+    for r in phasing.disjoint_paths(members, flows).orderBy("contig", "path", "col").collect():
+        paths.setdefault((r["contig"], r["path"]), []).append((r["col"], r["cluster"]))
+    for c, (nodes, _) in graphs.items():
+        ours = [p for (own, _), p in paths.items() if own == c]
+        assert sorted(ours) == sorted(K.peel_paths(nodes, found.get(c, {})))
+        assert [k for own, k in paths if own == c] == list(range(len(ours)))
+    islands = phasing.column_islands(flows, members.withColumnRenamed("block_id", "b").selectExpr("contig", "b div 10 AS col"))
+    assert islands.select("contig", "island").distinct().count() >= 3 * len(graphs)
+
+
+def test_ranks_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from phaseframe.operators.ranks import ranked
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 500), k) for k in range(3000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.createDataFrame(rows, "key string, x int, id long").repartition(5)
+        found = {r["id"]: r["rank"] for r in ranked(frame, ["key"], [F.desc("x"), F.asc("id")]).collect()}
+        whole = {r["id"]: r["rank"] for r in ranked(frame, [], [F.asc("x"), F.asc("id")]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = {}
+    for key in ("a", "b", None):
+        expected |= {r[2]: k for k, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2])))}
+    assert found == expected and whole == {r[2]: k for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[2])))}
+    assert ranked(frame.limit(0), ["key"], [F.asc("x")]).count() == 0
+
+
+def test_candidate_pairs_are_enough(spark):
+    """Distances of given pairs are those of all pairs."""
+    from pyspark.sql import functions as F
+
+    from phaseframe.operators.distances import all_pairs, read_haplotype_distance_eps
+    from phaseframe.operators.pileup import pileup
+
+    rng = random.Random(6)
+    obs = spark.createDataFrame([("c", f, s, rng.randint(0, 1), 0.5 + rng.random() / 2, f % 4) for f in range(30) for s in rng.sample(range(20), 6)], "contig string, frag_id long, site int, allele int, weight double, part int")
+    piled = pileup(obs, "contig", "part")
+    every = all_pairs(obs, piled, ["contig"], "part")
+    some = every.where((F.col("frag_id") + F.col("part")) % 3 == 0)
+    ours = lambda pairs: {(r["frag_id"], r["part"]): (round(r["same"], 6), round(r["diff"], 6)) for r in read_haplotype_distance_eps(obs.drop("part"), piled, pairs, ["contig"], "part", 0.04).collect()}
+    whole, part = ours(every), ours(some)
+    assert len(whole) == 120 and part == {k: v for k, v in whole.items() if sum(k) % 3 == 0}
+    piles = {p: K.piles_of([[(r["site"], r["allele"], r["weight"]) for r in obs.where(f"part = {p}").collect()]], [0], 1)[0] for p in range(4)}
+    for frag in (0, 7):
+        read = [(r["site"], r["allele"], r["weight"]) for r in obs.where(f"frag_id = {frag}").collect()]
+        for p in range(4):
+            same, diff = K.agreement(read, piles[p], 0.04)
+            assert whole[frag, p] == (round(same, 6), round(diff, 6))
