@@ -1,4 +1,5 @@
-"""Command line: `phase` takes alignments, variants and a reference to haplotypes; `vartig` pools each contig's reads."""
+"""Command line: `phase` takes alignments, variants and a reference to haplotypes, `vartig` pools each contig's reads, and
+`haplotag` and `split` write BAM files by what phase has found."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from phaseframe.operators import columns, combine, filters, parts, pileup, windo
 from phaseframe.operators.sequences import trim_offsets, trimmed
 from phaseframe.plans import phasing
 from phaseframe.plans.storage import kept
-from phaseframe.sources import bam, files, sinks
+from phaseframe.sources import bam, bamsource, files, sinks
 from phaseframe.sources.bindings import frags_of
 
 
@@ -37,6 +38,9 @@ class Options:
     output_reads: bool = False
     gzip_reads: bool = False
     extra_trimming: bool = False
+    hybrid: str | None = None
+    reassign_short: bool = False
+    bin_by_coverage: bool = False
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
@@ -72,16 +76,24 @@ def run(spark: SparkSession, alignment_path: str, vcf_path: str, fasta_path: str
     sites = kept(sites.join(wanted.select("contig"), "contig", "left_semi"))
     reference = kept(files.parse_fasta(files.lines(spark, fasta_path))) if fasta_path else None
     records = alignments(spark, alignment_path)
+    estimated = records
+    if options.hybrid:
+        records = records.unionByName(alignments(spark, options.hybrid))
     epsilon, length = options.epsilon, options.block_length
     if epsilon is None or length is None:
-        found = columns.estimate_from_alignments(records).first()
+        found = columns.estimate_from_alignments(estimated).first()
         epsilon = found["epsilon"] if epsilon is None else epsilon
         length = found["block_length"] if length is None else length
     obs, reads = observations(records, sites, options, reference)
+    short = None
+    if options.hybrid:
+        # pairs are the short reads, whichever file they come from
+        named = obs.join(reads.select("contig", "name", "is_paired"), ["contig", "name"])
+        obs, short = (kept(named.where(F.col("is_paired") == pairs).select(*obs.columns)) for pairs in (False, True))
     if options.ignore_monomorphic:
         obs = kept(pileup.remove_monomorphic(obs, epsilon))
     places = sites.select("contig", "site", "pos")
-    phased = kept(phasing.phase(obs, length, epsilon, options.ploidy, options.beam, options.sensitivity, options.density, options.stop_heuristic, places))
+    phased = kept(phasing.phase(obs, length, epsilon, options.ploidy, options.beam, options.sensitivity, options.density, options.stop_heuristic, places, short, options.reassign_short, options.bin_by_coverage))
     ranges, piled = kept(parts.part_ranges(phased, places)), kept(pileup.pileup(phased, "contig", "part"))
     vartigs = kept(sinks.vartigs(ranges, piled, length))
     lengths = reference.select("contig", "length") if reference is not None else sites.groupBy("contig").agg(F.max("pos").alias("length"))
@@ -90,10 +102,11 @@ def run(spark: SparkSession, alignment_path: str, vcf_path: str, fasta_path: str
     haplosets = frags_of(phased).join(name, ["contig", "frag_id"])
     write = lambda lines, what, **k: sinks.write_lines(lines, f"{out}/{what}", mode, **k)
     write(sinks.vartig_lines(vartigs), "vartigs", together="part")
-    write(sinks.vartig_info_lines(sinks.vartig_info(ranges, piled, places), ranges), "vartig_info")
-    write(sinks.haploset_lines(vartigs, haplosets), "haplosets")
+    write(sinks.vartig_info_lines(sinks.vartig_info(ranges, piled, places), ranges), "vartig_info", together="part")
+    write(sinks.haploset_lines(vartigs, haplosets), "haplosets", together="part")
     write(sinks.ploidy_lines(parts.contig_ploidy(ranges, piled, vartigs, counts)), "contig_ploidy")
-    without = reads.join(obs.select("contig", "name").distinct(), ["contig", "name"], "left_anti")
+    seen = obs.select("contig", "name") if short is None else obs.select("contig", "name").union(short.select("contig", "name"))
+    without = reads.join(seen.distinct(), ["contig", "name"], "left_anti")
     length_of = F.length(F.col("seqs")[0]) + F.length(F.col("seqs")[1])
     title = spark.createDataFrame([("", "READ_NAME\tREAD_LENGTH_IN_BASES")], "rn string, value string")
     write(title.union(without.select(F.col("name").alias("rn"), F.concat_ws("\t", "name", length_of.cast("string")).alias("value"))), "reads_without_sites")
@@ -124,6 +137,25 @@ def pooled(spark: SparkSession, alignment_path: str, vcf_path: str, out: str, mo
     return found
 
 
+def read_parts(spark: SparkSession, phased: str, least_hapq: int) -> DataFrame:
+    """contig, qname, part of the reads of phase's reports, parts from a confidence on."""
+    rows = spark.read.text(f"{phased}/haplosets").withColumn("line_no", F.monotonically_increasing_id())
+    below = files.carried(rows, F.when(F.col("value").startswith(">"), F.col("value")), "header").where("value not like '>%' and value <> ''")
+    number = lambda pattern: F.regexp_extract("header", pattern, 1).cast("int")
+    found = below.select("contig", F.split("value", "\t")[0].alias("qname"), number("HAP([0-9]+)").alias("part"), number("HAPQ:([0-9]+)").alias("hapq"))
+    return found.where(F.col("hapq") >= least_hapq).drop("hapq")
+
+
+def tag_or_split(spark: SparkSession, command: str, alignment_path: str, phased: str, out: str, least_hapq: int, mode: str) -> None:
+    """haplotag: all alignments, with the part of their read as HP tag; split: the alignments of parts, a folder for each."""
+    records = alignments(spark, alignment_path)
+    heads = bam.bam_contigs(spark, alignment_path) if alignment_path.endswith(".bam") else files.sam_contigs(files.lines(spark, alignment_path))
+    contigs = [(r["contig"], r["length"]) for r in heads.orderBy("ordinal").collect()]  # the header, which every file has
+    parts = read_parts(spark, phased, least_hapq)
+    made = bamsource.haplotagged(records, parts.withColumnRenamed("part", "hp")) if command == "haplotag" else bamsource.partitioned(records, parts)
+    bamsource.write_split(made, contigs, out, mode)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="phaseframe", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
@@ -146,6 +178,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--supplementary-distance", type=int, default=40_000)
     p.add_argument("--snp-count-filter", type=int, default=100)
     p.add_argument("-G", "--contigs", nargs="*", default=())
+    p.add_argument("-H", "--hybrid", help="alignments of short pairs, by which the reads are corrected")
+    p.add_argument("--reassign-short", action="store_true")
+    p.add_argument("--bin-by-cov", action="store_true")
+    for name in ("haplotag", "split"):
+        q = commands.add_parser(name)
+        q.add_argument("-b", "--alignments", required=True)
+        q.add_argument("-p", "--phased", required=True, help="the folder that phase has written")
+        q.add_argument("-o", "--out", required=True)
+        q.add_argument("--min-hapq", type=int, default=0)
+        q.add_argument("--overwrite", action="store_true")
     for flag in ("--no-stop-heuristic", "--ignore-monomorphic", "--output-reads", "--gzip-reads", "--extra-trimming"):
         p.add_argument(flag, action="store_true")
     return top
@@ -158,7 +200,10 @@ def main(arguments: list[str] | None = None) -> None:
     if a.command == "vartig":
         pooled(spark, a.alignments, a.vcf, a.out, mode)
         return
-    options = Options(a.epsilon, a.block_length, a.beam, a.ploidy, a.density, a.sensitivity, not a.no_stop_heuristic, a.ignore_monomorphic, not a.no_supplementary, a.supplementary_distance, a.mapq, a.snp_count_filter, tuple(a.contigs), a.output_reads, a.gzip_reads, a.extra_trimming)
+    if a.command in ("haplotag", "split"):
+        tag_or_split(spark, a.command, a.alignments, a.phased, a.out, a.min_hapq, mode)
+        return
+    options = Options(a.epsilon, a.block_length, a.beam, a.ploidy, a.density, a.sensitivity, not a.no_stop_heuristic, a.ignore_monomorphic, not a.no_supplementary, a.supplementary_distance, a.mapq, a.snp_count_filter, tuple(a.contigs), a.output_reads, a.gzip_reads, a.extra_trimming, a.hybrid, a.reassign_short, a.bin_by_cov)
     run(spark, a.alignments, a.vcf, a.reference, a.out, options, mode)
 
 

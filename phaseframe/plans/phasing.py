@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phaseframe.operators.distances import hybrid_correct, read_haplotype_distance_eps
 from phaseframe.operators.filters import filter_span
 from phaseframe.operators.intervals import overlap_join
-from phaseframe.operators.parts import block_edges, numbered
+from phaseframe.operators.parts import block_edges, numbered, part_ranges
+from phaseframe.operators.pileup import pileup
 from phaseframe.operators.windows import block_windows, fragment_order, split_gaps, split_gaps_within
 from phaseframe.plans import kernels
 from phaseframe.plans.storage import kept
@@ -148,17 +150,42 @@ def final_parts(obs: DataFrame, chosen: DataFrame, ranges: DataFrame) -> DataFra
     return reads.join(names, ["contig", "part", "piece"]).select("contig", "frag_id", F.col("index").alias("part"), "l_site", "r_site")
 
 
-def phase(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True, sites: DataFrame | None = None) -> DataFrame:
+def binned_paths(paths: DataFrame, flows: DataFrame, membership: DataFrame, sites: DataFrame, length: int) -> DataFrame:
+    """paths with those joined to one that follow each other and carry about the same flow."""
+    ends = path_ranges(membership, paths).join(sites.select("contig", F.col("site").alias("l_site"), F.col("pos").alias("l_base")), ["contig", "l_site"])
+    ends = ends.join(sites.select("contig", F.col("site").alias("r_site"), F.col("pos").alias("r_base")), ["contig", "r_site"])
+    bins = bin_parts(ends.withColumnRenamed("path", "part"), path_flow(paths, flows).select("contig", F.col("path").alias("part"), F.col("flow").alias("cov")), length)
+    return paths.join(bins.select("contig", F.col("part").alias("path"), "bin"), ["contig", "path"]).select("contig", F.col("bin").alias("path"), "col", "cluster")
+
+
+def corrected(obs: DataFrame, short: DataFrame) -> DataFrame:
+    """Observations of long reads with the alleles that short reads over them agree on."""
+    return obs.drop("allele").join(hybrid_correct(obs, short), ["contig", "frag_id", "site"]).select(*obs.columns)
+
+
+def phase(
+    obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True, sites: DataFrame | None = None, short: DataFrame | None = None, reassign: bool = False, binned: bool = False
+) -> DataFrame:
     """obs with the final part of each read, and the range of sites of that part (l_site, r_site).
 
-    What each step gives is kept, so that each is computed once.
+    short: observations of short reads, by which the others are corrected; with reassign each of them also joins the parts
+    that it fits best. binned: paths of about the same flow are joined. What each step gives is kept, so that each is
+    computed once.
     """
-    obs = kept(obs)
-    membership = kept(phase_blocks(obs, length, epsilon, most, beam, sensitivity, density, heuristic, sites))
+    obs = kept(obs if short is None else corrected(obs, short))
+    places = sites if sites is not None else sites_of(obs)
+    membership = kept(phase_blocks(obs, length, epsilon, most, beam, sensitivity, density, heuristic, places))
     flows = kept(flow_edges(block_edges(membership, obs)))
     paths = kept(disjoint_paths(membership, flows))
+    if binned:
+        paths = kept(binned_paths(paths, flows, membership, places, length))
     chosen = kept(assign_reads(obs, path_members(membership, paths), epsilon))
-    return obs.join(kept(final_parts(obs, chosen, path_ranges(membership, paths))), ["contig", "frag_id"])
+    placed = obs.join(kept(final_parts(obs, chosen, path_ranges(membership, paths))), ["contig", "frag_id"])
+    if short is None or not reassign:
+        return placed
+    placed = kept(placed)
+    more = reassign_short(short, placed, epsilon).join(placed.select("contig", "part", "l_site", "r_site").distinct(), ["contig", "part"])
+    return placed.unionByName(short.join(more, ["contig", "frag_id"]).select(*placed.columns))
 
 
 def bin_parts(ranges: DataFrame, coverage: DataFrame, length: int) -> DataFrame:
@@ -176,10 +203,6 @@ def bin_parts(ranges: DataFrame, coverage: DataFrame, length: int) -> DataFrame:
 
 def reassign_short(reads: DataFrame, placed: DataFrame, epsilon: float, width: int = 64) -> DataFrame:
     """contig, frag_id, part: each read goes to all parts that tie for the least diff / same among those it ends in."""
-    from phaseframe.operators.distances import read_haplotype_distance_eps
-    from phaseframe.operators.parts import part_ranges
-    from phaseframe.operators.pileup import pileup
-
     ranges = part_ranges(placed).select("contig", "part", "l_site", "r_site")
     frags = frags_of(reads)
     touching = overlap_join(frags, ranges, ("first_site", "last_site"), ("l_site", "r_site"), ["contig"], width)

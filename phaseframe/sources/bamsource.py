@@ -569,11 +569,18 @@ def write_split(alignments: DataFrame, contigs: list[tuple[str, int]], path: str
     ordered.select(*wanted).write.format("bam").mode("overwrite" if mode == "overwrite" else "append").option("contigs", json.dumps(contigs)).save(path)
 
 
+def _by_read(rows: DataFrame) -> list[str]:
+    """Reads are told apart by name, and by contig where the table has one."""
+    return [c for c in ("contig", "qname") if c in rows.columns]
+
+
 def haplotagged(alignments: DataFrame, tags: DataFrame) -> DataFrame:
-    """alignments with hp from tags(qname, hp), null where a read has none; of several tags the largest."""
-    return alignments.drop("hp").join(tags.groupBy("qname").agg(F.max("hp").cast("int").alias("hp")), "qname", "left")
+    """alignments with hp from tags(qname, hp, and contig if wanted), null where a read has none; of several tags the largest."""
+    keys = _by_read(tags)
+    return alignments.drop("hp").join(tags.groupBy(*keys).agg(F.max("hp").cast("int").alias("hp")), keys, "left")
 
 
 def partitioned(alignments: DataFrame, parts: DataFrame) -> DataFrame:
-    """Alignments of the reads in parts(qname, part), with their first part."""
-    return alignments.join(parts.groupBy("qname").agg(F.min("part").alias("part")), "qname")
+    """Alignments of the reads in parts(qname, part, and contig if wanted), with their first part."""
+    keys = _by_read(parts)
+    return alignments.join(parts.groupBy(*keys).agg(F.min("part").alias("part")), keys)

@@ -256,3 +256,50 @@ def test_headers_carry_over_stretches(spark, monkeypatch):
     rows = [">a x", "AC", "GT", "AA", "CC", "GG", "TT", ">b", ">c", "A", "C", "G", "T"]
     found = files.parse_fasta(spark.createDataFrame(list(enumerate(rows)), "line_no long, value string"))
     assert sorted((r["contig"], r["seq"]) for r in found.collect()) == [("a", "ACGTAACCGGTT"), ("c", "ACGT")]
+
+
+def test_hybrid_runs_and_bam_outputs(spark, inputs, tmp_path):
+    """Long reads with many errors are corrected by short pairs, which join the parts; tags and splits say the same."""
+    from phaseframe.sources import bamsource
+
+    folder, reference, sites, _ = inputs
+    rng = random.Random(11)
+    other = {(c, p - 1): b for c, p, _, b in sites}
+    strains = {c: [{p for (d, p) in other if d == c and rng.random() < 0.5} for _ in range(2)] for c, _ in CONTIGS}
+
+    def text(contig, start, size, strain, wrong):
+        bases = [other[contig, p] if p in strains[contig][strain] else reference[contig][p] for p in range(start, start + size)]
+        return "".join(rng.choice("ACGT") if rng.random() < wrong else b for b in bases)
+
+    long_rows, short_rows = [], []
+    for contig, length in CONTIGS:
+        for k in range(60):
+            start = rng.randrange(length - 700)
+            long_rows.append((contig, f"{contig}s{k % 2}_L{k}", 0, 60, start, [(700, "M")], text(contig, start, 700, k % 2, 0.12), [12] * 700))
+        for k in range(length // 10):
+            start = rng.randrange(length - 420)
+            for flags, at in ((99, start), (147, start + 240)):
+                short_rows.append((contig, f"{contig}s{k % 2}_S{k}", flags, 60, at, [(160, "M")], text(contig, at, 160, k % 2, 0.0), [38] * 160))
+    (tmp_path / "long.sam").write_text("\n".join(sam_lines(long_rows)) + "\n")
+    (tmp_path / "short.sam").write_text("\n".join(sam_lines(short_rows)) + "\n")
+    out = str(tmp_path / "out")
+    cli.main(["phase", "-b", str(tmp_path / "long.sam"), "-H", str(tmp_path / "short.sam"), "-v", str(folder / "sites.vcf"), "-o", out, "-e", "0.03", "-l", "1500", "--reassign-short", "--bin-by-cov"])
+    parts = {}
+    for r in cli.read_parts(spark, out, 0).collect():
+        parts.setdefault((r["contig"], r["part"]), set()).add(r["qname"])
+    long_names = [n for own in parts.values() for n in own if "_L" in n]
+    assert sorted(long_names) == sorted(r[1] for r in long_rows)
+    pure = sum(max(sum("s0_" in n for n in own), sum("s1_" in n for n in own)) for own in parts.values())
+    total = sum(map(len, parts.values()))
+    assert pure > 0.95 * total and total > 0.8 * len(short_rows) / 2
+    cli.main(["haplotag", "-b", str(tmp_path / "long.sam"), "-p", out, "-o", str(tmp_path / "tagged")])
+    tagged = bamsource.read_split(spark, str(tmp_path / "tagged")).collect()
+    assert len(tagged) == len(long_rows)
+    assert all(r["qname"] in parts[r["contig"], r["hp"]] for r in tagged)
+    assert [c for c, _ in bamsource.header(bamsource.Stream(bamsource.Members(bamsource.bam_files(str(tmp_path / "tagged"))[0][0])))] == [c for c, _ in CONTIGS]
+    cli.main(["split", "-b", str(tmp_path / "long.sam"), "-p", out, "-o", str(tmp_path / "split"), "--min-hapq", "1"])
+    names = [p.name for p in (tmp_path / "split").iterdir()]
+    assert names and all(n.startswith("part=") for n in names)
+    for name in names:
+        own = {(r["contig"], r["qname"]) for r in bamsource.read_split(spark, str(tmp_path / "split" / name)).collect()}
+        assert own <= {(c, n) for (c, p), reads in parts.items() if p == int(name[5:]) for n in reads} and own
