@@ -32,3 +32,43 @@ def test_streamed_pileups(spark, tmp_path):
     closed = whole.where(F.col("at") < F.lit(start + datetime.timedelta(minutes=100)))
     total = found.agg(F.sum("n")).first()[0]
     assert total == closed.count() - 1 and found.where("n < 1").count() == 0
+
+
+def test_additions_and_removals(spark, tmp_path):
+    """After any batches, the last state of each allele is the pileup of what is left; what has gone is reported once, with 0."""
+    import random
+
+    from phaseframe.streaming.pileup import changing_pileup
+
+    rng = random.Random(4)
+    schema = "contig string, site int, allele int, weight double, added boolean"
+    live, batches = [], []
+    for k in range(6):
+        batch = []
+        for _ in range(60):
+            if live and rng.random() < (0.8 if k > 3 else 0.3):
+                batch.append((*live.pop(rng.randrange(len(live))), False))
+            else:
+                own = (rng.choice("ab"), rng.randrange(6), rng.randrange(3), round(0.5 + rng.random() / 2, 3))
+                live.append(own)
+                batch.append((*own, True))
+        batches.append(batch)
+    batches[-1] += [("z", 1, 0, 0.7, True), ("z", 1, 0, 0.7, False), ("never", 1, 1, 0.5, False)]
+    folder = str(tmp_path / "in")
+    seen: dict = {}
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+
+        def note(frame, _):
+            for r in frame.collect():
+                seen[r["contig"], r["site"], r["allele"]] = (round(r["weight"], 6), r["n"])
+
+        stream = changing_pileup(spark.readStream.schema(schema).parquet(folder), "contig")
+        query = stream.writeStream.foreachBatch(note).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    expected: dict = {}
+    for contig, site, allele, weight in live:
+        w, n = expected.get((contig, site, allele), (0, 0))
+        expected[contig, site, allele] = (w + weight, n + 1)
+    assert {k: v for k, v in seen.items() if v[1]} == {k: (round(w, 6), n) for k, (w, n) in expected.items()}
+    assert seen["z", 1, 0] == (0.0, 0) and not any(k[0] == "never" for k in seen) and any(v == (0.0, 0) for k, v in seen.items() if k[0] != "z")
