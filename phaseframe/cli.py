@@ -56,7 +56,7 @@ def observations(records: DataFrame, sites: DataFrame, options: Options, referen
     calls = files.allele_calls(good, sites, "piece", "seq")
     if reference is not None:
         placed = calls.join(sites, ["contig", "site"]).withColumnRenamed("read_pos", "seq_pos")
-        calls = phasing.realign(placed, reference.select("contig", F.col("seq").alias("ref"))).withColumnRenamed("seq_pos", "read_pos").drop("alleles", "pos")
+        calls = phasing.realign(placed, reference).withColumnRenamed("seq_pos", "read_pos").drop("alleles", "pos")
     obs = kept(calls.select("contig", F.col("qname").alias("name"), "piece", "site", "allele", F.col("qual").cast("int").alias("qual"), F.col("read_pos").alias("seq_pos")).dropDuplicates(["contig", "name", "piece", "site"]))
     at = sites.select("contig", "site", "pos")
     span = obs.join(at, ["contig", "site"]).groupBy("contig", "name", "piece").agg(F.min("site").alias("first_site"), F.max("site").alias("last_site"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
@@ -74,7 +74,7 @@ def run(spark: SparkSession, alignment_path: str, vcf_path: str, fasta_path: str
     sites = kept(files.parse_vcf(files.lines(spark, vcf_path)))
     wanted = filters.filter_contigs(sites, options.least_sites, list(options.contigs) or None)
     sites = kept(sites.join(wanted.select("contig"), "contig", "left_semi"))
-    reference = kept(files.parse_fasta(files.lines(spark, fasta_path))) if fasta_path else None
+    reference = kept(files.fasta_chunks(files.lines(spark, fasta_path))) if fasta_path else None
     records = alignments(spark, alignment_path)
     estimated = records
     if options.hybrid:
@@ -96,7 +96,7 @@ def run(spark: SparkSession, alignment_path: str, vcf_path: str, fasta_path: str
     phased = kept(phasing.phase(obs, length, epsilon, options.ploidy, options.beam, options.sensitivity, options.density, options.stop_heuristic, places, short, options.reassign_short, options.bin_by_coverage))
     ranges, piled = kept(parts.part_ranges(phased, places)), kept(pileup.pileup(phased, "contig", "part"))
     vartigs = kept(sinks.vartigs(ranges, piled, length))
-    lengths = reference.select("contig", "length") if reference is not None else sites.groupBy("contig").agg(F.max("pos").alias("length"))
+    lengths = reference.groupBy("contig").agg(F.sum(F.length("seq")).alias("length")) if reference is not None else sites.groupBy("contig").agg(F.max("pos").alias("length"))
     counts = sites.groupBy("contig").agg(F.count("*").alias("n_sites")).join(lengths, "contig")
     name = phased.select("contig", "part", "frag_id", "name").distinct()
     haplosets = frags_of(phased).join(name, ["contig", "frag_id"])
@@ -132,8 +132,12 @@ def pooled(spark: SparkSession, alignment_path: str, vcf_path: str, out: str, mo
     """One allele string for all reads of each contig."""
     sites = kept(files.parse_vcf(files.lines(spark, vcf_path)))
     obs, _ = observations(alignments(spark, alignment_path), sites, Options(mapq=30, supplementary_distance=10**10))
-    found = kept(pileup.allele_string(pileup.consensus(pileup.pileup(obs, "contig"), "contig"), "contig"))
-    sinks.write_lines(found.select("contig", F.lit(0).alias("rn"), F.concat(F.lit(">"), "contig", F.format_string("\tSNPRANGE:%d-%d\n", "l_site", "r_site"), "alleles").alias("value")), f"{out}/vartig", mode)
+    whole = kept(obs.withColumn("part", F.lit(0)))
+    ranges = parts.part_ranges(whole)
+    # counts decide, not qualities
+    text = pileup.allele_string(pileup.consensus(pileup.pileup(whole, "contig", "part"), "contig", "part", by="n"), "contig", "part")
+    found = kept(text.join(ranges.select("contig", "part", (F.col("l_base") + 1).alias("l_base"), (F.col("r_base") + 1).alias("r_base")), ["contig", "part"]))
+    sinks.write_lines(sinks.pooled_lines(found), f"{out}/vartig", mode)
     return found
 
 

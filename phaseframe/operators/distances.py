@@ -48,13 +48,28 @@ def read_haplotype_distance_eps(obs: DataFrame, piled: DataFrame, pairs: DataFra
     return rows.groupBy(*scope, "frag_id", group).agg(same.alias("same"), diff.alias("diff"))
 
 
-def read_read_distance(obs: DataFrame, scope: list[str]) -> DataFrame:
-    """same and diff of each two reads with a common site; a site's product of weights is rounded."""
-    a = obs.select(*scope, "frag_id", "site", "allele", "weight")
-    b = obs.select(*scope, F.col("frag_id").alias("other"), "site", F.col("allele").alias("b"), F.col("weight").alias("v"))
-    value = F.round(F.col("weight") * F.col("v")).cast("long")
-    rows = a.join(b, [*scope, "site"]).where("frag_id < other")
-    return rows.groupBy(*scope, "frag_id", "other").agg(F.sum(F.when(F.col("allele") == F.col("b"), value).otherwise(0)).alias("same"), F.sum(F.when(F.col("allele") != F.col("b"), value).otherwise(0)).alias("diff"))
+def packed_bins(obs: DataFrame, scope: list[str], width: int) -> DataFrame:
+    """scope, frag_id, bin, o: a read's observations (allele, weight) at each of the `width` sites of a bin, null where it has none."""
+    at = F.pmod("site", F.lit(width)).cast("int")
+    own = obs.groupBy(*scope, "frag_id", F.floor(F.col("site") / width).alias("bin")).agg(F.map_from_entries(F.collect_list(F.struct(at, F.struct("allele", "weight")))).alias("m"))
+    return own.select(*scope, "frag_id", "bin", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.col("m")[k]).alias("o"))
+
+
+def read_read_distance(obs: DataFrame, scope: list[str], width: int = 16) -> DataFrame:
+    """same and diff of each two reads with a common site; a site's product of weights is rounded.
+
+    Reads are arrays over bins of sites, and a pair's arrays are merged in place, so a pair costs a row for each bin that
+    both touch, not for each common site.
+    """
+    a = packed_bins(obs, scope, width)
+    b = a.select(*scope, F.col("frag_id").alias("other"), "bin", F.col("o").alias("p"))
+    value = lambda x, y: F.round(x["weight"] * y["weight"]).cast("long")
+    signed = F.zip_with("o", "p", lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.when(x["allele"] == y["allele"], value(x, y)).otherwise(-value(x, y) - 1)))
+    # products from 0 on agree, those from -1 down (less one) differ
+    met = a.join(b, [*scope, "bin"]).where("frag_id < other").select(*scope, "frag_id", "other", F.filter(signed, lambda v: v.isNotNull()).alias("v")).where("size(v) > 0")
+    total = lambda part: F.aggregate("v", F.lit(0).cast("long"), lambda s, v: s + part(v))
+    sums = met.select(*scope, "frag_id", "other", total(lambda v: F.greatest(v, F.lit(0))).alias("same"), total(lambda v: F.greatest(-v - 1, F.lit(0))).alias("diff"))
+    return sums.groupBy(*scope, "frag_id", "other").agg(F.sum("same").alias("same"), F.sum("diff").alias("diff"))
 
 
 def hybrid_correct(long_reads: DataFrame, short_reads: DataFrame) -> DataFrame:

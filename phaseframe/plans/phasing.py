@@ -12,6 +12,7 @@ from phaseframe.operators.filters import filter_span
 from phaseframe.operators.intervals import overlap_join
 from phaseframe.operators.parts import block_edges, numbered, part_ranges
 from phaseframe.operators.pileup import pileup
+from phaseframe.operators.sequences import CHUNK, with_margins
 from phaseframe.operators.windows import block_windows, fragment_order, split_gaps, split_gaps_within
 from phaseframe.plans import kernels
 from phaseframe.plans.storage import kept
@@ -213,14 +214,15 @@ def reassign_short(reads: DataFrame, placed: DataFrame, epsilon: float, width: i
     return pair.join(best, ["contig", "frag_id"]).where("d = b.d and s = b.s").select("contig", "frag_id", "part")
 
 
-def realign(calls: DataFrame, reference: DataFrame, flank: int = 16) -> DataFrame:
+def realign(calls: DataFrame, chunks: DataFrame, flank: int = 16, size: int = CHUNK) -> DataFrame:
     """calls with the allele whose base, put into the reference around the site, aligns best with the read there.
 
-    calls: contig, pos (from 0), seq_pos (from 0), seq, alleles (array), allele and others; reference: contig, ref. The
-    first of the best alleles counts. Calls nearer than `flank` to an end of the read or the reference stay as they are.
+    calls: contig, pos (from 0), seq_pos (from 0), seq, alleles (array), allele and others; chunks: contig, chunk, seq of the
+    reference, as sequences.chunked gives it, so calls of a contig meet it chunk by chunk. The first of the best alleles
+    counts. Calls nearer than `flank` to an end of the read or the reference stay as they are.
     """
     window = lambda text, at: F.substring(F.col(text), (F.col(at) - flank + 1).cast("int"), F.lit(2 * flank))
-    inside = (F.col("pos") >= flank) & (F.col("pos") + flank < F.length("ref")) & (F.col("seq_pos") >= flank) & (F.col("seq_pos") + flank < F.length("seq"))
+    inside = (F.col("local") >= flank) & (F.col("local") + flank < F.length("ref")) & (F.col("seq_pos") >= flank) & (F.col("seq_pos") + flank < F.length("seq"))
 
     @F.pandas_udf("int")
     def best(read: pd.Series, target: pd.Series, alleles: pd.Series, allele: pd.Series) -> pd.Series:
@@ -242,5 +244,7 @@ def realign(calls: DataFrame, reference: DataFrame, flank: int = 16) -> DataFram
         out[own] = top
         return pd.Series(out)
 
-    near = calls.join(reference, "contig").withColumn("read_window", F.when(inside, F.upper(window("seq", "seq_pos")))).withColumn("ref_window", F.when(inside, F.upper(window("ref", "pos"))))
+    reference = with_margins(chunks, flank, flank + 1).withColumnRenamed("seq", "ref")
+    met = calls.withColumn("chunk", F.floor(F.col("pos") / size)).join(reference, ["contig", "chunk"], "left")
+    near = met.withColumn("local", F.col("pos") - F.col("chunk") * size + F.col("ahead")).withColumn("read_window", F.when(inside, F.upper(window("seq", "seq_pos")))).withColumn("ref_window", F.when(inside, F.upper(window("ref", "local"))))
     return near.withColumn("allele", best("read_window", "ref_window", "alleles", "allele")).select(*calls.columns)

@@ -14,6 +14,7 @@ from phaseframe.operators import intervals as I
 from phaseframe.operators import parts as PT
 from phaseframe.operators import pileup as P
 from phaseframe.operators import ranks as R
+from phaseframe.operators import sequences as SQ
 from phaseframe.operators import windows as W
 from phaseframe.plans import phasing
 from phaseframe.plans.storage import kept
@@ -105,7 +106,8 @@ def _sam(spark: SparkSession, sf_dir: str) -> DataFrame:
     cigar = F.when(k % 3 == 0, "2S3M1D2M1I2M").when(k % 3 == 1, "10M").otherwise("4M2N6M")
     flags = F.when(k % 13 == 0, 1024).when(k % 10 == 0, 2048).when(k % 9 == 0, 256).otherwise(16 * (k % 2))
     row = F.concat_ws("\t", F.concat(F.lit("r"), k), flags.cast("string"), F.concat(F.lit("c"), k % 3), (k * 3 + 1).cast("string"), (k % 61).cast("string"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("ACGTACGTAC"), F.lit("ABCDEFGHIJ"))
-    heads = spark.createDataFrame([(-3 + i, f"@SQ\tSN:c{i}\tLN:{1000 * (i + 1)}") for i in range(3)], "line_no long, value string")
+    ends = p.groupBy((k % 3).alias("c")).agg((F.max("p_partkey") * 3 + 100).alias("n"))
+    heads = ends.select((F.col("c") - 3).alias("line_no"), F.concat(F.lit("@SQ\tSN:c"), "c", F.lit("\tLN:"), "n").alias("value"))
     return p.select(k.alias("line_no"), row.alias("value")).union(heads)
 
 
@@ -148,7 +150,7 @@ def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("qual", F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: (i % 40).cast("int")))
 
 
-@query("SELECT 'c' || i AS contig, CAST(1000 * (i + 1) AS BIGINT) AS length, CAST(i AS INT) AS ordinal FROM range(3) t(i)")
+@query("SELECT 'c' || (p_partkey % 3) AS contig, CAST(max(p_partkey) * 3 + 100 AS BIGINT) AS length, CAST(p_partkey % 3 AS INT) AS ordinal FROM part GROUP BY p_partkey % 3")
 def scan_contigs(s, d):
     return S.sam_contigs(_sam(s, d))
 
@@ -285,6 +287,18 @@ def alignment_vartig(s, d):
     return P.allele_string(P.consensus(P.pileup(_l(s, d), "contig"), "contig"), "contig")
 
 
+@query(
+    _with(OBS_E, "pobs AS (SELECT *, 0 AS part FROM obs)", PILE, "best AS (SELECT * FROM pile QUALIFY row_number() OVER (PARTITION BY contig, part, site ORDER BY n DESC, allele) = 1)", _STRING, RANGES)
+    + "SELECT contig, '>HAP0.out' || chr(9) || 'CONTIG:' || contig || chr(9) || 'SNPRANGE:' || s.l_site || '-' || s.r_site || chr(9) || 'BASERANGE:' || (l_base + 1) || '-' || (r_base + 1) || chr(10) || alleles AS value FROM strings s JOIN ranges USING (contig, part)"
+)
+def alignment_vartig_lines(s, d):
+    """All reads of a contig as one part: by counts, with the header that other reports have."""
+    whole = _e(s, d).withColumn("part", F.lit(0))
+    text = P.allele_string(P.consensus(P.pileup(whole, "contig", "part"), "contig", "part", by="n"), "contig", "part")
+    found = text.join(PT.part_ranges(whole).select("contig", "part", (F.col("l_base") + 1).alias("l_base"), (F.col("r_base") + 1).alias("r_base")), ["contig", "part"])
+    return K.pooled_lines(found).select("contig", "value")
+
+
 @query(
     _with(OBS_E, PART_W, PILE, BEST, _STRING, RANGES, STATS, OVER, DIST, HAPQ)
     + "SELECT contig, part, s.l_site, s.r_site, l_base + 1 AS l_base, r_base + 1 AS r_base, round(cov, 3) AS cov, round(err, 4) AS err, hapq, round(rel_err, 3) AS rel_err, alleles FROM strings s JOIN ranges USING (contig, part) JOIN stats USING (contig, part) JOIN hq USING (contig, part)"
@@ -900,6 +914,19 @@ def swap_alleles(s, d):
     return swap(reference, best.join(ordinal, ["contig", "site"]).select("contig", "at", "base"))
 
 
+@query("SELECT 'c' || (p_size % 3) AS contig, string_agg(CASE WHEN p_partkey % 4 = 0 THEN 'NNN' || substr(p_brand, 4) ELSE p_brand END, '' ORDER BY p_partkey) AS seq FROM part GROUP BY ALL")
+def swap_in_chunks(s, d):
+    """Names of brands as the lines of three contigs, in chunks of 50 letters; the first three letters of every fourth part
+    are replaced."""
+    p = B.read(s, d, "part").select("p_partkey", (F.col("p_size") % 3).alias("c"), "p_brand")
+    lines = p.select((F.col("c") * 100_000_000 + F.col("p_partkey") + 1).alias("line_no"), F.col("p_brand").alias("value"))
+    heads = p.select((F.col("c") * 100_000_000).alias("line_no"), F.concat(F.lit(">c"), F.col("c"), F.lit(" x")).alias("value")).distinct()
+    before = Window.partitionBy("c").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, -1)
+    starts = p.withColumn("start", F.coalesce(F.sum(F.length("p_brand")).over(before), F.lit(0))).where("p_partkey % 4 = 0")
+    alleles = starts.select(F.concat(F.lit("c"), "c").alias("contig"), F.explode(F.sequence("start", F.col("start") + 2)).alias("at"), F.lit(None).cast("string").alias("base"))
+    return SQ.joined(SQ.swap_in_chunks(S.fasta_chunks(lines.union(heads), 50), alleles, 50))
+
+
 _TRIMS = """len AS (SELECT contig, frag_id, max(pos) - min(pos) + 41 AS length, min(pos) AS start FROM obs GROUP BY ALL), w AS (SELECT contig, part, l_site + 2 AS l_site, r_site - 2 AS r_site FROM ranges), so AS (SELECT p.contig, p.part, p.frag_id, p.site, p.pos - start + 20 AS q, length, l_site, r_site FROM pobs p JOIN len USING (contig, frag_id) JOIN w ON w.contig = p.contig AND w.part = p.part),
  e AS (SELECT contig, part, frag_id, min(site) AS f, max(site) AS z, any_value(l_site) AS l, any_value(r_site) AS r, any_value(length) AS length, arg_min(q, site) FILTER (site >= l_site) AS a, arg_max(q, site) FILTER (site <= r_site) AS b FROM so GROUP BY ALL),
  tr AS (SELECT contig, part, frag_id, CAST(CASE WHEN f > l THEN 0 ELSE greatest(0, a - 25) END AS BIGINT) AS "left", CAST(CASE WHEN z < r THEN length - 1 ELSE least(length - 1, b + 25) END AS BIGINT) AS "right" FROM e WHERE f <= r AND z >= l)"""
@@ -1039,7 +1066,7 @@ def realign_alleles(s, d):
     bases = F.array_join(letters(48, lambda i: F.substring(F.lit("ACGT"), (F.pmod(F.hash(i, k), F.lit(4)) + 1).cast("int"), F.lit(1))), "")
     rows = B.read(s, d, "part").select(k.alias("id"), F.concat(F.lit("c"), k).alias("contig"), bases.alias("ref"))
     calls = rows.select("id", "contig", F.lit(20).cast("long").alias("pos"), F.lit(20).cast("long").alias("seq_pos"), F.expr("CASE id % 3 WHEN 0 THEN concat(substr(ref, 1, 12), substr(ref, 14)) WHEN 1 THEN concat(substr(ref, 1, 30), 'A', substr(ref, 31)) ELSE ref END").alias("seq"), F.array(F.lit("A"), F.lit("C"), F.lit("G"), F.lit("T")).alias("alleles"), F.lit(0).alias("allele"))
-    return phasing.realign(calls, rows.select("contig", "ref")).select("id", "allele")
+    return phasing.realign(calls, SQ.chunked(rows.select("contig", F.col("ref").alias("seq")))).select("id", "allele")
 
 
 @query()

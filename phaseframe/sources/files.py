@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phaseframe.operators.ranks import ranked
+from phaseframe.operators.sequences import CHUNK, joined
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +75,22 @@ def parse_sam(rows: DataFrame) -> DataFrame:
 
 def parse_fasta(rows: DataFrame) -> DataFrame:
     """contig, seq, length; headers are carried down to the lines that follow."""
+    return joined(fasta_chunks(rows)).withColumn("length", F.length("seq").cast("long"))
+
+
+def fasta_chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
+    """contig, chunk, seq: the sequences in chunks of `size` bases. Where a line begins in its contig is summed up within
+    stretches of lines, then over the stretches."""
     marked = carried(rows, F.when(F.col("value").startswith(">"), F.regexp_extract("value", "^>(\\S+)", 1)), "contig")
-    body = marked.where("value not like '>%'").groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "").alias("seq"))
-    return body.withColumn("length", F.length("seq").cast("long"))
+    body = marked.where("value not like '>%' and value <> ''").select("contig", "line_no", "value", F.floor(F.col("line_no") / STRETCH).alias("stretch"), F.length("value").cast("long").alias("n"))
+    before = lambda keys, order, what: F.coalesce(F.sum(what).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = body.groupBy("contig", "stretch").agg(F.sum("n").alias("total")).select("contig", "stretch", before(["contig"], "stretch", "total").alias("ahead"))
+    placed = body.withColumn("inside", before(["contig", "stretch"], "line_no", "n")).join(totals, ["contig", "stretch"]).withColumn("at", F.col("ahead") + F.col("inside"))
+    cut = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size))))
+    low, high = F.greatest("at", F.col("chunk") * size), F.least(F.col("at") + F.col("n"), (F.col("chunk") + 1) * size)
+    pieces = cut.select("contig", "chunk", "at", F.substring("value", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("piece"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "piece")))
+    return pieces.groupBy("contig", "chunk").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("seq"))
 
 
 def parse_fragments(rows: DataFrame) -> DataFrame:

@@ -74,6 +74,12 @@ def vartig_lines(found: DataFrame, folder: str = "out") -> DataFrame:
     return _ordered(found.select("contig", "part", _lines(header(folder), F.col("alleles"))), "part", "k")
 
 
+def pooled_lines(found: DataFrame, folder: str = "out") -> DataFrame:
+    """contig, rn, value: title and allele string of all reads of each contig, both in one value."""
+    title = F.format_string(">HAP0.%s\tCONTIG:%s\tSNPRANGE:%s-%s\tBASERANGE:%s-%s\n", F.lit(folder), F.col("contig").cast("string"), *[F.col(c).cast("string") for c in ("l_site", "r_site", "l_base", "r_base")])
+    return found.select("contig", F.lit(0).alias("rn"), F.concat(title, "alleles").alias("value"))
+
+
 def vartig_info_lines(info: DataFrame, ranges: DataFrame, folder: str = "out") -> DataFrame:
     """contig, rn, value: a title for each part, then site:pos, consensus and counts of each site."""
     title = F.format_string(">HAP%s.%s\tSNPRANGE:%s-%s", F.col("part").cast("string"), F.lit(folder), F.col("l_site").cast("string"), F.col("r_site").cast("string"))

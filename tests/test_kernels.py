@@ -219,3 +219,62 @@ def test_candidate_pairs_are_enough(spark):
         for p in range(4):
             same, diff = K.agreement(read, piles[p], 0.04)
             assert whole[frag, p] == (round(same, 6), round(diff, 6))
+
+
+def test_sequences_in_chunks(spark):
+    """Chunks, margins and swapped bases are those of whole strings, whatever the size of a chunk."""
+    from phaseframe.operators import sequences as S
+
+    rng = random.Random(8)
+    whole = {f"c{k}": "".join(rng.choice("ACGT") for _ in range(n)) for k, n in enumerate((1, 7, 20, 21, 200))}
+    reference = spark.createDataFrame(list(whole.items()), "contig string, seq string")
+    alleles = [(c, rng.randrange(len(t) + 3), rng.choice(["a", "g", None])) for c, t in whole.items() for _ in range(len(t) // 2)]
+    one = {}
+    for c, at, base in alleles:
+        one[c, at] = min(one.get((c, at), "~"), base or "N")
+    expected = {c: "".join(one.get((c, k), x) for k, x in enumerate(t)) for c, t in whole.items()}
+    frame = spark.createDataFrame(alleles, "contig string, at long, base string")
+    for size in (7, 20, 1 << 14):
+        assert {r["contig"]: r["seq"] for r in S.swap_alleles(reference, frame, size).collect()} == expected
+        for r in S.with_margins(S.chunked(reference, size), 3, 4).collect():
+            text, start = whole[r["contig"]], r["chunk"] * size
+            assert r["ahead"] == min(3, start) and r["seq"] == text[start - r["ahead"] : start + size + 4]
+    assert S.swap_alleles(reference, frame.limit(0)).count() == len(whole)
+
+
+def test_realigning_over_chunks(spark):
+    from phaseframe.operators import sequences as S
+    from phaseframe.plans.phasing import realign
+
+    rng = random.Random(10)
+    ref = "".join(rng.choice("ACGT") for _ in range(400))
+    rows = [(k, "c", k, rng.randrange(40), "".join(rng.choice("ACGT") for _ in range(60)), ["A", "C", "G", "T"], 0) for k in range(0, 400, 3)] + [(999, "none", 50, 30, "A" * 60, ["A", "C"], 1)]
+    calls = spark.createDataFrame(rows, "id int, contig string, pos long, seq_pos long, seq string, alleles array<string>, allele int")
+    reference = spark.createDataFrame([("c", ref)], "contig string, seq string")
+    found = [{r["id"]: r["allele"] for r in realign(calls, S.chunked(reference, size), size=size).collect()} for size in (40, 97, 1 << 14)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows) and found[0][999] == 1
+    for k, _, pos, at, seq, alleles, own in rows[:40]:
+        if pos >= 16 and pos + 16 < 400 and at >= 16 and at + 16 < 60:
+            scores = [affine(seq[at - 16 : at + 16], ref[pos - 16 : pos] + a + ref[pos + 1 : pos + 16]) for a in alleles]
+            assert found[0][k] == scores.index(max(scores))
+        else:
+            assert found[0][k] == own
+
+
+def test_packed_pairs_of_reads(spark):
+    """Pairs that meet over any number of bins have the sums over all their common sites."""
+    from phaseframe.operators.distances import read_read_distance
+
+    rng = random.Random(12)
+    rows = [("c", f, s, rng.randint(0, 2), round(rng.random(), 3)) for f in range(25) for s in sorted(rng.sample(range(1, 60), rng.randint(1, 40)))] + [("d", 3, 5, 0, 1.0), ("d", 4, 5, 0, 0.9), ("d", 5, 6, 0, 0.9)]
+    expected = {}
+    for c, f, s, a, w in rows:
+        for d, g, t, b, v in rows:
+            if c == d and s == t and f < g:
+                same, diff = expected.get((c, f, g), (0, 0))
+                value = int(w * v + 0.5)
+                expected[c, f, g] = (same + value * (a == b), diff + value * (a != b))
+    obs = spark.createDataFrame(rows, "contig string, frag_id long, site int, allele int, weight double")
+    for width in (1, 7, 64):
+        found = {(r["contig"], r["frag_id"], r["other"]): (r["same"], r["diff"]) for r in read_read_distance(obs, ["contig"], width).collect()}
+        assert found == expected
