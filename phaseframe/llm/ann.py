@@ -148,17 +148,21 @@ def _measured_probes(members: DataFrame, ask: DataFrame, hashes: Hashes, k: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, names = shared.value
+        # the k best so far of each query: a task sends them once, whatever the number of its batches
+        score, ids, raw = np.zeros((len(own), 0)), np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0), object)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            score = own @ _units(_matrix(batch.column("raw").to_pylist(), dtype)).T
-            score[np.array(names)[:, None] == ids[None, :]] = -np.inf
-            top = np.argsort(-score, 1, kind="stable")[:, :k]
-            at, best = np.repeat(np.arange(len(own)), top.shape[1]), top.ravel()
-            fine = np.isfinite(score[at, best])
-            at, best = at[fine], best[fine]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids[best]), pa.array(score[at, best]), batch.column("raw").take(pa.array(best))], names=["query_id", "vec_id", "score", "raw"])
+            more_ids = batch.column("id").to_numpy(zero_copy_only=False)
+            vectors = np.array(batch.column("raw").to_pylist(), object)
+            more = own @ _units(_matrix(vectors.tolist(), dtype)).T
+            more[np.array(names)[:, None] == more_ids[None, :]] = -np.inf
+            top = np.argsort(-more, 1, kind="stable")[:, :k]
+            score, ids, raw = (np.concatenate(x, 1) for x in ((score, np.take_along_axis(more, top, 1)), (ids, more_ids[top]), (raw, vectors[top])))
+            best = np.lexsort((ids, -score), 1)[:, :k]
+            score, ids, raw = (np.take_along_axis(x, best, 1) for x in (score, ids, raw))
+        q, r = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[q, r]), pa.array(score[q, r]), pa.array(raw[q, r].tolist(), pa.binary())], names=["query_id", "vec_id", "score", "raw"])
 
     near = members.select("id", "raw").mapInArrow(run, "query_id long, vec_id long, score double, raw binary")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
