@@ -1,7 +1,7 @@
 """Columns of the genome: what alignments cover, every so-manieth covered base, and the bases that reads have there.
 
 Positions are chosen before any read is laid out base by base. Covered bases are counted in cells of CELL bases, each
-cell by itself, and a contig's cells are summed up by their totals; a read meets the columns of the one or two cells that
+cell by itself, and a contig's cells are summed up by their totals; a read meets the few columns of the small cells that
 it touches as an array, and only at those columns a base is taken from it.
 """
 
@@ -26,9 +26,9 @@ def primary_spans(alignments: DataFrame) -> DataFrame:
     return spans.withColumn("end", F.col("pos") + reference_length("cigar") - 1).where("end >= pos")
 
 
-def in_cells(spans: DataFrame) -> DataFrame:
+def in_cells(spans: DataFrame, width: int) -> DataFrame:
     """spans with the cells that they touch."""
-    return spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("pos") / CELL), F.floor(F.col("end") / CELL))))
+    return spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor(F.col("end") / width))))
 
 
 def covered_runs(spans: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def covered_runs(spans: DataFrame) -> DataFrame:
     A cell has at most CELL different starts, however deep it is covered.
     """
     low, high = F.greatest("pos", F.col("cell") * CELL), F.least("end", F.col("cell") * CELL + CELL - 1)
-    tops = in_cells(spans.select("contig", "pos", "end")).groupBy("contig", "cell", low.alias("low")).agg(F.max(high).alias("high"))
+    tops = in_cells(spans.select("contig", "pos", "end"), CELL).groupBy("contig", "cell", low.alias("low")).agg(F.max(high).alias("high"))
     order = Window.partitionBy("contig", "cell").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
     start = F.greatest("low", F.coalesce(F.max("high").over(order) + 1, F.col("low")))
     runs = tops.withColumn("start", start).withColumn("n", F.col("high") - F.col("start") + 1).where("n > 0")
@@ -55,10 +55,13 @@ def sampled_columns(spans: DataFrame, every: int) -> DataFrame:
     return some.select("contig", F.explode(F.transform(F.sequence("first", "last"), lambda k: F.col("start") + k * every - F.col("ordinal"))).alias("ref_pos"))
 
 
-def column_bases(spans: DataFrame, columns: DataFrame) -> DataFrame:
-    """contig, ref_pos, base, length (of the read) of every read of spans at columns(contig, ref_pos); deletions have none."""
-    by_cell = columns.groupBy("contig", F.floor(F.col("ref_pos") / CELL).alias("cell")).agg(F.collect_list("ref_pos").alias("columns"))
-    met = in_cells(spans.select("contig", "pos", "end", "cigar", "seq")).join(by_cell, ["contig", "cell"])
+def column_bases(spans: DataFrame, columns: DataFrame, width: int = 8_000) -> DataFrame:
+    """contig, ref_pos, base, length (of the read) of every read of spans at columns(contig, ref_pos); deletions have none.
+
+    Both meet in cells of `width` bases; a read is compared with all columns of its cells, so there should be few in one.
+    """
+    by_cell = columns.groupBy("contig", F.floor(F.col("ref_pos") / width).alias("cell")).agg(F.collect_list("ref_pos").alias("columns"))
+    met = in_cells(spans.select("contig", "pos", "end", "cigar", "seq"), width).join(by_cell, ["contig", "cell"])
     met = met.withColumn("columns", F.filter("columns", lambda p: (p >= F.col("pos")) & (p <= F.col("end")))).where("size(columns) > 0")
     at = placed_operations(met).select("contig", "pos", "seq", "ops", F.explode("columns").alias("ref_pos")).withColumn("offset", F.col("ref_pos") - F.col("pos"))
     piece = F.filter("ops", lambda o: o["op"].isin("M", "=", "X") & (o["ref_at"] <= F.col("offset")) & (o["ref_at"] + o["len"] > F.col("offset")))
@@ -76,7 +79,7 @@ def estimate_from_alignments(alignments: DataFrame, every: int = 1000, depth: in
     each that it covers). Without such columns or reads the least values hold.
     """
     spans = primary_spans(alignments)
-    bases = kept(column_bases(spans, sampled_columns(spans, every)))
+    bases = kept(column_bases(spans, sampled_columns(spans, every), 8 * every))
     counts = bases.groupBy("contig", "ref_pos", "base").agg(F.count("*").alias("n"))
     site = counts.groupBy("contig", "ref_pos").agg(F.max("n").alias("top"), F.sum("n").alias("depth")).where(F.col("depth") >= depth)
     ratio = indexed_quantile(site.select(((F.col("depth") - F.col("top")) / F.col("top")).alias("r")), "r", 66, 100)

@@ -164,7 +164,7 @@ def test_columns_by_brute_force(spark, monkeypatch):
             chosen = {(c, p) for c in reach for p in sorted(reach[c])[::every]}
             picked = columns.sampled_columns(spans, every)
             assert sorted((r["contig"], r["ref_pos"]) for r in picked.collect()) == sorted(chosen)
-            met = sorted((r["contig"], r["ref_pos"], r["base"], r["length"]) for r in columns.column_bases(spans, picked).collect())
+            met = sorted((r["contig"], r["ref_pos"], r["base"], r["length"]) for r in columns.column_bases(spans, picked, cell).collect())
             assert met == sorted((c, p, b, n) for c, p in chosen for b, n in reach[c][p] if b)
     found = columns.estimate_from_alignments(frame, every=1, least_length=1).first()
     ratios = []
