@@ -153,3 +153,26 @@ def test_scores_of_a_table_one_word_at_a_time(spark, monkeypatch):
         total = sum(net.log_probabilities(np.array([c]), np.array([numbers[w]]))[0] for c, w in zip(around, own, strict=True))
         total += sum(math.log(counts[w] / totals[rare[w]]) for w in own if w in rare)
         assert found[i]["log_likelihood"] == pytest.approx(total, rel=1e-4, abs=1e-4) and found[i]["n_words"] == len(own)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    """The network is the same however rows are split and ordered; scores agree to single precision."""
+    rng = random.Random(12)
+    often = [f"w{k}" for k in range(200)]
+    texts = [" ".join(rng.choice(often) if rng.random() < 0.8 else f"x{rng.randrange(4000)}" for _ in range(rng.randint(0, 600))) for _ in range(700)]
+    rows = [*enumerate(texts), (None, texts[3]), (None, None), (7, texts[7]), (7, "")]
+    assert M.shards_for(sum(len(t.split()) for t in texts)) > 1
+
+    def scored(rows, parts):
+        found = M.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        return sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["mean_log_likelihood"] or 0.0) for r in found)
+
+    first = scored(rows, 1)
+    for parts in (8, 64):
+        rng.shuffle(rows)
+        for a, b in zip(first, scored(rows, parts), strict=True):
+            assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-4)
+
+
+def test_shards_follow_the_number_of_words():
+    assert [M.shards_for(n) for n in (0, 1 << 15, 1 << 17, 1 << 20, 1 << 24, 1 << 26, 1 << 32)] == [1, 1, 4, 8, 8, 16, 1024]
