@@ -111,49 +111,59 @@ class Network:
         return context + np.arange(2 * SIDE) * (self.edge + 1)
 
     def hidden(self, rows: np.ndarray) -> np.ndarray:
-        total = self.weights[1] + self.weights[0][rows[:, 0]]
+        total = self.weights[1] + self.weights[0].take(rows[:, 0], axis=0)
         for j in range(1, 2 * SIDE):
-            total += self.weights[0][rows[:, j]]
-        return np.tanh(total)
-
-    def _by_group(self, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(group, kind="stable")
-        names, starts = np.unique(group[order], return_index=True)
-        for g, own in zip(names.tolist(), np.split(order, starts[1:]), strict=True):
-            yield g, own
+            total += self.weights[0].take(rows[:, j], axis=0)
+        return np.tanh(total, out=total)
+
+    def _by_group(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+        """Order of rows by group, h in it, starts of groups, (group, start, end) of each, and the outputs within groups."""
+        order = _order(group, self.groups)
+        group, h = group[order], h[order]
+        starts = _starts(group)
+        spans = list(zip(group[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True))
+        z = self.weights[5].take(group, axis=0)
+        for g, a, b in spans:
+            z[a:b] += h[a:b] @ self.weights[4][g]
+        return order, h, starts, spans, z
 
     def log_probabilities(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
         h = self.hidden(self.rows(context))
-        group, place = words // self.groups, words % self.groups
+        group, place, every = words // self.groups, words % self.groups, np.arange(len(words))
         z = h @ self.weights[2] + self.weights[3]
-        out = z[np.arange(len(words)), group] - _log_sum(z)
-        for g, own in self._by_group(group):
-            z = h[own] @ self.weights[4][g] + self.weights[5][g]
-            out[own] += z[np.arange(len(own)), place[own]] - _log_sum(z)
+        out = z[every, group] - _log_sum(z)
+        order, _, _, _, z = self._by_group(h, group)
+        out[order] += z[every, place[order]] - _log_sum(z)
         return out
 
     def gradients(self, context: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Embedding rows of a batch, and the gradients of the mean loss: of those rows, then of all other weights."""
         rows = self.rows(context)
         h = self.hidden(rows)
-        group, place = words // self.groups, words % self.groups
+        group, place, every = words // self.groups, words % self.groups, np.arange(len(words))
         grads = [np.zeros_like(w) for w in self.weights[1:]]
         p = _softmax(h @ self.weights[2] + self.weights[3])
-        p[np.arange(len(words)), group] -= 1
+        p[every, group] -= 1
         grads[1], grads[2] = h.T @ p, p.sum(0)
         back = p @ self.weights[2].T
-        for g, own in self._by_group(group):
-            q = _softmax(h[own] @ self.weights[4][g] + self.weights[5][g])
-            q[np.arange(len(own)), place[own]] -= 1
-            grads[3][g], grads[4][g] = h[own].T @ q, q.sum(0)
-            back[own] += q @ self.weights[4][g].T
+        order, sorted_h, starts, spans, z = self._by_group(h, group)
+        q = _softmax(z)
+        q[every, place[order]] -= 1
+        inner = np.empty_like(back)
+        for g, a, b in spans:
+            grads[3][g] = sorted_h[a:b].T @ q[a:b]
+            inner[a:b] = q[a:b] @ self.weights[4][g].T
+        grads[4][[g for g, _, _ in spans]] = np.add.reduceat(q, starts, axis=0)
+        back[order] += inner
         back *= 1 - h * h
         grads[0] = back.sum(0)
-        order = np.argsort(rows.ravel(), kind="stable")
-        used, starts = np.unique(rows.ravel()[order], return_index=True)
-        inner = np.add.reduceat(back[order // (2 * SIDE)], starts, axis=0)
+        flat = rows.ravel()
+        order = _order(flat, 2 * SIDE * (self.edge + 1))
+        flat = flat[order]
+        starts = _starts(flat)
+        inner = np.add.reduceat(back.take(order // (2 * SIDE), axis=0), starts, axis=0)
         n = np.float32(len(words))
-        return used, [inner / n, *(g / n for g in grads)]
+        return flat[starts], [inner / n, *(g / n for g in grads)]
 
     def learn(self, context: np.ndarray, words: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
         """One step of Adagrad on a batch; embeddings of words that don't occur in it stay as they are."""
@@ -165,14 +175,28 @@ class Network:
             w -= rate * g / (np.sqrt(s) + 1e-6)
 
 
+def _order(values: np.ndarray, size: int) -> np.ndarray:
+    """Order of whole numbers below size, equal ones as they come; two-byte numbers are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if size <= 1 << 16 else values, kind="stable")
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.append(0, np.flatnonzero(values[1:] != values[:-1]) + 1)[: len(values)]
+
+
 def _log_sum(z: np.ndarray) -> np.ndarray:
     top = z.max(1)
-    return top + np.log(np.exp(z - top[:, None]).sum(1))
+    z = z - top[:, None]
+    np.exp(z, out=z)
+    return top + np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    z -= z.max(1)[:, None]
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
 
 
 def _contexts(numbers: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray, edge: int) -> np.ndarray:
