@@ -96,6 +96,25 @@ def beam_search(reads: list[Read], ploidy: int, epsilon: float, width: int = 10)
     return list(min(states, key=lambda x: (x[0], x[1]))[1]) if reads else []
 
 
+def search_breaks(reads: list[Read], clusters: list[int], ploidy: int, reach: int = 50) -> list[int]:
+    """Sites where a search loses two or more clusters at once, in ascending order.
+
+    clusters are those of the search, reads are in fragment order. At the first site of a read, the search still knows what
+    lies behind the first site of the read before it. A cluster is lost there if some of that lies less than `reach` sites
+    before the site, and none at it or less than `reach` after it.
+    """
+    piles: list[set[int]] = [set() for _ in range(ploidy)]
+    out: dict[int, set[int]] = {}
+    for read, chosen in zip(reads, clusters, strict=True):
+        start = read[0][0]
+        for c, own in enumerate(piles):
+            if any(start - reach < s < start for s in own) and not any(start <= s < start + reach for s in own):
+                out.setdefault(start, set()).add(c)
+            piles[c] = {s for s in own if s >= start}
+        piles[chosen].update(s for s, _, _ in read)
+    return sorted(s for s, lost in out.items() if len(lost) > 1)
+
+
 def refine(reads: list[Read], clusters: list[int], ploidy: int, epsilon: float, rounds: int = 20) -> list[int]:
     """Moves reads to clusters that fit better while the summed errors fall."""
     for _ in range(rounds):
@@ -128,21 +147,22 @@ def stop_ratio(ploidy: int, epsilon: float, sensitivity: int) -> float:
     return 1 / (1 - epsilon) / (1 + 1 / grow)
 
 
-def phase_block(reads: list[Read], epsilon: float, most: int = 5, width: int = 10, sensitivity: int = 2, heuristic: bool = True) -> list[int]:
-    """Clusters of a block's reads, with as many clusters as the errors call for."""
+def phase_block(reads: list[Read], epsilon: float, most: int = 5, width: int = 10, sensitivity: int = 2, heuristic: bool = True) -> tuple[list[int], list[int]]:
+    """Clusters of a block's reads, with as many clusters as the errors call for, and the breaks of their search."""
     if not reads:
-        return []
+        return [], []
     flat = [[(s, a, 1.0) for s, a, _ in r] for r in reads]
-    chosen, last = [0] * len(reads), None
+    chosen, breaks, last = [0] * len(reads), [], None
     for k in range(1, most + 1):
-        now = refine(reads, beam_search(reads, k, epsilon, width), k, epsilon)
+        searched = beam_search(reads, k, epsilon, width)
+        now = refine(reads, searched, k, epsilon)
         bases, wrong = errors(piles_of(flat, now, k), epsilon)
         if last is not None and heuristic and wrong >= stop_ratio(k, epsilon, sensitivity) * last:
-            return chosen
-        chosen, last = now, wrong
+            break
+        chosen, breaks, last = now, search_breaks(reads, searched, k), wrong
         if wrong < epsilon * (bases + wrong):
             break
-    return chosen
+    return chosen, breaks
 
 
 Edge = tuple[int, int, int]  # column, row there, row in the next column

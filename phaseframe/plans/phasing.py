@@ -12,8 +12,9 @@ from phaseframe.operators.filters import filter_span
 from phaseframe.operators.intervals import overlap_join
 from phaseframe.operators.parts import block_edges, numbered, part_ranges
 from phaseframe.operators.pileup import pileup
+from phaseframe.operators.ranks import ranked
 from phaseframe.operators.sequences import CHUNK, with_margins
-from phaseframe.operators.windows import block_windows, fragment_order, split_gaps, split_gaps_within
+from phaseframe.operators.windows import block_windows, fragment_order, merge_segments, split_gaps, split_gaps_within
 from phaseframe.plans import kernels
 from phaseframe.plans.storage import kept
 from phaseframe.sources.bindings import frags_of, sites_of
@@ -37,25 +38,48 @@ def reads_in_blocks(frags: DataFrame, blocks: DataFrame, width: int = 64) -> Dat
     return overlap_join(filter_span(frags), blocks, ("first_site", "last_site"), ("l_site", "r_site"), ["contig"], width)
 
 
-def phase_blocks(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True, sites: DataFrame | None = None) -> DataFrame:
-    """contig, block_id, cluster, frag_id, l_site, r_site: each block's reads in as many clusters as their errors call for.
+def searched_blocks(obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True, sites: DataFrame | None = None) -> DataFrame:
+    """contig, block_id, cluster, frag_id, l_site, r_site, first_site, last_site, cuts: each block's reads in as many clusters
+    as their errors call for, and the sites at which the search lost two or more of them.
 
     Blocks are windows over sites(contig, site, pos), by default those of obs. A read takes part in a block with all of its
     sites, also those beyond the block.
     """
     blocks = block_windows(sites if sites is not None else sites_of(obs), length, density)
-    ranked = fragment_order(frags_of(obs))
-    placed = reads_in_blocks(ranked, blocks).select("contig", "block_id", "l_site", "r_site", "frag_id", "rank")
+    placed = reads_in_blocks(fragment_order(frags_of(obs)), blocks).select("contig", "block_id", "l_site", "r_site", "frag_id", "rank")
     rows = placed.join(packed(obs.select("contig", "frag_id", "site", "allele", "weight")), ["contig", "frag_id"])
     kind = obs.schema["contig"].dataType.simpleString()
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         reads = _reads(group)
-        clusters = kernels.phase_block([r for _, r in reads], epsilon, most, beam, sensitivity, heuristic)
+        clusters, cuts = kernels.phase_block([r for _, r in reads], epsilon, most, beam, sensitivity, heuristic)
         names = {c: k for k, c in enumerate(sorted(set(clusters)))}
-        return pd.DataFrame({"contig": group["contig"].iloc[0], "block_id": int(group["block_id"].iloc[0]), "cluster": [names[c] for c in clusters], "frag_id": [f for f, _ in reads], "l_site": int(group["l_site"].iloc[0]), "r_site": int(group["r_site"].iloc[0])})
+        own = {"contig": group["contig"].iloc[0], "block_id": int(group["block_id"].iloc[0]), "cluster": [names[c] for c in clusters], "frag_id": [f for f, _ in reads], "l_site": int(group["l_site"].iloc[0]), "r_site": int(group["r_site"].iloc[0])}
+        return pd.DataFrame(own | {"first_site": [r[0][0] for _, r in reads], "last_site": [r[-1][0] for _, r in reads], "cuts": [cuts] * len(reads)})
 
-    return rows.groupBy("contig", "block_id").applyInPandas(solve, f"contig {kind}, block_id int, cluster int, frag_id long, l_site int, r_site int")
+    return rows.groupBy("contig", "block_id").applyInPandas(solve, f"contig {kind}, block_id int, cluster int, frag_id long, l_site int, r_site int, first_site int, last_site int, cuts array<int>")
+
+
+def phase_blocks(obs: DataFrame, length: int, epsilon: float, **options) -> DataFrame:
+    """contig, block_id, cluster, frag_id, l_site, r_site of searched_blocks, which has the options."""
+    return searched_blocks(obs, length, epsilon, **options).drop("first_site", "last_site", "cuts")
+
+
+def cut_blocks(membership: DataFrame) -> DataFrame:
+    """contig, block_id, cluster, frag_id, l_site, r_site: a block for each segment between the cuts of a block.
+
+    membership: what searched_blocks gives; cuts, in ascending order, are the same for all reads of a block, none or null
+    leave it whole. A read is in every segment that it touches, in both beside a cut that it reaches; neighbouring segments
+    of uneven depth are joined. Blocks are numbered anew along the contig. It is read twice, so the caller keeps it.
+    """
+    keys = ["contig", "block_id"]
+    known = membership.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
+    touched = F.expr("filter(sequence(0, size(cuts)), k -> (k = 0 or last_site >= get(cuts, k - 1)) and (k = size(cuts) or first_site <= get(cuts, k)))")
+    counted = known.withColumn("k", F.explode(touched)).groupBy(*keys, "l_site", "r_site", F.expr("get(cuts, k)").alias("cut")).agg(F.count("*").alias("n_reads"))
+    segments = ranked(merge_segments(counted, *keys), ["contig"], [F.asc("block_id"), F.asc("l_site")], "index")
+    ranges = segments.select(*keys, "index", F.col("l_site").alias("from_"), F.col("r_site").alias("to_"))
+    met = membership.join(ranges, keys).where("first_site <= to_ and last_site >= from_")
+    return met.select("contig", F.col("index").alias("block_id"), "cluster", "frag_id", F.col("from_").alias("l_site"), F.col("to_").alias("r_site"))
 
 
 def column_islands(crossed: DataFrame, columns: DataFrame) -> DataFrame:
@@ -165,17 +189,19 @@ def corrected(obs: DataFrame, short: DataFrame) -> DataFrame:
 
 
 def phase(
-    obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True, sites: DataFrame | None = None, short: DataFrame | None = None, reassign: bool = False, binned: bool = False
+    obs: DataFrame, length: int, epsilon: float, most: int = 5, beam: int = 10, sensitivity: int = 2, density: float = 0.0005, heuristic: bool = True, sites: DataFrame | None = None, short: DataFrame | None = None, reassign: bool = False, binned: bool = False, breaks: bool = False
 ) -> DataFrame:
     """obs with the final part of each read, and the range of sites of that part (l_site, r_site).
 
     short: observations of short reads, by which the others are corrected; with reassign each of them also joins the parts
-    that it fits best. binned: paths of about the same flow are joined. What each step gives is kept, so that each is
+    that it fits best. binned: paths of about the same flow are joined. breaks: blocks are cut where the search lost clusters, so that
+    a path goes on beyond such a site only by reads that reach it. What each step gives is kept, so that each is
     computed once.
     """
     obs = kept(obs if short is None else corrected(obs, short))
     places = sites if sites is not None else sites_of(obs)
-    membership = kept(phase_blocks(obs, length, epsilon, most, beam, sensitivity, density, heuristic, places))
+    searched = kept(searched_blocks(obs, length, epsilon, most, beam, sensitivity, density, heuristic, places))
+    membership = kept(cut_blocks(searched)) if breaks else searched.drop("first_site", "last_site", "cuts")
     flows = kept(flow_edges(block_edges(membership, obs)))
     paths = kept(disjoint_paths(membership, flows))
     if binned:

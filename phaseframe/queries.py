@@ -796,6 +796,23 @@ def merge_segments(s, d):
     return W.merge_segments(segments, "contig", "part")
 
 
+_CUTS = "bs AS (SELECT contig, part, site AS cut FROM br UNION ALL SELECT contig, part, NULL FROM whole), sg AS (SELECT *, lag(cut) OVER (PARTITION BY contig, part ORDER BY cut NULLS LAST) AS lo FROM bs), cn AS (SELECT sg.contig, sg.part, cut, count(*) AS n FROM sg JOIN f ON f.contig = sg.contig AND f.part = sg.part AND (lo IS NULL OR z >= lo) AND (cut IS NULL OR a <= cut) GROUP BY ALL), sh AS (SELECT *, n / (n + lead(n) OVER (PARTITION BY contig, part ORDER BY cut NULLS LAST)) AS share FROM cn JOIN whole USING (contig, part)), lf AS (SELECT * FROM sh WHERE cut IS NULL OR (cut > l_site AND share BETWEEN 0.05 AND 0.95)), rg AS (SELECT contig, part, coalesce(lag(cut) OVER (PARTITION BY contig, part ORDER BY cut NULLS LAST), l_site) AS l_site, coalesce(cut, r_site) AS r_site FROM lf), ix AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY part, l_site) - 1 AS block_id FROM rg)"
+
+
+@query(
+    _with(OBS_E, PART_W, _SEGMENTS, _CUTS)
+    + "SELECT f.contig, CAST(block_id AS INT) AS block_id, CAST(frag_id % 2 AS INT) AS cluster, frag_id, CAST(l_site AS INT) AS l_site, CAST(r_site AS INT) AS r_site FROM f JOIN ix ON f.contig = ix.contig AND f.part = ix.part AND a <= r_site AND z >= l_site"
+)
+def cut_blocks(s, d):
+    """Parts as blocks with two clusters each, cut at the breaks of their coverage."""
+    obs = _ep(s, d).withColumnRenamed("part", "block_id")
+    cuts = W.coverage_breaks(obs, 5, "contig", "block_id").groupBy("contig", "block_id").agg(F.sort_array(F.collect_list("site")).alias("cuts"))
+    whole = obs.groupBy("contig", "block_id").agg(F.min("site").alias("l_site"), F.max("site").alias("r_site"))
+    reads = obs.groupBy("contig", "block_id", "frag_id").agg(F.min("site").alias("first_site"), F.max("site").alias("last_site"))
+    rows = reads.join(whole, ["contig", "block_id"]).join(cuts, ["contig", "block_id"], "left")
+    return phasing.cut_blocks(kept(rows.withColumn("cluster", (F.col("frag_id") % 2).cast("int"))))
+
+
 # set operations
 
 
@@ -975,6 +992,13 @@ def phase_blocks(s, d):
     return phasing.phase_blocks(_small(s, d), 2880, 0.04)
 
 
+@query()
+def search_breaks(s, d):
+    """Sites at which the search of a block lost two or more clusters."""
+    found = phasing.searched_blocks(_small(s, d), 2880, 0.04).select("contig", "block_id", "cuts").distinct()
+    return found.select("contig", "block_id", F.explode("cuts").alias("site"))
+
+
 @query()
 def block_ploidy(s, d):
     return phase_blocks(s, d).groupBy("contig", "block_id").agg((F.max("cluster") + 1).alias("ploidy"))

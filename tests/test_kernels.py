@@ -24,7 +24,7 @@ def strains(seed, k=2, sites=40, reads=24, flip=0.02):
 def test_planted_strains_are_found():
     for seed in range(4):
         reads, truth = strains(seed)
-        found = K.phase_block(reads, 0.04)
+        found, _ = K.phase_block(reads, 0.04)
         agree = sum(a == b for a, b in zip(found, truth, strict=True))
         assert max(agree, len(truth) - agree) >= 0.85 * len(truth) or len(set(found)) > 2
 
@@ -278,3 +278,23 @@ def test_packed_pairs_of_reads(spark):
     for width in (1, 7, 64):
         found = {(r["contig"], r["frag_id"], r["other"]): (r["same"], r["diff"]) for r in read_read_distance(obs, ["contig"], width).collect()}
         assert found == expected
+
+
+def test_breaks_of_a_search_from_all_reads_before():
+    rng, seen = random.Random(31), 0
+    for _ in range(200):
+        ploidy, reach = rng.randint(1, 4), rng.choice([5, 50])
+        starts = sorted(rng.choice([*range(1, 12), *range(40, 52), *range(120, 130)]) for _ in range(rng.randint(0, 14)))
+        reads = [[(s, 0, 1.0) for s in sorted(rng.sample(range(a + 1, a + 14), rng.randint(0, 6)) + [a])] for a in starts]
+        clusters = [rng.randrange(ploidy) for _ in reads]
+        expected = {}
+        for k in range(1, len(reads)):
+            start, known = starts[k], starts[k - 1]
+            for c in range(ploidy):
+                sites = {s for r, own in zip(reads[:k], clusters, strict=False) if own == c for s, _, _ in r if s >= known}
+                if any(start - reach < s < start for s in sites) and not any(start <= s < start + reach for s in sites):
+                    expected.setdefault(start, set()).add(c)
+        wanted = sorted(s for s, lost in expected.items() if len(lost) > 1)
+        assert K.search_breaks(reads, clusters, ploidy, reach) == wanted
+        seen += len(wanted)
+    assert seen > 20

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from phaseframe.plans import phasing
+
 SITES = 200
 
 
@@ -106,3 +108,64 @@ def test_breaks_within_ranges(spark):
     reads, pieces = split_gaps_within(frags, "contig", "part")
     found = {(r["part"], r["frag_id"]): (r["piece"], r["l_site"], r["r_site"]) for r in reads.join(pieces, ["contig", "part", "piece"]).collect()}
     assert found == expected and max(v[0] for v in expected.values()) > 2
+
+
+def test_blocks_are_cut_where_the_search_loses_clusters(spark):
+    """Two strains, and no read over the middle of the contig: with breaks no part is on both sides. The one read that begins
+    at the break is in both segments, which is too little for an edge."""
+    rng = random.Random(41)
+    base = [[rng.randint(0, 1) for _ in range(60)]]
+    base.append([1 - a for a in base[0]])
+    rows, side, truth = [], {}, {}
+    for frag in range(80):
+        half, strain = frag % 2, rng.randrange(2)
+        start = 30 * half + (0 if frag == 1 else rng.randrange(1, 19))
+        side[frag], truth[frag] = half, strain
+        rows += [("c", frag, s + 1, 100 * s, base[strain][s] ^ (rng.random() < 0.01), 40, 0.99) for s in range(start, start + 12)]
+    obs = spark.createDataFrame(rows, "contig string, frag_id long, site int, pos long, allele int, qual int, weight double")
+    searched = phasing.searched_blocks(obs, 10_000, 0.02).cache()
+    begin = min(r[2] for r in rows if side[r[1]] == 1)
+    assert {c for r in searched.select("cuts").collect() for c in r["cuts"]} == {begin}
+    cut = phasing.cut_blocks(searched).collect()
+    for r in cut:
+        assert (r["r_site"] <= begin) if side[r["frag_id"]] == 0 else (r["l_site"] >= begin or r["frag_id"] == 1)
+    assert {r["frag_id"] for r in cut} == set(side)
+    parts = {}
+    for r in phasing.phase(obs, 10_000, 0.02, breaks=True).select("frag_id", "part").distinct().collect():
+        parts.setdefault(r["part"], set()).add(r["frag_id"])
+    assert sum(sorted(map(len, parts.values()))[-4:]) >= 78
+    for own in parts.values():
+        assert len({side[f] for f in own}) == 1 and len({truth[f] for f in own}) == 1
+
+
+def test_cuts_by_brute_force(spark):
+    """Segments, their joining and the reads in them against plain loops; blocks without cuts stay whole."""
+    rng = random.Random(43)
+    rows = []
+    for contig in ("a", "b", None):
+        for block in range(6):
+            cuts = sorted(rng.sample(range(1, 40), rng.randint(0, 4))) if block else None
+            rows += [(contig, block, rng.randrange(3), 100 * block + f, 1, 40, a, min(40, a + rng.randint(0, 20)), cuts) for f in range(rng.choice([1, 5, 60])) for a in [rng.randint(1, 40)]]
+    schema = "contig string, block_id int, cluster int, frag_id long, l_site int, r_site int, first_site int, last_site int, cuts array<int>"
+    named = [r for r in rows if r[0] is not None]
+    found = {tuple(r) for r in phasing.cut_blocks(spark.createDataFrame(named, schema)).collect()}
+    wanted = set()
+    for contig in ("a", "b"):
+        index = 0
+        for block in range(6):
+            own = [r for r in named if r[:2] == (contig, block)]
+            cuts = own[0][8] or []
+            touched = lambda r, k, cuts=cuts: (k == 0 or r[7] >= cuts[k - 1]) and (k == len(cuts) or r[6] <= cuts[k])
+            counts = [(k, n) for k in range(len(cuts) + 1) if (n := sum(touched(r, k) for r in own))]
+            left = []
+            for (k, n), (_, m) in zip(counts, counts[1:], strict=False):
+                if cuts[k] > 1 and 0.05 <= n / (n + m) <= 0.95:
+                    left.append(cuts[k])
+            ends = [1, *left, 40]
+            if counts[-1][0] < len(cuts):  # no read behind the last cuts
+                ends = [1, *left]
+            for a, b in zip(ends, ends[1:], strict=False):
+                wanted |= {(contig, index, r[2], r[3], a, b) for r in own if r[6] <= b and r[7] >= a}
+                index += 1
+    assert found == wanted and len({r[4:] for r in wanted}) > 5
+    assert phasing.cut_blocks(spark.createDataFrame([], schema)).count() == 0
