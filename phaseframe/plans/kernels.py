@@ -64,36 +64,149 @@ def errors(piles: list[Piles], epsilon: float) -> tuple[float, float]:
     return bases, wrong
 
 
+class Grid:
+    """Reads in fragment order as flat arrays: of each observation its read, its site and allele as numbers from 0, and its weight."""
+
+    def __init__(self, sizes: np.ndarray, sites: np.ndarray, alleles: np.ndarray, weights: np.ndarray) -> None:
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        self.read = np.repeat(np.arange(len(sizes)), sizes)
+        self.names, site = np.unique(sites, return_inverse=True)
+        found, allele = np.unique(alleles, return_inverse=True)
+        self.site, self.allele, self.weight = site.astype(np.int64), allele.astype(np.int64), np.asarray(weights, float)
+        self.n_alleles = len(found)
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+
+def grid(reads: list[Read]) -> Grid:
+    flat = [o for r in reads for o in r]
+    return Grid(np.array([len(r) for r in reads], np.int64), *(np.array([o[k] for o in flat]) for k in range(3)))
+
+
+def _chances(n: np.ndarray, k: np.ndarray, p: float, div: float = 0.25) -> np.ndarray:
+    """log_p of whole arrays."""
+    a = np.minimum(np.maximum(k / np.maximum(n, 1.0), 1e-7), 0.9999999)
+    value = -(n / div) * (a * np.log(a / p) + (1 - a) * np.log((1 - a) / (1 - p)))
+    return np.where(a < p, -value, value)
+
+
+def _marks(values: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A number for each weight at its place; states with the same piles have the same sum of them."""
+    return (values.view(np.uint64) >> np.uint64(20)) * salt
+
+
+def _beam(g: Grid, ploidy: int, epsilon: float, width: int) -> np.ndarray:
+    """beam_search over a Grid. A read costs the same wherever it is in the block: states lie in slots of one array, paths are
+    kept as steps back, and of two ways to a state only the places of the new read are looked at, unless their marks meet."""
+    if ploidy == 1 or not len(g):
+        return np.zeros(len(g), np.int64)
+    slots = 2 * width * ploidy
+    piles = np.zeros((slots, len(g.names), g.n_alleles, ploidy))
+    flat = piles.reshape(-1, ploidy)
+    salt = np.random.default_rng(0).integers(1 << 63, size=piles.shape[1:], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    slot, score, place, marks = np.zeros(1, np.int64), np.zeros(1), np.zeros(1, np.int64), np.zeros(1, np.uint64)
+    last = np.full((1, ploidy), -1)  # the last site of each cluster
+    before = reach = 0  # sites before the first one are of no more use, those from the second on are bare
+    least, steps, lows = math.log(0.01), [], np.arange(ploidy)
+    for k in range(len(g)):
+        own = slice(g.begins[k], g.ends[k])
+        site, allele, weight = g.site[own], g.allele[own], g.weight[own][:, None, None]
+        start = int(site[0])
+        cell = (slot * piles.shape[1] + site[:, None]) * g.n_alleles  # of site and state
+        mine, top = flat.take(cell + allele[:, None], axis=0), flat.take(cell, axis=0)
+        for a in range(1, g.n_alleles):
+            np.maximum(top, flat.take(cell + a, axis=0), out=top)
+        fits, bare = mine >= top - 1e-9, top == 0
+        diff = np.where(bare, epsilon, ~fits * weight).sum(axis=0)
+        same = ((fits & ~bare) * weight).sum(axis=0)
+        chance = _chances(np.floor(same + diff), np.floor(diff), epsilon)
+        high = chance.max(axis=1, keepdims=True)
+        good = chance - (high + np.log(np.exp(chance - high).sum(axis=1, keepdims=True))) > least
+        void = last < before
+        if void.any():  # empty clusters are alike
+            good &= ~(void & (void.cumsum(axis=1) > 1))
+        total = (score[:, None] + diff).ravel()
+        if start > before:
+            gone = piles[slot, before:start]
+            marks = marks - _marks(gone, salt[before:start]).reshape(len(slot), -1).sum(axis=1, dtype=np.uint64)
+        grown = mine + weight
+        grown[grown <= 1e-9] = 0.0
+        added = salt[site, allele][:, None, :]
+        mark = (marks[:, None] + (_marks(grown, added) - _marks(mine, added)).sum(axis=0, dtype=np.uint64)).ravel()
+        path = (place[:, None] * ploidy + lows).ravel()
+        chosen = np.flatnonzero(good)
+        chosen = chosen[np.lexsort((path[chosen], total[chosen]))]
+        before, reach, most = max(before, start), max(reach, int(site[-1]) + 1), width * (ploidy if k < 25 else 1)
+        seen = mark[chosen[:most]]
+        if len(set(seen.tolist())) == len(seen):
+            chosen = chosen[:most]
+        else:  # of states that differ in nothing that is still to come, the better one stays
+            fresh: dict[int, list] = {}
+            taken = []
+            for one in chosen.tolist():
+                alike = fresh.setdefault(int(mark[one]), [])
+                s, c = divmod(one, ploidy)
+                whole = piles[slot[s], before:reach].copy()
+                whole[site - before, allele, c] = grown[:, s, c]
+                if not any(np.array_equal(whole, other) for other in alike):
+                    alike.append(whole)
+                    taken.append(one)
+                    if len(taken) == most:
+                        break
+            chosen = np.array(taken)
+        parent, cluster = np.divmod(chosen, ploidy)
+        # the first child of a state stays in its slot, the others and those of no state are copied and left
+        came = slot[parent]
+        used, copied, where = set(), [], came.tolist()
+        for i, x in enumerate(where):
+            if x in used:
+                copied.append(i)
+            used.add(x)
+        if copied:
+            free = [x for x in range(2 * len(where)) if x not in used][: len(copied)] if 2 * len(where) <= slots else [x for x in range(slots) if x not in used][: len(copied)]
+            for i, x in zip(copied, free, strict=True):
+                where[i] = x
+            piles[free, before:reach] = piles[came[copied], before:reach]
+        slot = np.array(where)
+        flat[(slot * piles.shape[1] + site[:, None]) * g.n_alleles + allele[:, None], cluster] = grown[:, parent, cluster]
+        score, marks = total[chosen], mark[chosen]
+        last, ranks = last[parent], path[chosen].argsort()
+        heavy = site[weight[:, 0, 0] > 1e-9]
+        if len(heavy):
+            ends = np.arange(len(chosen)), cluster
+            last[ends] = np.maximum(last[ends], heavy[-1])
+        place = np.empty(len(chosen), np.int64)
+        place[ranks] = np.arange(len(chosen))
+        steps.append(chosen)
+    out, at = np.zeros(len(g), np.int64), 0
+    for k in range(len(g) - 1, -1, -1):  # states are in the order of their scores and paths
+        at, out[k] = divmod(int(steps[k][at]), ploidy)
+    return out
+
+
 def beam_search(reads: list[Read], ploidy: int, epsilon: float, width: int = 10) -> list[int]:
     """A cluster for each read (in fragment order): the best of `width` partial solutions at a time."""
-    states: list[tuple[float, tuple[int, ...], list[Piles]]] = [(0.0, (), [{} for _ in range(ploidy)])]
-    for k, read in enumerate(reads):
-        start, children = read[0][0], {}
-        for score, path, piles in states:
-            found = [agreement(read, p, epsilon) for p in piles]
-            chances = [log_p(math.floor(s + d), math.floor(d), epsilon) for s, d in found]
-            top = max(chances)
-            total = top + math.log(sum(math.exp(c - top) for c in chances))
-            fresh = False
-            for c, (chance, (_, d)) in enumerate(zip(chances, found, strict=True)):
-                if not piles[c]:
-                    if fresh:  # empty clusters are alike
-                        continue
-                    fresh = True
-                if chance - total <= math.log(0.01):
-                    continue
-                children[(*path, c)] = (score + d, piles, c)
-        states, most = [], width * (ploidy if k < 25 else 1)
-        for path, (score, piles, c) in sorted(children.items(), key=lambda x: (x[1][0], x[0])):
-            own = [{s: at for s, at in p.items() if s >= start} for p in piles]
-            own[c] = {s: dict(at) for s, at in own[c].items()}
-            _add(own[c], read)
-            # of states that differ in nothing that is still to come, the better one stays
-            if not any(own == same for _, _, same in states):
-                states.append((score, path, own))
-                if len(states) == most:
-                    break
-    return list(min(states, key=lambda x: (x[0], x[1]))[1]) if reads else []
+    return _beam(grid(reads), ploidy, epsilon, width).tolist()
+
+
+def _breaks(g: Grid, clusters: np.ndarray, ploidy: int, reach: int) -> list[int]:
+    """search_breaks over a Grid: nothing is lost between reads that begin at the same site."""
+    covered = np.zeros((ploidy, len(g.names)), bool)
+    firsts = g.site[g.begins]
+    runs = np.flatnonzero(np.r_[True, firsts[1:] != firsts[:-1]])
+    cell, out = clusters[g.read], set()
+    for a, b in zip(runs, np.r_[runs[1:], len(g)], strict=True):
+        start = firsts[a]
+        low = np.searchsorted(g.names, g.names[start] - reach, "right")
+        high = np.searchsorted(g.names, g.names[start] + reach, "left")
+        if (covered[:, low:start].any(axis=1) & ~covered[:, start:high].any(axis=1)).sum() > 1:
+            out.add(int(g.names[start]))
+        covered[:, :start] = False
+        own = slice(g.begins[a], g.ends[b - 1])
+        covered[cell[own], g.site[own]] = True
+    return sorted(out)
 
 
 def search_breaks(reads: list[Read], clusters: list[int], ploidy: int, reach: int = 50) -> list[int]:
@@ -103,66 +216,108 @@ def search_breaks(reads: list[Read], clusters: list[int], ploidy: int, reach: in
     lies behind the first site of the read before it. A cluster is lost there if some of that lies less than `reach` sites
     before the site, and none at it or less than `reach` after it.
     """
-    piles: list[set[int]] = [set() for _ in range(ploidy)]
-    out: dict[int, set[int]] = {}
-    for read, chosen in zip(reads, clusters, strict=True):
-        start = read[0][0]
-        for c, own in enumerate(piles):
-            if any(start - reach < s < start for s in own) and not any(start <= s < start + reach for s in own):
-                out.setdefault(start, set()).add(c)
-            piles[c] = {s for s in own if s >= start}
-        piles[chosen].update(s for s, _, _ in read)
-    return sorted(s for s, lost in out.items() if len(lost) > 1)
+    return _breaks(grid(reads), np.array(clusters, np.int64), ploidy, reach) if reads else []
+
+
+def _piled(g: Grid, clusters: np.ndarray, ploidy: int, weight: np.ndarray) -> np.ndarray:
+    """Weights by cluster, site and allele, summed up in the order of reads."""
+    shape = (ploidy, len(g.names), g.n_alleles)
+    cell = (clusters[g.read] * shape[1] + g.site) * shape[2] + g.allele
+    out = np.bincount(cell, weight, minlength=math.prod(shape))
+    out[out <= 1e-9] = 0.0
+    return out.reshape(shape)
+
+
+def _mistakes(g: Grid, clusters: np.ndarray, ploidy: int, weight: np.ndarray, piled: np.ndarray, epsilon: float) -> tuple[float, float]:
+    """errors over a Grid: sites of a cluster, and alleles of a site, in the order in which reads come to them."""
+    cell = (clusters[g.read] * piled.shape[1] + g.site) * piled.shape[2] + g.allele
+    own = np.flatnonzero(weight > 1e-9)[::-1]
+    first = np.full(piled.size, len(cell))
+    first[cell[own]] = own  # the last one written stays, which is the first of the reads
+    first = first.reshape(piled.shape)
+    order = first.argsort(axis=2, kind="stable")
+    values, begins = np.take_along_axis(piled, order, axis=2), first.min(axis=2)
+    total, rest = values[..., 0].copy(), np.zeros(values.shape[:2])
+    for k in range(1, values.shape[2]):  # as sum does it
+        x = values[..., k]
+        now = total + x
+        rest += np.where(np.abs(total) >= np.abs(x), (total - now) + x, (x - now) + total)
+        total = now
+    top, total = values.max(axis=2), total + rest
+    lost = total - top + np.where(top <= 1, epsilon, 0.0)
+    bases = wrong = 0.0
+    for c in range(len(piled)):
+        there = np.flatnonzero(top[c] > 0)
+        for x, y in zip(top[c, there[begins[c, there].argsort()]].tolist(), lost[c, there[begins[c, there].argsort()]].tolist(), strict=True):
+            bases += x
+            wrong += y
+    return bases, wrong
 
 
-def refine(reads: list[Read], clusters: list[int], ploidy: int, epsilon: float, rounds: int = 20) -> list[int]:
-    """Moves reads to clusters that fit better while the summed errors fall."""
+def _refined(g: Grid, clusters: np.ndarray, ploidy: int, epsilon: float, rounds: int = 20) -> np.ndarray:
+    """refine over a Grid."""
+    if ploidy == 1:
+        return clusters
+    cell = g.site * g.n_alleles + g.allele
+    piled = _piled(g, clusters, ploidy, g.weight)
+    wrong = _mistakes(g, clusters, ploidy, g.weight, piled, epsilon)[1]
     for _ in range(rounds):
-        piles = piles_of(reads, clusters, ploidy)
-        sizes = [clusters.count(c) for c in range(ploidy)]
-        moves = []
-        for k, read in enumerate(reads):
-            own = agreement(read, piles[clusters[k]], epsilon)[1]
-            if sizes[clusters[k]] > 1:
-                moves += [(agreement(read, piles[c], epsilon)[1] - own, k, c) for c in range(ploidy) if c != clusters[k]]
-        moves = sorted(m for m in moves if m[0] < 0)
-        limit = len(moves) // 10 or len(moves) // 3 + 1
-        new, done = list(clusters), set()
-        for n, (_, k, c) in enumerate(moves):
-            if n > limit:
-                break
+        sizes = np.bincount(clusters, minlength=ploidy).tolist()
+        top = piled.max(axis=2, keepdims=True)
+        bare = np.broadcast_to(top == 0, piled.shape).reshape(ploidy, -1)
+        worse = (piled < top - 1e-9).reshape(ploidy, -1)
+        # what an observation costs in a cluster: its weight, epsilon or nothing
+        diff = np.stack([np.bincount(g.read, np.where(bare[c], epsilon, 0.0)[cell] + np.where(worse[c], 1.0, 0.0)[cell] * g.weight, minlength=len(g)) for c in range(ploidy)], axis=1)
+        gain = diff - diff[np.arange(len(g)), clusters][:, None]
+        good = (gain < 0) & (np.array(sizes)[clusters] > 1)[:, None]
+        good[np.arange(len(g)), clusters] = False
+        read, to = np.nonzero(good)
+        order = np.lexsort((to, read, gain[read, to]))
+        limit = len(order) // 10 or len(order) // 3 + 1
+        new, done = clusters.copy(), set()
+        for k, c in zip(read[order[: limit + 1]].tolist(), to[order[: limit + 1]].tolist(), strict=True):
             if k not in done and sizes[new[k]] > 1:
                 sizes[new[k]] -= 1
                 sizes[c] += 1
                 new[k] = c
                 done.add(k)
-        if not done or errors(piles_of(reads, new, ploidy), epsilon)[1] >= errors(piles, epsilon)[1]:
+        if not done:
             return clusters
-        clusters = new
+        after = _piled(g, new, ploidy, g.weight)
+        now = _mistakes(g, new, ploidy, g.weight, after, epsilon)[1]
+        if now >= wrong:
+            return clusters
+        clusters, piled, wrong = new, after, now
     return clusters
 
 
+def refine(reads: list[Read], clusters: list[int], ploidy: int, epsilon: float, rounds: int = 20) -> list[int]:
+    """Moves reads to clusters that fit better while the summed errors fall."""
+    return _refined(grid(reads), np.array(clusters, np.int64), ploidy, epsilon, rounds).tolist() if reads else clusters
+
+
 def stop_ratio(ploidy: int, epsilon: float, sensitivity: int) -> float:
     grow = {1: math.sqrt(ploidy) + 1, 2: ploidy + 1 / 3, 3: ploidy + 1}[sensitivity]
     return 1 / (1 - epsilon) / (1 + 1 / grow)
 
 
-def phase_block(reads: list[Read], epsilon: float, most: int = 5, width: int = 10, sensitivity: int = 2, heuristic: bool = True) -> tuple[list[int], list[int]]:
+def phase_block(reads: list[Read] | Grid, epsilon: float, most: int = 5, width: int = 10, sensitivity: int = 2, heuristic: bool = True) -> tuple[list[int], list[int]]:
     """Clusters of a block's reads, with as many clusters as the errors call for, and the breaks of their search."""
-    if not reads:
+    if not len(reads):
         return [], []
-    flat = [[(s, a, 1.0) for s, a, _ in r] for r in reads]
-    chosen, breaks, last = [0] * len(reads), [], None
+    g = reads if isinstance(reads, Grid) else grid(reads)
+    ones = np.ones(len(g.weight))
+    chosen, breaks, last = np.zeros(len(g), np.int64), [], None
     for k in range(1, most + 1):
-        searched = beam_search(reads, k, epsilon, width)
-        now = refine(reads, searched, k, epsilon)
-        bases, wrong = errors(piles_of(flat, now, k), epsilon)
+        searched = _beam(g, k, epsilon, width)
+        now = _refined(g, searched, k, epsilon)
+        bases, wrong = _mistakes(g, now, k, ones, _piled(g, now, k, ones), epsilon)
         if last is not None and heuristic and wrong >= stop_ratio(k, epsilon, sensitivity) * last:
             break
-        chosen, breaks, last = now, search_breaks(reads, searched, k), wrong
+        chosen, breaks, last = now, _breaks(g, searched, k, 50), wrong
         if wrong < epsilon * (bases + wrong):
             break
-    return chosen, breaks
+    return chosen.tolist(), breaks
 
 
 Edge = tuple[int, int, int]  # column, row there, row in the next column

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from phaseframe.operators.ranks import ranked
 from phaseframe.operators.sequences import CHUNK, with_margins
 from phaseframe.operators.windows import block_windows, fragment_order, merge_segments, split_gaps, split_gaps_within
 from phaseframe.plans import kernels
-from phaseframe.plans.storage import kept
+from phaseframe.plans.storage import kept, spread
 from phaseframe.sources.bindings import frags_of, sites_of
 
 
@@ -50,14 +52,18 @@ def searched_blocks(obs: DataFrame, length: int, epsilon: float, most: int = 5,
     rows = placed.join(packed(obs.select("contig", "frag_id", "site", "allele", "weight")), ["contig", "frag_id"])
     kind = obs.schema["contig"].dataType.simpleString()
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        reads = _reads(group)
-        clusters, cuts = kernels.phase_block([r for _, r in reads], epsilon, most, beam, sensitivity, heuristic)
-        names = {c: k for k, c in enumerate(sorted(set(clusters)))}
-        own = {"contig": group["contig"].iloc[0], "block_id": int(group["block_id"].iloc[0]), "cluster": [names[c] for c in clusters], "frag_id": [f for f, _ in reads], "l_site": int(group["l_site"].iloc[0]), "r_site": int(group["r_site"].iloc[0])}
-        return pd.DataFrame(own | {"first_site": [r[0][0] for _, r in reads], "last_site": [r[-1][0] for _, r in reads], "cuts": [cuts] * len(reads)})
-
-    return rows.groupBy("contig", "block_id").applyInPandas(solve, f"contig {kind}, block_id int, cluster int, frag_id long, l_site int, r_site int, first_site int, last_site int, cuts array<int>")
+    def solve(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rank").combine_chunks()
+        flat = {k: group[k].combine_chunks() for k in ("sites", "alleles", "weights")}
+        sizes = pc.list_value_length(flat["sites"]).to_numpy(zero_copy_only=False)
+        sites, alleles, weights = (flat[k].flatten().to_numpy(zero_copy_only=False) for k in flat)
+        clusters, cuts = kernels.phase_block(kernels.Grid(sizes, sites, alleles, weights), epsilon, most, beam, sensitivity, heuristic)
+        names, ends = np.unique(clusters, return_inverse=True)[1], np.cumsum(sizes)
+        own = [group[k] for k in ("contig", "block_id")] + [pa.array(names, pa.int32())] + [group[k] for k in ("frag_id", "l_site", "r_site")]
+        own += [pa.array(sites[at], pa.int32()) for at in (ends - sizes, ends - 1)] + [pa.array([cuts] * len(sizes), pa.list_(pa.int32()))]
+        return pa.table(own, names=["contig", "block_id", "cluster", "frag_id", "l_site", "r_site", "first_site", "last_site", "cuts"])
+
+    return spread(rows, "contig", "block_id").groupBy("contig", "block_id").applyInArrow(solve, f"contig {kind}, block_id int, cluster int, frag_id long, l_site int, r_site int, first_site int, last_site int, cuts array<int>")
 
 
 def phase_blocks(obs: DataFrame, length: int, epsilon: float, **options) -> DataFrame:
