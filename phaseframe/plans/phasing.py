@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phaseframe.operators.distances import hybrid_correct, read_haplotype_distance_eps
+from phaseframe.operators.distances import hybrid_correct, packed, read_haplotype_distance_eps
 from phaseframe.operators.filters import filter_span
 from phaseframe.operators.intervals import overlap_join
 from phaseframe.operators.parts import block_edges, numbered, part_ranges
@@ -22,13 +22,6 @@ from phaseframe.plans.storage import kept, spread
 from phaseframe.sources.bindings import frags_of, sites_of
 
 
-def packed(obs: DataFrame) -> DataFrame:
-    """obs with a row for each read: sites, alleles and weights as arrays in the order of sites."""
-    own = F.array_sort(F.collect_list(F.struct("site", "allele", "weight"))).alias("o")
-    keys = [c for c in obs.columns if c not in ("site", "allele", "weight")]
-    return obs.groupBy(*keys).agg(own).select(*keys, F.col("o.site").alias("sites"), F.col("o.allele").alias("alleles"), F.col("o.weight").alias("weights"))
-
-
 def _reads(group: pd.DataFrame) -> list[tuple[int, kernels.Read]]:
     """(fragment, observations) of packed reads in fragment order."""
     rows = group.sort_values("rank")
