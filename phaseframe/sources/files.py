@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from phaseframe.operators.ranks import ranked
 from phaseframe.operators.sequences import CHUNK, joined
+from phaseframe.plans.storage import spread
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -131,8 +132,12 @@ def placed_operations(alignments: DataFrame) -> DataFrame:
 
 
 def aligned_bases(alignments: DataFrame, *others: str) -> DataFrame:
-    """One row for each aligned base: ref_pos, read_pos (leading hard clips count), base, base_qual, and other columns."""
-    placed = placed_operations(alignments)
+    """One row for each aligned base: ref_pos, read_pos (leading hard clips count), base, base_qual, and other columns.
+
+    Alignments are dealt by stretches of the reference before they are laid out, so that no task has the bases of a whole
+    file, and those of a place are next to each other.
+    """
+    placed = placed_operations(spread(alignments, "contig", F.floor(F.col("pos") / CHUNK)))
     piece = placed.select("*", F.explode("ops").alias("p")).where(F.col("p.op").isin("M", "=", "X"))
     hard = F.when(F.col("ops")[0]["op"] == "H", F.col("ops")[0]["len"]).otherwise(0)
     base = piece.select("contig", "qname", "flags", "pos", "seq", "qual", *[c for c in others if c != "seq"], "p", hard.alias("hard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.len") - 1)).alias("i"))
@@ -142,7 +147,8 @@ def aligned_bases(alignments: DataFrame, *others: str) -> DataFrame:
 
 def allele_calls(alignments: DataFrame, sites: DataFrame, *others: str) -> DataFrame:
     """Observations: aligned bases that match an allele of a site, with other columns of the alignments."""
-    met = aligned_bases(alignments, *others).join(sites.withColumnRenamed("pos", "ref_pos"), ["contig", "ref_pos"])
+    # what the bases take is not what the file's size says, so they are not to be broadcast
+    met = aligned_bases(alignments, *others).hint("merge").join(sites.withColumnRenamed("pos", "ref_pos"), ["contig", "ref_pos"])
     allele = F.array_position("alleles", F.col("base")) - 1
     return met.withColumn("allele", allele.cast("int")).where("allele >= 0").select("contig", "qname", "flags", "site", "allele", F.col("base_qual").alias("qual"), "read_pos", *others)
 
