@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from phaseframe.operators.intervals import overlap_join
 from phaseframe.operators.pileup import consensus
 from phaseframe.operators.ranks import ranked
-from phaseframe.plans.storage import spread
+from phaseframe.plans.storage import dealt, kept, spread
 
 
 def haplotype_distance(piled: DataFrame, scope: list[str], group: str) -> DataFrame:
@@ -24,20 +24,30 @@ def haplotype_distance(piled: DataFrame, scope: list[str], group: str) -> DataFr
 
 
 def _tops(piled: DataFrame, scope: list[str], group: str) -> DataFrame:
-    """scope, group, site, top (the heaviest weight), w (weight of each allele)."""
-    return piled.groupBy(*scope, group, "site").agg(F.max("weight").alias("top"), F.map_from_entries(F.collect_list(F.struct("allele", "weight"))).alias("w"))
+    """scope, group, site, best (alleles that tie with the heaviest), nil (the heaviest weighs nothing, nor does any other)."""
+    sites = piled.groupBy(*scope, group, "site").agg(F.max("weight").alias("top"), F.collect_list(F.struct("allele", "weight")).alias("w"))
+    heaviest = F.transform(F.filter("w", lambda x: F.round(x["weight"], 9) == F.round("top", 9)), lambda x: x["allele"])
+    return sites.select(*scope, group, "site", heaviest.alias("best"), (F.round("top", 9) == 0).alias("nil"))
+
+
+#: Whether a read's allele weighs as much as the heaviest one of a row of _tops.
+_BEST = "(coalesce(array_contains(best, allele), false) or nil)"
 
 
 def read_haplotype_distance(obs: DataFrame, piled: DataFrame, scope: list[str], group: str) -> DataFrame:
     """same and diff (whole numbers, rounded) of each read against each group's pileup, over covered sites; alleles that
-    tie with the heaviest count for neither."""
-    rows = obs.select(*scope, "frag_id", "site", "allele", "weight").join(_tops(piled, scope, group), [*scope, "site"]).withColumn("own", F.coalesce(F.col("w")[F.col("allele")], F.lit(0.0)))
-    ties = F.size(F.filter(F.map_values("w"), lambda x: F.round(x, 9) == F.round("top", 9)))
-    best = F.round("own", 9) == F.round("top", 9)
-    same = F.sum(F.when(best & (ties == 1), F.col("weight")).otherwise(0.0))
-    diff = F.sum(F.when(~best, F.col("weight")).otherwise(0.0))
-    whole = lambda x: F.round(F.round(x, 6)).cast("long")
-    return rows.groupBy(*scope, "frag_id", group).agg(whole(same).alias("same"), whole(diff).alias("diff"))
+    tie with the heaviest count for neither.
+
+    obs is counted first, so the caller keeps it; it meets the pileups by sites, and what comes of that is summed up by reads,
+    in partitions of a number of rows that does not grow.
+    """
+    n = obs.count()
+    rows = dealt(obs.select(*scope, "frag_id", "site", "allele", "weight"), n, *scope, "site").join(_tops(piled, scope, group), [*scope, "site"])
+    same = F.when(F.expr(f"{_BEST} and size(best) = 1"), F.col("weight")).otherwise(0.0)
+    diff = F.when(F.expr(f"not {_BEST}"), F.col("weight")).otherwise(0.0)
+    whole = lambda x: F.round(F.round(F.sum(x), 6)).cast("long")
+    found = dealt(rows.select(*scope, "frag_id", group, same.alias("s"), diff.alias("d")), n, *scope, "frag_id")
+    return found.groupBy(*scope, "frag_id", group).agg(whole("s").alias("same"), whole("d").alias("diff"))
 
 
 def all_pairs(obs: DataFrame, piled: DataFrame, scope: list[str], group: str) -> DataFrame:
@@ -48,12 +58,13 @@ def all_pairs(obs: DataFrame, piled: DataFrame, scope: list[str], group: str) ->
 def read_haplotype_distance_eps(obs: DataFrame, piled: DataFrame, pairs: DataFrame, scope: list[str], group: str, epsilon: float) -> DataFrame:
     """The same for pairs(scope, frag_id, group) alone, where uncovered sites cost epsilon and ties with the heaviest
     allele count as same. Rows are the sites of the pairs' reads, however many groups a scope has."""
-    reads = obs.select(*scope, "frag_id", "site", "allele", "weight").join(pairs.select(*scope, "frag_id", group), [*scope, "frag_id"])
-    rows = reads.join(_tops(piled, scope, group), [*scope, group, "site"], "left").withColumn("own", F.coalesce(F.col("w")[F.col("allele")], F.lit(0.0)))
-    best = F.round("own", 9) == F.round("top", 9)
-    same = F.sum(F.when(F.col("top").isNotNull() & best, F.col("weight")).otherwise(0.0))
-    diff = F.sum(F.when(F.col("top").isNull(), F.lit(epsilon)).when(~best, F.col("weight")).otherwise(0.0))
-    return rows.groupBy(*scope, "frag_id", group).agg(same.alias("same"), diff.alias("diff"))
+    reads = kept(obs.select(*scope, "frag_id", "site", "allele", "weight").join(pairs.select(*scope, "frag_id", group), [*scope, "frag_id"]))
+    n = reads.count()
+    rows = dealt(reads, n, *scope, group, "site").join(_tops(piled, scope, group), [*scope, group, "site"], "left")
+    same = F.when(F.expr(f"nil is not null and {_BEST}"), F.col("weight")).otherwise(0.0)
+    diff = F.when(F.col("nil").isNull(), F.lit(epsilon)).when(F.expr(f"not {_BEST}"), F.col("weight")).otherwise(0.0)
+    found = dealt(rows.select(*scope, "frag_id", group, same.alias("same"), diff.alias("diff")), n, *scope, "frag_id")
+    return found.groupBy(*scope, "frag_id", group).agg(F.sum("same").alias("same"), F.sum("diff").alias("diff"))
 
 
 #: Sites of a bin in which reads meet blocks.

@@ -134,9 +134,9 @@ def block_edges(membership: DataFrame, obs: DataFrame, least: int = 2) -> DataFr
     membership: contig, block_id, cluster, frag_id, l_site, r_site. A read is ambiguous when its differences (whole
     numbers) from the two nearest clusters of the next block are the same.
     """
-    placed = numbered(membership)
+    placed = kept(numbered(membership))
     clusters = placed.select("contig", (F.col("col") - 1).alias("col"), "cluster").distinct().groupBy("contig", "col").agg(F.count("*").alias("n_next"))
-    reads = placed.select("contig", (F.col("col") + 1).alias("col"), "frag_id").distinct().join(obs, ["contig", "frag_id"])
+    reads = kept(placed.select("contig", (F.col("col") + 1).alias("col"), "frag_id").distinct().join(obs.select("contig", "frag_id", "site", "allele", "weight"), ["contig", "frag_id"]))
     distance = read_haplotype_distance(reads, node_pileup(placed, obs), ["contig", "col"], "cluster")
     # a cluster that shares no site with a read differs from it by nothing
     near = distance.groupBy("contig", "col", "frag_id").agg(F.array_sort(F.collect_list("diff")).alias("d")).select("contig", (F.col("col") - 1).alias("col"), "frag_id", "d")

@@ -35,3 +35,14 @@ def spread(rows: DataFrame, *keys: str | Column) -> DataFrame:
     """rows dealt by keys over as many partitions as shuffles have at most: small groups that take long are not put together
     by their size."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+#: Rows of a partition where `dealt` deals them out, and the fewest for which there is one more.
+MOST, LEAST = 1 << 18, 1 << 14
+
+
+def dealt(rows: DataFrame, count: int, *keys: str | Column) -> DataFrame:
+    """rows dealt by keys over as many partitions as `count` rows ask for: what a task sorts and groups stays the same size
+    however many rows there are, whatever number of partitions shuffles have otherwise."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(1, min(usual, count // LEAST), -(-count // MOST)), *keys)

@@ -720,7 +720,7 @@ _TOPS = "t AS (SELECT contig, part, site, max(weight) AS top FROM pile GROUP BY
 
 @query(_with(OBS_L, PART_R, PILE, _TOPS) + "SELECT o.contig, o.frag_id, t.part, CAST(round(round(sum(CASE WHEN round(coalesce(p.weight, 0), 9) = round(t.top, 9) AND k = 1 THEN o.weight ELSE 0 END), 6)) AS BIGINT) AS same, CAST(round(round(sum(CASE WHEN round(coalesce(p.weight, 0), 9) = round(t.top, 9) THEN 0 ELSE o.weight END), 6)) AS BIGINT) AS diff FROM obs o JOIN ties t ON o.contig = t.contig AND o.site = t.site LEFT JOIN pile p ON p.contig = t.contig AND p.part = t.part AND p.site = t.site AND p.allele = o.allele GROUP BY ALL")
 def read_hap_distance(s, d):
-    obs = _lp(s, d)
+    obs = kept(_lp(s, d))
     return D.read_haplotype_distance(obs.drop("part"), P.pileup(obs, "contig", "part"), ["contig"], "part")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phaseframe.functions.scalars import phred_weight
+from phaseframe.plans.storage import dealt
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def obs_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as observations: supplier = site, return flag = allele, quantity = quality; the last line wins."""
     latest = Window.partitionBy("l_linestatus", "l_orderkey", "l_suppkey").orderBy(F.desc("l_linenumber"), F.desc("l_partkey"), F.desc("l_shipdate"), F.desc("l_extendedprice"))
-    rows = read(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(latest)).where("rn = 1")
+    lines = read(spark, sf_dir, "lineitem")
+    own = lines.select("l_linestatus", "l_orderkey", "l_suppkey", "l_returnflag", "l_quantity", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    rows = dealt(own, lines.count(), "l_linestatus", "l_orderkey", "l_suppkey").withColumn("rn", F.row_number().over(latest)).where("rn = 1")
     allele = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     return rows.select(
         F.col("l_linestatus").alias("contig"),

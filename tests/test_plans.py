@@ -21,3 +21,30 @@ def test_alignments_are_dealt_before_they_are_laid_out(spark):
     one = S.parse_sam(lines(spark).coalesce(1))
     bases = S.aligned_bases(one).groupBy(F.spark_partition_id()).count().collect()
     assert len(bases) > 1 and sum(r["count"] for r in bases) == 2000
+
+
+def sizes(frame):
+    """Rows of each partition that has any."""
+    return [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_read_distances_lie_in_partitions_of_few_rows(spark, monkeypatch):
+    """Whatever the number of partitions of shuffles, what a task sorts and sums up does not grow with the reads."""
+    from phaseframe.operators.distances import read_haplotype_distance
+    from phaseframe.operators.pileup import pileup
+    from phaseframe.plans import storage
+
+    monkeypatch.setattr(storage, "MOST", 100, raising=False)
+    obs = spark.range(2000).selectExpr("cast(id div 1000 AS int) AS contig", "id div 4 AS frag_id", "cast(id % 4 + (id div 400) * 4 AS int) AS site", "cast(id % 2 AS int) AS allele", "1.0D AS weight", "cast(id div 4 % 2 AS int) AS part")
+    found = read_haplotype_distance(obs.drop("part"), pileup(obs, "contig", "part"), ["contig"], "part")
+    assert found.count() == 1000 and {(r["same"], r["diff"]) for r in found.collect()} == {(4, 0)}
+    assert len(sizes(found)) > 10 and max(sizes(found)) < 200
+
+
+def test_observations_of_lines_are_dealt_by_their_number(spark, monkeypatch):
+    from phaseframe.plans import storage
+    from phaseframe.sources import bindings
+
+    monkeypatch.setattr(storage, "MOST", 500, raising=False)
+    obs = bindings.obs_from_lineitem(spark, "/root/testdata/sf0.001")
+    assert len(sizes(obs)) > 8 and max(sizes(obs)) < 1000
