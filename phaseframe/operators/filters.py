@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phaseframe.plans.storage import dealt
+
 #: Bits of the alignment flags.
 FIRST, SECOND, SECONDARY, SUPPLEMENTARY, REJECTED = 64, 128, 256, 2048, 1796
 #: A record is a mate of a pair if it is flagged as the first or the second one.
@@ -39,6 +41,8 @@ def filter_density(blocks: DataFrame, length: int, density: float = 0.0005) -> D
 
 
 def split_by_sites(names: DataFrame, obs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Reads with and without any observation."""
-    seen = obs.select(key).distinct()
-    return names.join(seen, key, "left_semi"), names.join(seen, key, "left_anti")
+    """Reads with and without any observation. Both are counted first and dealt by the key, so that a task has about the same
+    number of rows however many there are."""
+    n = names.count() + obs.count()
+    own, seen = dealt(names, n, key), dealt(obs.select(key), n, key)
+    return own.join(seen, key, "left_semi"), own.join(seen, key, "left_anti")

@@ -41,6 +41,17 @@ def test_read_distances_lie_in_partitions_of_few_rows(spark, monkeypatch):
     assert len(sizes(found)) > 10 and max(sizes(found)) < 200
 
 
+def test_reads_with_and_without_sites_are_dealt_by_their_number(spark, monkeypatch):
+    from phaseframe.operators.filters import split_by_sites
+    from phaseframe.plans import storage
+
+    monkeypatch.setattr(storage, "MOST", 100, raising=False)
+    names = spark.range(1000).withColumnRenamed("id", "k")
+    having, without = split_by_sites(names, names.where("k % 4 = 0").union(names.where("k % 8 = 0")).hint("merge"), "k")
+    assert having.count() == 250 and without.count() == 750 and without.where("k % 4 = 0").isEmpty()
+    assert len(sizes(without)) > 8 and max(sizes(without)) < 150
+
+
 def test_observations_of_lines_are_dealt_by_their_number(spark, monkeypatch):
     from phaseframe.plans import storage
     from phaseframe.sources import bindings
