@@ -593,8 +593,8 @@ def node_ids(s, d):
     return PT.numbered(_membership(s, d)).select("contig", "col", "cluster").distinct()
 
 
-def _membership(s, d) -> DataFrame:
-    obs = B.parts_by_remainder(_e(s, d))
+def _membership(s, d, obs: DataFrame | None = None) -> DataFrame:
+    obs = B.parts_by_remainder(kept(_e(s, d)) if obs is None else obs)
     placed = phasing.reads_in_blocks(B.frags_of(obs), W.block_windows(B.sites_of(obs), 2880)).select("contig", "block_id", "l_site", "r_site", "frag_id")
     return placed.join(obs.select("contig", "frag_id", "site", "part"), ["contig", "frag_id"]).where("site between l_site and r_site").select("contig", "block_id", F.col("part").alias("cluster"), "frag_id", "l_site", "r_site").distinct()
 
@@ -684,7 +684,8 @@ _EDGES = """mem AS (SELECT DISTINCT b.contig, block_id, part AS cluster, frag_id
 
 @query(_blocks_sql(PART_R, _EDGES) + "SELECT a.contig, a.col, a.cluster AS row_from, b.cluster AS row_to, count(*) AS weight FROM m a JOIN m b ON a.contig = b.contig AND b.col = a.col + 1 AND a.frag_id = b.frag_id WHERE NOT EXISTS (SELECT 1 FROM tied t WHERE t.contig = a.contig AND t.col = a.col AND t.frag_id = a.frag_id) GROUP BY ALL HAVING count(*) >= 2")
 def block_edges(s, d):
-    return PT.block_edges(_membership(s, d), _e(s, d))
+    obs = kept(_e(s, d))
+    return PT.block_edges(_membership(s, d, obs), obs)
 
 
 @query(
@@ -983,8 +984,11 @@ def _small(s, d) -> DataFrame:
     return _e(s, d).withColumn("allele", (F.col("allele") % 2).cast("int"))
 
 
-def _flows(s, d) -> DataFrame:
-    return kept(phasing.flow_edges(PT.block_edges(_membership(s, d), _e(s, d))))
+def _graph(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observations, membership and flows, each computed once."""
+    obs = kept(_e(s, d))
+    membership = kept(_membership(s, d, obs))
+    return obs, membership, kept(phasing.flow_edges(PT.block_edges(membership, obs)))
 
 
 @query()
@@ -1006,27 +1010,28 @@ def block_ploidy(s, d):
 
 @query()
 def flow_edges(s, d):
-    return _flows(s, d)
+    return _graph(s, d)[2]
 
 
 @query()
 def disjoint_paths(s, d):
-    return phasing.disjoint_paths(_membership(s, d), _flows(s, d))
+    return phasing.disjoint_paths(*_graph(s, d)[1:])
 
 
 #: Paths that need no kernel: of each column's clusters the ones with one number; flows are the edges' weights.
 _BY_CLUSTER = "ed AS (SELECT a.contig, a.col, a.cluster AS row_from, b.cluster AS row_to, count(*) AS weight FROM m a JOIN m b ON a.contig = b.contig AND b.col = a.col + 1 AND a.frag_id = b.frag_id WHERE NOT EXISTS (SELECT 1 FROM tied t WHERE t.contig = a.contig AND t.col = a.col AND t.frag_id = a.frag_id) GROUP BY ALL HAVING count(*) >= 2), nodes AS (SELECT DISTINCT contig, col, cluster, l_site, r_site FROM m)"
 
 
-def _paths_by_cluster(s, d) -> tuple[DataFrame, DataFrame]:
-    membership = _membership(s, d)
+def _paths_by_cluster(s, d, obs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    membership = kept(_membership(s, d, obs))
     return membership, PT.numbered(membership).select("contig", F.col("cluster").alias("path"), "col", "cluster").distinct()
 
 
 @query(_blocks_sql(PART_R, _EDGES, _BY_CLUSTER) + "SELECT n.contig, n.cluster AS path, round(avg(e.weight), 6) AS flow FROM nodes n LEFT JOIN ed e ON e.contig = n.contig AND e.col = n.col AND e.row_from = n.cluster GROUP BY ALL")
 def path_flow_by_cluster(s, d):
-    membership, paths = _paths_by_cluster(s, d)
-    flows = PT.block_edges(membership, _e(s, d)).withColumn("flow", F.col("weight").cast("double"))
+    obs = kept(_e(s, d))
+    membership, paths = _paths_by_cluster(s, d, obs)
+    flows = PT.block_edges(membership, obs).withColumn("flow", F.col("weight").cast("double"))
     return _r(phasing.path_flow(paths, flows), "flow")
 
 
@@ -1055,15 +1060,15 @@ def split_gaps_within(s, d):
 
 @query()
 def path_flow(s, d):
-    flows = _flows(s, d)
+    flows = _graph(s, d)[2]
     return phasing.path_flow(phasing.disjoint_paths(_membership(s, d), flows), flows)
 
 
 @query()
 def assign_reads(s, d):
-    membership = kept(_membership(s, d))
-    paths = phasing.disjoint_paths(membership, _flows(s, d))
-    return phasing.assign_reads(_e(s, d), phasing.path_members(membership, paths), 0.04)
+    obs, membership, flows = _graph(s, d)
+    paths = phasing.disjoint_paths(membership, flows)
+    return phasing.assign_reads(obs, phasing.path_members(membership, paths), 0.04)
 
 
 @query()

@@ -59,3 +59,17 @@ def test_observations_of_lines_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(storage, "MOST", 500, raising=False)
     obs = bindings.obs_from_lineitem(spark, "/root/testdata/sf0.001")
     assert len(sizes(obs)) > 8 and max(sizes(obs)) < 1000
+
+
+def test_paths_come_from_observations_made_once(spark, monkeypatch):
+    from phaseframe import queries
+
+    made = []
+    real = queries.B.obs_from_events
+    monkeypatch.setattr(queries.B, "obs_from_events", lambda *args: made.append(args) or real(*args))
+    for name in ("disjoint_paths",):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert len(made) == 1, name
+        made.clear()
+    edges = queries.block_edges(spark, "/root/testdata/sf0.001")
+    assert not any("events.parquet" in file for file in edges.inputFiles())
