@@ -1060,8 +1060,8 @@ def split_gaps_within(s, d):
 
 @query()
 def path_flow(s, d):
-    flows = _graph(s, d)[2]
-    return phasing.path_flow(phasing.disjoint_paths(_membership(s, d), flows), flows)
+    _, membership, flows = _graph(s, d)
+    return phasing.path_flow(phasing.disjoint_paths(membership, flows), flows)
 
 
 @query()

@@ -67,7 +67,7 @@ def test_paths_come_from_observations_made_once(spark, monkeypatch):
     made = []
     real = queries.B.obs_from_events
     monkeypatch.setattr(queries.B, "obs_from_events", lambda *args: made.append(args) or real(*args))
-    for name in ("disjoint_paths",):
+    for name in ("disjoint_paths", "path_flow"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
         assert len(made) == 1, name
         made.clear()
