@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from phaseframe.operators.filters import REJECTED, SECONDARY
 from phaseframe.operators.pileup import indexed_quantile
 from phaseframe.plans.storage import kept
-from phaseframe.sources.files import placed_operations, reference_length
+from phaseframe.sources.files import read_places, reference_length
 
 CELL = 1 << 16
 
@@ -22,8 +22,9 @@ def primary_spans(alignments: DataFrame) -> DataFrame:
     """alignments with `end` (the last base covered), without secondary, unmapped, duplicate and failed records and those
     without bases. Any mapping quality will do."""
     fine = F.col("flags").bitwiseAND(REJECTED | SECONDARY) == 0
-    spans = alignments.where(fine & (F.col("cigar") != "*") & (F.col("seq") != "*") & (F.length("seq") > 0))
-    return spans.withColumn("end", F.col("pos") + reference_length("cigar") - 1).where("end >= pos")
+    # a test of `end` itself would be pushed below it, and the CIGAR would be read again for it
+    spans = alignments.where(fine & (F.col("cigar") != "*") & ~F.col("seq").isin("*", "") & F.col("cigar").rlike("[1-9][0-9]*[MDN=X]"))
+    return spans.withColumn("end", F.col("pos") + reference_length("cigar") - 1)
 
 
 def in_cells(spans: DataFrame, width: int) -> DataFrame:
@@ -62,12 +63,9 @@ def column_bases(spans: DataFrame, columns: DataFrame, width: int = 8_000) -> Da
     """
     by_cell = columns.groupBy("contig", F.floor(F.col("ref_pos") / width).alias("cell")).agg(F.collect_list("ref_pos").alias("columns"))
     met = in_cells(spans.select("contig", "pos", "end", "cigar", "seq"), width).join(by_cell, ["contig", "cell"])
-    met = met.withColumn("columns", F.filter("columns", lambda p: (p >= F.col("pos")) & (p <= F.col("end")))).where("size(columns) > 0")
-    at = placed_operations(met).select("contig", "pos", "seq", "ops", F.explode("columns").alias("ref_pos")).withColumn("offset", F.col("ref_pos") - F.col("pos"))
-    piece = F.filter("ops", lambda o: o["op"].isin("M", "=", "X") & (o["ref_at"] <= F.col("offset")) & (o["ref_at"] + o["len"] > F.col("offset")))
-    hit = at.withColumn("piece", F.get(piece, F.lit(0))).where("piece is not null")
-    place = F.col("piece.read_at") + F.col("offset") - F.col("piece.ref_at") + 1
-    return hit.select("contig", "ref_pos", F.substring("seq", place.cast("int"), F.lit(1)).alias("base"), F.length("seq").alias("length"))
+    at = met.select("contig", "pos", "end", "cigar", "seq", F.explode("columns").alias("ref_pos")).where("ref_pos between pos and end")
+    hit = at.select("contig", "ref_pos", "seq", F.explode(read_places("cigar", F.col("ref_pos") - F.col("pos"))).alias("place"))
+    return hit.select("contig", "ref_pos", F.substring("seq", (F.col("place") + 1).cast("int"), F.lit(1)).alias("base"), F.length("seq").alias("length"))
 
 
 def estimate_from_alignments(alignments: DataFrame, every: int = 1000, depth: int = 5, least_rate: float = 0.01, least_length: int = 500) -> DataFrame:

@@ -117,6 +117,23 @@ def reference_length(cigar: str) -> Column:
     return F.aggregate(F.zip_with(lengths, kinds, lambda n, k: F.when(k.isin(*"MDN=X"), n.cast("long")).otherwise(0)), F.lit(0).cast("long"), lambda s, n: s + n)
 
 
+def read_places(cigar: str, offset: Column) -> Column:
+    """Array of the place in the read (from 0) of the base aligned `offset` bases from the alignment's start; empty if there
+    is none. Operations are gone through once, and none of them is kept."""
+    lengths, kinds = (F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(k)) for k in (1, 2))
+    zero = F.lit(0).cast("long")
+
+    def step(done: Column, o: Column) -> Column:
+        here = o["op"].isin("M", "=", "X") & (done["ref_at"] <= offset) & (offset < done["ref_at"] + o["len"])
+        ref_at = done["ref_at"] + F.when(o["op"].isin(*"MDN=X"), o["len"]).otherwise(0)
+        read_at = done["read_at"] + F.when(o["op"].isin(*"MIS=X"), o["len"]).otherwise(0)
+        return F.struct(ref_at.alias("ref_at"), read_at.alias("read_at"), F.when(here, F.array(done["read_at"] + offset - done["ref_at"])).otherwise(done["places"]).alias("places"))
+
+    ops = F.zip_with(lengths, kinds, lambda n, k: F.struct(n.cast("long").alias("len"), k.alias("op")))
+    start = F.struct(zero.alias("ref_at"), zero.alias("read_at"), F.array().cast("array<bigint>").alias("places"))
+    return F.aggregate(ops, start, step, lambda done: done["places"])
+
+
 def placed_operations(alignments: DataFrame) -> DataFrame:
     """alignments with ops: len and op of each CIGAR operation, and where it begins in the reference and the read.
 

@@ -73,3 +73,30 @@ def test_paths_come_from_observations_made_once(spark, monkeypatch):
         made.clear()
     edges = queries.block_edges(spark, "/root/testdata/sf0.001")
     assert not any("events.parquet" in file for file in edges.inputFiles())
+
+
+def test_cigars_of_columns_are_read_once(spark):
+    """A span's end is worked out once a read, and bases at columns come from one pass over a CIGAR."""
+    from phaseframe.operators import columns as CO
+
+    rows = S.parse_sam(lines(spark))
+    plan = CO.primary_spans(rows).select("contig", "pos", "end")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+    found = CO.column_bases(CO.primary_spans(rows), spark.createDataFrame([("c", 1003)], "contig string, ref_pos long"))
+    assert [tuple(r) for r in found.collect()] == [("c", 1003, "T", 10)]
+    assert "concat" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_in_reads_by_brute_force(spark):
+    from phaseframe.sources.files import read_places
+
+    cigars = ["4H3S10M5D20M2I5M", "10M1000N10M", "3=1X2P2I4M6S", "5S", "0M3M"]
+    for cigar in cigars:
+        expected, ref, read = {}, 0, 0
+        for n, op in __import__("re").findall("([0-9]+)([MIDNSHP=X])", cigar):
+            for _ in range(int(n)):
+                if op in "M=X":
+                    expected[ref] = read
+                ref, read = ref + (op in "MDN=X"), read + (op in "MIS=X")
+        rows = spark.range(-2, ref + 2).select("id", F.lit(cigar).alias("cigar")).select("id", read_places("cigar", F.col("id")).alias("p")).collect()
+        assert {r["id"]: r["p"][0] for r in rows if r["p"]} == expected
