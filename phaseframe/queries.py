@@ -141,15 +141,18 @@ _DEEP_SQL = """deep AS (SELECT l_orderkey AS o, l_linenumber AS ln, 'g' || (l_pa
 
 def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """alignments as parse_sam gives them, up to 100 deep; lines of every 19th order are duplicates."""
-    rows = B.read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o", "l_partkey", "l_linenumber AS ln", "l_quantity", "l_linenumber % 3 AS kind", "floor(l_partkey / 4) * 20 + l_linenumber AS pos")
+    rows = B.read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o", "l_partkey", "l_linenumber AS ln", "l_quantity", "l_linenumber % 3 AS kind", "l_partkey div 4 * 20 + l_linenumber AS pos")
     # the genome without strains and errors repeats itself after 12 bases; what differs are two sites and an error at most
     plain = "".join("ACGT"[(p * 7 + p // 3) % 4] for p in range(12))
-    letter = "substr('ACGT', cast(({p} * 7 + floor({p} / 3) + if({p} % 25 = 7 AND o % 2 = 1, 1, 0) + if((o * 31 + {p} * 17) % 97 = 0, 2, 0)) % 4 + 1 AS int), 1)"
+    letter = "substr('ACGT', cast(({p} * 7 + {p} div 3 + if({p} % 25 = 7 AND o % 2 = 1, 1, 0) + if((o * 31 + {p} * 17) % 97 = 0, 2, 0)) % 4 + 1 AS int), 1)"
     rows = rows.selectExpr("*", f"substr(repeat('{plain}', 6), cast(pos % 12 + 1 AS int), 47) AS g", "pos + pmod(7 - pos, 25) AS site", "pos + pmod(-(o * 1240) - pos, 97) AS wrong")
+    # each text is named once, or the optimizer writes it out again and again; letters behind the 47th are not read
     for p in ("site", "site + 25", "wrong"):
-        rows = rows.withColumn("g", F.expr(f"if({p} < pos + 47, overlay(g, {letter.format(p=f'({p})')}, cast({p} - pos + 1 AS int)), g)"))
-    seq = "CASE kind WHEN 0 THEN substr(g, 1, 40) WHEN 1 THEN concat('AAA', substr(g, 1, 20), substr(g, 23, 7)) ELSE concat(substr(g, 1, 10), 'AAA', substr(g, 11, 37)) END"
-    made = rows.selectExpr("concat('g', l_partkey % 4) AS contig", "concat('r', o, '.', ln, '.', l_partkey, '.', l_quantity) AS qname", "if(o % 19 = 0, 1024, 0) AS flags", "60 AS mapq", "cast(pos AS bigint) AS pos", "element_at(array('40M', '3S20M2D7M', '10M3I37M'), kind + 1) AS cigar", f"{seq} AS seq")
+        rows = rows.withColumn("g", F.expr(f"overlay(g, {letter.format(p=f'({p})')}, cast({p} - pos + 1 AS int))"))
+    by_kind = lambda *x: f"element_at(array({', '.join(map(repr, x))}), kind + 1)"
+    seq = f"concat({by_kind('', 'AAA', '')}, substr(overlay(g, {by_kind('', '', 'AAA')}, {by_kind(1, 21, 11)}, {by_kind(0, 2, 0)}), 1, {by_kind(40, 27, 50)}))"
+    # as an element of an array the text is made once: a test of it cannot be pushed below that and make it anew
+    made = rows.selectExpr("concat('g', l_partkey % 4) AS contig", "concat('r', o, '.', ln, '.', l_partkey, '.', l_quantity) AS qname", "if(o % 19 = 0, 1024, 0) AS flags", "60 AS mapq", "cast(pos AS bigint) AS pos", "element_at(array('40M', '3S20M2D7M', '10M3I37M'), kind + 1) AS cigar", f"explode(array({seq})) AS seq")
     return made.withColumn("qual", F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: (i % 40).cast("int")))
 
 

@@ -100,3 +100,11 @@ def test_places_in_reads_by_brute_force(spark):
                 ref, read = ref + (op in "MDN=X"), read + (op in "MIS=X")
         rows = spark.range(-2, ref + 2).select("id", F.lit(cigar).alias("cigar")).select("id", read_places("cigar", F.col("id")).alias("p")).collect()
         assert {r["id"]: r["p"][0] for r in rows if r["p"]} == expected
+
+
+def test_made_reads_are_not_made_for_each_test_of_them(spark):
+    from phaseframe import queries
+    from phaseframe.operators import columns as CO
+
+    spans = CO.primary_spans(queries._deep(spark, "/root/testdata/sf0.001"))
+    assert spans._jdf.queryExecution().optimizedPlan().toString().count("overlay") < 10
